@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from graphloom.llm import decontaminate, mixture, quality, simhash, token_files
+from graphloom.llm import decontaminate, mixture, quality, simhash, suffix_dedup, token_files
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_files": token_files.op4_token_files,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_mixture": mixture.op6_mixture,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
