@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from graphloom.llm import decontaminate, mixture, quality, simhash, suffix_dedup, token_files
+from graphloom.llm import archives, decontaminate, lm_score, mixture, quality, simhash, suffix_dedup, token_files
 
 QUERIES = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_simhash": simhash.op3_simhash,
     "op4_token_files": token_files.op4_token_files,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_mixture": mixture.op6_mixture,
+    "op7_arc_to_warc": archives.op7_arc_to_warc,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "pipeline": corpus_pipeline.run,
 }
@@ -19,4 +21,5 @@ ORACLES = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op5_quality_rules": quality.ORACLE,
     "op6_mixture": mixture.ORACLE,
+    "op7_arc_to_warc": archives.ORACLE,
 }
