@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from graphloom.llm import archives, decontaminate, lm_score, mixture, quality, simhash, suffix_dedup, token_files
+from graphloom.llm import archives, decontaminate, licenses, lm_score, mixture, quality, simhash, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -13,7 +13,9 @@ QUERIES = {
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_mixture": mixture.op6_mixture,
     "op7_arc_to_warc": archives.op7_arc_to_warc,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+    "op10_licenses": licenses.op10_licenses,
     "pipeline": corpus_pipeline.run,
 }
 
