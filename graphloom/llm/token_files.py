@@ -19,7 +19,9 @@ text; empty tables write no shard and give no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -39,8 +41,10 @@ from graphloom.llm._text import as_bytes
 END_ID = 1
 SHARD_IDS = 1 << 22
 SAMPLE = 256
-#: White-space-separated pieces whose ids a worker remembers at most; then it starts anew.
-CACHE_PIECES = 400_000
+#: More shards than these are joined with their contents instead of sent to all tasks.
+FEW_SHARDS = 100_000
+#: White-space-separated pieces whose ids a worker remembers, before those not seen since the last as many go.
+CACHE_PIECES = 300_000
 MAGIC = b"GLTK1\0\0\0"
 TOKENIZER = "word_bpe_49k.json"
 
@@ -125,30 +129,58 @@ class Shard:
         return MAGIC + struct.pack("<4Q", len(documents), len(ids), width, len(doc_ids) - len(known)) + ids.astype(f"<u{width}").tobytes() + bounds.dump() + EliasFano.of(known - least).dump() + struct.pack("<q", least)
 
 
+LOWER_ASCII = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: A full stop or comma right after an ASCII letter and before white space is a token of its own.
+STOP = re.compile(rb"(?<=[a-z])[.,](?=\s|\Z)")
+
+
 class Encoder:
-    """Ids of whole texts, as uint32 bytes.
+    """Ids of whole texts, as uint32.
 
-    The tokenizer never joins what white space parts, so a text's ids are those of its pieces between ASCII white space, and
-    each piece goes through the library once as long as it is remembered."""
+    A tokenizer that drops white space never joins what white space parts, and this one lower-cases: a text's ids are those of its
+    lower-cased pieces between ASCII white space, and a piece goes through the library once as long as it is remembered. Many
+    pieces that are plain words (Latin letters only, so that each is one word to the tokenizer) go through it in one string, and the ids that end
+    a word tell them apart. Texts that may hold special tokens, and all texts for tokenizers of another kind, go through it whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        plan = json.loads(self.tokenizer.to_str())
+        suffix = plan["model"].get("end_of_word_suffix")
+        steps = [x for k, many in (("pre_tokenizer", "pretokenizers"), ("normalizer", "normalizers")) for x in (plan[k] or {}).get(many, [])]
+        self.by_piece = bool(suffix) and {"type": "Lowercase"} in steps and any(x["type"] == "Split" and x.get("invert") and x["behavior"] == "Removed" for x in steps)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if self.by_piece:
+            self.ends[[i for word, i in plan["model"]["vocab"].items() if word.endswith(suffix)]] = True
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        plain = [x.isalpha() and max(x) < "\u0250" and "\u0130" not in x for x in texts]
+        rest = [i for i, x in enumerate(plain) if not x]
+        self.young.update(zip((pieces[i] for i in rest), self._whole([texts[i] for i in rest]), strict=True))
+        words = [i for i, x in enumerate(plain) if x]
+        for data, at in zip(self._whole([" ".join(texts[i] for i in words[k : k + 64]) for k in range(0, len(words), 64)]), range(0, len(words), 64), strict=True):
+            stops = (4 * (np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 1)).tolist()
+            self.young.update(zip((pieces[i] for i in words[at : at + 64]), (data[x:y] for x, y in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        pieces = [t.split() for t in texts]
-        new = list({p for x in pieces for p in x}.difference(self.known))
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known.clear()
-            new = list({p for x in pieces for p in x})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)
-            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
-        end, get = np.array([END_ID], "<u4").tobytes(), self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, x)) + end, "<u4") for x in pieces]
+        end = np.array([END_ID], "<u4").tobytes()
+        plain = [self.by_piece and b"<|" not in t for t in texts]
+        whole = iter(self._whole([t.decode("utf-8", "replace") for t, p in zip(texts, plain, strict=True) if not p]))
+        pieces = [STOP.sub(rb" \g<0>", t.translate(LOWER_ASCII)).split() if p else None for t, p in zip(texts, plain, strict=True)]
+        if len(self.young) > CACHE_PIECES:
+            self.old, self.young = self.young, {}
+        new = {p for x in pieces if x for p in x}.difference(self.young)
+        again = new.intersection(self.old)
+        self.young.update((p, self.old[p]) for p in again)
+        self._learn(list(new - again))
+        get = self.young.__getitem__
+        return [np.frombuffer((next(whole) if x is None else b"".join(map(get, x))) + end, "<u4") for x in pieces]
 
 
 MANIFEST = "part int, number int, name string, n_docs long, n_ids long"
@@ -209,6 +241,8 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
     if not manifest.limit(1).count():
         return spark.createDataFrame([], READ)
     files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    # The contents stay where they are read as long as the manifest is small.
+    placed = F.broadcast(placed) if manifest.count() <= FEW_SHARDS else placed
     return files.join(placed, "name").select("base", "content").mapInArrow(run, READ)
 
 
