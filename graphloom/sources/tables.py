@@ -23,7 +23,7 @@ NODES = " UNION ALL ".join(
         _node("region", 1, "db_table", "r", "r_regionkey", "r_name", plugin="'sql'", file="'db/region.sql'", line="r_regionkey + 1"),
         _node("nation", 2, "db_table", "n", "n_nationkey", "n_name", plugin="'sql'", file="'db/nation.sql'", line="n_nationkey + 1"),
         _node("supplier", 3, "backend_function", "s", "s_suppkey", "s_name", file="'src/svc_' || CAST(s_nationkey AS STRING) || '.py'", line="CAST(s_suppkey % 400 AS INT)"),
-        _node("part", 4, "backend_endpoint", "p", "p_partkey", "p_name", file="'src/api_' || CAST(p_size AS STRING) || '.py'", line="CAST(p_partkey % 400 AS INT)", url="'/parts/' || CAST(p_partkey % 400 AS STRING)", http_method="CASE p_partkey % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'put' END", service="p_brand", operation_id="CASE WHEN p_partkey % 4 = 0 THEN 'op' || CAST(p_partkey % 300 AS STRING) END"),
+        _node("part", 4, "backend_endpoint", "p", "p_partkey", "p_name", file="'src/api_' || CAST(p_size AS STRING) || '.py'", line="CAST(p_partkey % 400 AS INT)", url="'/parts/' || CAST(p_partkey % 400 AS STRING)", http_method="CASE p_partkey % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'put' END", service="CASE WHEN p_partkey % 3 > 0 THEN p_brand END", operation_id="CASE WHEN p_partkey % 4 = 0 THEN 'op' || CAST(p_partkey % 300 AS STRING) END"),
         # The same file as two kinds by two plugins: the weak kind comes first for some.
         _node("orders", 5, "frontend_component", "o", "o_orderkey", "'order-' || CAST(o_orderkey AS STRING)", "WHERE o_orderkey % 10 = 0", plugin="'deps'").replace("'frontend_component' AS kind", "'frontend_module' AS kind"),
         _node("orders", 6, "frontend_component", "o", "o_orderkey", "'order-' || CAST(o_orderkey AS STRING)", plugin="'vue'", file="CASE WHEN o_orderkey % 5 = 0 THEN 'web/pages/o' ELSE 'web/parts/o' END || CAST(o_custkey % 500 AS STRING) || '.vue'", is_page="o_orderkey % 5 = 0"),
