@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm._shared import drop, written
+from graphloom.llm._shared import drop, fresh, written
 from graphloom.llm._text import ALNUM, LOWER, U64, Block, blocks, covered, hash_ranges, mix, sums_by_text
 
 WINDOW = 10
@@ -177,27 +177,27 @@ def _judge(block: Block, index: Index, before: pa.Array | None) -> tuple[Words,
 SPAN = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64()), ("item", pa.string())]))
 
 
-def _spans(docs: DataFrame, index: Index, text: str) -> DataFrame:
-    """docs with a column _spans, which holds what earlier blocks of the index have found too."""
-    sent, known = docs.sparkSession.sparkContext.broadcast(index), "_spans" in docs.columns
-    columns = [c for c in docs.columns if c != "_spans"]
+def _spans(docs: DataFrame, index: Index, text: str, into: str, known: bool) -> DataFrame:
+    """docs with a column of spans, which holds what earlier blocks of the index have found too (known)."""
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+    columns = [c for c in docs.columns if not known or c != into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, text):
-            at = block.rows.schema.get_field_index("_spans")
+            at = block.rows.schema.get_field_index(into)
             _, spans = _judge(block, sent.value, block.rows.column(at) if known else None)
             rows = [[{"start": a, "size": n, "item": i} for a, n, i in x] for x in spans]
-            yield pa.RecordBatch.from_arrays([*(block.rows.column(block.rows.schema.get_field_index(c)) for c in columns), pa.array(rows, SPAN)], [*columns, "_spans"])
+            yield pa.RecordBatch.from_arrays([*(block.rows.column(block.rows.schema.get_field_index(c)) for c in columns), pa.array(rows, SPAN)], [*columns, into])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "_spans")
-    return docs.mapInArrow(run, f"{fields}, _spans array<struct<start: long, size: long, item: string>>")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in columns)
+    return docs.mapInArrow(run, f"{fields}, `{into}` array<struct<start: long, size: long, item: string>>")
 
 
-def matched(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, containment: float = 1.0) -> DataFrame:
-    """docs with a column _spans: each occurrence of a window, as first word, number of words and item."""
+def matched(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, containment: float = 1.0, into: str = "_spans") -> DataFrame:
+    """docs with a column of each occurrence of a window, as first word, number of words and item."""
     out = docs
     for k, index in enumerate(build_indexes(docs.select(text), items, text, item_id, item_text, window, containment)):
-        out = _spans(written(out, "spans")[0] if k else out, index, text)
+        out = _spans(written(out, "spans")[0] if k else out, index, text, into, k > 0)
     return out
 
 
@@ -223,7 +223,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, containment: float = 1.0) -> DataFrame:
     """The rows, with all columns, in which no window of an item occurs."""
-    return matched(docs, items, text, item_id, item_text, window, containment).where(F.size("_spans") == 0).drop("_spans")
+    into = fresh("_spans", docs.columns)
+    return matched(docs, items, text, item_id, item_text, window, containment, into).where(F.size(into) == 0).drop(into)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

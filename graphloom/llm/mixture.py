@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm._shared import cut
+from graphloom.llm._shared import cut, fresh
 
 WEIGHTS = (3, 1, 2)
 #: The mix has so many times the words of all documents, and takes a document so often at most.
@@ -78,23 +78,29 @@ def _small(sources: DataFrame) -> DataFrame:
     return F.broadcast(sources) if sources.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES else sources
 
 
-def _taken(rows: DataFrame, plan: DataFrame, source: str, doc_id: str, columns: list[Column]) -> DataFrame:
-    plan = _small(cut(plan.withColumnRenamed("source", "_source")))
-    return rows.join(plan, rows[source].eqNullSafe(F.col("_source"))).select(*columns, (F.col("copies") + F.when(place(rows[doc_id]) < F.col("below"), 1).otherwise(0)).alias("_times"), "source_size", "target")
+def _taken(rows: DataFrame, plan: DataFrame, source: str, doc_id: str) -> tuple[DataFrame, dict[str, Column], Column]:
+    """rows with their source's plan, the plan's columns, and how often each row is taken. Names that rows has are not used again."""
+    names = {c: fresh(f"of_{c}", rows.columns) for c in plan.columns}
+    plan = _small(cut(plan.select(*(F.col(c).alias(n) for c, n in names.items()))))
+    of = {c: F.col(n) for c, n in names.items()}
+    met = rows.join(plan, F.col(source).eqNullSafe(of["source"]))
+    return met, of, of["copies"] + F.when(place(F.col(doc_id).cast("long")) < of["below"], 1).otherwise(0)
 
 
 def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row a document: its words, its source's words and target, and the words that the mix takes of it."""
     sized = cut(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[source].alias("source"), words(docs[text]).alias("size"), place(docs[doc_id].cast("long")).alias("h")))
-    out = _taken(sized, thresholds(sized.select("source", "size", "h")), "source", "doc_id", [sized["doc_id"], sized["size"]])
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("_times")).alias("taken"))
+    met, of, times = _taken(sized, thresholds(sized.select("source", "size", "h")), "source", "doc_id")
+    return met.select("doc_id", "size", of["source_size"].alias("source_size"), of["target"].alias("target"), (F.col("size") * times).alias("taken"))
 
 
 def mix_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of the mix, with all columns; a document that is taken twice has two rows."""
     places = cut(docs.select(docs[source].alias("source"), words(docs[text]).alias("size"), place(docs[doc_id].cast("long")).alias("h")))
-    out = _taken(docs, thresholds(places), source, doc_id, [docs[c] for c in docs.columns])
-    return out.where(F.col("_times") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    met, _, times = _taken(docs, thresholds(places), source, doc_id)
+    turns = F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<bigint>"))
+    turn = fresh("turn", docs.columns)
+    return met.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(turns).alias(turn)).drop(turn)
 
 
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

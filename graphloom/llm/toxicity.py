@@ -89,9 +89,9 @@ def fit(word: np.ndarray, first: np.ndarray, earlier: np.ndarray, y: np.ndarray)
         nw, nv = mw - step * gw, mv - step * gv
         mw, mv = nw + k / (k + 3) * (nw - w), nv + k / (k + 3) * (nv - v)
         w, v = nw, nv
-        if before is not None and k % 20 == 0 and abs(np.abs(gw).max() - before) < 1e-7:
+        if before is not None and k % 20 == 0 and abs(np.abs(gw).max(initial=0) - before) < 1e-7:
             break
-        before = np.abs(gw).max()
+        before = np.abs(gw).max(initial=0)
     words = np.zeros(CLASSES)
     words[used] = w * ratio[used] / scale
     return Linear(words, float(v[-1]), v[:-1] / 4)
@@ -154,7 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc
     names = list(categories)
     known = labels.where(labels["doc_id"].isNotNull()).groupBy(labels["doc_id"].alias("_id")).agg(*(F.max(c).alias(n) for n, c in categories.items())).dropna()
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.join(F.broadcast(known), docs[doc_id] == F.col("_id")).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), *names)
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    rows = rows.join(F.broadcast(known), rows["doc_id"] == known["_id"]).select("doc_id", "text", *names)
     # At most `sample` rows (times repeated documents, of which the first stays), each of at most CLASSES numbers.
     got = rows.mapInArrow(run, "doc_id long, word array<int>, " + ", ".join(f"{n} boolean" for n in names)).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
     first = np.concatenate(([0], np.cumsum([len(x) for x in got["word"]]))).astype(np.int64)
