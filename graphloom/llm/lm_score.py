@@ -39,7 +39,7 @@ CLASSES = 1 << BITS
 MASS = 50.0
 #: Contexts that are spread, at most, and the share of tokens from which one is.
 HOT, HOT_SHARE, HOT_ROWS = 256, 1 / 1024, 2000
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: More label rows than these are joined instead of sent to all tasks.
 FEW_LABELS = 1_000_000
 START = CLASSES - 1
@@ -60,7 +60,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
 def _unpack(data: bytes) -> list[np.ndarray]:
     data, at, out = zstandard.ZstdDecompressor().decompress(data), 8 * len(WIDTHS), []
     for n, w in zip(np.frombuffer(data, "<i8", len(WIDTHS)).tolist(), WIDTHS, strict=True):
-        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * w, at).reshape(w, n).T).view(f"<u{w}").ravel().astype(np.int64))
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * w, at).reshape(w, n).T).view(f"<u{w}").ravel().astype(np.int64 if w == 8 else np.int32))
         at += n * w
     return out
 
@@ -126,18 +126,22 @@ def _answer(asked: DataFrame, hot: np.ndarray, classes: int, mass: float) -> Dat
         bigrams = np.concatenate([np.repeat(np.cumsum(p[0]), p[1]) for p in parts])
         doc, times, own = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
         size = np.array([len(p[2]) for p in parts])
+        del parts
         bits = [np.unpackbits(np.frombuffer(x, np.uint8)) for x in table["target"].to_pylist()]
         base = np.concatenate(([0], np.cumsum([len(b) for b in bits])))
         good = np.concatenate(bits)[doc + np.repeat(base[:-1], size)].astype(bool)
         known, back = np.unique(bigrams, return_inverse=True)
+        del bigrams
         contexts, of = np.unique(known >> BITS, return_inverse=True)
         place = np.minimum(np.searchsorted(hot, contexts), len(hot) - 1)
         is_hot, loss = hot[place] == contexts, []
         for mine, shift, factor in ((good, 0, 1.0), (~good, len(hot), scale)):
             pair = np.bincount(back, times * mine, len(known))
             context = np.where(is_hot, totals[shift + place], np.bincount(of, pair, len(contexts)))
-            c_pair, c_context = pair[back] - times * mine, context[of[back]] - own * mine
-            loss.append(times * (np.log(factor * c_context + mass) - np.log(factor * c_pair + mass / classes)))
+            each = np.log(factor * (context[of[back]] - own * mine) + mass)
+            each -= np.log(factor * (pair[back] - times * mine) + mass / classes)
+            loss.append((times * each).astype(np.float32))
+            del each
         out, at = [], 0
         for k, n in enumerate(size.tolist()):
             docs, where = np.unique(doc[at : at + n], return_inverse=True)

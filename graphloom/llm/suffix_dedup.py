@@ -6,8 +6,7 @@ indexed, about one in 180. The windows of one anchor are consecutive; an entry o
 windows, and its order is by the hash of its leading GRAM bytes (key), then by the hash of the whole stretch that its windows cover
 (span). Entries with equal key and span are one run of the array, kept as a count and one place.
 
-The documents are indexed in batches. A new batch's array is merge-scanned against each level of the family (a
-merge of the keys of both): equal spans are repeated as a whole, equal keys with other spans may be in part. Then it
+The documents are indexed in batches. A new batch's array is merge-scanned with the levels of the family: equal spans are repeated as a whole, equal keys with other spans may be in part. Then it
 becomes a level of its own, and levels of one size merge into the next, so that every entry is rewritten
 a logarithmic number of times. What the scans find is settled at the end: windows of stretches that only agree in part are compared one by one,
 by 64-bit hashes of their 400 bytes under one 64-bit key. Keys with few stretches are compared in
@@ -32,9 +31,9 @@ from graphloom.llm._text import BASE2, CHUNK, U64, Block, Rolling, as_bytes, blo
 
 LENGTH = 400
 GRAM = 48
-BATCHES = 4
+BATCHES = 3
 FEW = 64
-#: Places to compare in part, up to which they are sent to all tasks; more are joined.
+#: So many places, or spans to remove, are sent to all tasks at most; more are joined.
 FEW_PLACES = 1_000_000
 #: Places in one group of keys with few stretches each.
 GROUP_PLACES = 4_000
@@ -87,48 +86,43 @@ def entries(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 class Family:
-    """Levels of runs of suffix arrays: (key, span, c, place), sorted by key; a level of size k holds 2**k batches."""
+    """Levels of runs of suffix arrays: (key, span, c), sorted by key; a level of size k holds 2**k batches."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.levels, self.whole, self.part = spark, [], [], []
 
     def add(self, batch: DataFrame) -> None:
-        """Indexes the entries of new documents and scans them against all levels."""
-        runs = batch.groupBy("key", "span").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "copy", "off", "n")).alias("place"))
-        new, folder = written(runs.sortWithinPartitions("key", "span"), "level")
-        self.whole.append(new.where("c > 1").select("key", "span"))
-        self.part.append(new.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"))
-        for _, level, _ in self.levels:
-            self.whole.append(new.join(level, ["key", "span"], "left_semi").select("key", "span"))
-            scan = _ends(new, "a").join(_ends(level, "b"), "key")
-            self.part.append(scan.where((F.least("a_lo", "b_lo") < F.greatest("a_hi", "b_hi"))).select("key"))
-        self.whole, self.part = [[cut(x[0] if len(x) == 1 else _union(x).distinct())] for x in (self.whole, self.part)]
-        size = 0
+        """Indexes the entries of new documents, and merge-scans them with all levels: one aggregation sees every run of
+        the levels and of the batch, and marks those that the batch takes part in. Runs and keys are added up before they
+        are moved, so a common one is a row a task."""
+        new, folder = written(batch.groupBy("key", "span").agg(F.count("*").alias("c")).sortWithinPartitions("key", "span"), "level")
+        old = [level.withColumn("new", F.lit(False)) for _, level, _ in self.levels]
+        scan, found = written(_union([new.withColumn("new", F.lit(True)), *old]).groupBy("key", "span").agg(F.sum("c").alias("c"), F.max("new").alias("new")), "scan")
+        self.whole.append(cut(scan.where("c > 1 AND new").select("key", "span")))
+        self.part.append(cut(scan.groupBy("key").agg(F.min("span").alias("lo"), F.max("span").alias("hi"), F.max("new").alias("new")).where("new AND lo < hi").select("key")))
+        size, merged, used = 0, [new], [folder]
         while self.levels and self.levels[-1][0] == size:
-            _, level, old = self.levels.pop()
-            merged = new.union(level).groupBy("key", "span").agg(F.sum("c").alias("c"), F.min("place").alias("place"))
-            below = folder
-            new, folder = written(merged.sortWithinPartitions("key", "span"), "level")
-            drop(self.spark, old)
-            drop(self.spark, below)
-            size += 1
+            _, level, below = self.levels.pop()
+            merged, used, size = [*merged, level], [*used, below], size + 1
+        if size:
+            # With no level left over, the scan has merged all of them already.
+            rows = scan.drop("new") if not self.levels else _union(merged).groupBy("key", "span").agg(F.sum("c").alias("c"))
+            new, folder = written(rows.sortWithinPartitions("key", "span"), "level")
+            for x in used:
+                drop(self.spark, x)
+        drop(self.spark, found)
         self.levels.append((size, new, folder))
 
-    def stretches(self) -> DataFrame:
-        """The runs of keys that have several, which are to be compared window by window."""
-        runs = _union([level for _, level, _ in self.levels]).groupBy("key", "span").agg(F.min("place").alias("place"))
-        return runs.join(self.part[0].distinct(), "key").select("key", "span", "place.*")
+    def stretches(self, table: DataFrame) -> DataFrame:
+        """One place of each run of the keys that have several, which are to be compared window by window."""
+        some = table.join(_union(self.part).distinct(), "key", "left_semi")
+        return some.groupBy("key", "span").agg(F.min(F.struct("doc_id", "copy", "off", "n")).alias("place")).select("key", "span", "place.*")
 
     def close(self) -> None:
         for _, _, folder in self.levels:
             drop(self.spark, folder)
 
 
-def _ends(level: DataFrame, name: str) -> DataFrame:
-    """Each key of a level once, with its least and greatest span: no pairs are made of the runs of a common key."""
-    return level.groupBy("key").agg(F.min("span").alias(f"{name}_lo"), F.max("span").alias(f"{name}_hi"))
-
-
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for x in frames[1:]:
@@ -147,9 +141,10 @@ HELD = "key long, span long, n int, hashes binary"
 def _windows(rows: DataFrame, places: DataFrame, length: int) -> DataFrame:
     """The window hashes of each place, as little-endian uint64."""
     by_doc = places.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("off", "n", "key", "span")).alias("p"))
+    by_doc = by_doc.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), "p")
     if places.count() <= FEW_PLACES:
         by_doc = F.broadcast(by_doc)
-    met = rows.join(by_doc, rows["doc_id"].eqNullSafe(by_doc["doc_id"]) & (rows["copy"] == by_doc["copy"])).select("text", "p")
+    met = rows.join(by_doc, rows["doc_id"].eqNullSafe(by_doc["d"]) & (rows["copy"] == by_doc["c"])).select("text", "p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,11 +164,9 @@ PART_TYPE = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 def _compare(places: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     """key, span, runs: the repeated windows of stretches whose key has others."""
-    several = places.dropDuplicates(["key", "span"])
-    sizes = several.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
-    several = cut(several.join(sizes, "key"))
+    sizes = places.groupBy("key").agg(F.count("*").alias("k"))
+    several = cut(places.join(sizes, "key"))
     n = several.count()
-    held, folder = written(_windows(rows, several.drop("k"), length).join(sizes, "key"), "windows")
 
     def group(table: pa.Table) -> pa.Table:
         hashes = np.frombuffer(b"".join(table["hashes"].to_pylist()), "<u8")
@@ -183,8 +176,8 @@ def _compare(places: DataFrame, rows: DataFrame, length: int) -> DataFrame:
         runs = [[{"a": a, "b": b} for a, b in _runs(twice[e - k : e])] for e, k in zip(ends, table["n"].to_numpy(), strict=True)]
         return pa.table({"key": table["key"], "span": table["span"], "runs": pa.array(runs, PART_TYPE)})
 
-    few = held.where(F.col("k") <= FEW).withColumn("g", F.pmod(F.xxhash64("key"), F.lit(max(1, n // GROUP_PLACES))))
-    found = few.select("g", "key", "span", "n", "hashes").groupBy("g").applyInArrow(group, PARTS)
+    few = _windows(rows, several.where(F.col("k") <= FEW).drop("k"), length).withColumn("g", F.pmod(F.xxhash64("key"), F.lit(max(1, n // GROUP_PLACES))))
+    found = few.groupBy("g").applyInArrow(group, PARTS)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,15 +186,13 @@ def _compare(places: DataFrame, rows: DataFrame, length: int) -> DataFrame:
                 key, span = (np.full(len(hashes), batch.column(c)[i].as_py()) for c in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(key), pa.array(span), pa.array(np.arange(len(hashes), dtype=np.int32))], ["h", "key", "span", "i"])
 
-    many = held.where(F.col("k") > FEW)
+    many = several.where(F.col("k") > FEW).drop("k")
     if many.limit(1).count():
-        each = many.select("key", "span", "hashes").mapInArrow(spread, "h long, key long, span long, i int")
+        each = _windows(rows, many, length).select("key", "span", "hashes").mapInArrow(spread, "h long, key long, span long, i int")
         often = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
         one = F.transform(F.array_sort(F.collect_list("i")), lambda i: F.struct(i.alias("a"), (i + 1).alias("b")))
         found = found.union(each.join(often, "h").groupBy("key", "span").agg(one.alias("runs")))
-    found = cut(found.where(F.size("runs") > 0))
-    drop(rows.sparkSession, folder)
-    return found
+    return cut(found.where(F.size("runs") > 0))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>"
@@ -216,19 +207,21 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     family = Family(spark)
     for k in range(n_batches):
         family.add(table.where(F.pmod(F.col("copy"), F.lit(n_batches)) == k))
-    parts = _compare(cut(family.stretches()), rows, length)
     family.close()
-    whole = family.whole[0].distinct().select("key", "span", F.lit(None).cast("array<struct<a: int, b: int>>").alias("runs"))
+    parts = _compare(cut(family.stretches(table)), rows, length)
+    whole = _union(family.whole).distinct().select("key", "span", F.lit(None).cast("array<struct<a: int, b: int>>").alias("runs"))
     found = cut(whole.union(parts.join(whole, ["key", "span"], "left_anti")))
     run = F.explode(F.coalesce("runs", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))))).alias("r")
     hits = table.join(found, ["key", "span"]).select("doc_id", "copy", "off", run).select("doc_id", "copy", (F.col("off") + F.col("r.a")).alias("start"), (F.col("off") + F.col("r.b") - 1 + length).alias("stop"))
-    by_doc, kept = written(hits.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "hits")
+    by_doc, _ = written(hits.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "hits")
     drop(spark, folder)
     return _apply(rows, by_doc)
 
 
 def _apply(rows: DataFrame, by_doc: DataFrame) -> DataFrame:
     hit = by_doc.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), "spans")
+    if (by_doc.agg(F.sum(F.size("spans"))).first()[0] or 0) <= FEW_PLACES:
+        hit = F.broadcast(hit)
     met = rows.join(hit, rows["doc_id"].eqNullSafe(hit["d"]) & (rows["copy"] == hit["c"]), "left").select("doc_id", "text", "spans")
     names = [x.split()[0] for x in RESULT.split(", ")[:5]] + ["spans"]
 
