@@ -8,7 +8,8 @@ windows, and its order is by the hash of its leading GRAM bytes (key), then by t
 
 The documents are indexed in batches. A new batch's array is merge-scanned with the levels of the family: equal spans are repeated as a whole, equal keys with other spans may be in part. Then it
 becomes a level of its own, and levels of one size merge into the next, so that every entry is rewritten
-a logarithmic number of times. What the scans find is settled at the end: windows of stretches that only agree in part are compared one by one,
+a logarithmic number of times. What the scans find is settled at the end: of stretches that only agree in part, those go on that also agree on one
+side of the anchor (equal windows do, over half of their other bytes), and their windows are compared one by one,
 by 64-bit hashes of their 400 bytes under one 64-bit key. Keys with few stretches are compared in
 groups of many keys; the windows of a key with over ``FEW`` stretches are counted as rows, so that no passage's occurrences meet in one task.
 
@@ -37,7 +38,7 @@ FEW = 64
 FEW_PLACES = 1_000_000
 #: Places in one group of keys with few stretches each.
 GROUP_PLACES = 4_000
-ENTRY = "doc_id long, copy long, off long, n int, key long, span long"
+ENTRY = "doc_id long, copy long, off long, n int, before int, after int, key long, span long"
 NONE = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -53,13 +54,17 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(block: Block, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Text, first window (bytes into the text), number of windows, key and span of each anchor of a block."""
-    out, step, width = [], CHUNK - length + 1, length - gram + 1
+    """Text, first window (bytes into the text), number of windows, sides, key and span of each anchor of a block.
+
+    Of its bytes beside the anchor a window has at least half before or after it. The sides are hashes of the anchor with
+    that many bytes before and after it, -1 where no window needs them."""
+    out, step, width, half = [], CHUNK - length + 1, length - gram + 1, (length - gram) // 2
     for low in range(0, max(1, len(block.buf) - length + 1), step):
         buf = block.buf[low : low + CHUNK]
         if len(buf) < length:
             break
-        grams = Rolling(buf).windows(gram)
+        rolling = Rolling(buf)
+        grams = rolling.windows(gram)
         low_bits = U64((1 << 21) - 1)
         chosen = (sliding_min((grams & ~low_bits) | np.arange(len(grams), dtype=U64), width) & low_bits).astype(np.int64)
         at = np.arange(len(chosen)) + low
@@ -71,16 +76,20 @@ def anchors(block: Block, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
         begin, end = begin[good], end[good]
         span = Rolling(buf, BASE2).ranges(begin, end - 1 + length)
         span = mix(span + mix(((chosen[begin] - begin) << 24 | (end - begin)).astype(U64)))
-        text = text[begin]
-        out.append((text, begin + low - block.first[text], (end - begin).astype(np.int32), grams[chosen[begin]], span))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int32),) + (np.zeros(0, U64),) * 2
+        text, at = text[begin], chosen[begin]
+        before, after = np.full((2, len(at)), -1, np.int32)
+        left, right = begin <= at - half, end - 1 > at - half
+        before[left] = (rolling.ranges(at[left] - half, at[left] + gram) >> U64(33)).astype(np.int32)
+        after[right] = (rolling.ranges(at[right], at[right] + gram + half) >> U64(33)).astype(np.int32)
+        out.append((text, begin + low - block.first[text], (end - begin).astype(np.int32), before, after, grams[at], span))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int32),) * 3 + (np.zeros(0, U64),) * 2
 
 
 def entries(rows: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            text, off, n, key, span = anchors(block, length, gram)
-            yield pa.RecordBatch.from_arrays([block.rows.column(0).take(pa.array(text)), block.rows.column(1).take(pa.array(text)), pa.array(off), pa.array(n), pa.array(key.view(np.int64)), pa.array(span.view(np.int64))], [x.split()[0] for x in ENTRY.split(", ")])
+            text, off, n, before, after, key, span = anchors(block, length, gram)
+            yield pa.RecordBatch.from_arrays([block.rows.column(0).take(pa.array(text)), block.rows.column(1).take(pa.array(text)), pa.array(off), pa.array(n), pa.array(before), pa.array(after), pa.array(key.view(np.int64)), pa.array(span.view(np.int64))], [x.split()[0] for x in ENTRY.split(", ")])
 
     return rows.mapInArrow(run, ENTRY)
 
@@ -116,7 +125,7 @@ class Family:
     def stretches(self, table: DataFrame) -> DataFrame:
         """One place of each run of the keys that have several, which are to be compared window by window."""
         some = table.join(_union(self.part).distinct(), "key", "left_semi")
-        return some.groupBy("key", "span").agg(F.min(F.struct("doc_id", "copy", "off", "n")).alias("place")).select("key", "span", "place.*")
+        return some.groupBy("key", "span").agg(F.min(F.struct("doc_id", "copy", "off", "n", "before", "after")).alias("place")).select("key", "span", "place.*")
 
     def close(self) -> None:
         for _, _, folder in self.levels:
@@ -135,6 +144,13 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
+def _alike(places: DataFrame) -> DataFrame:
+    """The places that have a side in common with another of their key; no others can have equal windows."""
+    sides = places.select("key", "span", F.explode(F.array(*(F.struct(F.lit(x).alias("side"), F.col(x).alias("h")) for x in ("before", "after")))).alias("s")).select("key", "span", "s.*").where("h >= 0")
+    shared = sides.groupBy("key", "side", "h").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    return places.join(sides.join(shared, ["key", "side", "h"], "left_semi").select("key", "span").distinct(), ["key", "span"], "left_semi").drop("before", "after")
+
+
 HELD = "key long, span long, n int, hashes binary"
 
 
@@ -208,7 +224,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     for k in range(n_batches):
         family.add(table.where(F.pmod(F.col("copy"), F.lit(n_batches)) == k))
     family.close()
-    parts = _compare(cut(family.stretches(table)), rows, length)
+    parts = _compare(cut(_alike(cut(family.stretches(table)))), rows, length)
     whole = _union(family.whole).distinct().select("key", "span", F.lit(None).cast("array<struct<a: int, b: int>>").alias("runs"))
     found = cut(whole.union(parts.join(whole, ["key", "span"], "left_anti")))
     run = F.explode(F.coalesce("runs", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))))).alias("r")
