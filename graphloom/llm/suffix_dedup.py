@@ -9,8 +9,8 @@ windows, and its order is by the hash of its leading GRAM bytes (key), then by t
 The documents are indexed in batches. A new batch's array is merge-scanned with the levels of the family: equal spans are repeated as a whole, equal keys with other spans may be in part. Then it
 becomes a level of its own, and levels of one size merge into the next, so that every entry is rewritten
 a logarithmic number of times. What the scans find is settled at the end: of stretches that only agree in part, those go on that also agree on one
-side of the anchor (equal windows do, over half of their other bytes), and their windows are compared one by one,
-by 64-bit hashes of their 400 bytes under one 64-bit key. Keys with few stretches are compared in
+side of the anchor (equal windows do, over half of their other bytes), then the classes of windows (``CLASSES``) that also agree on all bytes that the windows of a class have in common,
+and their windows are compared one by one, by 64-bit hashes of their 400 bytes under one 64-bit key. Keys with few stretches are compared in
 groups of many keys; the windows of a key with over ``FEW`` stretches are counted as rows, so that no passage's occurrences meet in one task.
 
 Documents are judged on the input: first and later occurrences go alike. Null and empty texts have no bytes; repeated rows are repeats of one
@@ -20,7 +20,7 @@ another, also with one id or none; empty tables give no rows. A very long text i
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +36,11 @@ BATCHES = 3
 FEW = 64
 #: So many places, or spans to remove, are sent to all tasks at most; more are joined.
 FEW_PLACES = 1_000_000
+#: Windows are told apart by the bytes before their anchor, in so many classes of equal width.
+CLASSES = 16
 #: Places in one group of keys with few stretches each.
 GROUP_PLACES = 4_000
-ENTRY = "doc_id long, copy long, off long, n int, before int, after int, key long, span long"
+ENTRY = "doc_id long, copy long, off long, n int, lead int, before int, after int, key long, span long"
 NONE = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -54,7 +56,7 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(block: Block, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Text, first window (bytes into the text), number of windows, sides, key and span of each anchor of a block.
+    """Text, first window (bytes into the text), number of windows, bytes from there to the anchor, sides, key and span of each anchor of a block.
 
     Of its bytes beside the anchor a window has at least half before or after it. The sides are hashes of the anchor with
     that many bytes before and after it, -1 where no window needs them."""
@@ -81,15 +83,15 @@ def anchors(block: Block, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
         left, right = begin <= at - half, end - 1 > at - half
         before[left] = (rolling.ranges(at[left] - half, at[left] + gram) >> U64(33)).astype(np.int32)
         after[right] = (rolling.ranges(at[right], at[right] + gram + half) >> U64(33)).astype(np.int32)
-        out.append((text, begin + low - block.first[text], (end - begin).astype(np.int32), before, after, grams[at], span))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int32),) * 3 + (np.zeros(0, U64),) * 2
+        out.append((text, begin + low - block.first[text], (end - begin).astype(np.int32), (at - begin).astype(np.int32), before, after, grams[at], span))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int32),) * 4 + (np.zeros(0, U64),) * 2
 
 
 def entries(rows: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            text, off, n, before, after, key, span = anchors(block, length, gram)
-            yield pa.RecordBatch.from_arrays([block.rows.column(0).take(pa.array(text)), block.rows.column(1).take(pa.array(text)), pa.array(off), pa.array(n), pa.array(before), pa.array(after), pa.array(key.view(np.int64)), pa.array(span.view(np.int64))], [x.split()[0] for x in ENTRY.split(", ")])
+            text, off, n, lead, before, after, key, span = anchors(block, length, gram)
+            yield pa.RecordBatch.from_arrays([block.rows.column(0).take(pa.array(text)), block.rows.column(1).take(pa.array(text)), pa.array(off), pa.array(n), pa.array(lead), pa.array(before), pa.array(after), pa.array(key.view(np.int64)), pa.array(span.view(np.int64))], [x.split()[0] for x in ENTRY.split(", ")])
 
     return rows.mapInArrow(run, ENTRY)
 
@@ -125,7 +127,7 @@ class Family:
     def stretches(self, table: DataFrame) -> DataFrame:
         """One place of each run of the keys that have several, which are to be compared window by window."""
         some = table.join(_union(self.part).distinct(), "key", "left_semi")
-        return some.groupBy("key", "span").agg(F.min(F.struct("doc_id", "copy", "off", "n", "before", "after")).alias("place")).select("key", "span", "place.*")
+        return some.groupBy("key", "span").agg(F.min(F.struct("doc_id", "copy", "off", "n", "lead", "before", "after")).alias("place")).select("key", "span", "place.*")
 
     def close(self) -> None:
         for _, _, folder in self.levels:
@@ -151,12 +153,9 @@ def _alike(places: DataFrame) -> DataFrame:
     return places.join(sides.join(shared, ["key", "side", "h"], "left_semi").select("key", "span").distinct(), ["key", "span"], "left_semi").drop("before", "after")
 
 
-HELD = "key long, span long, n int, hashes binary"
-
-
-def _windows(rows: DataFrame, places: DataFrame, length: int) -> DataFrame:
-    """The window hashes of each place, as little-endian uint64."""
-    by_doc = places.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("off", "n", "key", "span")).alias("p"))
+def _at_places(rows: DataFrame, places: DataFrame, each: Callable[[np.ndarray, dict], list[tuple]], schema: pa.Schema, names: str) -> DataFrame:
+    """What each() gives for the bytes of the windows of each place."""
+    by_doc = places.groupBy("doc_id", "copy").agg(F.collect_list(F.struct(*(c for c in places.columns if c not in ("doc_id", "copy")))).alias("p"))
     by_doc = by_doc.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), "p")
     if places.count() <= FEW_PLACES:
         by_doc = F.broadcast(by_doc)
@@ -165,20 +164,58 @@ def _windows(rows: DataFrame, places: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, found in zip(as_bytes(batch.column(0)), batch.column(1), strict=True):
-                buf, out = np.frombuffer(text, np.uint8), []
-                for p in found.as_py():
-                    held = Rolling(buf[p["off"] : p["off"] + p["n"] + length - 1], BASE2).windows(length)
-                    out.append((p["key"], p["span"], p["n"], mix(held + np.array([p["key"]], np.int64).view(U64)).astype("<u8").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "span", "n", "hashes"])
+                buf = np.frombuffer(text, np.uint8)
+                out = [r for p in found.as_py() for r in each(buf, p)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema.names)
+
+    return met.mapInArrow(run, names)
+
+
+def _class_of(p: dict, width: int) -> np.ndarray:
+    return (p["lead"] - np.arange(p["n"])) // width
+
+
+def _close(rows: DataFrame, places: DataFrame, length: int, width: int) -> DataFrame:
+    """The places with the classes (bits of a mask) of their windows whose common bytes, all but width - 1 of a window's, another place has too."""
+
+    def each(buf: np.ndarray, p: dict) -> list[tuple]:
+        classes = np.unique(_class_of(p, width))
+        begin = p["lead"] - classes * width
+        held = Rolling(buf[p["off"] : p["off"] + p["n"] + length - 1], BASE2).ranges(begin, begin + length - width + 1)
+        return [(p["key"], p["span"], k, h) for k, h in zip(classes.tolist(), (held >> U64(32)).astype(np.uint32).view(np.int32).tolist(), strict=True)]
+
+    schema = pa.schema([("key", pa.int64()), ("span", pa.int64()), ("k", pa.int32()), ("h", pa.int32())])
+    all_, folder = written(_at_places(rows, places, each, schema, "key long, span long, k int, h int"), "classes")
+    shared = all_.groupBy("key", "k", "h").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    masks = all_.join(shared, ["key", "k", "h"], "left_semi").groupBy("key", "span").agg(F.sum(F.expr("shiftleft(1, k)")).alias("mask"))
+    out = cut(places.join(masks, ["key", "span"]))
+    drop(rows.sparkSession, folder)
+    return out
+
+
+HELD = "key long, span long, n int, at binary, hashes binary"
+
+
+def _windows(rows: DataFrame, places: DataFrame, length: int, width: int) -> DataFrame:
+    """The window hashes of each place, as little-endian uint64, and which windows they are of (uint16)."""
+
+    def each(buf: np.ndarray, p: dict) -> list[tuple]:
+        at = np.flatnonzero(p["mask"] >> _class_of(p, width) & 1)
+        begin = at + p["off"]
+        low = int(begin[0])
+        held = Rolling(buf[low : int(begin[-1]) + length], BASE2).ranges(begin - low, begin - low + length)
+        return [(p["key"], p["span"], p["n"], at.astype("<u2").tobytes(), mix(held + np.array([p["key"]], np.int64).view(U64)).astype("<u8").tobytes())]
 
-    return met.mapInArrow(run, HELD)
+    schema = pa.schema([("key", pa.int64()), ("span", pa.int64()), ("n", pa.int32()), ("at", pa.binary()), ("hashes", pa.binary())])
+    return _at_places(rows, places, each, schema, HELD)
 
 
 PARTS = "key long, span long, runs array<struct<a: int, b: int>>"
 PART_TYPE = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def _compare(places: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+def _compare(places: DataFrame, rows: DataFrame, length: int, width: int) -> DataFrame:
     """key, span, runs: the repeated windows of stretches whose key has others."""
     sizes = places.groupBy("key").agg(F.count("*").alias("k"))
     several = cut(places.join(sizes, "key"))
@@ -188,23 +225,28 @@ def _compare(places: DataFrame, rows: DataFrame, length: int) -> DataFrame:
         hashes = np.frombuffer(b"".join(table["hashes"].to_pylist()), "<u8")
         _, back, count = np.unique(hashes, return_inverse=True, return_counts=True)
         twice = count[back] > 1
-        ends = np.cumsum(table["n"].to_numpy())
-        runs = [[{"a": a, "b": b} for a, b in _runs(twice[e - k : e])] for e, k in zip(ends, table["n"].to_numpy(), strict=True)]
+        runs, low = [], 0
+        for n, which in zip(table["n"].to_pylist(), table["at"].to_pylist(), strict=True):
+            at = np.frombuffer(which, "<u2")
+            mask = np.zeros(n, bool)
+            mask[at] = twice[low : low + len(at)]
+            low += len(at)
+            runs.append([{"a": a, "b": b} for a, b in _runs(mask)])
         return pa.table({"key": table["key"], "span": table["span"], "runs": pa.array(runs, PART_TYPE)})
 
-    few = _windows(rows, several.where(F.col("k") <= FEW).drop("k"), length).withColumn("g", F.pmod(F.xxhash64("key"), F.lit(max(1, n // GROUP_PLACES))))
+    few = _windows(rows, several.where(F.col("k") <= FEW).drop("k"), length, width).withColumn("g", F.pmod(F.xxhash64("key"), F.lit(max(1, n // GROUP_PLACES))))
     found = few.groupBy("g").applyInArrow(group, PARTS)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                hashes = np.frombuffer(batch.column(2)[i].as_py(), "<u8").view(np.int64)
+                at, hashes = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in ((2, "<u2"), (3, "<i8")))
                 key, span = (np.full(len(hashes), batch.column(c)[i].as_py()) for c in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(key), pa.array(span), pa.array(np.arange(len(hashes), dtype=np.int32))], ["h", "key", "span", "i"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(key), pa.array(span), pa.array(at.astype(np.int32))], ["h", "key", "span", "i"])
 
     many = several.where(F.col("k") > FEW).drop("k")
     if many.limit(1).count():
-        each = _windows(rows, many, length).select("key", "span", "hashes").mapInArrow(spread, "h long, key long, span long, i int")
+        each = _windows(rows, many, length, width).select("key", "span", "at", "hashes").mapInArrow(spread, "h long, key long, span long, i int")
         often = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
         one = F.transform(F.array_sort(F.collect_list("i")), lambda i: F.struct(i.alias("a"), (i + 1).alias("b")))
         found = found.union(each.join(often, "h").groupBy("key", "span").agg(one.alias("runs")))
@@ -224,7 +266,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     for k in range(n_batches):
         family.add(table.where(F.pmod(F.col("copy"), F.lit(n_batches)) == k))
     family.close()
-    parts = _compare(cut(_alike(cut(family.stretches(table)))), rows, length)
+    width = -(-(length - gram + 1) // CLASSES)
+    parts = _compare(_close(rows, cut(_alike(cut(family.stretches(table)))), length, width), rows, length, width)
     whole = _union(family.whole).distinct().select("key", "span", F.lit(None).cast("array<struct<a: int, b: int>>").alias("runs"))
     found = cut(whole.union(parts.join(whole, ["key", "span"], "left_anti")))
     run = F.explode(F.coalesce("runs", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))))).alias("r")
