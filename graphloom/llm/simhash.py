@@ -17,7 +17,7 @@ passed on by ``keep_one``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -156,21 +156,26 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp, component_id: of each row, with the smallest id that links reach from it."""
-    prints = cut(fingerprints(docs, doc_id, text))
+def grouped(prints: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id, fp, component_id of rows (doc_id, fp), where linked gives the links (u, v) of distinct fingerprints (fp)."""
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = components(links(classes.select("fp")))
+    roots = components(linked(classes.select("fp")))
     rooted = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fp, component_id: of each row, with the smallest id that links reach from it."""
+    prints = cut(fingerprints(docs, doc_id, text))
+    return grouped(prints, links)
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups: Callable[[DataFrame, str, str], DataFrame] = near_duplicates) -> DataFrame:
     """The rows, with all columns, of the documents with the smallest id of their group; of repeated ids one row
-    stays. Rows without an id stay."""
-    found = cut(near_duplicates(docs, doc_id, text))
+    stays. Rows without an id stay. The groups are those of near_duplicates, or of another function with its results."""
+    found = cut(groups(docs, doc_id, text))
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
     kept = docs.join(gone, doc_id, "left_anti")
     if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import archives, decontaminate, licenses, lm_score, mixture, quality, registry, simhash, suffix_dedup, token_files, toxicity
+from graphloom.llm import archives, decontaminate, licenses, lm_score, mixture, near_copies, quality, registry, simhash, suffix_dedup, token_files, toxicity
 from graphloom.llm._text import U64, hash_ranges
 
 FOLDER = Path("/root/testdata/sf0.001")
@@ -89,6 +89,7 @@ def test_query_has_the_rows_of_its_sql(spark, name):
 OPERATORS = {
     "quality": lambda d: quality.quality_rules(d),
     "simhash": lambda d: simhash.near_duplicates(d),
+    "near_copies": lambda d: near_copies.near_copies(d),
     "decontaminate": lambda d: decontaminate.decontaminate(d, d.sparkSession.createDataFrame([(1, PASSAGE)], "item_id long, text string")),
     "mixture": lambda d: mixture.mixture(d),
     "tokens": lambda d: token_files.token_files(d),
@@ -186,6 +187,44 @@ def test_one_document_of_each_group_stays(odd):
     assert sorted(x for x in kept if x) == sorted({r.component_id for r in simhash.near_duplicates(odd).collect() if r.component_id})
 
 
+def shingles(text):
+    w = SPACE.findall(low(text))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def edited(text, n, rng):
+    w = text.split()
+    for i in rng.sample(range(len(w)), n):
+        w[i] = f"edit{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("bucket", [1000, 8, 2])
+def test_near_copies_are_brute_force(spark, monkeypatch, bucket):
+    monkeypatch.setattr(near_copies, "BUCKET", bucket)
+    rng, texts = random.Random(9), {k: t for k, t in TEXTS.items() if k not in (9, 10)}
+    for i in range(12):
+        base = prose(150 + 10 * i, 700 + i)
+        texts[100 + 20 * i] = base
+        # Copies near a base, copies of copies, and some that are about as near as they may be, or just not.
+        for j in range(1, 20):
+            texts[100 + 20 * i + j] = edited(texts[100 + 20 * i + rng.randrange(j)] if j % 2 else base, rng.randint(1, 5), rng)
+    sets, ids = {k: shingles(t) for k, t in texts.items()}, sorted(texts)
+    near = {k: [x for x in ids if (sets[k] == sets[x] or sets[k] and sets[x] and 5 * len(sets[k] & sets[x]) >= 4 * len(sets[k] | sets[x]))] for k in ids}
+    root = {}
+    for k in ids:
+        todo = [k] if k not in root else []
+        while todo:
+            x = todo.pop()
+            if x not in root:
+                root[x] = k
+                todo += near[x]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in texts.items()], "doc_id long, text string, fp string")
+    assert {k: r.component_id for k, r in by_id(near_copies.near_copies(docs)).items()} == root
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(root.values()))
+
+
 def hits(text, items, window):
     w, hit, found = ALNUM.findall(low(text)), set(), set()
     for name, item in items:
