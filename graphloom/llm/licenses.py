@@ -4,7 +4,9 @@ Templates and documents are lower-cased words. The hashes of all ``GRAM``-word s
 fingerprint, so a shared passage of GRAM + WINDOW - 1 words shares at least one. An inverted index of the templates' fingerprints gives, for
 each that a document holds, the template and the diagonal (place in the document less place in the template). Diagonals within ``BAND`` words
 are one candidate, and a local alignment in a band of that width around it gives the words that match, hence the coverage of the template and the span in the document.
-Of overlapping spans of one template the better counts.
+Of overlapping spans of one template the better counts. Where no single alignment covers enough, the words that the alignments and the exact matches
+around shared grams pair up are chained in order, whatever lies between them, and the chain is measured. A template whose covered words may lie in runs
+too short for that is looked for by all its grams, in shorter ones if need be.
 
 Templates are a bounded list (its words are counted against ``MOST_WORDS``) and go to all tasks; documents are read once without a shuffle. A very common line costs its alignment
 once a task, as equal stretches are remembered.
@@ -15,6 +17,7 @@ Empty tables give no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -64,19 +67,19 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(place)
 
 
-def align(template: tuple[bytes, ...], words: tuple[bytes, ...], shift: int, band: int = BAND) -> tuple[int, int, int]:
-    """Best local alignment with place in words - place in template within band of shift: template words that match, and the
-    first and past-the-end place in words."""
-    best, zero = (0, 0, 0, 0), (0, 0, 0, 0)
-    above: dict[int, tuple[int, int, int, int]] = {}
+def align(template: tuple[bytes, ...], words: tuple[bytes, ...], shift: int, band: int = BAND) -> tuple[int, int, int, tuple[tuple[int, int], ...]]:
+    """Best local alignment with place in words - place in template within band of shift: template words that match, the
+    first and past-the-end place in words, and the places in both of what matches."""
+    best = zero = (0, 0, 0, 0, None)
+    above: dict[int, tuple] = {}
     for i, word in enumerate(template):
-        row: dict[int, tuple[int, int, int, int]] = {}
+        row: dict[int, tuple] = {}
         for j in range(max(0, i + shift - band), min(len(words), i + shift + band + 1)):
-            score, count, first, _ = above.get(j - 1, zero)
+            score, count, first, _, path = above.get(j - 1, zero)
             if word == words[j]:
-                cell = (score + MATCH, count + 1, first if score else j, j + 1)
+                cell = (score + MATCH, count + 1, first if score else j, j + 1, (i, j, path))
             else:
-                cell = (score + MISS, count, first, j + 1)
+                cell = (score + MISS, count, first, j + 1, path)
             for other in (above.get(j), row.get(j - 1)):
                 if other and other[0] + GAP > cell[0]:
                     cell = (other[0] + GAP, *other[1:])
@@ -84,7 +87,35 @@ def align(template: tuple[bytes, ...], words: tuple[bytes, ...], shift: int, ban
                 row[j] = cell
                 best = max(best, cell, key=lambda c: (c[0], c[1]))
         above = row
-    return best[1], best[2], best[3]
+    pairs, path = [], best[4]
+    while path:
+        pairs.append(path[:2])
+        path = path[2]
+    return best[1], best[2], best[3], tuple(reversed(pairs))
+
+
+def chain(pairs: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest list of pairs (place in template, place in text) that ascends in both, of equally long ones one that spans least of the text."""
+    order = sorted(pairs, key=lambda x: (x[0], -x[1]))
+    rank = {j: r for r, j in enumerate(sorted({j for _, j in order}), 1)}
+    #: Fenwick tree over the places in the text: the best (length, first place, pair) that ends at or before each.
+    tree: list[tuple] = [(0, 0, -1)] * (len(rank) + 1)
+    before, best = [], (0, 0, -1)
+    for at, (_, j) in enumerate(order):
+        top, r = (0, 0, -1), rank[j] - 1
+        while r:
+            top, r = max(top, tree[r]), r & (r - 1)
+        before.append(top[2])
+        here = (top[0] + 1, top[1] if top[0] else j, at)
+        best = max(best, here, key=lambda x: (x[0], x[1] - order[x[2]][1] if x[0] else 0))
+        r = rank[j]
+        while r < len(tree):
+            tree[r], r = max(tree[r], here), r + (r & -r)
+    out, at = [], best[2]
+    while at >= 0:
+        out.append(order[at])
+        at = before[at]
+    return out[::-1]
 
 
 class Index:
@@ -95,16 +126,24 @@ class Index:
             raise ValueError(f"the templates have {len(starts)} words; at most {MOST_WORDS} are sent to all tasks")
         hashes = hash_ranges(buf, starts, ends)
         self.names, self.words, keys = list(templates), [], []
+        always: list[int] = []
+        short: set[int] = set()
         for t, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
             self.words.append(tuple(buf[s:e].tobytes() for s, e in zip(starts[a:b], ends[a:b], strict=True)))
-            g = grams(hashes[a:b], min(GRAM, max(1, b - a)))
-            keys += [(g[i], t, i) for i in winnow(g)]
+            need = math.ceil(COVERAGE * (b - a) - 1e-9)
+            #: Words that are left out part those that match into runs; the longest run has at least so many words.
+            run = -(-need // (b - a - need + 1))
+            g = grams(hashes[a:b], min(GRAM, max(1, run)))
+            sure = run >= GRAM + WINDOW - 1
+            keys += [(g[i], t, i) for i in (winnow(g) if sure else range(len(g)))]
+            always += [] if sure or run < GRAM else g.tolist()
+            short |= {run} if 0 < run < GRAM else set()
         order = sorted(range(len(keys)), key=lambda i: keys[i])
         self.keys = np.array([keys[i][0] for i in order], U64)
         self.template, self.place = (np.array([keys[i][c] for i in order], np.int64) for c in (1, 2))
-        #: Grams of templates that are too short for winnowing to be sure to leave one of theirs: these are looked for everywhere.
-        self.always = np.array(sorted({k for k, t, _ in keys if len(self.words[t]) < GRAM + WINDOW - 1}), U64)
-        self.short = sorted({len(w) for w in self.words if 0 < len(w) < GRAM})
+        #: Grams of templates that winnowing may leave without one in common: these are looked for everywhere.
+        self.always = np.array(sorted(set(always)), U64)
+        self.short = sorted(short)
 
     def scan(self, block: Block) -> list[list[dict]]:
         """The licenses of each text, with the words that match and where they lie (in words and in bytes)."""
@@ -112,7 +151,7 @@ class Index:
         buf, (starts, ends, first) = LOWER[block.buf], block.words(ALNUM)
         hashes, out = hash_ranges(buf, starts, ends), [[] for _ in block.texts]
         text = np.repeat(np.arange(len(block)), np.diff(first))
-        hits = []
+        hits, places = [], []
         for n in [*self.short, GRAM]:
             g = grams(hashes, n)
             at = winnow(g) if n == GRAM else np.arange(len(g))
@@ -123,8 +162,16 @@ class Index:
             at = at[text[at] == text[at + n - 1]] if len(at) else at
             lo, hi = np.searchsorted(self.keys, g[at]), np.searchsorted(self.keys, g[at], "right")
             for i in np.flatnonzero(hi > lo):
-                hits += [(int(text[at[i]]), int(self.template[k]), int(at[i] - self.place[k])) for k in range(lo[i], hi[i])]
-        last = None
+                for k in range(lo[i], hi[i]):
+                    t, template, shift = int(text[at[i]]), int(self.template[k]), int(at[i] - self.place[k])
+                    hits.append((t, template, shift))
+                    places.append((t, template, shift, int(self.place[k])))
+
+        def span(t: int, template: int, count: int, low: int, stop: int) -> dict:
+            base, begin = int(block.first[t]), int(first[t])
+            return {"license": self.names[template], "coverage": count / len(self.words[template]), "start": low - begin, "stop": stop - begin, "from_byte": int(starts[low]) - base, "to_byte": int(ends[stop - 1]) - base}
+
+        last, paired, seeds = None, {}, {}
         for t, template, shift in sorted(set(hits)):
             if last and last[:2] == (t, template) and shift - last[2] <= BAND:
                 continue
@@ -132,10 +179,28 @@ class Index:
             words = self.words[template]
             low, high = max(int(first[t]), shift - BAND), min(int(first[t + 1]), shift + len(words) + 2 * BAND)
             held = tuple(buf[s:e].tobytes() for s, e in zip(starts[low:high], ends[low:high], strict=True))
-            count, a, b = align_(words, held, shift - low, 2 * BAND)
+            count, a, b, pairs = align_(words, held, shift - low, 2 * BAND)
+            paired.setdefault((t, template), set()).update((i, low + j) for i, j in pairs)
             if count >= COVERAGE * len(words):
-                base = int(block.first[t])
-                out[t].append({"license": self.names[template], "coverage": count / len(words), "start": low + a - int(first[t]), "stop": low + b - int(first[t]), "from_byte": int(starts[low + a]) - base, "to_byte": int(ends[low + b - 1]) - base})
+                out[t].append(span(t, template, count, low + a, low + b))
+        for t, template, shift, place in places:
+            words, (a, b) = self.words[template], (place, place)
+            same = lambda i: 0 <= i < len(words) and first[t] <= i + shift < first[t + 1] and buf[starts[i + shift] : ends[i + shift]].tobytes() == words[i]  # noqa: B023, E731
+            if (shift, place) in seeds.setdefault((t, template), set()):
+                continue
+            while same(a - 1):
+                a -= 1
+            while same(b):
+                b += 1
+            seeds[t, template] |= {(shift, i) for i in range(a, b)}
+            paired[t, template] |= {(i, i + shift) for i in range(a, b)}
+        for (t, template), pairs in paired.items():
+            need = COVERAGE * len(self.words[template])
+            taken = [(x["start"] + int(first[t]), x["stop"] + int(first[t])) for x in self._best(out[t]) if x["license"] == self.names[template]]
+            pairs = {(i, j) for i, j in pairs if not any(a <= j < b for a, b in taken)}
+            while len({i for i, _ in pairs}) >= need and len(found := chain(pairs)) >= need:
+                out[t].append(span(t, template, len(found), found[0][1], found[-1][1] + 1))
+                pairs = {(i, j) for i, j in pairs if not found[0][1] <= j <= found[-1][1]}
         return [self._best(x) for x in out]
 
     @staticmethod

@@ -423,6 +423,17 @@ def test_licenses_and_their_spans(spark, docs):
     assert [x.license for x in got[2].licenses] == ["All-rights-reserved"] and not got[3].licenses
 
 
+def test_licenses_in_pieces_and_short_ones_with_a_changed_word():
+    text = licenses.TEMPLATES["MIT-text"].split()
+    half = len(text) // 2
+    apart = [*text[:half], *prose(20, 3).split(), *text[half:]]
+    texts = [" ".join([*prose(30, 1).split(), *apart, *prose(40, 2).split()]), "x Released under an MIT License y", " ".join([*apart, *prose(9, 4).split(), *apart]), " ".join(text[:half]), "Released under an old license"]
+    rows = licenses.Block(licenses.pa.RecordBatch.from_pylist([]), [t.encode() for t in texts])
+    found = [[(x["license"], x["coverage"], x["start"], x["stop"]) for x in r] for r in licenses.Index(licenses.TEMPLATES).scan(rows)]
+    n = len(ALNUM.findall(" ".join(apart).encode()))
+    assert found == [[("MIT-text", 1.0, 30, 30 + n)], [("MIT", 0.8, 1, 6)], [("MIT-text", 1.0, 0, n), ("MIT-text", 1.0, n + 9, 2 * n + 9)], [], []]
+
+
 def test_pipeline_is_its_stages_by_brute_force(spark, tmp_path):
     from tokenizers import Tokenizer
 
