@@ -6,12 +6,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests), a folder of this machine."""
+    """spark.checkpoint.dir of the session. Where it is unset, a folder of this machine if Spark runs on this machine only, else an error."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="graphloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -41,6 +44,21 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Keys that hold over one part in so many of the rows are hot: fewer than so many can be.
+HOT_PARTS = 1000
+
+
+def split_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """rows joined with table, whose keys are unique and which knows how many of the rows have each (weight). The hot keys, fewer than
+    HOT_PARTS, are sent to all tasks, so that their rows stay where they are; the rows of others are shuffled."""
+    total = table.agg(F.sum(weight)).first()[0]
+    if not total:
+        return rows.join(table, keys)
+    is_hot = F.col(weight) * HOT_PARTS > total
+    hot = F.broadcast(table.where(is_hot))
+    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(table.where(is_hot).select(*keys)), keys, "left_anti").join(table.where(~is_hot), keys))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,44 +1,51 @@
 """Removal of long repeated strings by a logarithmic family of sparse suffix arrays.
 
-A byte goes if it lies in a string of ``LENGTH`` bytes (a window) that also starts anywhere else. Two equal windows hold equal anchors: in
-each window the ``GRAM``-byte string with the least hash (the first of equals), so only the suffixes that start at anchors are
-indexed, about one in 180. The windows of one anchor are consecutive; an entry of a suffix array is an anchor with those
-windows, and its order is by the hash of its leading GRAM bytes (key), then by the hash of the whole stretch that its windows cover
-(span). Entries with equal key and span are one run of the array, kept as a count and one place.
-
-The documents are indexed in batches. A new batch's array is merge-scanned with the levels of the family: equal spans are repeated as a whole, equal keys with other spans may be in part. Then it
-becomes a level of its own, and levels of one size merge into the next, so that every entry is rewritten
-a logarithmic number of times. What the scans find is settled at the end: windows of stretches that only agree in part are compared one by one,
-by 64-bit hashes of their 400 bytes under one 64-bit key. Keys with few stretches are compared in
-groups of many keys; the windows of a key with over ``FEW`` stretches are counted as rows, so that no passage's occurrences meet in one task.
+A byte goes if it lies in a string of ``LENGTH`` bytes (a window) that also starts anywhere else. Each window has an anchor, the place in it where
+a ``GRAM``-byte string has the least hash (the first of equals) and ``LEAD`` bytes still follow. Equal windows have equal anchors at equal places,
+so only the suffixes that start at anchors are indexed, about one in ``(LENGTH - LEAD) / 2`` bytes. The windows of an anchor are consecutive; together they are its stretch.
+
+The documents are indexed in batches. The suffix array of a batch is ordered by the digest of a suffix's first ``LEAD`` bytes (key): any order serves in
+which suffixes with equal leading bytes are neighbours. Neighbours with one key are a run, kept as their number and the least and
+greatest digest of their stretches. A new array is merge-scanned with all levels of the family, which finds the runs that it takes part in; then it becomes a level of
+its own, and levels of one size merge into the next, so that a suffix is written a logarithmic number of times.
+
+A run whose stretches are all equal (one digest of key and of stretch, 128 bits of BLAKE2b together) is repeated as a whole. The suffixes of other runs are fetched
+with their bytes and put in true suffix order, where the common prefixes of neighbours (and the common suffixes of what comes before the anchors)
+tell which windows are equal, byte by byte. Runs of over ``FEW`` suffixes are not held by one task: blocks of ``WIDE`` windows are compared by
+digests (128 bits) of what all their windows share, and of all they cover, and only blocks that the first finds and the second does not settle are compared window by window.
 
 Documents are judged on the input: first and later occurrences go alike. Null and empty texts have no bytes; repeated rows are repeats of one
-another, also with one id or none; empty tables give no rows. A very long text is cut into overlapping segments. Other columns are not read.
+another, also with one id or none; empty tables give no rows. A task indexes a text twice at most however often it holds it: that it is repeated is then known.
+A very long text is cut into overlapping segments. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm._shared import cut, drop, written
-from graphloom.llm._text import BASE2, CHUNK, U64, Block, Rolling, as_bytes, blocks, covered, mix
+from graphloom.llm._shared import cut, drop, split_join, written
+from graphloom.llm._text import CHUNK, U64, Block, Rolling, as_bytes, blocks, covered, mix
 
 LENGTH = 400
-GRAM = 48
-BATCHES = 3
-FEW = 64
+LEAD = 128
+GRAM = 32
+BATCHES = 4
+FEW = 512
+WIDE = 17
 #: So many places, or spans to remove, are sent to all tasks at most; more are joined.
 FEW_PLACES = 1_000_000
-#: Places in one group of keys with few stretches each.
+#: Places in one group of runs with few suffixes each.
 GROUP_PLACES = 4_000
-ENTRY = "doc_id long, copy long, off long, n int, key long, span long"
 NONE = U64(0xFFFFFFFFFFFFFFFF)
+ENTRIES = "d binary, off array<int>, x array<int>, n array<int>, key array<long>, span array<long>"
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -52,14 +59,19 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
-def anchors(block: Block, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Text, first window (bytes into the text), number of windows, key and span of each anchor of a block."""
-    out, step, width = [], CHUNK - length + 1, length - gram + 1
+def digests(buf: memoryview, starts: np.ndarray, ends: np.ndarray, size: int = 8) -> bytes:
+    make = hashlib.blake2b
+    return b"".join([make(buf[a:b], digest_size=size).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+
+
+def anchors(block: Block, length: int = LENGTH, lead: int = LEAD, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Of each anchor of a block: text, first window (bytes into the text), bytes from there to the anchor, number of windows, key and span."""
+    out, step, width, view = [], CHUNK - length + 1, length - lead + 1, memoryview(block.buf)
     for low in range(0, max(1, len(block.buf) - length + 1), step):
         buf = block.buf[low : low + CHUNK]
         if len(buf) < length:
             break
-        grams = Rolling(buf).windows(gram)
+        grams = Rolling(buf).windows(gram)[: len(buf) - lead + 1]
         low_bits = U64((1 << 21) - 1)
         chosen = (sliding_min((grams & ~low_bits) | np.arange(len(grams), dtype=U64), width) & low_bits).astype(np.int64)
         at = np.arange(len(chosen)) + low
@@ -69,60 +81,79 @@ def anchors(block: Block, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
         end = np.concatenate((begin[1:], [len(chosen)]))
         good = chosen[begin] >= 0
         begin, end = begin[good], end[good]
-        span = Rolling(buf, BASE2).ranges(begin, end - 1 + length)
-        span = mix(span + mix(((chosen[begin] - begin) << 24 | (end - begin)).astype(U64)))
+        place, n, x = chosen[begin] + low, end - begin, chosen[begin] - begin
+        key = np.frombuffer(digests(view, place, place + lead), "<i8")
+        span = np.frombuffer(digests(view, begin + low, end - 1 + length + low), "<u8") ^ mix((x << 32 | n).astype(U64))
         text = text[begin]
-        out.append((text, begin + low - block.first[text], (end - begin).astype(np.int32), grams[chosen[begin]], span))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int32),) + (np.zeros(0, U64),) * 2
+        out.append((text, begin + low - block.first[text], x, n, key, span.view(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 6
 
 
-def entries(rows: DataFrame, length: int, gram: int) -> DataFrame:
+def entries(rows: DataFrame, length: int, lead: int, gram: int) -> DataFrame:
+    """The anchors of each text (d, text); a task leaves out what it has met twice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
-            text, off, n, key, span = anchors(block, length, gram)
-            yield pa.RecordBatch.from_arrays([block.rows.column(0).take(pa.array(text)), block.rows.column(1).take(pa.array(text)), pa.array(off), pa.array(n), pa.array(key.view(np.int64)), pa.array(span.view(np.int64))], [x.split()[0] for x in ENTRY.split(", ")])
+        met = Counter()
+        for block in blocks((_fresh(b, met, length) for b in batches), "text"):
+            text, *values = anchors(block, length, lead, gram)
+            cuts = pa.array(np.searchsorted(text, np.arange(len(block) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(v, t)) for v, t in zip(values, (pa.int32(),) * 3 + (pa.int64(),) * 2, strict=True)]
+            yield pa.RecordBatch.from_arrays([block.rows.column(0), *lists], [x.split()[0] for x in ENTRIES.split(", ")])
+
+    return rows.mapInArrow(run, ENTRIES)
 
-    return rows.mapInArrow(run, ENTRY)
+
+def _fresh(batch: pa.RecordBatch, met: Counter, length: int) -> pa.RecordBatch:
+    """The rows whose text is long enough and was met less than twice before."""
+    keep = []
+    for d, size in zip(batch.column(0).to_pylist(), pc.binary_length(batch.column(1)).to_pylist(), strict=True):
+        new = size >= length and met[d] < 2
+        met[d] += new
+        keep.append(new)
+    return batch.filter(pa.array(keep, pa.bool_()))
 
 
 class Family:
-    """Levels of runs of suffix arrays: (key, span, c), sorted by key; a level of size k holds 2**k batches."""
+    """Levels of runs (key, lo, hi, c), sorted by key; a level of size k holds 2**k batches. `met` are the scans' findings."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.levels, self.whole, self.part = spark, [], [], []
+        self.spark, self.levels, self.met = spark, [], []
 
     def add(self, batch: DataFrame) -> None:
-        """Indexes the entries of new documents, and merge-scans them with all levels: one aggregation sees every run of
-        the levels and of the batch, and marks those that the batch takes part in. Runs and keys are added up before they
-        are moved, so a common one is a row a task."""
-        new, folder = written(batch.groupBy("key", "span").agg(F.count("*").alias("c")).sortWithinPartitions("key", "span"), "level")
-        old = [level.withColumn("new", F.lit(False)) for _, level, _ in self.levels]
-        scan, found = written(_union([new.withColumn("new", F.lit(True)), *old]).groupBy("key", "span").agg(F.sum("c").alias("c"), F.max("new").alias("new")), "scan")
-        self.whole.append(cut(scan.where("c > 1 AND new").select("key", "span")))
-        self.part.append(cut(scan.groupBy("key").agg(F.min("span").alias("lo"), F.max("span").alias("hi"), F.max("new").alias("new")).where("new AND lo < hi").select("key")))
-        size, merged, used = 0, [new], [folder]
+        """Merge-scans the suffixes (key, span) of new documents with all levels and indexes them. The runs of a task are added up before
+        they are moved, so that a common one is a row a task."""
+        new = batch.select("key", F.col("span").alias("lo"), F.col("span").alias("hi"), F.lit(1).cast("long").alias("c"), F.lit(1).cast("long").alias("new"))
+        old = [level.withColumn("new", F.lit(0).cast("long")) for _, level, _ in self.levels]
+        scan, folder = written(_sum(_union([new, *old]), F.sum(F.col("c") * F.col("new")).alias("new")), "scan")
+        self.met.append(cut(scan.where("c > 1 AND new > 0").drop("new")))
+        size, merged, used = 0, [], []
         while self.levels and self.levels[-1][0] == size:
             _, level, below = self.levels.pop()
             merged, used, size = [*merged, level], [*used, below], size + 1
-        if size:
-            # With no level left over, the scan has merged all of them already.
-            rows = scan.drop("new") if not self.levels else _union(merged).groupBy("key", "span").agg(F.sum("c").alias("c"))
-            new, folder = written(rows.sortWithinPartitions("key", "span"), "level")
-            for x in used:
-                drop(self.spark, x)
-        drop(self.spark, found)
-        self.levels.append((size, new, folder))
-
-    def stretches(self, table: DataFrame) -> DataFrame:
-        """One place of each run of the keys that have several, which are to be compared window by window."""
-        some = table.join(_union(self.part).distinct(), "key", "left_semi")
-        return some.groupBy("key", "span").agg(F.min(F.struct("doc_id", "copy", "off", "n")).alias("place")).select("key", "span", "place.*")
+        if not self.levels:  # the scan has merged all there is
+            rows = scan.drop("new")
+        elif merged:
+            rows = _sum(_union([_sum(batch.select("key", F.col("span").alias("lo"), F.col("span").alias("hi"), F.lit(1).cast("long").alias("c"))), *merged]))
+        else:
+            rows = _sum(new.drop("new"))
+        level, below = written(rows.sortWithinPartitions("key"), "level")
+        for x in [*used, folder]:
+            drop(self.spark, x)
+        self.levels.append((size, level, below))
+
+    def runs(self) -> DataFrame:
+        """key, lo, hi, c: the runs of two suffixes or more. The last scan that met a run saw all of it."""
+        return cut(_union(self.met).groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("c").alias("c")))
 
     def close(self) -> None:
         for _, _, folder in self.levels:
             drop(self.spark, folder)
 
 
+def _sum(rows: DataFrame, *more) -> DataFrame:
+    return rows.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("c").alias("c"), *more)
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for x in frames[1:]:
@@ -130,30 +161,31 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
+def _bounds(mask: np.ndarray) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-HELD = "key long, span long, n int, hashes binary"
+HELD = "key long, span long, k long, c long, x int, n int, held binary"
+HELD_NAMES = [x.split()[0] for x in HELD.split(", ")]
 
 
-def _windows(rows: DataFrame, places: DataFrame, length: int) -> DataFrame:
-    """The window hashes of each place, as little-endian uint64."""
-    by_doc = places.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("off", "n", "key", "span")).alias("p"))
-    by_doc = by_doc.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), "p")
-    if places.count() <= FEW_PLACES:
-        by_doc = F.broadcast(by_doc)
-    met = rows.join(by_doc, rows["doc_id"].eqNullSafe(by_doc["d"]) & (rows["copy"] == by_doc["c"])).select("text", "p")
+def _fetch(rows: DataFrame, places: DataFrame, length: int) -> DataFrame:
+    """The places with the bytes of their stretches; a place may come once from each task that holds its text."""
+    by_doc = places.groupBy(F.col("d").alias("of")).agg(F.collect_list(F.struct("key", "span", "k", "c", "x", "n", "off")).alias("p"))
+    by_doc = F.broadcast(by_doc) if places.count() <= FEW_PLACES else by_doc
+    met = rows.join(by_doc, rows["d"] == by_doc["of"]).select("d", "text", "p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            for text, found in zip(as_bytes(batch.column(0)), batch.column(1), strict=True):
-                buf, out = np.frombuffer(text, np.uint8), []
-                for p in found.as_py():
-                    held = Rolling(buf[p["off"] : p["off"] + p["n"] + length - 1], BASE2).windows(length)
-                    out.append((p["key"], p["span"], p["n"], mix(held + np.array([p["key"]], np.int64).view(U64)).astype("<u8").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "span", "n", "hashes"])
+            for d, text, found in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2), strict=True):
+                if d not in seen:
+                    seen.add(d)
+                    p = found.values.flatten()
+                    off, n = p[6].to_numpy(), p[5].to_numpy()
+                    held = [text[a:b] for a, b in zip(off.tolist(), (off + n - 1 + length).tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*p[:6], pa.array(held, pa.binary())], HELD_NAMES)
 
     return met.mapInArrow(run, HELD)
 
@@ -162,67 +194,123 @@ PARTS = "key long, span long, runs array<struct<a: int, b: int>>"
 PART_TYPE = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def _compare(places: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """key, span, runs: the repeated windows of stretches whose key has others."""
-    sizes = places.groupBy("key").agg(F.count("*").alias("k"))
-    several = cut(places.join(sizes, "key"))
-    n = several.count()
+def neighbours(keys: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The order by key and text, and the length of each one's common prefix with the one before in that order (-1: another key)."""
+    order = np.array(sorted(range(len(texts)), key=lambda i: (keys[i], texts[i])), np.int64)
+    size = np.array([len(texts[i]) for i in order], np.int64)
+    matrix = np.zeros((len(texts), int(size.max(initial=0)) + 1), np.uint8)
+    at = np.repeat(np.arange(len(texts)) * matrix.shape[1], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    matrix.ravel()[at] = np.frombuffer(b"".join(texts[i] for i in order), np.uint8)
+    differ = matrix[1:] != matrix[:-1]
+    differ[:, -1] = True
+    common = np.minimum(differ.argmax(axis=1), np.minimum(size[1:], size[:-1]))
+    return order, np.concatenate(([-1], np.where(keys[order][1:] == keys[order][:-1], common, -1))) if len(texts) else size
+
+
+def repeated(keys: np.ndarray, x: np.ndarray, n: np.ndarray, held: list[bytes], length: int) -> np.ndarray:
+    """repeated[i, s]: whether window s of suffix i is also a window of another suffix with its key."""
+    m, width = len(held), int(n.max(initial=0))
+    right, right_common = neighbours(keys, [h[k:] for h, k in zip(held, x.tolist(), strict=True)])
+    left, left_common = neighbours(keys, [h[:k][::-1] for h, k in zip(held, x.tolist(), strict=True)])
+    out, of_right, of_left = np.zeros((m, width), bool), np.empty(m, np.int64), np.empty(m, np.int64)
+    for d in range(int(x.max(initial=0)) + 1):  # windows that start d bytes before the anchor
+        have = np.flatnonzero((d <= x) & (d > x - n))
+        if len(have) > 1:
+            of_right[right] = np.cumsum(right_common < length - d)
+            of_left[left] = np.cumsum(left_common < d)
+            _, back, count = np.unique(of_left[have] * (m + 1) + of_right[have], return_inverse=True, return_counts=True)
+            out[have, x[have] - d] = count[back] > 1
+    return out
+
+
+def _few(held: DataFrame, groups: int, length: int) -> DataFrame:
+    """key, span, runs of repeated windows, in groups of whole keys."""
 
     def group(table: pa.Table) -> pa.Table:
-        hashes = np.frombuffer(b"".join(table["hashes"].to_pylist()), "<u8")
-        _, back, count = np.unique(hashes, return_inverse=True, return_counts=True)
-        twice = count[back] > 1
-        ends = np.cumsum(table["n"].to_numpy())
-        runs = [[{"a": a, "b": b} for a, b in _runs(twice[e - k : e])] for e, k in zip(ends, table["n"].to_numpy(), strict=True)]
+        key, span = table["key"].to_numpy(), table["span"].to_numpy()
+        _, one = np.unique(np.stack([key, span]), axis=1, return_index=True)
+        table = table.take(pa.array(one))
+        n = table["n"].to_numpy().astype(np.int64)
+        found = repeated(key[one], table["x"].to_numpy().astype(np.int64), n, table["held"].to_pylist(), length)
+        runs = [[{"a": a, "b": b} for a, b in _bounds(f)] for f in found]
         return pa.table({"key": table["key"], "span": table["span"], "runs": pa.array(runs, PART_TYPE)})
 
-    few = _windows(rows, several.where(F.col("k") <= FEW).drop("k"), length).withColumn("g", F.pmod(F.xxhash64("key"), F.lit(max(1, n // GROUP_PLACES))))
-    found = few.groupBy("g").applyInArrow(group, PARTS)
+    return held.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("g").applyInArrow(group, PARTS)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                hashes = np.frombuffer(batch.column(2)[i].as_py(), "<u8").view(np.int64)
-                key, span = (np.full(len(hashes), batch.column(c)[i].as_py()) for c in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(key), pa.array(span), pa.array(np.arange(len(hashes), dtype=np.int32))], ["h", "key", "span", "i"])
 
-    many = several.where(F.col("k") > FEW).drop("k")
-    if many.limit(1).count():
-        each = _windows(rows, many, length).select("key", "span", "hashes").mapInArrow(spread, "h long, key long, span long, i int")
-        often = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-        one = F.transform(F.array_sort(F.collect_list("i")), lambda i: F.struct(i.alias("a"), (i + 1).alias("b")))
-        found = found.union(each.join(often, "h").groupBy("key", "span").agg(one.alias("runs")))
-    return cut(found.where(F.size("runs") > 0))
+def _many(held: DataFrame, length: int) -> DataFrame:
+    """As _few, for runs that no task should hold: blocks of windows first, then single windows."""
+
+    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, span, x, n, text in zip(*(batch.column(HELD_NAMES.index(c)).to_pylist() for c in ("key", "span", "x", "n", "held")), strict=True):
+                d = np.arange((x - n + 1) // WIDE, x // WIDE + 1) * WIDE
+                lo, hi, m = np.maximum(d, x - n + 1), np.minimum(d + WIDE - 1, x), memoryview(text)
+                shared = digests(m, x - d, x + length - (d + WIDE - 1), 16)
+                whole = digests(m, x - hi, x + length - lo, 16)
+                cell = lambda s, i: s[16 * i : 16 * i + 16]
+                full = (hi - lo == WIDE - 1).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(d), pa.int64()), pa.array([span] * len(d), pa.int64()), pa.array((x - hi).astype(np.int32)), pa.array((x - lo + 1).astype(np.int32)), pa.array([cell(shared, i) for i in range(len(d))], pa.binary()), pa.array([cell(whole, i) if f else None for i, f in enumerate(full)], pa.binary())], ["key", "span", "a", "b", "shared", "whole"])
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, span, text, parts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                at = np.concatenate([np.arange(p["a"], p["b"]) for p in parts])
+                found = digests(memoryview(text), at, at + length, 16)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.int64()), pa.array([span] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array([found[16 * i : 16 * i + 16] for i in range(len(at))], pa.binary())], ["key", "span", "a", "h"])
+
+    table, _ = written(held.dropDuplicates(["key", "span"]), "stretches")
+    parts, _ = written(table.mapInArrow(wide, "key long, span long, a int, b int, shared binary, whole binary"), "blocks")
+    often = {c: cut(parts.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("times")).where("times > 1")) for c in ("shared", "whole")}
+    settled = cut(split_join(parts, often["whole"], ["whole"], "times").select("key", "span", "a", "b"))
+    open_ = split_join(parts, often["shared"], ["shared"], "times").select("key", "span", "a", "b").join(settled.drop("b"), ["key", "span", "a"], "left_anti")
+    by_place = open_.groupBy("key", "span").agg(F.collect_list(F.struct("a", "b")).alias("parts"))
+    windows, _ = written(table.join(by_place, ["key", "span"]).select("key", "span", "held", "parts").mapInArrow(narrow, "key long, span long, a int, h binary"), "windows")
+    twice = cut(windows.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"))
+    single = split_join(windows, twice, ["h"], "times").select("key", "span", "a", (F.col("a") + 1).alias("b"))
+    return settled.union(single).groupBy("key", "span").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>"
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, n_batches: int = BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, lead: int = LEAD, gram: int = GRAM, n_batches: int = BATCHES, few: int = FEW) -> DataFrame:
     """One row a document: bytes, bytes removed, the removed runs (spans), and the digest of what is left."""
-    spark = docs.sparkSession
-    text_of = F.coalesce(docs[text].cast("string"), F.lit(""))
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(text_of).alias("copy"), text_of.alias("text"))
-    table, folder = written(entries(rows, length, gram), "entries")
+    spark, text_of = docs.sparkSession, F.coalesce(docs[text].cast("string"), F.lit(""))
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.unhex(F.substring(F.sha2(text_of.cast("binary"), 256), 1, 32)).alias("d"), text_of.alias("text"))
+    lists, folder = written(entries(rows.select("d", "text"), length, lead, gram), "entries")
+    places = lists.select("d", F.explode(F.arrays_zip("off", "x", "n", "key", "span")).alias("e")).select("d", "e.*")
     family = Family(spark)
     for k in range(n_batches):
-        family.add(table.where(F.pmod(F.col("copy"), F.lit(n_batches)) == k))
+        family.add(lists.where(F.pmod(F.xxhash64("d"), F.lit(n_batches)) == k).select(F.explode(F.arrays_zip("key", "span")).alias("e")).select("e.*"))
+    met, met_folder = written(split_join(places, family.runs(), ["key"], "c"), "met")
     family.close()
-    parts = _compare(cut(family.stretches(table)), rows, length)
-    whole = _union(family.whole).distinct().select("key", "span", F.lit(None).cast("array<struct<a: int, b: int>>").alias("runs"))
-    found = cut(whole.union(parts.join(whole, ["key", "span"], "left_anti")))
-    run = F.explode(F.coalesce("runs", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))))).alias("r")
-    hits = table.join(found, ["key", "span"]).select("doc_id", "copy", "off", run).select("doc_id", "copy", (F.col("off") + F.col("r.a")).alias("start"), (F.col("off") + F.col("r.b") - 1 + length).alias("stop"))
-    by_doc, _ = written(hits.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "hits")
     drop(spark, folder)
+    whole = met.where("lo = hi").select("d", "off", "n", F.lit(0).alias("a"), F.col("n").alias("b"))
+    mixed = met.where("lo < hi")
+    some = cut(mixed.groupBy("key", "span").agg(F.count("*").alias("k"), F.first("c").alias("c"), F.min(F.struct("d", "off", "x", "n")).alias("p")).select("key", "span", "k", "c", "p.*"))
+    held, held_folder = written(_fetch(rows.select("d", "text"), some, length), "held")
+    groups = max(1, some.count() // GROUP_PLACES)
+    found = _few(held.where(F.col("c") <= few), groups, length)
+    if held.where(F.col("c") > few).limit(1).count():
+        found = found.union(_many(held.where(F.col("c") > few), length))
+    # A stretch that is found twice is repeated as a whole, whatever else its run holds.
+    found = some.select("key", "span", "k").join(found, ["key", "span"], "left").select("key", "span", "k", F.when(F.col("k") > 1, F.lit(None)).otherwise(F.col("runs")).alias("runs"))
+    found = cut(found.where("k > 1 OR size(runs) > 0"))
+    some_met = split_join(mixed.select("d", "off", "n", "key", "span"), found, ["key", "span"], "k")
+    part = some_met.select("d", "off", "n", F.explode(F.coalesce("runs", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))))).alias("r")).select("d", "off", "n", "r.*")
+    hits = whole.union(part).select("d", (F.col("off") + F.col("a")).alias("start"), (F.col("off") + F.col("b") - 1 + length).alias("stop"))
+    by_doc, _ = written(hits.groupBy("d").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "hits")
+    drop(spark, met_folder)
+    drop(spark, held_folder)
     return _apply(rows, by_doc)
 
 
 def _apply(rows: DataFrame, by_doc: DataFrame) -> DataFrame:
-    hit = by_doc.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), "spans")
+    hit = by_doc.select(F.col("d").alias("of"), "spans")
     if (by_doc.agg(F.sum(F.size("spans"))).first()[0] or 0) <= FEW_PLACES:
         hit = F.broadcast(hit)
-    met = rows.join(hit, rows["doc_id"].eqNullSafe(hit["d"]) & (rows["copy"] == hit["c"]), "left").select("doc_id", "text", "spans")
+    met = rows.join(hit, rows["d"] == hit["of"], "left").select("doc_id", "text", "spans")
     names = [x.split()[0] for x in RESULT.split(", ")[:5]] + ["spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +320,7 @@ def _apply(rows: DataFrame, by_doc: DataFrame) -> DataFrame:
                 starts, stops = (np.array([s[x] for s in spans or ()], np.int64) for x in ("start", "stop"))
                 gone = covered(len(text), starts, stops) if len(starts) else np.zeros(len(text), bool)
                 left = np.frombuffer(text, np.uint8)[~gone].tobytes() if len(starts) else text
-                runs = _runs(gone)
+                runs = _bounds(gone)
                 out.append((len(text), len(text) - len(left), len(runs), hashlib.sha256(left).hexdigest(), [{"start": a, "stop": b} for a, b in runs]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ((),) * 5, kinds, strict=True))], names)
