@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,15 +48,21 @@ def drop(spark: SparkSession, path: str) -> None:
 HOT_PARTS = 1000
 
 
-def split_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """rows joined with table, whose keys are unique and which knows how many of the rows have each (weight). The hot keys, fewer than
+def split_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with table, whose keys are unique and which knows how many of the rows have each (weight). The hot keys, fewer than
     HOT_PARTS, are sent to all tasks, so that their rows stay where they are; the rows of others are shuffled."""
     total = table.agg(F.sum(weight)).first()[0]
     if not total:
-        return rows.join(table, keys)
+        return rows.join(table, keys, how)
     is_hot = F.col(weight) * HOT_PARTS > total
     hot = F.broadcast(table.where(is_hot))
-    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(table.where(is_hot).select(*keys)), keys, "left_anti").join(table.where(~is_hot), keys))
+    rest = rows.join(F.broadcast(table.where(is_hot).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(table.where(~is_hot), keys, how))
+
+
+def content_digest(text: Column) -> Column:
+    """128 bits of the SHA-256 of a text; of no text, those of an empty one."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256), 1, 32))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm._shared import cut, drop, split_join, written
+from graphloom.llm._shared import content_digest, cut, drop, partitions, split_join, written
 from graphloom.llm._text import CHUNK, U64, Block, Rolling, as_bytes, blocks, covered, mix
 
 LENGTH = 400
@@ -40,9 +40,7 @@ GRAM = 32
 BATCHES = 4
 FEW = 512
 WIDE = 17
-#: So many places, or spans to remove, are sent to all tasks at most; more are joined.
-FEW_PLACES = 1_000_000
-#: Places in one group of runs with few suffixes each.
+#: Places in one group of runs with few suffixes each, at most (and one run more).
 GROUP_PLACES = 4_000
 NONE = U64(0xFFFFFFFFFFFFFFFF)
 ENTRIES = "d binary, off array<int>, x array<int>, n array<int>, key array<long>, span array<long>"
@@ -170,11 +168,10 @@ HELD = "key long, span long, k long, c long, x int, n int, held binary"
 HELD_NAMES = [x.split()[0] for x in HELD.split(", ")]
 
 
-def _fetch(rows: DataFrame, places: DataFrame, length: int) -> DataFrame:
+def _fetch(rows: DataFrame, copies: DataFrame, places: DataFrame, length: int) -> DataFrame:
     """The places with the bytes of their stretches; a place may come once from each task that holds its text."""
-    by_doc = places.groupBy(F.col("d").alias("of")).agg(F.collect_list(F.struct("key", "span", "k", "c", "x", "n", "off")).alias("p"))
-    by_doc = F.broadcast(by_doc) if places.count() <= FEW_PLACES else by_doc
-    met = rows.join(by_doc, rows["d"] == by_doc["of"]).select("d", "text", "p")
+    by_doc = places.groupBy("d").agg(F.collect_list(F.struct("key", "span", "k", "c", "x", "n", "off")).alias("p"))
+    met = split_join(rows, cut(by_doc.join(copies, "d")), ["d"], "copies").select("d", "text", "p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -261,11 +258,16 @@ def _many(held: DataFrame, length: int) -> DataFrame:
 
     table, _ = written(held.dropDuplicates(["key", "span"]), "stretches")
     parts, _ = written(table.mapInArrow(wide, "key long, span long, a int, b int, shared binary, whole binary"), "blocks")
-    often = {c: cut(parts.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("times")).where("times > 1")) for c in ("shared", "whole")}
-    settled = cut(split_join(parts, often["whole"], ["whole"], "times").select("key", "span", "a", "b"))
-    open_ = split_join(parts, often["shared"], ["shared"], "times").select("key", "span", "a", "b").join(settled.drop("b"), ["key", "span", "a"], "left_anti")
+    often = cut(parts.where("whole IS NOT NULL").groupBy("whole").agg(F.count("*").alias("times")).where("times > 1"))
+    marked, _ = written(split_join(parts, often, ["whole"], "times", "left"), "blocks")
+    settled = marked.where("times IS NOT NULL").select("key", "span", "a", "b")
+    met = cut(marked.groupBy("shared").agg(F.count("*").alias("n"), F.count_if(F.col("times").isNull()).alias("open")).where("n > 1 AND open > 0"))
+    met = cut(split_join(marked, met, ["shared"], "n").select("shared", "whole", "key", "span", "a", "b", "times"))
+    # A settled block still tells that windows of others are repeated: one of each kind is enough.
+    known = met.where("times IS NOT NULL").groupBy("shared", "whole").agg(F.min(F.struct("key", "span", "a", "b")).alias("m")).select("m.*")
+    open_ = met.where("times IS NULL").select("key", "span", "a", "b").union(known)
     by_place = open_.groupBy("key", "span").agg(F.collect_list(F.struct("a", "b")).alias("parts"))
-    windows, _ = written(table.join(by_place, ["key", "span"]).select("key", "span", "held", "parts").mapInArrow(narrow, "key long, span long, a int, h binary"), "windows")
+    windows, _ = written(table.join(by_place, ["key", "span"]).select("key", "span", "held", "parts").repartition(partitions(held.sparkSession)).mapInArrow(narrow, "key long, span long, a int, h binary"), "windows")
     twice = cut(windows.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"))
     single = split_join(windows, twice, ["h"], "times").select("key", "span", "a", (F.col("a") + 1).alias("b"))
     return settled.union(single).groupBy("key", "span").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
@@ -277,7 +279,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, lead: int = LEAD, gram: int = GRAM, n_batches: int = BATCHES, few: int = FEW) -> DataFrame:
     """One row a document: bytes, bytes removed, the removed runs (spans), and the digest of what is left."""
     spark, text_of = docs.sparkSession, F.coalesce(docs[text].cast("string"), F.lit(""))
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.unhex(F.substring(F.sha2(text_of.cast("binary"), 256), 1, 32)).alias("d"), text_of.alias("text"))
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), content_digest(text_of).alias("d"), text_of.alias("text"))
     lists, folder = written(entries(rows.select("d", "text"), length, lead, gram), "entries")
     places = lists.select("d", F.explode(F.arrays_zip("off", "x", "n", "key", "span")).alias("e")).select("d", "e.*")
     family = Family(spark)
@@ -289,8 +291,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     whole = met.where("lo = hi").select("d", "off", "n", F.lit(0).alias("a"), F.col("n").alias("b"))
     mixed = met.where("lo < hi")
     some = cut(mixed.groupBy("key", "span").agg(F.count("*").alias("k"), F.first("c").alias("c"), F.min(F.struct("d", "off", "x", "n")).alias("p")).select("key", "span", "k", "c", "p.*"))
-    held, held_folder = written(_fetch(rows.select("d", "text"), some, length), "held")
-    groups = max(1, some.count() // GROUP_PLACES)
+    copies = cut(rows.groupBy("d").agg(F.count("*").alias("copies")))
+    held, held_folder = written(_fetch(rows.select("d", "text"), copies, some, length), "held")
+    groups = max(partitions(spark), some.count() // GROUP_PLACES)
     found = _few(held.where(F.col("c") <= few), groups, length)
     if held.where(F.col("c") > few).limit(1).count():
         found = found.union(_many(held.where(F.col("c") > few), length))
@@ -300,17 +303,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     some_met = split_join(mixed.select("d", "off", "n", "key", "span"), found, ["key", "span"], "k")
     part = some_met.select("d", "off", "n", F.explode(F.coalesce("runs", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))))).alias("r")).select("d", "off", "n", "r.*")
     hits = whole.union(part).select("d", (F.col("off") + F.col("a")).alias("start"), (F.col("off") + F.col("b") - 1 + length).alias("stop"))
-    by_doc, _ = written(hits.groupBy("d").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "hits")
+    by_doc, _ = written(hits.groupBy("d").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).join(copies, "d"), "hits")
     drop(spark, met_folder)
     drop(spark, held_folder)
     return _apply(rows, by_doc)
 
 
 def _apply(rows: DataFrame, by_doc: DataFrame) -> DataFrame:
-    hit = by_doc.select(F.col("d").alias("of"), "spans")
-    if (by_doc.agg(F.sum(F.size("spans"))).first()[0] or 0) <= FEW_PLACES:
-        hit = F.broadcast(hit)
-    met = rows.join(hit, rows["d"] == hit["of"], "left").select("doc_id", "text", "spans")
+    met = split_join(rows, by_doc, ["d"], "copies", "left").select("doc_id", "text", "spans")
     names = [x.split()[0] for x in RESULT.split(", ")[:5]] + ["spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
