@@ -3,6 +3,8 @@
 Texts arrive as Arrow batches; a block joins whole texts with line feeds into one byte buffer, so that
 word boundaries and hashes are found with a few numpy passes instead of one Python call a word.
 Blocks hold whole texts: a block closes at ``MAX_BLOCK`` bytes, and a longer text is a block of its own.
+
+Polynomial hashes modulo 2**64 can be made to collide by long patterned strings, so they decide nothing alone: ``classes`` compares the bytes.
 """
 
 from __future__ import annotations
@@ -82,6 +84,36 @@ def hash_ranges(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int
     return out
 
 
+def equal_ranges(buf: np.ndarray, starts: np.ndarray, other: np.ndarray, size: np.ndarray) -> bool:
+    """Whether buf[starts[i] : starts[i] + size[i]] and buf[other[i] : other[i] + size[i]] have the same bytes for all i."""
+    total = np.cumsum(size)
+    for k in range(int(total[-1]) // CHUNK + 1 if len(size) else 0):
+        a, b = np.searchsorted(total, [k * CHUNK, (k + 1) * CHUNK])
+        long = np.flatnonzero(size[a:b] > 4096) + a
+        if any(buf[starts[i] : starts[i] + size[i]].tobytes() != buf[other[i] : other[i] + size[i]].tobytes() for i in long):
+            return False
+        short = np.flatnonzero(size[a:b] <= 4096) + a
+        n = size[short]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if not np.array_equal(buf[np.repeat(starts[short], n) + step], buf[np.repeat(other[short], n) + step]):
+            return False
+    return True
+
+
+def classes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each of ascending, disjoint ranges, the same for two if and only if their bytes are: their hashes, once all ranges with
+    one hash have been compared; if any of those differ, numbers by bytes."""
+    found = hash_ranges(buf, starts, ends)
+    order = np.argsort(found, kind="stable")
+    same = found[order][1:] == found[order][:-1]
+    a, b = order[:-1][same], order[1:][same]
+    size = ends[a] - starts[a]
+    if np.array_equal(size, ends[b] - starts[b]) and equal_ranges(buf, starts[a], starts[b], size):
+        return found
+    numbers = {}
+    return np.array([numbers.setdefault(buf[a:b].tobytes(), len(numbers)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], U64)
+
+
 class Block:
     """Whole texts, each followed by a line feed: text i is buf[first[i] : first[i + 1] - 1]."""
 
@@ -110,7 +142,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = MAX_BLOCK) -> Iterator[Block]:
+def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = MAX_BLOCK, most_rows: int = 1 << 30) -> Iterator[Block]:
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -121,6 +153,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = MAX_BLOCK)
         total, i = np.cumsum(sizes), 0
         while i < batch.num_rows:
             j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most, "right")))
+            j = min(j, i + most_rows)
             yield Block(batch.slice(i, j - i), as_bytes(column.slice(i, j - i)))
             i = j
 

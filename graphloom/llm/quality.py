@@ -2,7 +2,7 @@
 
 Rolling hashes of n-grams of several lengths (numpy, a block of whole texts at a time) mark the words that
 lie inside n-grams found twice or more; the rules compare the characters in those words, and in repeated
-lines, with the characters of all words. One pass, no shuffle, so a hot source or group of copies does not matter.
+lines, with the characters of all words. Words and lines are equal if their bytes are. One pass, no shuffle, so a hot source or group of copies does not matter.
 
 Null texts have no words and so fail; the longest text is held by one task in a few times its size. Repeated rows
 and ids are judged one by one. Empty tables give empty results. Other columns are not read by ``quality_rules``
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm._text import BASE2, NON_SPACE, Block, blocks, covered, hash_ranges, mix, sums_by_text
+from graphloom.llm._text import BASE2, NON_SPACE, Block, blocks, classes, covered, mix, sums_by_text
 
 #: Largest share, in per cent, of the characters of all words that may lie in repeated n-grams of n words.
 NGRAM_LIMITS = {5: 40, 8: 30, 13: 25}
@@ -55,7 +55,7 @@ def measure(block: Block) -> dict[str, np.ndarray]:
     chars = np.concatenate(([0], np.cumsum((block.buf & 0xC0) != 0x80)))
     word_chars, text = chars[ends] - chars[starts], np.repeat(np.arange(len(block)), np.diff(first))
     out = {"n_words": np.diff(first), "word_chars": sums_by_text(word_chars, first), "n_symbols": sums_by_text(SYMBOLS[block.buf], block.first)}
-    words = hash_ranges(block.buf, starts, ends)
+    words = mix(classes(block.buf, starts, ends))
     inside = {}
     for n in sorted({8, *NGRAM_LIMITS}):
         grams = _roll(words, n)
@@ -70,7 +70,7 @@ def measure(block: Block) -> dict[str, np.ndarray]:
     held = np.searchsorted(starts, breaks) - np.searchsorted(starts, begins)
     full = np.flatnonzero(held)
     where = block.text_of(begins[full])
-    _, later = _repeats(hash_ranges(block.buf, begins[full], breaks[full]), where)
+    _, later = _repeats(classes(block.buf, begins[full], breaks[full]), where)
     out["n_dup_lines"] = np.bincount(where[later], minlength=len(block))
     before = np.concatenate(([0], np.cumsum(word_chars)))
     of_line = before[np.searchsorted(starts, breaks[full])] - before[np.searchsorted(starts, begins[full])]
