@@ -7,7 +7,7 @@ Documents are dealt by ranges of doc_id, encoded and written in that order: each
     ids, concatenated | boundaries (documents + 1 offsets from 0) | doc_ids less their minimum, and that minimum
 
 where boundaries and doc_ids, which never descend, are Elias-Fano sequences: low bits packed, high parts in unary, and
-every 256th one-bit's position sampled, so that ``select(i)`` reads a few words. No 64-bit table of offsets is kept.
+every 64th one-bit's position sampled, so that ``select(i)`` reads a few bytes. No 64-bit table of offsets is kept.
 
 A task writes to a name of its own attempt and reports the name with its rows; readers take only reported
 names, so retried and speculative tasks leave nothing that is read. Shards are read by Spark's binaryFile
@@ -40,7 +40,9 @@ from graphloom.llm._text import as_bytes
 
 END_ID = 1
 SHARD_IDS = 1 << 22
-SAMPLE = 256
+SAMPLE = 64
+#: Documents of a shard that are returned at once.
+ROWS = 4096
 #: More shards than these are joined with their contents instead of sent to all tasks.
 FEW_SHARDS = 100_000
 #: White-space-separated pieces whose ids a worker remembers, before those not seen since the last as many go.
@@ -84,6 +86,7 @@ class EliasFano:
         return ((8 * byte + (word & -word).bit_length() - 1 - i) << self.low_bits) | self._low(i)
 
     def all(self) -> np.ndarray:
+        """The whole sequence as a table, for tests."""
         if not self.n:
             return np.zeros(0, np.int64)
         high = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little")) - np.arange(self.n)
@@ -101,7 +104,7 @@ class EliasFano:
 
 
 class Shard:
-    """A shard as read: document(i) finds one by the select structure, ids() and starts are all of them."""
+    """A shard as read; document(i) and doc_id(i) find theirs by the select structures."""
 
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
@@ -116,8 +119,11 @@ class Shard:
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.nulls else self.names.select(i - self.nulls) + self.least
+
     def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self.names.all() + self.least).tolist()
+        return [self.doc_id(i) for i in range(self.docs)]
 
     @staticmethod
     def dump(doc_ids: list[int | None], documents: list[np.ndarray]) -> bytes:
@@ -230,9 +236,12 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
         for batch in batches:
             for base, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard = Shard(content.as_py())
-                bounds = shard.bounds.all()
-                sums = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids(), pa.int64()), pa.array(base + bounds[:-1]), pa.array(np.diff(bounds)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                for low in range(0, shard.docs, ROWS):
+                    at = range(low, min(low + ROWS, shard.docs))
+                    edges = [shard.bounds.select(i) for i in [*at, at.stop]]
+                    sums = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                    starts = np.array(edges, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([shard.doc_id(i) for i in at], pa.int64()), pa.array(base + starts[:-1]), pa.array(np.diff(starts)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # One row a shard of millions of ids; the shards of a task are summed first.
     parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
