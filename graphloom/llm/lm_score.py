@@ -7,12 +7,11 @@ loss under the background; its own tokens are left out of the counts it is score
 
     P(w | h) = (s c(h, w) + MASS / CLASSES) / (s c(h) + MASS), h the class of the word before, or of the start
 
-Counts are too many for any one task, and so is a copy of them for each. Tasks sort the bigrams of a block of documents and send each partition of
-the bigrams (by context) one packed row with the block's bigrams and the documents that hold them. A partition adds up its rows, so has the corpus counts of
+Counts are too many for any one task, and so is a copy of them for each. Tasks sort the bigrams of a block of documents and send each part of
+the bigrams (by context) one packed row with the block's bigrams and the documents that hold them. A part adds up its rows, so has the corpus counts of
 its bigrams and contexts, and answers each block with its share of each document's two losses; the shares of a block are added at last.
-Contexts so frequent that one partition should not have them whole are spread by both words; each block tells
-every partition its counts of those few (at most ``HOT``). Which these are is guessed from the first documents, and only
-decides where counts are added, not the counts.
+There are as many parts as keep the tokens of one near ``PART_TOKENS``. Contexts with a share ``HOT_SHARE`` of all tokens or more would be too many for one part:
+they are spread by both words, and their counts (two numbers for each of at most 2 / HOT_SHARE + 1) are added up before and sent to all tasks.
 
 Null and empty texts have no tokens and null scores. Rows without label, with a null label or without an id belong to the background; a
 document labelled twice belongs to the target if any label says so. Repeated rows are documents of their own. With no target or no background
@@ -25,21 +24,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm._shared import partitions
+from graphloom.llm._shared import cut, partitions
 from graphloom.llm._text import ALNUM, LOWER, U64, Block, blocks, hash_ranges, mix
 
 BITS = 24
 CLASSES = 1 << BITS
 MASS = 50.0
-#: Contexts that are spread, at most, and the share of tokens from which one is.
-HOT, HOT_SHARE, HOT_ROWS = 256, 1 / 1024, 2000
-BLOCK = 4 << 20
+#: The share of tokens from which a context is spread.
+HOT_SHARE = 1 / 1024
+#: Tokens in one part of the bigrams, about.
+PART_TOKENS = 4_000_000
+#: Bytes and texts of a block; texts are numbered by 16 bits.
+BLOCK, BLOCK_TEXTS = 4 << 20, (1 << 16) - 1
 #: More label rows than these are joined instead of sent to all tasks.
 FEW_LABELS = 1_000_000
 START = CLASSES - 1
@@ -67,23 +68,28 @@ def _unpack(data: bytes) -> list[np.ndarray]:
 
 #: Bytes of: bigram steps, documents of each, document, times, times of the context in the document.
 WIDTHS = (8, 4, 4, 4, 4)
-ASK = "part int, block long, blob binary, target binary, hot binary, ids array<long>, sizes array<int>"
+ASK = "part int, block long, blob binary, target binary, ids array<long>, sizes array<int>"
 ANSWER = "block long, blob binary, ids array<long>, sizes array<int>"
 RESULT = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
+def before(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The context of each word."""
+    out = np.concatenate(([START], words[:-1]))
+    out[first[:-1][np.diff(first) > 0]] = START
+    return out[: len(words)]
+
+
 def _ask(rows: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
-    """A row for each block and partition."""
+    """A row for each block and each part of which it has bigrams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for block in blocks(batches, "text", BLOCK):
+        for block in blocks(batches, "text", BLOCK, BLOCK_TEXTS):
             words, first = tokens(block)
             text = np.repeat(np.arange(len(block)), np.diff(first))
             target = np.asarray(block.rows.column(2).to_pylist(), bool)
-            before = np.concatenate(([START], words[:-1]))
-            before[first[:-1][np.diff(first) > 0]] = START
-            code, times = np.unique(((before << BITS | words).astype(U64) << U64(16)) | text.astype(U64), return_counts=True)
+            code, times = np.unique(((before(words, first) << BITS | words).astype(U64) << U64(16)) | text.astype(U64), return_counts=True)
             bigram, doc = (code >> U64(16)).astype(np.int64), (code & U64(0xFFFF)).astype(np.int64)
             _, back = np.unique(doc << BITS | bigram >> BITS, return_inverse=True)
             own = np.bincount(back, times, len(back) or 1).astype(np.int64)[back]
@@ -91,37 +97,29 @@ def _ask(rows: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
             at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
             is_hot = hot[at] == context
             part = (mix(np.where(is_hot, bigram, context).astype(U64)) % U64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
-            good = target[doc]
-            counts = np.concatenate([np.bincount(at[is_hot & m], times[is_hot & m], len(hot)) for m in (good, ~good)] + [[times[good].sum(), times[~good].sum()]]).astype("<i8").tobytes()
             order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            packed = np.packbits(target).tobytes()
-            rows = []
-            for p in range(parts):
-                pick = order[cuts[p] : cuts[p + 1]]
-                if len(pick) or p == number % parts:
-                    b = bigram[pick]
-                    new = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, np.int64)
-                    mine = p == number % parts
-                    rows.append((p, number, _pack(np.diff(b[new], prepend=0), np.diff(np.append(new, len(b))), doc[pick], times[pick], own[pick]), packed, counts, block.rows.column(0).to_pylist() if mine else None, np.diff(first).tolist() if mine else None))
-                else:
-                    rows.append((p, number, None, None, counts, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())), strict=True)], [x.split()[0] for x in ASK.split(", ")])
+            held = part[order]
+            cuts = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1]))) if len(held) else np.zeros(0, np.int64)
+            packed, rows = np.packbits(target).tobytes(), []
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(held)], strict=False):
+                pick = order[a:b]
+                found = bigram[pick]
+                new = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+                rows.append((int(held[a]), number, _pack(np.diff(found[new], prepend=0), np.diff(np.append(new, len(found))), doc[pick], times[pick], own[pick]), packed, None, None))
+            none = np.zeros(0, np.int64)
+            rows.append((number % parts, number, _pack(none, none, none, none, none), packed, block.rows.column(0).to_pylist(), np.diff(first).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())), strict=True)], [x.split()[0] for x in ASK.split(", ")])
             number += 1
 
     return rows.mapInArrow(run, ASK)
 
 
-def _answer(asked: DataFrame, hot: np.ndarray, classes: int, mass: float) -> DataFrame:
-    """Adds up a partition's counts, and gives each block its documents' losses on the partition's bigrams."""
+def _answer(asked: DataFrame, hot: np.ndarray, totals: np.ndarray, classes: int, mass: float) -> DataFrame:
+    """Adds up a part's counts, and gives each block its documents' losses on the part's bigrams."""
 
     def group(table: pa.Table) -> pa.Table:
-        totals = np.sum([np.frombuffer(x, "<i8") for x in table["hot"].to_pylist()], axis=0)
         n_target, n_background = totals[-2:]
         scale = n_target / n_background if n_background else 0.0
-        table = table.filter(pc.is_valid(table["blob"]))
-        if not table.num_rows:
-            return table.select(["block", "blob", "ids", "sizes"])
         parts = [_unpack(x) for x in table["blob"].to_pylist()]
         bigrams = np.concatenate([np.repeat(np.cumsum(p[0]), p[1]) for p in parts])
         doc, times, own = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
@@ -169,18 +167,46 @@ def _add(answers: DataFrame) -> DataFrame:
     return answers.groupBy("block").applyInArrow(group, RESULT)
 
 
-def frequent(rows: DataFrame) -> np.ndarray:
-    """Classes that are frequent contexts in the first documents, ascending; the start is one."""
+def frequent(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """Classes of the frequent contexts, ascending (the start is one), and the number of tokens.
+
+    A block reports the classes with half the share or more of its tokens. What it does not report of a class is less than half the share, so each class
+    with the share in all has at least half of it reported; these are taken, at most 2 / HOT_SHARE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
-            word, n = np.unique(tokens(block)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], ["word", "n"])
+        for block in blocks(batches, "text", BLOCK, BLOCK_TEXTS):
+            words = tokens(block)[0]
+            word, n = np.unique(words, return_counts=True)
+            often = 2 * n >= HOT_SHARE * len(words)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(word[often], -1)), pa.array(np.append(n[often], len(words)))], ["word", "n"])
+
+    counts = cut(rows.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counts.where("word = -1").agg(F.sum("n")).first()[0] or 0
+    top = counts.where((F.col("word") >= 0) & (2 * F.col("n") >= HOT_SHARE * total)).collect()
+    return np.array(sorted({r.word for r in top} | {START}), np.int64), total
+
 
-    counts = rows.limit(HOT_ROWS).select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.where(F.col("n") >= HOT_SHARE * total).orderBy(F.desc("n"), "word").limit(HOT - 1).collect()
-    return np.array(sorted({r.word for r in top} | {START}), np.int64)
+def context_totals(rows: DataFrame, hot: np.ndarray) -> np.ndarray:
+    """How often each hot context occurs in the target, then in the background, then the tokens of both."""
+    size = len(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(2 * size + 2, np.int64)
+        for block in blocks(batches, "text", BLOCK, BLOCK_TEXTS):
+            words, first = tokens(block)
+            good = np.repeat(np.asarray(block.rows.column(2).to_pylist(), bool), np.diff(first))
+            context = before(words, first)
+            at = np.minimum(np.searchsorted(hot, context), size - 1)
+            is_hot = hot[at] == context
+            for k, mine in enumerate((good, ~good)):
+                found[k * size : (k + 1) * size] += np.bincount(at[is_hot & mine], minlength=size)
+                found[2 * size + k] += mine.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(found)], ["at", "n"])
+
+    out = np.zeros(2 * size + 2, np.int64)
+    for at, n in rows.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n")).collect():  # at most 4 / HOT_SHARE + 4 rows
+        out[at] = n
+    return out
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", classes: int = CLASSES, mass: float = MASS) -> DataFrame:
@@ -189,9 +215,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     if labels.count() <= FEW_LABELS:
         wanted = F.broadcast(wanted)
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    hot = frequent(rows)
+    hot, total = frequent(rows)
     rows = rows.join(wanted, rows["doc_id"] == wanted["_id"], "left").select("doc_id", "text", F.coalesce("_target", F.lit(False)).alias("target"))
-    return _add(_answer(_ask(rows, hot, partitions(docs.sparkSession)), hot, classes, mass))
+    parts = max(partitions(docs.sparkSession), -(-total // PART_TOKENS))
+    return _add(_answer(_ask(rows, hot, parts), hot, context_totals(rows, hot), classes, mass))
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
