@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm._shared import cut, new_folder, partitions
+from graphloom.llm._shared import cut, new_folder, partitions, split_join
 from graphloom.llm._text import as_bytes
 
 REVISIT_BYTES = 100
@@ -218,7 +218,7 @@ def convert(arcs: DataFrame, arc_folder: str, warc_folder: str) -> DataFrame:
     seen = _digests(arcs, arc_folder)
     large = seen.where(F.col("size") >= REVISIT_BYTES)
     first = large.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "arc", "number", "url", "date")).alias("o")).where("n > 1")
-    again = large.select("arc", "number", "digest").join(first, "digest").where((F.col("arc") != F.col("o.arc")) | (F.col("number") != F.col("o.number")))
+    again = split_join(large.select("arc", "number", "digest"), cut(first), ["digest"], "n").where((F.col("arc") != F.col("o.arc")) | (F.col("number") != F.col("o.number")))
     # As many rows for an archive as it has records.
     by_arc = again.groupBy(F.col("arc").alias("name")).agg(F.collect_list(F.struct("number", F.col("o.arc").alias("arc"), F.col("o.number").alias("first"), F.col("o.url").alias("url"), F.col("o.date").alias("date"))).alias("again"))
 
@@ -291,7 +291,8 @@ def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A response is named once for all that refer to it.
     named = records.where("refers IS NULL").select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"))
     out = records.where("refers IS NULL").withColumn("refers_to", F.lit(None).cast("long"))
-    again = records.where("refers IS NOT NULL").join(named, "refers", "left").select(*out.columns)
+    times = records.where("refers IS NOT NULL").groupBy("refers").agg(F.count("*").alias("n"))
+    again = split_join(records.where("refers IS NOT NULL"), cut(named.join(times, "refers")), ["refers"], "n").select(*out.columns)
     return out.union(again).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

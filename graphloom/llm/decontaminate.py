@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm._shared import drop, fresh, written
+from graphloom.llm._shared import content_digest, cut, drop, fresh, written
 from graphloom.llm._text import ALNUM, LOWER, U64, Block, blocks, covered, hash_ranges, mix, sums_by_text
 
 WINDOW = 10
 SHINGLE = 3
 INDEX_SHINGLES = 500_000
+#: So many spans are sent to all tasks at most; more are joined. Only where the index has several blocks.
+FEW_SPANS = 1_000_000
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 WINDOWS = "part int, item_id string, words array<binary>, shingles array<long>"
 
@@ -164,41 +166,45 @@ def build_indexes(docs: DataFrame, items: DataFrame, text: str, item_id: str, it
     drop(spark, folder)
 
 
-def _judge(block: Block, index: Index, before: pa.Array | None) -> tuple[Words, list[list[tuple[int, int, str]]]]:
-    """Spans (first word, words, item) of each text, those of earlier index blocks included."""
-    words, spans = Words(block), [[] for _ in block.texts]
-    if before is not None:
-        spans = [[(s["start"], s["size"], s["item"]) for s in x or ()] for x in before.to_pylist()]
-    for t, s, m, w in index.matches(words):
-        spans[t] += [(s - int(words.first[t]), m, item) for item in sorted(index.items[w])]
-    return words, spans
-
-
 SPAN = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64()), ("item", pa.string())]))
 
 
-def _spans(docs: DataFrame, index: Index, text: str, into: str, known: bool) -> DataFrame:
-    """docs with a column of spans, which holds what earlier blocks of the index have found too (known)."""
-    sent = docs.sparkSession.sparkContext.broadcast(index)
-    columns = [c for c in docs.columns if not known or c != into]
+def _spans(docs: DataFrame, index: Index, text: str, into: str) -> DataFrame:
+    """docs with a column of spans (first word, words, item)."""
+    sent, columns = docs.sparkSession.sparkContext.broadcast(index), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, text):
-            at = block.rows.schema.get_field_index(into)
-            _, spans = _judge(block, sent.value, block.rows.column(at) if known else None)
-            rows = [[{"start": a, "size": n, "item": i} for a, n, i in x] for x in spans]
-            yield pa.RecordBatch.from_arrays([*(block.rows.column(block.rows.schema.get_field_index(c)) for c in columns), pa.array(rows, SPAN)], [*columns, into])
+            words, rows = Words(block), [[] for _ in block.texts]
+            for t, s, m, w in sent.value.matches(words):
+                rows[t] += [{"start": s - int(words.first[t]), "size": m, "item": item} for item in sorted(sent.value.items[w])]
+            yield pa.RecordBatch.from_arrays([*block.rows.columns, pa.array(rows, SPAN)], [*columns, into])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in columns)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{fields}, `{into}` array<struct<start: long, size: long, item: string>>")
 
 
 def matched(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, containment: float = 1.0, into: str = "_spans") -> DataFrame:
-    """docs with a column of each occurrence of a window, as first word, number of words and item."""
-    out = docs
-    for k, index in enumerate(build_indexes(docs.select(text), items, text, item_id, item_text, window, containment)):
-        out = _spans(written(out, "spans")[0] if k else out, index, text, into, k > 0)
-    return out
+    """docs with a column of each occurrence of a window, as first word, number of words and item.
+
+    With several blocks of the index, what each finds is kept by the digest of the text, and joined with the documents once."""
+    indexes = build_indexes(docs.select(text), items, text, item_id, item_text, window, containment)
+    index, later = next(indexes), next(indexes, None)
+    if later is None:
+        return _spans(docs, index, text, into)
+    keyed, found = docs.select(docs[text].alias("text"), content_digest(docs[text]).alias("of")), []
+    while index is not None:
+        one = _spans(keyed, index, "text", "spans").where("size(spans) > 0").select("of", "spans")
+        found.append(cut(one.groupBy("of").agg(F.first("spans").alias("spans"))))
+        index, later = later, next(indexes, None)
+    hits = found[0]
+    for x in found[1:]:
+        hits = hits.union(x)
+    d = fresh("of", docs.columns)
+    hits = cut(hits.groupBy(F.col("of").alias(d)).agg(F.flatten(F.collect_list("spans")).alias(into)))
+    if (hits.agg(F.sum(F.size(into))).first()[0] or 0) <= FEW_SPANS:
+        hits = F.broadcast(hits)
+    return docs.withColumn(d, content_digest(docs[text])).join(hits, d, "left").drop(d).withColumn(into, F.coalesce(into, F.array().cast("array<struct<start: long, size: long, item: string>>")))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, containment: float = 1.0) -> DataFrame:

@@ -1,13 +1,13 @@
 """Mixing sources to target weights by hash-threshold histograms, with DataFrame functions only.
 
-A document's place in its source is 60 bits of the MD5 of its id, so reruns agree and a larger budget takes a superset of a smaller one.
+A document's place in its source is 60 bits of the MD5 of its id (of its text, without one), so reruns agree and a larger budget takes a superset of a smaller one.
 Words are summed by source and hash bucket (12 bits); the bucket in which a source's budget ends is the
 only one that is summed again by the next 12 bits, and so on for three rounds, which leaves the budget's end within
 one of 2**36 buckets. A source whose target exceeds its size takes each document once (or twice) and some of
 them once more; no row is sorted or moved, and a hot source only adds to partial sums.
 
 Null texts count no words; null sources are a source of their own, last in order; documents with one id share a place and are
-taken alike, null ids too. Empty tables give empty results. Other columns are not read by ``mixture`` and
+taken alike; rows without an id have the place of their text. No row is taken more than ``REPEATS`` times, whatever its size. Empty tables give empty results. Other columns are not read by ``mixture`` and
 are passed on by ``mix_rows``.
 """
 
@@ -27,8 +27,9 @@ FEW_SOURCES = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def place(doc_id: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+def place(doc_id: Column, text: Column) -> Column:
+    """A row's place in its source, from its id, or from its text if it has none."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("long").cast("string"), text.cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def words(text: Column) -> Column:
@@ -78,26 +79,26 @@ def _small(sources: DataFrame) -> DataFrame:
     return F.broadcast(sources) if sources.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES else sources
 
 
-def _taken(rows: DataFrame, plan: DataFrame, source: str, doc_id: str) -> tuple[DataFrame, dict[str, Column], Column]:
-    """rows with their source's plan, the plan's columns, and how often each row is taken. Names that rows has are not used again."""
+def _taken(rows: DataFrame, plan: DataFrame, source: str, at: Column) -> tuple[DataFrame, dict[str, Column], Column]:
+    """rows with their source's plan, the plan's columns, and how often each row (at its place) is taken. Names that rows has are not used again."""
     names = {c: fresh(f"of_{c}", rows.columns) for c in plan.columns}
     plan = _small(cut(plan.select(*(F.col(c).alias(n) for c, n in names.items()))))
     of = {c: F.col(n) for c, n in names.items()}
     met = rows.join(plan, F.col(source).eqNullSafe(of["source"]))
-    return met, of, of["copies"] + F.when(place(F.col(doc_id).cast("long")) < of["below"], 1).otherwise(0)
+    return met, of, F.least(of["copies"] + F.when(at < of["below"], 1).otherwise(0), F.lit(REPEATS).cast("long"))
 
 
 def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row a document: its words, its source's words and target, and the words that the mix takes of it."""
-    sized = cut(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[source].alias("source"), words(docs[text]).alias("size"), place(docs[doc_id].cast("long")).alias("h")))
-    met, of, times = _taken(sized, thresholds(sized.select("source", "size", "h")), "source", "doc_id")
+    sized = cut(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[source].alias("source"), words(docs[text]).alias("size"), place(docs[doc_id], docs[text]).alias("h")))
+    met, of, times = _taken(sized, thresholds(sized.select("source", "size", "h")), "source", F.col("h"))
     return met.select("doc_id", "size", of["source_size"].alias("source_size"), of["target"].alias("target"), (F.col("size") * times).alias("taken"))
 
 
 def mix_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of the mix, with all columns; a document that is taken twice has two rows."""
-    places = cut(docs.select(docs[source].alias("source"), words(docs[text]).alias("size"), place(docs[doc_id].cast("long")).alias("h")))
-    met, _, times = _taken(docs, thresholds(places), source, doc_id)
+    places = cut(docs.select(docs[source].alias("source"), words(docs[text]).alias("size"), place(docs[doc_id], docs[text]).alias("h")))
+    met, _, times = _taken(docs, thresholds(places), source, place(docs[doc_id], docs[text]))
     turns = F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<bigint>"))
     turn = fresh("turn", docs.columns)
     return met.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(turns).alias(turn)).drop(turn)
@@ -108,7 +109,7 @@ def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = rf"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) >> 24 AS b FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 15) AS BIGINT) >> 24 AS b FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS w FROM s),
 r AS (SELECT *, coalesce(sum(source_size) OVER o, 0) AS s_before, coalesce(sum(w) OVER o, 0) AS w_before, sum(source_size) OVER () AS all_s, sum(w) OVER () AS all_w FROM w WINDOW o AS (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm._shared import cut
+from graphloom.llm._shared import content_digest, cut, fresh, split_join
 from graphloom.llm._text import LOWER, NON_SPACE, U64, Block, blocks
 from graphloom.llm.components import components
 
@@ -124,14 +124,20 @@ def fingerprints_of(block: Block) -> np.ndarray:
     return majority(xxh64_ranges(buf, starts[word], ends[last]), begins)
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long."""
+def rows_of(docs: DataFrame, doc_id: str, text: str, digest: bool = False) -> DataFrame:
+    """doc_id, text and, if wanted, d: 128 bits of the text's SHA-256, which tell rows of one id apart."""
+    d = [content_digest(docs[text]).alias("d")] if digest else []
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), *d)
+
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+    """doc_id, fp: the fingerprint as a signed long; and d, if wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([block.rows.column(0), pa.array(fingerprints_of(block).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([block.rows.column(0), pa.array(fingerprints_of(block).view(np.int64)), *block.rows.columns[2:]], ["doc_id", "fp", "d"][: block.rows.num_columns])
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return rows_of(docs, doc_id, text, digest).mapInArrow(run, "doc_id long, fp long" + ", d binary" * digest)
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -157,30 +163,35 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def grouped(prints: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """doc_id, fp, component_id of rows (doc_id, fp), where linked gives the links (u, v) of distinct fingerprints (fp)."""
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    """doc_id, fp, component_id and root (of all rows of a group the same fp) of rows (doc_id, fp, others), where linked gives the links (u, v) of distinct fingerprints (fp)."""
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     roots = components(linked(classes.select("fp")))
-    rooted = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = cut(rooted.select("fp", "n", "root").join(least, "root").select("fp", "n", "root", "component_id"))
+    return split_join(prints, named, ["fp"], "n").select("doc_id", "fp", "component_id", "root", *[c for c in prints.columns if c not in ("doc_id", "fp")])
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """doc_id, fp, component_id: of each row, with the smallest id that links reach from it."""
-    prints = cut(fingerprints(docs, doc_id, text))
+    prints = cut(fingerprints(docs, doc_id, text, digest))
     return grouped(prints, links)
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups: Callable[[DataFrame, str, str], DataFrame] = near_duplicates) -> DataFrame:
-    """The rows, with all columns, of the documents with the smallest id of their group; of repeated ids one row
-    stays. Rows without an id stay. The groups are those of near_duplicates, or of another function with its results."""
-    found = cut(groups(docs, doc_id, text))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    kept = docs.join(gone, doc_id, "left_anti")
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).union(kept.where(F.col(doc_id).isNull()))
-    return kept
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """Of each group one row, with all columns: that with the smallest id (none is last), of those with one id that with the least digest of its text, of rows
+    equal in both any one. The groups are those of near_duplicates, or of another function with its results."""
+    found = cut(groups(docs, doc_id, text, True))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "d")
+    first = cut(found.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    met = split_join(found, first, ["root"], "n")
+    gone = met.where(~order.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_gone"), F.col("d").alias("_of")).distinct()
+    d = fresh("d", docs.columns)
+    kept = docs.withColumn(d, content_digest(docs[text]))
+    kept = kept.join(gone, kept[doc_id].cast("long").eqNullSafe(gone["_gone"]) & (kept[d] == gone["_of"]), "left_anti")
+    if met.where(order.eqNullSafe(F.col("first"))).groupBy("root").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([doc_id, d])
+    return kept.drop(d)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -314,10 +314,9 @@ def without_repeats(texts, n):
 
 
 @pytest.mark.parametrize(("few", "batches"), [(64, 3), (1, 5)])
-def test_long_repeats_go(spark, monkeypatch, few, batches):
-    monkeypatch.setattr(suffix_dedup, "FEW", few)
+def test_long_repeats_go(spark, few, batches):
     texts = {k: (t or "").encode() for k, t in TEXTS.items() if k not in (9, 10)} | {30 + i: f"{prose(i, i)} {PASSAGE[: 300 + 9 * i]} {prose(3, 50 + i)}".encode() for i in range(40)}
-    found = suffix_dedup.remove_repeats(spark.createDataFrame([(k, t.decode()) for k, t in texts.items()], "doc_id long, text string"), n_batches=batches)
+    found = suffix_dedup.remove_repeats(spark.createDataFrame([(k, t.decode()) for k, t in texts.items()], "doc_id long, text string"), n_batches=batches, few=few)
     assert {r.doc_id: tuple(r)[1:5] for r in found.collect()} == without_repeats(texts, 400)
 
 
@@ -432,26 +431,3 @@ def test_licenses_in_pieces_and_short_ones_with_a_changed_word():
     found = [[(x["license"], x["coverage"], x["start"], x["stop"]) for x in r] for r in licenses.Index(licenses.TEMPLATES).scan(rows)]
     n = len(ALNUM.findall(" ".join(apart).encode()))
     assert found == [[("MIT-text", 1.0, 30, 30 + n)], [("MIT", 0.8, 1, 6)], [("MIT-text", 1.0, 0, n), ("MIT-text", 1.0, n + 9, 2 * n + 9)], [], []]
-
-
-def test_pipeline_is_its_stages_by_brute_force(spark, tmp_path):
-    from tokenizers import Tokenizer
-
-    items = [(1, prose(20, 4))]
-    texts = TEXTS | {50 + i: prose(60, 500 + i) for i in range(120)}
-    rows = [(k, v, "en", ["a", "b", None, "c"][k % 4], 0) for k, v in texts.items()]
-    spark.createDataFrame(rows, DOC).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    good = {k for k, r in by_id(quality.quality_rules(spark.createDataFrame(rows, DOC))).items() if r.kept}
-    root = roots({k: fingerprint(texts[k]) for k in good})
-    clean = sorted(k for k in good if root[k] == k and not hits(texts[k], items, 10)[1])
-    assert 11 not in clean and {1, 9, 20} <= set(clean) and 2 not in clean
-    left = spark.createDataFrame([r for r in rows if r[0] in set(clean)], DOC)
-    times = {r.doc_id: r.taken // r.size for r in mixture.mixture(left).collect()}
-    assert Counter(r.doc_id for r in found) == Counter({k: n for k, n in times.items() if n})
-    whole, start = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0
-    for r in sorted(found, key=lambda r: r.start):
-        n = len(whole.encode(texts[r.doc_id], add_special_tokens=False).ids) + 1
-        assert (r.start, r.n_tokens) == (start, n)
-        start += n
