@@ -14,6 +14,9 @@ with their bytes and put in true suffix order, where the common prefixes of neig
 tell which windows are equal, byte by byte. Runs of over ``FEW`` suffixes are not held by one task: blocks of ``WIDE`` windows are compared by
 digests (128 bits) of what all their windows share, and of all they cover, and only blocks that the first finds and the second does not settle are compared window by window.
 
+Shorter passages that another text has as well are counted, not removed: each string of ``PASSAGE`` bytes holds a sampled one of ``PASSAGE_LEAD`` bytes, and
+``n_passages`` says how many of a text's sampled strings some other text has.
+
 Documents are judged on the input: first and later occurrences go alike. Null and empty texts have no bytes; repeated rows are repeats of one
 another, also with one id or none; empty tables give no rows. A task indexes a text twice at most however often it holds it: that it is repeated is then known.
 A very long text is cut into overlapping segments. Other columns are not read.
@@ -37,13 +40,14 @@ from graphloom.llm._text import CHUNK, U64, Block, Rolling, as_bytes, blocks, co
 LENGTH = 400
 LEAD = 128
 GRAM = 32
+PASSAGE, PASSAGE_LEAD = 200, 120
 BATCHES = 4
 FEW = 512
 WIDE = 17
 #: Places in one group of runs with few suffixes each, at most (and one run more).
 GROUP_PLACES = 4_000
 NONE = U64(0xFFFFFFFFFFFFFFFF)
-ENTRIES = "d binary, off array<int>, x array<int>, n array<int>, key array<long>, span array<long>"
+ENTRIES = "d binary, off array<int>, x array<int>, n array<int>, key array<long>, span array<long>, passages array<long>"
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -87,20 +91,54 @@ def anchors(block: Block, length: int = LENGTH, lead: int = LEAD, gram: int = GR
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 6
 
 
+def passages(block: Block, length: int = PASSAGE, lead: int = PASSAGE_LEAD, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of the sampled strings, each once a text."""
+    found, step, width = [], CHUNK - length + 1, length - lead + 1
+    for low in range(0, max(1, len(block.buf) - length + 1), step):
+        buf = block.buf[low : low + CHUNK]
+        if len(buf) < length:
+            break
+        rolling, low_bits = Rolling(buf), U64((1 << 21) - 1)
+        grams = rolling.windows(gram)[: len(buf) - lead + 1]
+        chosen = (sliding_min((grams & ~low_bits) | np.arange(len(grams), dtype=U64), width) & low_bits).astype(np.int64)
+        at = np.arange(len(chosen)) + low
+        text = block.text_of(at)
+        good = at + length <= block.first[text + 1] - 1
+        new = good & np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])))
+        found.append((text[new], rolling.windows(lead)[chosen[new]].view(np.int64)))
+    text, key = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    order = np.lexsort((key, text))
+    text, key = text[order], key[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1])
+    return text[new], key[new]
+
+
 def entries(rows: DataFrame, length: int, lead: int, gram: int) -> DataFrame:
-    """The anchors of each text (d, text); a task leaves out what it has met twice."""
+    """The anchors and sampled strings of each text (d, text); a task leaves out what it has met twice."""
+
+    def lists(text: np.ndarray, n: int, values: list[np.ndarray], kinds: list[pa.DataType]) -> list[pa.Array]:
+        cuts = pa.array(np.searchsorted(text, np.arange(n + 1)), pa.int32())
+        return [pa.ListArray.from_arrays(cuts, pa.array(v, t)) for v, t in zip(values, kinds, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = Counter()
-        for block in blocks((_fresh(b, met, length) for b in batches), "text"):
+        for block in blocks((_fresh(b, met, min(length, PASSAGE)) for b in batches), "text"):
             text, *values = anchors(block, length, lead, gram)
-            cuts = pa.array(np.searchsorted(text, np.arange(len(block) + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(v, t)) for v, t in zip(values, (pa.int32(),) * 3 + (pa.int64(),) * 2, strict=True)]
-            yield pa.RecordBatch.from_arrays([block.rows.column(0), *lists], [x.split()[0] for x in ENTRIES.split(", ")])
+            held, keys = passages(block)
+            columns = lists(text, len(block), values, [pa.int32()] * 3 + [pa.int64()] * 2) + lists(held, len(block), [keys], [pa.int64()])
+            yield pa.RecordBatch.from_arrays([block.rows.column(0), *columns], [x.split()[0] for x in ENTRIES.split(", ")])
 
     return rows.mapInArrow(run, ENTRIES)
 
 
+def shared_passages(lists: DataFrame) -> DataFrame:
+    """d, n_passages: the sampled strings of a text that come from somewhere else too."""
+    keyed = lists.select("d", F.explode("passages").alias("k"))
+    often = cut(keyed.groupBy("k").agg(F.count("*").alias("times")).where("times > 1"))
+    return split_join(keyed, often, ["k"], "times").groupBy("d").agg(F.size(F.collect_set("k")).cast("long").alias("n_passages"))
+
+
 def _fresh(batch: pa.RecordBatch, met: Counter, length: int) -> pa.RecordBatch:
     """The rows whose text is long enough and was met less than twice before."""
     keep = []
@@ -273,11 +311,11 @@ def _many(held: DataFrame, length: int) -> DataFrame:
     return settled.union(single).groupBy("key", "span").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>, n_passages long"
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, lead: int = LEAD, gram: int = GRAM, n_batches: int = BATCHES, few: int = FEW) -> DataFrame:
-    """One row a document: bytes, bytes removed, the removed runs (spans), and the digest of what is left."""
+    """One row a document: bytes, bytes removed, the removed runs (spans), the digest of what is left, and its shared passages."""
     spark, text_of = docs.sparkSession, F.coalesce(docs[text].cast("string"), F.lit(""))
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), content_digest(text_of).alias("d"), text_of.alias("text"))
     lists, folder = written(entries(rows.select("d", "text"), length, lead, gram), "entries")
@@ -287,6 +325,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         family.add(lists.where(F.pmod(F.xxhash64("d"), F.lit(n_batches)) == k).select(F.explode(F.arrays_zip("key", "span")).alias("e")).select("e.*"))
     met, met_folder = written(split_join(places, family.runs(), ["key"], "c"), "met")
     family.close()
+    told = cut(shared_passages(lists))
     drop(spark, folder)
     whole = met.where("lo = hi").select("d", "off", "n", F.lit(0).alias("a"), F.col("n").alias("b"))
     mixed = met.where("lo < hi")
@@ -303,15 +342,16 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     some_met = split_join(mixed.select("d", "off", "n", "key", "span"), found, ["key", "span"], "k")
     part = some_met.select("d", "off", "n", F.explode(F.coalesce("runs", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))))).alias("r")).select("d", "off", "n", "r.*")
     hits = whole.union(part).select("d", (F.col("off") + F.col("a")).alias("start"), (F.col("off") + F.col("b") - 1 + length).alias("stop"))
-    by_doc, _ = written(hits.groupBy("d").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).join(copies, "d"), "hits")
+    by_doc = hits.groupBy("d").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).join(told, "d", "full")
+    by_doc, _ = written(by_doc.join(copies, "d"), "hits")
     drop(spark, met_folder)
     drop(spark, held_folder)
     return _apply(rows, by_doc)
 
 
 def _apply(rows: DataFrame, by_doc: DataFrame) -> DataFrame:
-    met = split_join(rows, by_doc, ["d"], "copies", "left").select("doc_id", "text", "spans")
-    names = [x.split()[0] for x in RESULT.split(", ")[:5]] + ["spans"]
+    met = split_join(rows, by_doc, ["d"], "copies", "left").select("doc_id", "text", "spans", F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"))
+    names = [x.split()[0] for x in RESULT.split(", ")[:5]] + ["spans", "n_passages"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,7 +363,7 @@ def _apply(rows: DataFrame, by_doc: DataFrame) -> DataFrame:
                 runs = _bounds(gone)
                 out.append((len(text), len(text) - len(left), len(runs), hashlib.sha256(left).hexdigest(), [{"start": a, "stop": b} for a, b in runs]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ((),) * 5, kinds, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ((),) * 5, kinds, strict=True)), batch.column(3)], names)
 
     return met.mapInArrow(run, RESULT)
 
