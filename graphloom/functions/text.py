@@ -61,3 +61,39 @@ def chunks(docs: DataFrame, doc: str, text: str) -> DataFrame:
     made = parts.groupBy(doc, "doc_chars").agg(F.array_sort(F.collect_list(F.struct("s", packed.alias("c")))).alias("all"))
     flat = made.select(doc, "doc_chars", F.posexplode_outer(F.flatten(F.transform("all", lambda x: F.coalesce(x["c"], F.array().cast("array<string>"))))).alias("chunk_index", "chunk"))
     return flat.select(doc, "chunk_index", F.concat_ws("#", F.col(doc).cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "chunk", "doc_chars")
+
+
+# Types of queries in the order in which ties go, and the words that tell them.
+TYPES = {
+    "impact": (
+        "影响", "波及", "牵连", "牵一发", "改动", "改了", "要改", "改哪", "改什么", "依赖谁", "谁依赖", "谁用了", "谁调用", "被谁", "调用方", "消费方", "影响面", "前后端", "跨层", "链路", "改这张表", "改这个表", "改接口", "改端点",
+        "被哪些", "哪些函数", "哪些端点", "哪些接口", "哪些页面", "哪些前端", "读写", "读取", "写入", "消费", "使用了", "删掉", "字段", "出问题", "哪些模块", "依赖模块", "影响哪些模块", "列出所有依赖", "数据库表",
+        "impact", "affect", "blast radius", "who uses", "who calls", "depend on", "break", "data flow", "database table", "database tables", "everything that touches", "touches the", "rest api", "down to the database",
+    ),
+    "symbol": (
+        "函数", "方法", "类", "定义", "签名", "实现", "在哪", "在哪里", "哪个文件", "调用了谁", "调了谁", "内部调用", "长啥样", "代码里", "callees", "callers",
+        "where is", "definition", "signature", "implemented", "calls what", "called by", "call graph",
+    ),
+    "doc_rule": (
+        "规则", "约定", "为什么", "为啥", "设计", "原因", "文档", "事故", "复盘", "操作", "手册", "怎么做", "如何", "应该遵守", "最佳实践", "规范", "考量", "背后的", "提交前", "检查",
+        "rule", "why", "design", "convention", "should i", "how to", "best practice", "guideline", "rationale", "behind using",
+    ),
+    "overview": (
+        "概览", "总览", "整体", "干啥", "干什么", "是什么", "做什么", "用来做", "介绍", "项目结构", "目录结构", "技术栈", "有什么用", "这个项目", "这个仓", "定位", "大局", "整体图景",
+        "overview", "what does this", "what is this", "purpose of", "high level", "high-level", "walk me through", "how the", "pipeline works", "bigger picture", "role in the bigger picture",
+    ),
+}
+
+
+def classify(question: Column) -> Column:
+    """The type of which the question holds most words, of several the first of TYPES, without any general."""
+    q = F.lower(F.coalesce(question, F.lit("")))
+    counts = [F.struct(F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(q, w))).alias("n"), F.lit(-i).alias("p"), F.lit(name).alias("type")) for i, (name, words) in enumerate(TYPES.items())]
+    best = F.array_max(F.array(*counts))
+    return F.when(best["n"] > 0, best["type"]).otherwise("general")
+
+
+def is_test(name: Column, file: Column) -> Column:
+    """Names that begin with test_, files of tests folders, and files named as tests."""
+    n, f = F.lower(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(file, F.lit("")))
+    return F.startswith(n, F.lit("test_")) | f.rlike(r"^tests/|/tests?/|_test\.py$|\.(test|spec)\.ts$")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,17 +20,33 @@ def judged(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return every.select("q", F.when(F.col("n") > 0, found / F.col("n")).otherwise(0.0).alias("recall"), (found > 0).alias("hit"), (found / F.lit(k)).alias("precision"), F.coalesce(1 / (F.col("first") + 1), F.lit(0.0)).alias("rr"), F.when(F.col("n") > 0, F.coalesce("dcg", F.lit(0.0)) / ideal).otherwise(0.0).alias("ndcg"))
 
 
-def bootstrap(values: DataFrame, column: str, rounds: int = 2000, alpha: float = 0.05, seed: int = 12345) -> DataFrame:
-    """Percentile interval of the mean over resamples. A row of the values (one a query of a test set) counts as often in a resample
-    as a Poisson draw says, so that resamples are sums and no resample is gathered."""
-    draws = values.select(F.col(column).alias("v"), F.xxhash64(F.col(column), F.monotonically_increasing_id()).alias("h")).select("v", "h", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("r"))
-    u = (F.pmod(F.xxhash64("h", "r", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cuts, p, total, n = [], 0.36787944117144233, 0.0, F.lit(0)
-    for i in range(9):
+def _poisson_cuts(n: int = 9) -> list[float]:
+    """P(a Poisson draw of mean 1 is at most i), for i from 0."""
+    cuts, p, total = [], math.exp(-1), 0.0
+    for i in range(n):
         total += p
         cuts.append(total)
         p /= i + 1
-    for c in cuts:
-        n = n + (u > c).cast("int")
-    means = draws.withColumn("n", n).groupBy("r").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("m")).where("m IS NOT NULL")
-    return means.agg(F.expr(f"percentile(m, {alpha / 2})").alias("low"), F.expr(f"percentile(m, {1 - alpha / 2})").alias("high"))
+    return cuts
+
+
+CUTS = _poisson_cuts()
+
+
+def bootstrap(values: DataFrame, column: str, key: list[str], rounds: int = 2000, alpha: float = 0.05, seed: int = 12345) -> DataFrame:
+    """low, high: percentile interval of the mean over resamples; both null without values, both the value if there is one.
+
+    A row counts as often in a resample as a Poisson draw says that hangs on its key, the round and the seed alone, so that resamples are sums, no resample
+    is gathered, and the interval does not move with the partitions."""
+    name = F.concat_ws(":", *(F.col(c).cast("string") for c in key))
+    draws = values.select(F.col(column).cast("double").alias("v"), name.alias("k"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("r"))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", "k", F.col("r").cast("string"), F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    times = sum((u > c).cast("int") for c in CUTS)
+    means = draws.withColumn("n", times).groupBy("r").agg((F.sum(F.col("v") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("m")).where("m IS NOT NULL")
+    placed = means.withColumn("i", F.row_number().over(Window.orderBy("m")) - 1)  # as many rows as rounds
+    n = F.count("*")
+    one = F.lit(values.limit(2).count() == 1)
+    at = lambda i: F.max(F.when(F.col("i") == i, F.col("m")))
+    low, high = at(int(alpha / 2 * rounds)), at(min(rounds - 1, int((1 - alpha / 2) * rounds)))
+    mean = F.max("m")
+    return placed.agg(F.when(one, mean).otherwise(low).alias("low"), F.when(one, mean).otherwise(high).alias("high"), n.alias("_n")).drop("_n")

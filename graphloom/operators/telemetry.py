@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.measures import rank_of
+from graphloom.operators.shared import cut
+
+
+#: Ranges of values that are counted in a round, and rounds.
+BINS, ROUNDS = 1024, 2
+
 
+def percentile(df: DataFrame, keys: list[str], value: str, ps: dict[str, float | Callable[[Column], Column]], places: int | None = 1) -> DataFrame:
+    """Nearest-rank percentiles by key: of a share (its place is rank_of), or of a function from the number of values to a place from 1.
 
-def percentile(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles by key. Values are counted first, and ranks are running counts of those, so that a hot key's
-    rows meet in no task but its distinct values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
-    run = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys).orderBy(value)))
-    met = run.join(total, keys) if keys else run.withColumn("_all", F.sum("_n").over(Window.partitionBy()))
-    return met.groupBy(*keys).agg(*(F.round(F.min(F.when(F.col("_upto") >= rank_of(p, F.col("_all")), F.col(value))), 1).alias(name) for name, p in ps.items()))
+    Values are counted in BINS ranges between the least and the greatest of a key; only the range in which a place lies is counted again, in as many ranges of its own, and only
+    what is left after ROUNDS rounds is put in order. So a hot key's values meet in no task."""
+    held = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), F.lit(0).alias("_k"))
+    on = [*keys, "_k"]
+    whole = held.groupBy(*on).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_all"))
+    places_ = [F.struct(F.lit(name).alias("name"), (p(F.col("_all")) if callable(p) else rank_of(p, F.col("_all"))).cast("long").alias("rank")) for name, p in ps.items()]
+    state = cut(whole.select(*on, "_lo", "_hi", F.explode(F.array(*places_)).alias("_p")).select(*on, "_lo", "_hi", F.col("_p.name").alias("_name"), F.col("_p.rank").alias("_rank")))
+    for _ in range(ROUNDS):
+        width = (F.col("_hi") - F.col("_lo")) / BINS
+        rows = held.join(state, on).where("_v BETWEEN _lo AND _hi")
+        bins = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(BINS - 1))).otherwise(0)
+        counts = rows.groupBy(*on, "_name", "_rank", bins.alias("_b")).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        run = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*on, "_name").orderBy("_b")))
+        first = run.where(F.col("_upto") >= F.col("_rank")).groupBy(*on, "_name").agg(F.min(F.struct("_b", "_lo", "_hi", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"))).alias("m"))
+        state = cut(first.select(*on, F.col("m._lo").alias("_lo"), F.col("m._hi").alias("_hi"), "_name", F.col("m._rank").alias("_rank")))
+    last = held.join(state, on).where("_v BETWEEN _lo AND _hi").groupBy(*on, "_name", "_rank", "_v").agg(F.count("*").alias("_n"))
+    found = last.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*on, "_name").orderBy("_v"))).where(F.col("_upto") >= F.col("_rank"))
+    out = lambda c: F.round(c, places) if places is not None else c
+    one = found.groupBy(*on, "_name").agg(F.min("_v").alias("_v"))
+    return one.groupBy(*on).agg(*(out(F.max(F.when(F.col("_name") == name, F.col("_v")))).alias(name) for name in ps)).drop("_k")
 
 
 def usage_rollup(calls: DataFrame, cost: Column) -> DataFrame:

@@ -1,18 +1,17 @@
-"""Plans that judge rankings: BM25 results against documents that hold half of a query's words."""
+"""Plans that judge rankings and answers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.ranking import bootstrap, judged
+from graphloom.operators.ranking import CUTS, bootstrap, judged
 from graphloom.plans.registry import query
-from graphloom.plans.retrieval import _TOPN, asked, text_hits
-from graphloom.operators.retrieval import tokens
+from graphloom.plans.retrieval import _TOPN, asked, index, text_hits
 from graphloom.sources.tables import Tables
 
 K = 10
-_JUDGED = f"""{_TOPN}, rel AS (SELECT q, doc AS ref FROM p JOIN q USING (term) WHERE doc % 3 = 0 AND dl < 400 GROUP BY q, doc HAVING count(*) >= 3),
+_JUDGED = f"""{_TOPN}, nt AS (SELECT q, count(*) AS k FROM q GROUP BY q), rel AS (SELECT q, doc AS ref FROM p JOIN q USING (term) JOIN nt USING (q) GROUP BY q, doc, k HAVING 2 * count(*) >= k),
 res AS (SELECT q, doc AS ref, rank FROM bm WHERE rank < 30), n AS (SELECT q, count(*) AS n FROM rel GROUP BY q),
 t10 AS (SELECT q, count(*) AS found, sum(1 / log2(rank + 2)) AS dcg FROM res JOIN rel USING (q, ref) WHERE rank < {K} GROUP BY q), f AS (SELECT q, min(rank) AS first FROM res JOIN rel USING (q, ref) GROUP BY q),
 every AS (SELECT q FROM res UNION SELECT q FROM rel),
@@ -20,9 +19,10 @@ j AS (SELECT e.q, coalesce(CAST(found AS DOUBLE) / n, 0) AS recall, coalesce(fou
 
 
 def judgements(t: Tables) -> DataFrame:
-    words = t.documents.select(F.col("doc_id").alias("ref"), tokens(F.col("text")).alias("w")).where(F.size("w") < 400).where("ref % 3 = 0")
-    held = words.select("ref", F.explode(F.array_distinct("w")).alias("term")).join(asked(t), "term")
-    relevant = held.groupBy("q", "ref").agg(F.count("*").alias("c")).where("c >= 3")
+    """Relevant is a document that holds half of a query's words."""
+    words = asked(t)
+    held = index(t).postings.select("term", F.col("doc").alias("ref")).join(words, "term").groupBy("q", "ref").agg(F.count("*").alias("c"))
+    relevant = held.join(words.groupBy("q").agg(F.count("*").alias("k")), "q").where("2 * c >= k")
     return judged(text_hits(t).select("q", F.col("doc").alias("ref"), "rank"), relevant, K)
 
 
@@ -66,6 +66,11 @@ def accuracy(t: Tables) -> DataFrame:
     return t.labels.agg(F.round(F.coalesce(F.try_divide(F.count_if(F.col("quality") == 1), F.count("*")), F.lit(0.0)), 6).alias("accuracy"))
 
 
-@query("agg-46", None)
+_DRAWS = ", ".join(f"{c!r}" for c in CUTS)
+
+
+@query("agg-46", f"""WITH d AS (SELECT r, quality, CAST('0x' || substr(md5(CAST(doc_id AS STRING) || ':' || CAST(r AS STRING) || ':12345'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM labels, unnest(range(1, 201)) AS x(r)),
+m AS (SELECT r, sum(quality * k) / sum(k)::DOUBLE AS m FROM (SELECT r, quality, len(list_filter([{_DRAWS}], lambda c: u > c)) AS k FROM d) GROUP BY r HAVING sum(k) > 0) SELECT round(max(CASE WHEN i = 6 THEN m END), 6) AS low, round(max(CASE WHEN i = 196 THEN m END), 6) AS high FROM (SELECT m, row_number() OVER (ORDER BY m) AS i FROM m)""")
 def interval(t: Tables) -> DataFrame:
-    return bootstrap(judgements(t).select("ndcg"), "ndcg")
+    found = bootstrap(t.labels.where("quality IS NOT NULL"), "quality", ["doc_id"], rounds=200)
+    return found.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.kinds import LAYERS, SOFT_EDGES, SOFT_NODES, community_factor, edge_quality, is_certain, is_soft_edge, is_soft_node, layer_of
-from graphloom.operators.cleanse import dedup_edges, dedup_nodes, impact_graph
-from graphloom.operators.traverse import best_paths, reach
+from graphloom.operators.cleanse import dedup_edges, dedup_nodes
+from graphloom.operators.traverse import best_paths, path_steps, reach
 from graphloom.plans.registry import query
+from graphloom.sources.prepared import prepared
 from graphloom.sources.tables import Tables, with_derived
 
 START = "shop:db_table:r1"
@@ -31,33 +32,14 @@ w AS (SELECT * FROM w0 WHERE depth > 0)"""
 
 
 def graph(t: Tables, **options: bool) -> tuple[DataFrame, DataFrame]:
-    return impact_graph(t.nodes, t.edges, **options)
+    g = prepared(t, **options)
+    return g.nodes, g.edges
 
 
 def one(t: Tables, node_id: str) -> DataFrame:
     return t.spark.createDataFrame([(node_id,)], "id string")
 
 
-@query("src-01", with_derived("SELECT source, target, kind, plugin, confidence FROM edges", "edges"))
-def graph_scan(t: Tables) -> DataFrame:
-    return t.edges.select("source", "target", "kind", "plugin", "confidence")
-
-
-@query("src-03", with_derived("SELECT id, plugin, kind FROM (SELECT *, row_number() OVER (PARTITION BY plugin, id ORDER BY ord DESC) AS rn FROM nodes) WHERE rn = 1", "nodes"))
-def replace_by_plugin(t: Tables) -> DataFrame:
-    from graphloom.sources.store import GraphStore
-
-    store = GraphStore.temporary(t.spark)
-    store.replace("nodes", t.nodes.where("plugin <> 'vue'"), ["id"])
-    store.replace("nodes", t.nodes, ["id"])
-    return store.read("nodes").select("id", "plugin", "kind")
-
-
-@query("src-06", with_derived("SELECT 'edges' AS what, plugin, count(*) AS n FROM edges GROUP BY plugin UNION ALL SELECT 'nodes', plugin, count(*) FROM nodes GROUP BY plugin", "nodes", "edges"))
-def store_stats(t: Tables) -> DataFrame:
-    return t.edges.groupBy(F.lit("edges").alias("what"), "plugin").agg(F.count("*").alias("n")).union(t.nodes.groupBy(F.lit("nodes").alias("what"), "plugin").agg(F.count("*").alias("n")))
-
-
 @query("flt-01", with_derived(f"SELECT id, kind IN ({_SOFT_N}) AS soft FROM nodes", "nodes"))
 def soft_nodes(t: Tables) -> DataFrame:
     return t.nodes.select("id", is_soft_node(F.col("kind")).alias("soft"))
@@ -93,11 +75,6 @@ def drift_brief(t: Tables) -> DataFrame:
     return t.nodes.where("kind = 'frontend_api_call'").select("id", "name", "file", "line", *(F.nullif(F.col(c), F.lit("")).alias(c) for c in ("url", "http_method", "operation_id", "service")))
 
 
-@query("flt-20", with_derived("SELECT id, ord, coalesce(file LIKE '%/pages/%' OR file LIKE '%/views/%', false) AS page FROM nodes", "nodes"))
-def page_heuristic(t: Tables) -> DataFrame:
-    return t.nodes.select("id", "ord", F.coalesce(F.col("file").rlike("/(pages|views)/"), F.lit(False)).alias("page"))
-
-
 @query("flt-24", with_derived("SELECT a.id AS call, b.id AS endpoint FROM (SELECT id, url FROM nodes WHERE kind = 'frontend_api_call' AND url IS NOT NULL) a JOIN (SELECT id, url FROM nodes WHERE kind = 'backend_endpoint') b ON a.url = b.url", "nodes"))
 def template_match(t: Tables) -> DataFrame:
     from graphloom.operators.links import match_templates
@@ -124,8 +101,7 @@ def edge_dedup(t: Tables) -> DataFrame:
 
 
 def _reached(t: Tables, start: str, reverse: bool, depth: int = 10) -> DataFrame:
-    nodes, edges = graph(t)
-    return reach(edges, one(t, start), reverse, depth).where("depth > 0").join(nodes, "id").select("id", "kind", "name", layer_of(F.col("kind")).alias("layer"), "depth", "file", "is_page", is_certain(F.col("confidence")).alias("certain"))
+    return prepared(t).reach(one(t, start), reverse, depth).select("id", "kind", "name", layer_of(F.col("kind")).alias("layer"), "depth", "file", "is_page")
 
 
 def _from(node_id: str) -> str:
@@ -139,7 +115,9 @@ def bounded_bfs(t: Tables) -> DataFrame:
 
 @query("grf-02", with_derived(walked(_from("shop:frontend_api_call:c7"), False, 6) + " SELECT w.id, w.depth FROM w", "nodes", "edges"))
 def call_closure(t: Tables) -> DataFrame:
-    return reach(graph(t)[1], one(t, "shop:frontend_api_call:c7"), False, 6).where("depth > 0").select("id", "depth")
+    """At most six hops, and none once over 400 ids are visited; ids that are no nodes count."""
+    g = prepared(t)
+    return g.names.join(g.depths(one(t, "shop:frontend_api_call:c7"), False, 6, 400).where("depth > 0"), "key").select("id", "depth")
 
 
 @query("grf-06", with_derived(walked(_from(START), True) + f" SELECT layer, depth, count(*) AS n FROM (SELECT {LAYER} AS layer, w.depth FROM w JOIN n ON n.id = w.id) GROUP BY layer, depth", "nodes", "edges"))
@@ -154,9 +132,8 @@ def table_usage(t: Tables) -> DataFrame:
 
 @query("grf-08", with_derived(walked("SELECT 'shop:frontend_component:o' || CAST(min(o_orderkey) AS STRING) AS id FROM orders WHERE o_orderkey % 5 = 0", False) + " SELECT n.id, n.kind, w.depth FROM w JOIN n ON n.id = w.id", "nodes", "edges"))
 def page_dependencies(t: Tables) -> DataFrame:
-    nodes, edges = graph(t)
     start = t.orders.where("o_orderkey % 5 = 0").agg(F.concat(F.lit("shop:frontend_component:o"), F.min("o_orderkey").cast("string")).alias("id"))
-    return reach(edges, start, False).where("depth > 0").join(nodes, "id").select("id", "kind", "depth")
+    return prepared(t).reach(start, False).select("id", "kind", "depth")
 
 
 @query("grf-09", with_derived(GRAPH + ", m AS (SELECT id FROM n WHERE lower(name) = lower('ASIA') AND kind = 'db_table') SELECT id, (SELECT count(*) FROM m) AS candidates FROM m", "nodes", "edges"))
@@ -181,9 +158,9 @@ def impacted_pages(t: Tables) -> DataFrame:
 
 @query("grf-12", with_derived(walked("SELECT id FROM n WHERE kind = 'backend_endpoint' AND url = '/parts/7'", True) + f" SELECT n.id, w.depth FROM w JOIN n ON n.id = w.id WHERE {LAYER} = 'frontend'", "nodes", "edges"))
 def api_callers(t: Tables) -> DataFrame:
-    nodes, edges = graph(t)
-    starts = nodes.where("kind = 'backend_endpoint' AND url = '/parts/7'").select("id")
-    return reach(edges, starts, True).where("depth > 0").join(nodes.where(layer_of(F.col("kind")) == "frontend"), "id").select("id", "depth")
+    g = prepared(t)
+    starts = g.nodes.where("kind = 'backend_endpoint' AND url = '/parts/7'").select("id")
+    return g.reach(starts, True).where(layer_of(F.col("kind")) == "frontend").select("id", "depth")
 
 
 @query("grf-13", with_derived(GRAPH + " SELECT id, name FROM n WHERE lower(name) = lower(trim(' Asia '))", "nodes", "edges"))
@@ -193,38 +170,62 @@ def name_lookup(t: Tables) -> DataFrame:
 
 @query("grf-18", with_derived(walked("SELECT id FROM n WHERE kind = 'backend_endpoint' AND url = '/parts/7'", False, 6) + " SELECT n.id, w.depth FROM w JOIN n ON n.id = w.id WHERE n.kind = 'db_table'", "nodes", "edges"))
 def downstream_tables(t: Tables) -> DataFrame:
-    nodes, edges = graph(t)
-    starts = nodes.where("kind = 'backend_endpoint' AND url = '/parts/7'").select("id")
-    return reach(edges, starts, False, 6).where("depth > 0").join(nodes.where("kind = 'db_table'"), "id").select("id", "depth")
+    g = prepared(t)
+    starts = g.nodes.where("kind = 'backend_endpoint' AND url = '/parts/7'").select("id")
+    return g.reach(starts, False, 6).where("kind = 'db_table'").select("id", "depth")
+
+
+def _hop(k: int) -> str:
+    here = "q WHERE here = 'shop:db_table:n3'" if k == 1 else f"h{k - 1} JOIN q ON q.here = h{k - 1}.id"
+    return f"h{k} AS MATERIALIZED (SELECT there AS id, max({'q' if k == 1 else 's * q'}) AS s FROM {here} GROUP BY there)"
+
+
+_GROUPS = "SELECT 'shop:frontend_api_call:c' || CAST(c_custkey AS STRING) AS id, CAST(c_nationkey AS STRING) AS c FROM customer UNION ALL SELECT 'shop:backend_endpoint:p' || CAST(p_partkey AS STRING), CAST(p_size AS STRING) FROM part"
+_PATHS = f"""{GRAPH}, f AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY ord) AS rk FROM e), grp AS ({_GROUPS}),
+q AS MATERIALIZED (SELECT target AS here, source AS there, max(coalesce(confidence, 1) * CASE src WHEN 'ast' THEN 1.0::DOUBLE WHEN 'framework' THEN 1.0::DOUBLE WHEN 'bridge' THEN 1.0::DOUBLE WHEN 'regex' THEN 0.7::DOUBLE ELSE 0.85::DOUBLE END * CASE f.kind WHEN 'imports' THEN 0.85::DOUBLE WHEN 'relates_to' THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN x.c <> y.c THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END * 0.9::DOUBLE) AS q
+ FROM f JOIN n ON n.id = f.source LEFT JOIN grp x ON x.id = f.target LEFT JOIN grp y ON y.id = f.source WHERE rk <= 60 GROUP BY 1, 2),
+{", ".join(_hop(k) for k in range(1, 11))},
+every AS ({" UNION ALL ".join(f"SELECT id, s, {k} AS depth FROM h{k}" for k in range(1, 11))}),
+b AS (SELECT id, max(s) AS s, CAST(arg_max(depth, (round(s, 12), -depth)) AS INT) AS depth FROM every WHERE id <> 'shop:db_table:n3' GROUP BY id)"""
+
 
+def communities_of(t: Tables) -> DataFrame:
+    """Customers by nation and parts by size, in place of communities that were found before."""
+    name = lambda kind, c: F.concat(F.lit(f"shop:{kind}"), F.col(c).cast("string")).alias("id")
+    return t.customer.select(name("frontend_api_call:c", "c_custkey"), F.col("c_nationkey").cast("string").alias("community")).union(t.part.select(name("backend_endpoint:p", "p_partkey"), F.col("p_size").cast("string")))
 
-_PATHS = GRAPH + """, f AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY ord) AS rk FROM e),
-q AS (SELECT target AS here, source AS there, max(coalesce(confidence, 1) * CASE src WHEN 'ast' THEN 1.0::DOUBLE WHEN 'framework' THEN 1.0::DOUBLE WHEN 'bridge' THEN 1.0::DOUBLE WHEN 'regex' THEN 0.7::DOUBLE ELSE 0.85::DOUBLE END * CASE f.kind WHEN 'imports' THEN 0.85::DOUBLE WHEN 'relates_to' THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END) AS q FROM f JOIN n ON n.id = f.source WHERE rk <= 60 GROUP BY 1, 2),
-h1 AS (SELECT there AS id, max(q * 0.9::DOUBLE) AS s FROM q WHERE here = 'shop:db_table:n3' GROUP BY there),
-h2 AS (SELECT there AS id, max(s * q * 0.9::DOUBLE) AS s FROM h1 JOIN q ON q.here = h1.id GROUP BY there),
-h3 AS (SELECT there AS id, max(s * q * 0.9::DOUBLE) AS s FROM h2 JOIN q ON q.here = h2.id GROUP BY there),
-h4 AS (SELECT there AS id, max(s * q * 0.9::DOUBLE) AS s FROM h3 JOIN q ON q.here = h3.id GROUP BY there),
-h5 AS (SELECT there AS id, max(s * q * 0.9::DOUBLE) AS s FROM h4 JOIN q ON q.here = h4.id GROUP BY there),
-h6 AS (SELECT there AS id, max(s * q * 0.9::DOUBLE) AS s FROM h5 JOIN q ON q.here = h5.id GROUP BY there),
-b AS (SELECT id, max(s) AS s FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3 UNION ALL SELECT * FROM h4 UNION ALL SELECT * FROM h5 UNION ALL SELECT * FROM h6) WHERE id <> 'shop:db_table:n3' GROUP BY id)"""
 
+def _scored(t: Tables) -> DataFrame:
+    g = prepared(t)
+    return best_paths(path_steps(g.nodes, g.edges, True, communities_of(t)), one(t, "shop:db_table:n3")).where("id <> 'shop:db_table:n3'")
 
-@query("grf-05", with_derived(_PATHS + " SELECT id, round(s, 4) AS score FROM b", "nodes", "edges"))
+
+@query("grf-05", with_derived(_PATHS + " SELECT id, round(s, 9) AS score FROM b", "nodes", "edges"))
 def best_product_paths(t: Tables) -> DataFrame:
-    nodes, edges = graph(t)
-    return best_paths(nodes, edges, one(t, "shop:db_table:n3")).where("id <> 'shop:db_table:n3'").select("id", F.round("score", 4).alias("score"))
+    return _scored(t).select("id", F.round("score", 9).alias("score"))
 
 
-@query("top-03", with_derived(_PATHS + " SELECT id, round(s, 4) AS score FROM b ORDER BY 2 DESC, id LIMIT 10", "nodes", "edges"))
+@query("top-03", with_derived(_PATHS + " SELECT id, depth, round(s, 9) AS score FROM b ORDER BY round(s, 4) DESC, depth, id LIMIT 10", "nodes", "edges"))
 def top_paths(t: Tables) -> DataFrame:
-    nodes, edges = graph(t)
-    found = best_paths(nodes, edges, one(t, "shop:db_table:n3")).where("id <> 'shop:db_table:n3'")
-    return found.select("id", F.round("score", 4).alias("score")).orderBy(F.desc("score"), "id").limit(10)
+    return _scored(t).orderBy(F.desc(F.round("score", 4)), "depth", "id").limit(10).select("id", "depth", F.round("score", 9).alias("score"))
 
 
-@query("agg-03", with_derived(walked(_from("shop:db_table:n3"), True) + f" SELECT {LAYER} AS layer, count(*) AS n, min(w.depth) AS nearest FROM w JOIN n ON n.id = w.id GROUP BY 1", "nodes", "edges"))
+def discovered(start: str, depth: int = 10) -> str:
+    """CTE d (id, depth, confidence): the first discovery of each id, walking against the edges; of those of one hop, by the ordinals on the way."""
+    hops = ["d0 AS (SELECT '" + start + "' AS id, 0 AS depth, [0::BIGINT] AS turn, NULL::DOUBLE AS confidence)"]
+    for k in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT id FROM d{i}" for i in range(k))
+        hops.append(f"d{k} AS MATERIALIZED (SELECT id, {k} AS depth, turn, confidence FROM (SELECT e.source AS id, list_append(p.turn, e.ord) AS turn, e.confidence, row_number() OVER (PARTITION BY e.source ORDER BY list_append(p.turn, e.ord), p.id) AS rn FROM d{k - 1} p JOIN e ON e.target = p.id WHERE e.source NOT IN ({seen})) WHERE rn = 1)")
+    return f"{GRAPH}, {', '.join(hops)}, d AS ({' UNION ALL '.join(f'SELECT id, depth, confidence FROM d{k}' for k in range(1, depth + 1))})"
+
+
+@query("agg-03", with_derived(discovered("shop:db_table:n3") + f" SELECT {LAYER} AS layer, count(*) AS n, min(d.depth) AS nearest, count(*) FILTER (WHERE coalesce(d.confidence, 1) >= CAST(0.7 AS DOUBLE)) AS certain, count(*) FILTER (WHERE coalesce(d.confidence, 1) < CAST(0.7 AS DOUBLE)) AS candidates FROM d JOIN n ON n.id = d.id GROUP BY 1", "nodes", "edges"))
 def impact_grouping(t: Tables) -> DataFrame:
-    return _reached(t, "shop:db_table:n3", True).groupBy("layer").agg(F.count("*").alias("n"), F.min("depth").alias("nearest"))
+    """By layer: how many are reached, and of how many the edge of the first discovery is certain."""
+    nodes, edges = graph(t)
+    found = reach(edges, one(t, "shop:db_table:n3")).where("depth > 0").join(nodes.select("id", layer_of(F.col("kind")).alias("layer")), "id")
+    sure = F.count_if(is_certain(F.col("confidence")))
+    return found.groupBy("layer").agg(F.count("*").alias("n"), F.min("depth").alias("nearest"), sure.alias("certain"), (F.count("*") - sure).alias("candidates"))
 
 
 @query("agg-04", with_derived(walked(_from("shop:db_table:n3"), True) + f""", g AS (SELECT {LAYER} AS layer, n.name FROM w JOIN n ON n.id = w.id),
@@ -232,7 +233,9 @@ c AS (SELECT count(*) AS total, max(CASE WHEN layer = 'frontend' THEN 1 ELSE 0 E
 SELECT g.layer, count(*) AS n, array_to_string(list_sort(list_distinct(list(g.name)))[1:10], ', ') AS preview, CASE WHEN c.f = 1 AND c.k >= 2 THEN 'high' WHEN c.total > 0 THEN 'medium' ELSE 'low' END AS risk FROM g, c GROUP BY g.layer, c.f, c.k, c.total""", "nodes", "edges"))
 def impact_report(t: Tables) -> DataFrame:
     found = _reached(t, "shop:db_table:n3", True)
-    by = found.groupBy("layer").agg(F.count("*").alias("n"), F.concat_ws(", ", F.slice(F.sort_array(F.collect_set("name")), 1, 10)).alias("preview"))
+    first = found.select("layer", "name").distinct().withColumn("rn", F.row_number().over(Window.partitionBy("layer").orderBy("name"))).where("rn <= 10")
+    preview = first.groupBy("layer").agg(F.concat_ws(", ", F.sort_array(F.collect_list("name"))).alias("preview"))
+    by = found.groupBy("layer").agg(F.count("*").alias("n")).join(preview, "layer").select("layer", "n", "preview")
     every = Window.partitionBy()
     front, hit = F.max((F.col("layer") == "frontend").cast("int")).over(every), F.sum((F.col("layer") != "other").cast("int")).over(every)
     return by.withColumn("risk", F.when((front == 1) & (hit >= 2), "high").otherwise("medium"))
@@ -268,8 +271,7 @@ SELECT round(sum(coalesce(i.w, 0) / t.m::DOUBLE - (d.w / (2 * t.m::DOUBLE)) ^ 2)
 def modularity_of(t: Tables) -> DataFrame:
     from graphloom.operators.community import modularity
 
-    groups = t.customer.select(F.concat(F.lit("shop:frontend_api_call:c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_nationkey").cast("string").alias("community")).union(t.part.select(F.concat(F.lit("shop:backend_endpoint:p"), F.col("p_partkey").cast("string")), F.col("p_size").cast("string")))
-    return modularity(graph(t)[1].where("kind = 'calls_api'"), groups).select(F.round("q", 6).alias("q"))
+    return modularity(graph(t)[1].where("kind = 'calls_api'"), communities_of(t)).select(F.round("q", 6).alias("q"))
 
 
 @query("scl-35", with_derived("SELECT ord, round(coalesce(confidence, 1) * CASE src WHEN 'ast' THEN 1.0::DOUBLE WHEN 'framework' THEN 1.0::DOUBLE WHEN 'bridge' THEN 1.0::DOUBLE WHEN 'regex' THEN 0.7::DOUBLE ELSE 0.85::DOUBLE END * CASE kind WHEN 'imports' THEN 0.85::DOUBLE WHEN 'relates_to' THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END, 6) AS quality FROM edges", "edges"))

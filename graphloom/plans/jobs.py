@@ -17,36 +17,10 @@ def commands(t: Tables) -> DataFrame:
     return t.events.select((F.col("user_id") % 40).cast("string").alias("key"), F.col("event_id").alias("seq"), c[F.col("event_type")].alias("command"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("at"), F.lit("w").alias("token"))
 
 
-@query("str-02", None)
-def queue_state(t: Tables) -> DataFrame:
-    return fold(commands(t))
-
-
-@query("str-01", "SELECT CAST(user_id % 40 AS STRING) AS key, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM events WHERE event_type IN ('signup', 'click') GROUP BY 1")
-def coalesced(t: Tables) -> DataFrame:
-    return commands(t).where("command = 'enqueue'").groupBy("key").agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("n"))
-
-
-@query("str-03", "SELECT key, seq FROM (SELECT CAST(user_id % 40 AS STRING) AS key, event_id AS seq, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")
-def latest(t: Tables) -> DataFrame:
-    return commands(t).groupBy("key").agg(F.max("seq").alias("seq"))
-
-
-@query("str-15", "SELECT user_id, CASE WHEN max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 THEN 'RUN' WHEN max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) = 1 THEN 'BLOCK' ELSE 'WAIT' END AS gate FROM events GROUP BY user_id")
-def dependency_gate(t: Tables) -> DataFrame:
-    has = lambda e: F.bool_or(F.col("event_type") == e)
-    return t.events.groupBy("user_id").agg(F.when(has("purchase"), "RUN").when(has("error"), "BLOCK").otherwise("WAIT").alias("gate"))
-
-
-@query("agg-53", "SELECT event_type AS bucket, count(*) AS n, min(event_id) AS oldest FROM events GROUP BY event_type")
-def queue_summary(t: Tables) -> DataFrame:
-    return t.events.groupBy(F.col("event_type").alias("bucket")).agg(F.count("*").alias("n"), F.min("event_id").alias("oldest"))
-
-
 @query("str-16", None)
 def drain(t: Tables) -> DataFrame:
     """The queue as a stream that drains what is there; the last state of each key."""
-    from graphloom.operators.traverse import cut
+    from graphloom.operators.shared import cut
 
     cut(t.spark.range(1))
     base = f"{t.spark.sparkContext.getCheckpointDir().rstrip('/')}/drain-{uuid.uuid4().hex}"
@@ -67,29 +41,8 @@ def daily_usage(t: Tables) -> DataFrame:
     return windowed_usage(t.events).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean", 2).alias("mean"))
 
 
-@query("str-27", "SELECT c_custkey, CASE WHEN md5(c_name) LIKE 'a%' THEN 'REVOKED' ELSE 'ACTIVE' END AS status FROM customer")
-def token_revoke(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", F.when(F.md5(F.col("c_name").cast("binary")).startswith("a"), "REVOKED").otherwise("ACTIVE").alias("status"))
-
-
 @query("str-24", "SELECT event_id, CASE event_type WHEN 'view' THEN 'codegraph,ingest,code_vec' ELSE event_type END AS kinds FROM events")
 def upsert_scopes(t: Tables) -> DataFrame:
     asked = F.array(F.when(F.col("event_type") == "view", "codegraph").otherwise(F.col("event_type")))
     implied = F.when(F.array_contains(asked, "codegraph"), F.array(F.lit("ingest"), F.lit("code_vec"))).otherwise(F.array().cast("array<string>"))
     return t.events.select("event_id", F.concat_ws(",", F.array_union(asked, implied)).alias("kinds"))
-
-
-@query("grf-14", None)
-def communities(t: Tables) -> DataFrame:
-    from graphloom.operators.community import louvain
-
-    name = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
-    edges = t.orders.select(F.lit("shop").alias("project_id"), name("c", F.col("o_custkey") % 300).alias("source"), name("d", F.col("o_orderkey") % 200).alias("target"))
-    return louvain(edges)
-
-
-@query("grf-17", "WITH RECURSIVE e AS (SELECT DISTINCT 'c' || CAST(c_custkey AS STRING) AS u, 'n' || CAST(c_nationkey AS STRING) AS v FROM customer) SELECT u AS id, min(u) OVER (PARTITION BY v) AS root FROM e UNION ALL SELECT v, min(u) FROM e GROUP BY v")
-def clusters(t: Tables) -> DataFrame:
-    from graphloom.operators.community import components
-
-    return components(t.customer.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("u"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("v")))

@@ -50,27 +50,6 @@ def module_bridge(t: Tables) -> DataFrame:
     return modules.join(calls, "file").where("source <> target").select("source", "target", F.lit("contains").alias("kind"), F.lit(1.0).alias("confidence")).distinct()
 
 
-@query("jn-05", """WITH c AS (SELECT text AS name, min(item_id) AS id FROM benchmark GROUP BY text), tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), k AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(name), '[a-z]+')) AS w FROM c)
-SELECT w, count(DISTINCT doc_id) AS docs, count(DISTINCT id) AS names FROM tok JOIN k USING (w) GROUP BY w""")
-def usage_join(t: Tables) -> DataFrame:
-    tokens = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), 0))).alias("w")
-    names = t.benchmark.groupBy("text").agg(F.min("item_id").alias("id")).select("id", tokens(F.col("text"))).distinct().groupBy("w").agg(F.countDistinct("id").alias("names"))
-    docs = t.documents.select("doc_id", tokens(F.col("text"))).distinct().groupBy("w").agg(F.countDistinct("doc_id").alias("docs"))
-    return docs.join(names, "w").select("w", "docs", "names")
-
-
-@query("jn-07", "SELECT o_custkey, coalesce(max(CASE WHEN o_orderpriority LIKE '1%' THEN o_orderkey END), CASE WHEN count(*) = 1 THEN min(o_orderkey) END) AS handler FROM orders GROUP BY o_custkey")
-def handler_lookup(t: Tables) -> DataFrame:
-    same = F.max(F.when(F.col("o_orderpriority").startswith("1"), F.col("o_orderkey")))
-    return t.orders.groupBy("o_custkey").agg(F.coalesce(same, F.when(F.count("*") == 1, F.min("o_orderkey"))).alias("handler"))
-
-
-@query("jn-10", "SELECT DISTINCT c.c_name AS caller, s.n_name AS callee FROM customer c JOIN nation s ON c.c_nationkey = s.n_nationkey WHERE s.n_name IN (SELECT n_name FROM nation ORDER BY n_nationkey LIMIT 5)")
-def callers(t: Tables) -> DataFrame:
-    few = t.nation.orderBy("n_nationkey").limit(5)
-    return t.customer.join(few, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("caller"), F.col("n_name").alias("callee")).distinct()
-
-
 @query("jn-11", with_derived("SELECT DISTINCT n.id FROM (SELECT target AS id FROM edges WHERE source = 'shop:db_table:n3' UNION SELECT source FROM edges WHERE target = 'shop:db_table:n3') x JOIN nodes n ON n.id = x.id", "nodes", "edges"))
 def neighbours(t: Tables) -> DataFrame:
     e, here = t.edges, "shop:db_table:n3"
@@ -85,51 +64,22 @@ def degree_joins(t: Tables) -> DataFrame:
     return e.join(d.select(F.col("id").alias("source"), F.col("k").alias("a")), "source", "left").join(d.select(F.col("id").alias("target"), F.col("k").alias("b")), "target", "left").select("ord", (F.col("a") + F.col("b")).alias("degree"))
 
 
-@query("jn-13", "SELECT c_custkey, n_name AS team, r_name AS org, CASE max(CASE WHEN c_acctbal > 5000 THEN 3 WHEN c_acctbal > 0 THEN 2 ELSE 1 END) WHEN 3 THEN 'owner' WHEN 2 THEN 'member' ELSE 'viewer' END AS role FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3")
-def membership(t: Tables) -> DataFrame:
-    rank = F.when(F.col("c_acctbal") > 5000, 3).when(F.col("c_acctbal") > 0, 2).otherwise(1)
-    role = F.element_at(F.array(F.lit("viewer"), F.lit("member"), F.lit("owner")), F.max(rank))
-    joined = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return joined.groupBy("c_custkey", F.col("n_name").alias("team"), F.col("r_name").alias("org")).agg(role.alias("role"))
-
-
 @query("jn-14", "SELECT md5(c_name) AS token_hash, c_custkey, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 0 AND md5(c_name) < '1'")
 def token_lookup(t: Tables) -> DataFrame:
     active = t.customer.where("c_acctbal > 0").withColumn("token_hash", F.md5(F.col("c_name").cast("binary"))).where("token_hash < '1'")
     return active.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("token_hash", "c_custkey", "r_name")
 
 
-@query("jn-15", "SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS title, count(*) AS messages FROM conversations GROUP BY conv_id")
-def session_list(t: Tables) -> DataFrame:
-    first = F.min(F.when(F.col("role") == "user", F.struct("turn", "text")))
-    return t.conversations.groupBy("conv_id").agg(first.alias("f"), F.count("*").alias("messages")).select("conv_id", F.col("f.text").alias("title"), "messages")
-
-
 @query("jn-34", "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos FROM conversations")
 def session_messages(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", "role", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).alias("pos"))
 
 
-@query("jn-16", with_derived(", r AS (SELECT id, CASE kind WHEN 'db_table' THEN 3 WHEN 'backend_function' THEN 2 WHEN 'backend_endpoint' THEN 1 WHEN 'frontend_api_call' THEN 1 ELSE 0 END AS rank FROM (SELECT DISTINCT id, kind FROM nodes WHERE kind <> 'frontend_module')) SELECT e.ord, a.rank AS above, b.rank AS below FROM edges e JOIN r a ON a.id = e.source JOIN r b ON b.id = e.target WHERE e.kind IN ('calls', 'imports', 'reads_table', 'writes_table', 'calls_api', 'belongs_to_domain') AND a.rank > b.rank", "nodes", "edges"))
-def arch_violations(t: Tables) -> DataFrame:
-    rank = F.when(F.col("kind") == "db_table", 3).when(F.col("kind") == "backend_function", 2).when(F.col("kind").isin("backend_endpoint", "frontend_api_call"), 1).otherwise(0)
-    r = t.nodes.where("kind <> 'frontend_module'").select("id", rank.alias("rank")).distinct()
-    e = t.edges.where(F.col("kind").isin("calls", "imports", "reads_table", "writes_table", "calls_api", "belongs_to_domain"))
-    return e.join(r.select(F.col("id").alias("source"), F.col("rank").alias("above")), "source").join(r.select(F.col("id").alias("target"), F.col("rank").alias("below")), "target").where("above > below").select("ord", "above", "below")
-
-
 @query("jn-17", with_derived("SELECT ord, CASE WHEN source NOT IN (SELECT id FROM nodes) AND target NOT IN (SELECT id FROM nodes) THEN 'both' WHEN source NOT IN (SELECT id FROM nodes) THEN 'source' ELSE 'target' END AS missing FROM edges WHERE source NOT IN (SELECT id FROM nodes) OR target NOT IN (SELECT id FROM nodes)", "nodes", "edges"))
 def dangling_edges(t: Tables) -> DataFrame:
     return dangling(t.nodes, t.edges).select("ord", "missing")
 
 
-@query("jn-18", with_derived(", c AS (SELECT source, max(coalesce(confidence, 1)) AS best FROM edges WHERE kind = 'calls_api' GROUP BY source) SELECT n.id, CASE WHEN c.source IS NULL THEN 'dangling' ELSE 'uncertain' END AS bucket FROM nodes n LEFT JOIN c ON c.source = n.id WHERE n.kind = 'frontend_api_call' AND (c.source IS NULL OR c.best < CAST(0.7 AS DOUBLE))", "nodes", "edges"))
-def contract_drift(t: Tables) -> DataFrame:
-    best = t.edges.where("kind = 'calls_api'").groupBy(F.col("source").alias("id")).agg(F.max(F.coalesce("confidence", F.lit(1.0))).alias("best"))
-    calls = t.nodes.where("kind = 'frontend_api_call'").select("id").join(best, "id", "left")
-    return calls.where("best IS NULL OR best < 0.7D").select("id", F.when(F.col("best").isNull(), "dangling").otherwise("uncertain").alias("bucket"))
-
-
 @query("jn-19", with_derived("SELECT source, target, least(confidence, 0.99::DOUBLE) AS confidence FROM edges WHERE kind = 'belongs_to_domain' AND source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)", "nodes", "edges"))
 def referential_check(t: Tables) -> DataFrame:
     ids = t.nodes.select("id").distinct()
@@ -180,13 +130,6 @@ def id_set_proof(t: Tables) -> DataFrame:
     return met.agg(((F.count("*") == F.count("a")) & (F.count("*") == F.count("b"))).alias("proven"), (F.count("*") - F.count("a")).alias("extra"), (F.count("*") - F.count("b")).alias("missing"))
 
 
-@query("jn-27", with_derived("SELECT DISTINCT file FROM nodes WHERE kind = 'frontend_api_call' AND file NOT IN (SELECT n.file FROM nodes n JOIN edges e ON e.source = n.id WHERE e.kind = 'calls_api' AND n.file IS NOT NULL AND n.line % 2 = 0 AND n.ord % 50 = 1)", "nodes", "edges"))
-def blind_files(t: Tables) -> DataFrame:
-    calls = t.edges.where("kind = 'calls_api'").select(F.col("source").alias("id")).distinct()
-    seen = t.nodes.where("line % 2 = 0 AND ord % 50 = 1").join(calls, "id", "left_semi").select("file").distinct()
-    return t.nodes.where("kind = 'frontend_api_call'").select("file").distinct().join(seen, "file", "left_anti")
-
-
 @query("jn-28", with_derived("SELECT e.source AS id, string_agg(DISTINCT n.name, ',' ORDER BY n.name) AS domains FROM edges e JOIN nodes n ON n.id = e.target WHERE e.kind = 'belongs_to_domain' GROUP BY e.source", "nodes", "edges"))
 def soft_membership(t: Tables) -> DataFrame:
     e = t.edges.where("kind = 'belongs_to_domain'").select("source", F.col("target").alias("id"))
@@ -200,15 +143,6 @@ def domain_members(t: Tables) -> DataFrame:
     return e.join(t.nodes.select("id", "name"), "id").select("id", "name")
 
 
-@query("jn-30", "SELECT c_custkey, other FROM (SELECT a.c_custkey, b.c_custkey AS other, row_number() OVER (PARTITION BY a.c_custkey ORDER BY b.c_custkey) AS rn FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey WHERE a.c_custkey < 100) WHERE rn <= 50")
-def node_community(t: Tables) -> DataFrame:
-    """The first 51 members of a community hold the first 50 others of each member, so no pairs beyond those are made."""
-    c = t.customer.select("c_custkey", "c_nationkey")
-    few = c.withColumn("rn", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))).where("rn <= 51").select("c_nationkey", F.col("c_custkey").alias("other"))
-    met = c.where("c_custkey < 100").join(few, "c_nationkey").where("c_custkey <> other")
-    return met.withColumn("rn", F.row_number().over(Window.partitionBy("c_custkey").orderBy("other"))).where("rn <= 50").select("c_custkey", "other")
-
-
 @query("jn-35", "SELECT r_name AS org, c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
 def users_of_org(t: Tables) -> DataFrame:
     asia = t.region.where("r_name = 'ASIA'").join(t.nation, F.col("n_regionkey") == F.col("r_regionkey"))

@@ -53,9 +53,9 @@ def hits(t: Tables) -> DataFrame:
     return t.memories.select("id", keyword_hits(F.col("content"), TERMS).alias("hits"))
 
 
-@query("top-11", with_derived(_SEEN + f" SELECT id, row_number() OVER (ORDER BY {_KEY}) AS place FROM seen", "memories"))
+@query("top-11", with_derived(_SEEN + f" SELECT id, row_number() OVER (PARTITION BY org_id, scope, scope_ref ORDER BY {_KEY}) AS place FROM seen", "memories"))
 def keyword_rank(t: Tables) -> DataFrame:
-    return visible(t.memories, scopes(t)).select("id", F.row_number().over(Window.orderBy(*keyword_order(TERMS, "t3"))).alias("place"))
+    return visible(t.memories, scopes(t)).select("id", F.row_number().over(Window.partitionBy("org_id", "scope", "scope_ref").orderBy(*keyword_order(TERMS, "t3"))).alias("place"))
 
 
 @query("ret-18", with_derived(_SEEN + f" SELECT org_id, id FROM seen ORDER BY {_KEY} LIMIT 20", "memories"))
@@ -80,7 +80,8 @@ def context_budget(t: Tables) -> DataFrame:
 def memory_recall(t: Tables) -> DataFrame:
     listed = visible(t.memories, scopes(t)).withColumn("k", F.row_number().over(Window.partitionBy("scope", "scope_ref").orderBy(F.desc("created_at"), "id"))).where("k <= 50")
     kept = resolve_conflicts(listed, ["org_id"])
-    return kept.select("id", F.row_number().over(Window.orderBy(*keyword_order(TERMS, "t3"))).alias("place")).orderBy("place").limit(20)
+    first = kept.orderBy(*keyword_order(TERMS, "t3")).limit(20)
+    return first.select("id", F.row_number().over(Window.orderBy(*keyword_order(TERMS, "t3"))).alias("place"))  # of 20 rows
 
 
 @query("agg-37", with_derived("SELECT owner, CASE max(CASE scope WHEN 'org' THEN 3 WHEN 'team' THEN 2 ELSE 1 END) WHEN 3 THEN 'org' WHEN 2 THEN 'team' ELSE 'own' END AS role FROM memories GROUP BY owner", "memories"))

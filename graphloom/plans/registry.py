@@ -28,5 +28,5 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-for _module in ("graph", "links", "retrieval", "telemetry", "memory", "scalars", "evaluation", "lineage", "jobs"):
+for _module in ("graph", "links", "retrieval", "telemetry", "memory", "scalars", "evaluation", "lineage", "jobs", "symbols", "recall", "rules", "analysis", "stores", "queue"):
     import_module(f"graphloom.plans.{_module}")

@@ -5,31 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import chunks, html_to_text
-from graphloom.operators.retrieval import bm25, cosine, name_relevance, postings, round_robin, rrf, tokens, top
+from graphloom.functions.text import chunks, html_to_text, is_test, paragraphs, sections, slices
+from graphloom.operators.retrieval import TextIndex, bm25, cosine, name_relevance, round_robin, rrf, text_index, tokens, top
 from graphloom.plans.registry import query
 from graphloom.sources.tables import Tables, with_derived
 
 _TOK = r"regexp_extract_all(lower({}), '[a-z_][a-z0-9_]*|[0-9]+(?:\.[0-9]+)*')"
 _POST = f"l0 AS MATERIALIZED (SELECT doc_id AS doc, {_TOK.format('text')} AS w FROM documents), t AS (SELECT doc, unnest(w) AS term, len(w) AS dl FROM l0), p AS MATERIALIZED (SELECT term, doc, dl, count(*) AS tf FROM t GROUP BY term, doc, dl)"
-_Q = f"q AS (SELECT DISTINCT item_id AS q, unnest({_TOK.format('text')}[1:4]) AS term FROM benchmark WHERE item_id < 10)"
+_Q = f"q AS (SELECT DISTINCT item_id AS q, unnest({_TOK.format('text')}) AS term FROM benchmark WHERE item_id % 100 = 0)"
 _BM = f"""{_POST}, {_Q}, st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM l0), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 s AS (SELECT q.q, p.doc, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM p JOIN q USING (term) JOIN df USING (term), st GROUP BY q.q, p.doc)"""
-_COS = """c AS (SELECT a.vec_id AS q, b.vec_id AS doc, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 10)"""
+_COS = """c AS (SELECT a.vec_id AS q, b.vec_id AS doc, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)"""
+_INDEXES: dict[tuple[str, str], TextIndex] = {}
+
+
+def index(t: Tables) -> TextIndex:
+    """The index of the documents, made once a session and folder."""
+    name = (t.spark.sparkContext.applicationId, t.folder)
+    if name not in _INDEXES:
+        _INDEXES[name] = text_index(t.documents)
+    return _INDEXES[name]
 
 
 def asked(t: Tables) -> DataFrame:
-    """The first four words of the first ten benchmark items."""
-    return t.benchmark.where("item_id < 10").select(F.col("item_id").alias("q"), F.explode(F.slice(tokens(F.col("text")), 1, 4)).alias("term")).distinct()
+    """The words of the benchmark items whose number is divisible by 100."""
+    return t.benchmark.where("item_id % 100 = 0").select(F.col("item_id").alias("q"), F.explode(tokens(F.col("text"))).alias("term")).distinct()
 
 
 def text_hits(t: Tables, k: int = 30) -> DataFrame:
-    scored = bm25(t.documents, asked(t)).withColumn("score", F.round("score", 6))
+    scored = bm25(index(t), asked(t)).withColumn("score", F.round("score", 6))
     return top(scored, ["q"], k, F.desc("score"), "doc")
 
 
 def vector_hits(t: Tables, k: int = 30) -> DataFrame:
-    asks = t.embeddings.where("vec_id < 10").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+    """The vectors whose number is divisible by 100, against all."""
+    asks = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
     return cosine(t.embeddings, asks, k)
 
 
@@ -41,12 +51,12 @@ def tokenizer(t: Tables) -> DataFrame:
 
 @query("ret-01", f"WITH {_POST} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM p GROUP BY term")
 def bm25_build(t: Tables) -> DataFrame:
-    return postings(t.documents, "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return index(t).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 @query("ret-02", f"WITH {_BM} SELECT q, doc, round(score, 6) AS score FROM s WHERE score > 0")
 def bm25_score(t: Tables) -> DataFrame:
-    return bm25(t.documents, asked(t)).select("q", "doc", F.round("score", 6).alias("score"))
+    return bm25(index(t), asked(t)).select("q", "doc", F.round("score", 6).alias("score"))
 
 
 _TOPN = f"{_BM}, bm AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) - 1 AS rank FROM (SELECT q, doc, round(score, 6) AS score FROM s))"
@@ -58,24 +68,37 @@ def bm25_top(t: Tables) -> DataFrame:
     return text_hits(t).select("q", "doc", "rank")
 
 
-@query("ret-08", f"WITH {_TOPV} SELECT q, doc, rank, round(score, 5) AS score FROM vec WHERE rank < 30")
-def vector_top(t: Tables) -> DataFrame:
-    return vector_hits(t).select("q", "doc", "rank", F.round("score", 5).alias("score"))
+#: A vector is a chunk of a node: two chunks a node.
+_NODE = "CAST(doc // 2 AS STRING)"
+
+
+@query("ret-08", f"WITH {_TOPV} SELECT q, node, rank FROM (SELECT q, {_NODE} AS node, row_number() OVER (PARTITION BY q ORDER BY min(rank)) - 1 AS rank FROM vec WHERE rank < 90 GROUP BY 1, 2) WHERE rank < 30")
+def vector_nodes(t: Tables) -> DataFrame:
+    """Three times as many chunks as nodes are asked for; a node is where its best chunk is."""
+    from graphloom.operators.recall import code_vectors
 
+    chunk = F.concat_ws("#", F.floor(F.col("vec_id") / 2).cast("string"), (F.col("vec_id") % 2).cast("string"))
+    asks = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+    return code_vectors(t.embeddings.withColumn("chunk_id", chunk), asks, 30)
 
-@query("ret-09", "WITH c AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS rank FROM embeddings) SELECT label, CAST(min(rank) AS INT) AS rank FROM c GROUP BY label")
+
+@query("ret-09", f"WITH {_TOPV} SELECT q, {_NODE} AS node, min(rank) AS best FROM vec WHERE rank < 90 GROUP BY 1, 2")
 def chunk_fold(t: Tables) -> DataFrame:
-    first = t.embeddings.groupBy("label").agg(F.min("vec_id").alias("v"))
-    ordered = t.embeddings.select("vec_id").join(first.agg(F.max("v").alias("m")), F.col("vec_id") <= F.col("m")).select("vec_id")  # only up to the last first
-    return first.join(ordered.withColumn("rank", F.row_number().over(Window.orderBy("vec_id"))), F.col("v") == F.col("vec_id")).select("label", "rank")
+    found = vector_hits(t, 90)
+    return found.groupBy("q", F.floor(F.col("doc") / 2).cast("string").alias("node")).agg(F.min("rank").alias("best"))
 
 
-_LANES = f"{_TOPN}, {_TOPV}, l AS (SELECT q, 'bm25' AS lane, doc, rank FROM bm WHERE rank < 30 UNION ALL SELECT q, 'vector', doc, rank FROM vec WHERE rank < 30)"
+_LANES = f"{_TOPN}, {_TOPV}, l AS (SELECT q, 'bm25' AS lane, 0 AS pos, doc, rank FROM bm WHERE rank < 30 UNION ALL SELECT q, 'vector', 1, doc, rank FROM vec WHERE rank < 30)"
 
 
 def lanes(t: Tables) -> DataFrame:
     ref = F.col("doc").cast("long").alias("ref")
-    return text_hits(t).select("q", F.lit("bm25").alias("lane"), ref, "rank").union(vector_hits(t).select("q", F.lit("vector"), ref, "rank"))
+    return text_hits(t).select("q", F.lit("bm25").alias("lane"), F.lit(0).alias("at"), ref, "rank").union(vector_hits(t).select("q", F.lit("vector"), F.lit(1), ref, "rank"))
+
+
+def _fused(weight: str = "1.0::DOUBLE", condition: str = "true", boost: str = "") -> str:
+    """CTE w (q, ref, score, seen), and x with rank: of equal scores the ref that a lane names first is first."""
+    return f"w AS (SELECT q, doc AS ref, round(sum({weight} / (61 + rank)){boost}, 9) AS score, min((pos, rank)) AS seen FROM l WHERE {condition} GROUP BY q, doc), x AS (SELECT q, ref, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, seen, ref) - 1 AS rank FROM w)"
 
 
 @query("ret-03", f"WITH {_LANES} SELECT q, doc AS ref, round(sum(1.0::DOUBLE / (61 + rank)), 6) AS score, count(*) AS n_lanes FROM l GROUP BY q, doc")
@@ -83,17 +106,24 @@ def fuse(t: Tables) -> DataFrame:
     return rrf(lanes(t)).select("q", "ref", F.round("score", 6).alias("score"), "n_lanes")
 
 
-@query("ret-05", f"WITH {_LANES}, w AS (SELECT q, doc AS ref, round(sum(CASE lane WHEN 'vector' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END / (61 + rank)), 9) AS score FROM l GROUP BY q, doc) SELECT q, ref, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, ref) - 1 AS rank FROM w) WHERE rank < 20")
+_ONE_LANE, _BOOST = "CASE lane WHEN 'vector' THEN 0.0::DOUBLE ELSE 2.0::DOUBLE END", " + max(CASE WHEN doc % 5 = 0 THEN 0.01::DOUBLE ELSE 0 END)"
+
+
+@query("ret-05", f"WITH {_LANES}, {_fused(_ONE_LANE, 'rank < 15', _BOOST)} SELECT q, ref, rank, score FROM x WHERE rank < 25")
 def weighted_fuse(t: Tables) -> DataFrame:
-    return rrf(lanes(t), {"vector": 2.0}, limit=20).select("q", "ref", "rank")
+    """The first 15 of each lane, one lane of weight 0, and boosts for some refs, of which those that no lane has stay out."""
+    l = lanes(t)  # noqa: E741
+    refs = t.documents.where("doc_id % 5 = 0").select(F.col("doc_id").alias("ref")).union(t.embeddings.where("vec_id % 5 = 0").select("vec_id")).distinct()
+    boosts = l.select("q").distinct().crossJoin(refs).select("q", "ref", F.lit(0.01).alias("boost"))
+    return rrf(l, {"vector": 0.0, "bm25": 2.0}, limit=25, boosts=boosts, per_lane=15).select("q", "ref", "rank", "score")
 
 
-@query("ret-04", f"WITH {_LANES}, w AS (SELECT q, doc AS ref, round(sum(1.0::DOUBLE / (61 + rank)), 9) AS score FROM l GROUP BY q, doc) SELECT q, ref, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, ref) - 1 AS rank FROM w) WHERE rank < 20")
+@query("ret-04", f"WITH {_LANES}, {_fused()} SELECT q, ref, rank FROM x WHERE rank < 20")
 def list_fuse(t: Tables) -> DataFrame:
     return rrf(lanes(t), limit=20).select("q", "ref", "rank")
 
 
-@query("ret-06", f"WITH {_LANES}, w AS (SELECT q, doc AS ref, round(sum(1.0::DOUBLE / (61 + rank)), 9) AS score FROM l GROUP BY q, doc) SELECT q, ref, x.rank, d.source, d.lang FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, ref) - 1 AS rank FROM w) x LEFT JOIN documents d ON d.doc_id = x.ref WHERE x.rank < 10")
+@query("ret-06", f"WITH {_LANES}, {_fused()} SELECT q, ref, x.rank, d.source, d.lang FROM x LEFT JOIN documents d ON d.doc_id = x.ref WHERE x.rank < 10")
 def document_search(t: Tables) -> DataFrame:
     found = rrf(lanes(t), limit=10)
     return found.join(t.documents.select(F.col("doc_id").alias("ref"), "source", "lang"), "ref", "left").select("q", "ref", "rank", "source", "lang")
@@ -104,9 +134,9 @@ def contributions(t: Tables) -> DataFrame:
     return text_hits(t).select("q", "doc", F.round(1.0 / (61 + F.col("rank")), 9).alias("part"))
 
 
-@query("win-02", f"WITH {_LANES} SELECT doc AS ref, min(rank) AS place FROM l WHERE q = 1 GROUP BY doc")
+@query("win-02", f"WITH {_LANES}, f AS (SELECT q, doc AS ref, min((rank, lane)) AS m FROM l GROUP BY q, doc) SELECT q, ref, row_number() OVER (PARTITION BY q ORDER BY m, ref) - 1 AS place FROM f")
 def interleave(t: Tables) -> DataFrame:
-    return round_robin(lanes(t).where("q = 1"), "lane", "rank", "ref").select("ref", "place")
+    return round_robin(lanes(t), "lane", "rank", "ref", ["q"])
 
 
 _TERMS = "['steel', 'blue']"
@@ -124,9 +154,47 @@ def name_search(t: Tables) -> DataFrame:
     return t.nodes.withColumn("r", r).where("r IS NOT NULL").orderBy("r", "kind", "name", "id").limit(50).select("id", "name")
 
 
-@query("top-06", "SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_partkey % 10 = 0 THEN 1 ELSE 0 END, p_partkey) AS place FROM part")
+@query("top-06", with_derived("SELECT repo, file_path, id, row_number() OVER (PARTITION BY repo, file_path ORDER BY CASE WHEN starts_with(lower(name), 'test_') OR contains(file_path, '/tests/') OR file_path LIKE '%\\_test.py' ESCAPE '\\' OR file_path LIKE '%.spec.ts' THEN 1 ELSE 0 END, ord) AS place FROM symbols", "symbols"))
 def tests_last(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.row_number().over(Window.orderBy((F.col("p_partkey") % 10 == 0).cast("int"), "p_partkey")).alias("place"))
+    """In each file, implementations before tests, each in their order."""
+    place = F.row_number().over(Window.partitionBy("repo", "file_path").orderBy(is_test(F.col("name"), F.col("file_path")).cast("int"), "ord"))
+    return t.symbols.select("repo", "file_path", "id", place.alias("place"))
+
+
+#: Notes with headings, short and long sections, and a paragraph that is too long: what a chunker meets.
+_NOTE = "'# A' || chr(10) || 'note ' || CAST({k} AS STRING) || chr(10) || '## B' || chr(10) || repeat('word ', 40 + CAST({k} % 90 AS INT)) || chr(10) || chr(10) || repeat('more ', 180) || chr(10) || ' ' || chr(10) || repeat('last ', 30) || chr(10) || '#### no heading' || chr(10) || '### C' || chr(10) || repeat('x', 1600 + CAST({k} % 7 AS INT))"
+
+
+def notes(t: Tables) -> DataFrame:
+    return t.supplier.select("s_suppkey", F.expr(_NOTE.format(k="s_suppkey")).alias("text"))
+
+
+_NOTES = f"WITH d AS (SELECT s_suppkey, {_NOTE.format(k='s_suppkey')} AS text FROM supplier)"
+_B = "'## B' || chr(10) || repeat('word ', 40 + CAST(s_suppkey % 90 AS INT)) || chr(10) || chr(10) || repeat('more ', 180) || chr(10) || ' ' || chr(10) || repeat('last ', 30) || chr(10) || '#### no heading' || chr(10)"
+_P1, _P2, _P3 = "'## B' || chr(10) || rtrim(repeat('word ', 40 + CAST(s_suppkey % 90 AS INT)))", "rtrim(repeat('more ', 180))", "repeat('last ', 30) || chr(10) || '#### no heading'"
+
+
+@query("scl-02", f"{_NOTES} SELECT s_suppkey, 0 AS at, '# A' || chr(10) || 'note ' || CAST(s_suppkey AS STRING) || chr(10) AS section FROM d UNION ALL SELECT s_suppkey, 1, {_B} FROM d UNION ALL SELECT s_suppkey, 2, '### C' || chr(10) || repeat('x', 1600 + CAST(s_suppkey % 7 AS INT)) FROM d")
+def heading_split(t: Tables) -> DataFrame:
+    return notes(t).select("s_suppkey", F.posexplode(sections(F.col("text"))).alias("at", "section"))
+
+
+@query("scl-03", f"{_NOTES} SELECT s_suppkey, 0 AS at, '# A' || chr(10) || 'note ' || CAST(s_suppkey AS STRING) || chr(10) || {_P1} AS paragraph FROM d UNION ALL SELECT s_suppkey, 1, {_P2} FROM d UNION ALL SELECT s_suppkey, 2, {_P3} || chr(10) || '### C' || chr(10) || repeat('x', 1600 + CAST(s_suppkey % 7 AS INT)) FROM d")
+def paragraph_split(t: Tables) -> DataFrame:
+    return notes(t).select("s_suppkey", F.posexplode(paragraphs(F.col("text"))).alias("at", "paragraph"))
+
+
+@query("scl-04", "SELECT doc_id, i AS at, substr(text, i * 700 + 1, 700) AS piece FROM documents, unnest(range(0, greatest(1, (length(text) + 699) // 700))) AS u(i)")
+def hard_split(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.posexplode(slices(F.col("text"), 700)).alias("at", "piece"))
+
+
+@query("scl-05", f"""{_NOTES}, c AS (SELECT s_suppkey, '# A' || chr(10) || 'note ' || CAST(s_suppkey AS STRING) AS a, rtrim({_P1}) AS p1, {_P2} AS p2, {_P3} AS p3, '### C' || chr(10) || repeat('x', 1600 + CAST(s_suppkey % 7 AS INT)) AS x, length({_B}) AS n FROM d)
+SELECT s_suppkey, len(cs) AS n, md5(array_to_string(cs, '|')) AS h FROM (SELECT s_suppkey, list_concat([a], CASE WHEN n <= 1500 THEN [rtrim({_B}, chr(10))] WHEN length(p1) + length(p2) + 2 <= 1000 THEN CASE WHEN length(p1) + length(p2) + length(p3) + 4 <= 1000 THEN [p1 || chr(10) || chr(10) || p2 || chr(10) || chr(10) || p3] ELSE [p1 || chr(10) || chr(10) || p2, p3] END WHEN length(p2) + length(p3) + 2 <= 1000 THEN [p1, p2 || chr(10) || chr(10) || p3] ELSE [p1, p2, p3] END, [substr(x, 1, 1500), substr(x, 1501)]) AS cs FROM c)""")
+def chunker(t: Tables) -> DataFrame:
+    """Sections of up to 1500 characters whole, of longer ones paragraphs up to 1000 together, longer paragraphs cut."""
+    made = chunks(notes(t), "s_suppkey", "text").where("chunk IS NOT NULL").groupBy("s_suppkey").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk"))).alias("c"))
+    return made.select("s_suppkey", F.size("c").cast("long").alias("n"), F.md5(F.array_join(F.transform("c", lambda x: x["chunk"]), "|").cast("binary")).alias("h"))
 
 
 @query("ret-24", None)
@@ -134,12 +202,6 @@ def chunk_stream(t: Tables) -> DataFrame:
     return chunks(t.documents, "doc_id", "text")
 
 
-@query("scl-05", "SELECT doc_id, length(text) AS n FROM documents")
-def chunker_keeps(t: Tables) -> DataFrame:
-    """Chunks hold every character of their document that is not blank around a paragraph; here, their documents' lengths."""
-    return chunks(t.documents, "doc_id", "text").groupBy("doc_id").agg(F.max("doc_chars").alias("n"))
-
-
 @query("scl-06", None)
 def page_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", html_to_text(F.col("html")).alias("text"))
@@ -150,9 +212,13 @@ def collection_stats(t: Tables) -> DataFrame:
     return t.documents.groupBy(F.coalesce("source", F.lit("unknown")).alias("category"), F.coalesce("lang", F.lit("unknown")).alias("module")).agg(F.count("*").alias("n"))
 
 
-@query("src-37", "SELECT doc_id, lang FROM documents WHERE source = 'src3'")
+@query("src-37", f"{_NOTES} SELECT pos AS \"at\", section FROM (SELECT s_suppkey, 0 AS pos, '# A' || chr(10) || 'note ' || CAST(s_suppkey AS STRING) || chr(10) AS section FROM d UNION ALL SELECT s_suppkey, 1, {_B} FROM d UNION ALL SELECT s_suppkey, 2, '### C' || chr(10) || repeat('x', 1600 + CAST(s_suppkey % 7 AS INT)) FROM d) WHERE s_suppkey = 3 UNION ALL SELECT -1, 'not found: 1000000000' FROM (SELECT 1) WHERE NOT EXISTS (SELECT 1 FROM d WHERE s_suppkey = 1000000000)")
 def chunks_of_file(t: Tables) -> DataFrame:
-    return t.documents.where("source = 'src3'").select("doc_id", "lang")
+    """The chunks of a file in their order, and what is said of a file that has none."""
+    held = notes(t).select(F.col("s_suppkey").alias("file"), F.posexplode(sections(F.col("text"))).alias("at", "section"))
+    asked_for = t.spark.createDataFrame([(3,), (1_000_000_000,)], "file long")
+    found = asked_for.join(held, "file", "left").orderBy("file", "at")
+    return found.select(F.coalesce("at", F.lit(-1)).alias("at"), F.coalesce("section", F.concat(F.lit("not found: "), F.col("file").cast("string"))).alias("section"))
 
 
 @query("src-14", "SELECT doc_id, sha256(text) AS h FROM documents")

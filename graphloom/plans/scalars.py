@@ -36,18 +36,6 @@ def tag_split(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.split_part(both, F.lit("::"), F.lit(1)).alias("tag"), F.split_part(both, F.lit("::"), F.lit(2)).alias("rest"))
 
 
-@query("scl-15", "SELECT p_partkey, CASE WHEN p_partkey = 1 THEN '' WHEN rn = 1 THEN p_type ELSE p_type || '-' || CAST(rn AS STRING) END AS tag FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS rn FROM part)")
-def stable_tags(t: Tables) -> DataFrame:
-    rn = F.row_number().over(Window.partitionBy("p_type").orderBy("p_partkey"))
-    named = t.part.withColumn("rn", rn)
-    return named.select("p_partkey", F.when(F.col("p_partkey") == 1, "").when(F.col("rn") == 1, F.col("p_type")).otherwise(F.concat_ws("-", "p_type", F.col("rn").cast("string"))).alias("tag"))
-
-
-@query("scl-16", with_derived("SELECT 'web::' || id AS id, 'web::' || file AS file FROM nodes WHERE kind = 'frontend_component'", "nodes"))
-def localise(t: Tables) -> DataFrame:
-    return t.nodes.where("kind = 'frontend_component'").select(F.concat(F.lit("web::"), "id").alias("id"), F.concat(F.lit("web::"), "file").alias("file"))
-
-
 @query("scl-18", "SELECT page_id, sha256(html) AS h FROM pages")
 def file_hash(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.sha2("html", 256).alias("h"))
@@ -58,21 +46,6 @@ def node_hash(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.sha1("text").alias("h"))
 
 
-@query("scl-20", with_derived("SELECT id, ord, concat_ws(chr(10), nullif(name, ''), nullif(file, ''), substr(nullif(url, ''), 1, 600)) AS text FROM nodes", "nodes"))
-def embed_text(t: Tables) -> DataFrame:
-    some = lambda c: F.nullif(F.col(c), F.lit(""))
-    return t.nodes.select("id", "ord", F.concat_ws("\n", some("name"), some("file"), F.substring(some("url"), 1, 600)).alias("text"))
-
-
-@query("scl-21", None)
-def head_at_line(t: Tables) -> DataFrame:
-    """Whole lines up to 400 characters, one at least."""
-    lines = F.split("text", "\n")
-    add = lambda s, x: F.when(s["full"], s).when((F.length(s["out"]) == 0) | (F.length(s["out"]) + F.length(x) + 1 <= 400), F.struct(F.concat_ws("\n", F.nullif(s["out"], F.lit("")), x).alias("out"), F.lit(False).alias("full"))).otherwise(F.struct(s["out"].alias("out"), F.lit(True).alias("full")))
-    start = F.struct(F.lit("").alias("out"), F.lit(False).alias("full"))
-    return t.documents.select("doc_id", F.aggregate(lines, start, add)["out"].alias("head"))
-
-
 @query("scl-22", "SELECT doc_id, CAST(doc_id AS STRING) AS node FROM documents")
 def chunk_node(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.substring_index(F.concat_ws("#", F.col("doc_id").cast("string"), F.lit("3")), "#", 1).alias("node"))
@@ -101,37 +74,12 @@ def provenance(t: Tables) -> DataFrame:
     return t.edges.select("ord", F.get_json_object(meta, "$.prov.src").alias("src")).where("src IS NOT NULL")
 
 
-# Words that tell a query's type, by priority.
-TYPES = {"impact": ("impact", "affects", "depends"), "symbol": ("defined", "function", "class"), "doc_rule": ("rule", "guide", "policy"), "overview": ("overview", "architecture", "what")}
-
-
-@query("scl-32", "WITH h AS (SELECT event_id, event_type || CASE event_id % 5 WHEN 0 THEN ' impact of function' WHEN 1 THEN ' function class' WHEN 2 THEN ' rule' WHEN 3 THEN ' overview what' ELSE '' END AS q FROM events) SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'impact' WHEN 1 THEN 'symbol' WHEN 2 THEN 'doc_rule' WHEN 3 THEN 'overview' ELSE 'general' END AS type FROM h")
-def classify(t: Tables) -> DataFrame:
-    tail = F.element_at(F.array(*map(F.lit, (" impact of function", " function class", " rule", " overview what", ""))), (F.col("event_id") % 5 + 1).cast("int"))
-    q = F.lower(F.concat("event_type", tail))
-    counts = F.array(*(F.struct(sum((F.contains(q, F.lit(w)).cast("int") for w in words), F.lit(0)).alias("n"), F.lit(-i).alias("p"), F.lit(name).alias("type")) for i, (name, words) in enumerate(TYPES.items())))
-    best = F.array_max(counts)
-    return t.events.select("event_id", F.when(best["n"] > 0, best["type"]).otherwise("general").alias("type"))
-
-
-@query("scl-33", "SELECT event_id, CASE event_type WHEN 'view' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS graph FROM events")
-def lane_weights(t: Tables) -> DataFrame:
-    weights = t.spark.createDataFrame([("view", 2.0)], "event_type string, graph double")
-    return t.events.join(F.broadcast(weights), "event_type", "left").select("event_id", F.coalesce("graph", F.lit(1.0)).alias("graph"))
-
-
 @query("scl-39", "SELECT p_partkey, CASE WHEN length(regexp_replace(p_type, '[^A-Za-z0-9]', '', 'g')) <= 12 THEN regexp_replace(p_type, '[^A-Za-z0-9]', '', 'g') END AS domain FROM part")
 def domain_normaliser(t: Tables) -> DataFrame:
     d = F.regexp_replace("p_type", "[^A-Za-z0-9]", "")
     return t.part.select("p_partkey", F.when(F.length(d) <= 12, d).alias("domain"))
 
 
-@query("scl-40", "SELECT p_brand, sha256(string_agg(CAST(p_partkey AS STRING), ',' ORDER BY p_partkey) || '|v1') AS fp FROM part GROUP BY p_brand")
-def fingerprint(t: Tables) -> DataFrame:
-    members = F.concat_ws(",", F.transform(F.sort_array(F.collect_list("p_partkey")), lambda x: x.cast("string")))
-    return t.part.groupBy("p_brand").agg(F.sha2(F.concat(members, F.lit("|v1")), 256).alias("fp"))
-
-
 @query("scl-41", "SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*'))) AS n FROM documents")
 def identifier_tokens(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z_$][A-Za-z0-9_$]*"), 0))).alias("n"))
@@ -180,75 +128,18 @@ def limit_clamp(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.when(asked <= 0, 20).otherwise(F.least(F.col("p_size"), F.lit(40))).alias("k"))
 
 
-@query("flt-14", with_derived("SELECT id, ord, name LIKE 'test\\_%' ESCAPE '\\' OR coalesce(file LIKE '%7.py', false) AS test FROM nodes", "nodes"))
-def test_code(t: Tables) -> DataFrame:
-    return t.nodes.select("id", "ord", (F.col("name").startswith("test_") | F.coalesce(F.col("file").endswith("7.py"), F.lit(False))).alias("test"))
-
-
-@query("flt-19", with_derived("SELECT id, ord, coalesce(list_has_any(string_split(file, '/'), ['pages', 'node_modules']), false) AS excluded FROM nodes", "nodes"))
-def excluded(t: Tables) -> DataFrame:
-    parts = F.split("file", "/")
-    return t.nodes.select("id", "ord", F.coalesce(F.arrays_overlap(parts, F.array(F.lit("pages"), F.lit("node_modules"))), F.lit(False)).alias("excluded"))
-
-
-@query("flt-21", with_derived("SELECT event_id, CASE WHEN client = 'cli' THEN 'internal' WHEN project_id IS NULL THEN 'no_project' WHEN org_id <> 'o1' THEN 'other_org' ELSE 'ok' END AS reason FROM usage", "usage"))
-def access_decision(t: Tables) -> DataFrame:
-    return t.usage.select("event_id", F.when(F.col("client") == "cli", "internal").when(F.col("project_id").isNull(), "no_project").when(F.col("org_id") != "o1", "other_org").otherwise("ok").alias("reason"))
-
-
-@query("flt-23", "SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 3 WHEN c_acctbal > 0 THEN 2 ELSE 1 END >= CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS allowed FROM customer")
-def role_allows(t: Tables) -> DataFrame:
-    has = F.when(F.col("c_acctbal") > 5000, 3).when(F.col("c_acctbal") > 0, 2).otherwise(1)
-    return t.customer.select("c_custkey", (has >= F.col("c_custkey") % 3 + 1).alias("allowed"))
-
-
 @query("flt-25", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9])license([^A-Za-z0-9]|$)')")
 def token_match(t: Tables) -> DataFrame:
     return t.documents.where(F.col("text").rlike("(?i)(?<![A-Za-z0-9])license(?![A-Za-z0-9])")).select("doc_id")
 
 
-@query("flt-28", "SELECT page_id, regexp_matches(lower(url), '(\\.env|\\.pem|\\.key|credentials)') AS secret FROM pages")
-def secret_file(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.lower("url").rlike(r"(\.env|\.pem|\.key|credentials)").alias("secret"))
-
-
 @query("set-03", with_derived("SELECT DISTINCT plugin FROM nodes WHERE plugin NOT IN (SELECT plugin FROM edges)", "nodes", "edges"))
 def stale_plugins(t: Tables) -> DataFrame:
     return t.nodes.select("plugin").distinct().join(t.edges.select("plugin").distinct(), "plugin", "left_anti")
 
 
-@query("set-04", "SELECT l_orderkey, count(DISTINCT l_partkey) FILTER (WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 25)) AS reads FROM lineitem GROUP BY l_orderkey")
-def write_wins(t: Tables) -> DataFrame:
-    writes = t.part.where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("w"))
-    per = t.lineitem.join(writes, "l_partkey", "left").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("r"), F.collect_set(F.when(F.col("w"), F.col("l_partkey"))).alias("x"))
-    return per.select("l_orderkey", F.size(F.array_except("r", "x")).cast("long").alias("reads"))
-
-
-@query("set-05", "SELECT o_custkey, count(DISTINCT l_partkey) AS files FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey")
-def changed_union(t: Tables) -> DataFrame:
-    per = t.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("f")).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return per.groupBy("o_custkey").agg(F.size(F.array_distinct(F.flatten(F.collect_list("f")))).cast("long").alias("files"))
-
-
-@query("win-06", "SELECT p_partkey, (SELECT max(n_nationkey) FROM nation WHERE n_nationkey <= p_size % 25) AS owner FROM part")
-def range_owner(t: Tables) -> DataFrame:
-    """The innermost range that contains a line: ranges are cut into tens, so that the join has equal keys."""
-    ranges = t.nation.select(F.col("n_nationkey").alias("start"), F.explode(F.sequence(F.floor(F.col("n_nationkey") / 10), F.lit(2))).alias("ten"))
-    lines = t.part.select("p_partkey", (F.col("p_size") % 25).alias("line")).withColumn("ten", F.floor(F.col("line") / 10))
-    return lines.join(ranges, "ten").where("start <= line").groupBy("p_partkey").agg(F.max("start").alias("owner"))
-
-
 @query("win-04", "SELECT s_suppkey, s_nationkey, rn FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS rn FROM supplier) WHERE rn <= 60")
 def directory_top(t: Tables) -> DataFrame:
     return t.supplier.withColumn("rn", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_name"))).where("rn <= 60").select("s_suppkey", "s_nationkey", "rn")
 
 
-@query("win-03", "SELECT p_size, dense_rank() OVER (ORDER BY m) AS place, n FROM (SELECT p_size, min(p_partkey) AS m, count(*) AS n FROM part GROUP BY p_size HAVING count(*) >= 2)")
-def group_rank(t: Tables) -> DataFrame:
-    groups = t.part.groupBy("p_size").agg(F.min("p_partkey").alias("m"), F.count("*").alias("n")).where("n >= 2")
-    return groups.select("p_size", F.dense_rank().over(Window.orderBy("m")).alias("place"), "n")
-
-
-@query("top-08", "SELECT p_size, count(*) AS n FROM part GROUP BY p_size ORDER BY n DESC, p_size LIMIT 20")
-def community_list(t: Tables) -> DataFrame:
-    return t.part.groupBy("p_size").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_size").limit(20)

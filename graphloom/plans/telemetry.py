@@ -13,15 +13,25 @@ from graphloom.sources.tables import Tables, with_derived
 NOW = "2024-06-01"
 
 
-@query("agg-16", with_derived("SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS allowed, count(*) FILTER (WHERE NOT ok) AS denied, round(CAST(count(*) FILTER (WHERE NOT ok) AS DOUBLE) / count(*), 6) AS deny_rate FROM usage", "usage"))
+_REASON = "'reason' || CAST(event_id % 9 AS STRING)"
+
+
+@query("agg-16", with_derived(f", d AS (SELECT {_REASON} AS reason, count(*) AS n FROM usage WHERE NOT ok GROUP BY 1) SELECT 'allowed' AS what, count(*) FILTER (WHERE ok) AS n, NULL::DOUBLE AS rate FROM usage UNION ALL SELECT 'denied', count(*) FILTER (WHERE NOT ok), round(count(*) FILTER (WHERE NOT ok) / count(*)::DOUBLE, 6) FROM usage UNION ALL SELECT reason, n, NULL FROM (SELECT * FROM d ORDER BY n DESC, reason LIMIT 5)", "usage"))
 def access_metrics(t: Tables) -> DataFrame:
+    """Allowed and denied, the share of the denied, and the five most frequent reasons."""
     denied = F.count_if(~F.col("ok"))
-    return t.usage.agg(F.count("*").alias("total"), F.count_if("ok").alias("allowed"), denied.alias("denied"), F.round(denied / F.count("*"), 6).alias("deny_rate"))
+    one = t.usage.agg(F.count_if("ok").alias("a"), denied.alias("d"), F.round(denied / F.count("*"), 6).alias("r"))
+    total = one.select(F.explode(F.array(F.struct(F.lit("allowed").alias("what"), F.col("a").alias("n"), F.lit(None).cast("double").alias("rate")), F.struct(F.lit("denied").alias("what"), F.col("d").alias("n"), F.col("r").alias("rate")))).alias("x")).select("x.*")
+    reasons = t.usage.where("NOT ok").groupBy(F.concat(F.lit("reason"), (F.col("event_id") % 9).cast("string")).alias("what")).agg(F.count("*").alias("n"))
+    return total.union(reasons.orderBy(F.desc("n"), "what").limit(5).select("what", "n", F.lit(None).cast("double")))
 
 
-@query("agg-17", with_derived("SELECT tool, count(*) AS n, count(*) FILTER (WHERE ok = false) AS errors FROM usage GROUP BY tool", "usage"))
+@query("agg-17", with_derived("SELECT coalesce(tool, 'all') AS tool, count(*) AS n, count(*) FILTER (WHERE ok = false) AS errors, CASE WHEN tool IS NULL THEN round(count(*) FILTER (WHERE ok = false) / count(*)::DOUBLE, 6) END AS error_rate FROM usage GROUP BY ROLLUP (tool)", "usage"))
 def usage_metrics(t: Tables) -> DataFrame:
-    return t.usage.groupBy("tool").agg(F.count("*").alias("n"), F.count_if(F.col("ok") == F.lit(False)).alias("errors"))
+    """Calls and errors by tool, and of all with the rate of errors."""
+    errors = F.count_if(F.col("ok") == F.lit(False))
+    rolled = t.usage.rollup("tool").agg(F.grouping("tool").alias("g"), F.count("*").alias("n"), errors.alias("errors"), F.round(errors / F.count("*"), 6).alias("rate"))
+    return rolled.select(F.when(F.col("g") == 1, "all").otherwise(F.col("tool")).alias("tool"), "n", "errors", F.when(F.col("g") == 1, F.col("rate")).alias("error_rate"))
 
 
 @query("agg-18", "SELECT count(*) AS n FROM events WHERE event_type = 'view'")
@@ -29,11 +39,12 @@ def recall_metrics(t: Tables) -> DataFrame:
     return t.events.where("event_type = 'view'").agg(F.count("*").alias("n"))
 
 
-@query("agg-20", with_derived("SELECT 'audit' AS source, count(*) AS n FROM usage WHERE client = 'cli' UNION ALL SELECT 'mcp', count(*) FROM usage UNION ALL SELECT 'mcp_errors', count(*) FROM usage WHERE NOT ok", "usage"))
+@query("agg-20", with_derived("SELECT 'audit' AS source, count(*) AS n, count(*) FILTER (WHERE NOT ok) AS bad FROM usage WHERE client = 'cli' UNION ALL SELECT 'mcp', count(*), count(*) FILTER (WHERE NOT ok) FROM usage UNION ALL SELECT 'recall', (SELECT count(*) FROM events WHERE event_type = 'view'), 0 UNION ALL SELECT 'reindex', 0, 0", "usage"))
 def metrics_summary(t: Tables) -> DataFrame:
-    u = t.usage
-    one = lambda name, df: df.agg(F.lit(name).alias("source"), F.count("*").alias("n"))
-    return one("audit", u.where("client = 'cli'")).union(one("mcp", u)).union(one("mcp_errors", u.where("NOT ok")))
+    """Totals of each source; one that is missing counts as empty."""
+    one = lambda name, df: df.agg(F.lit(name).alias("source"), F.count("*").alias("n"), F.coalesce(F.count_if(~F.col("ok")), F.lit(0)).alias("bad"))
+    views, none = t.events.where("event_type = 'view'").select(F.lit(True).alias("ok")), t.usage.where("false")
+    return one("audit", t.usage.where("client = 'cli'")).union(one("mcp", t.usage)).union(one("recall", views)).union(one("reindex", none))
 
 
 _COST = "CASE model WHEN 'deepseek-chat' THEN cache_miss_tokens / 1e6 * 0.14::DOUBLE + cache_hit_tokens / 1e6 * 0.0028::DOUBLE + output_tokens / 1e6 * 0.28::DOUBLE WHEN 'deepseek-v4-pro' THEN cache_miss_tokens / 1e6 * 0.435::DOUBLE + cache_hit_tokens / 1e6 * 0.003625::DOUBLE + output_tokens / 1e6 * 0.87::DOUBLE ELSE 0 END"
@@ -89,9 +100,21 @@ def latency_gate(t: Tables) -> DataFrame:
     return percentile(t.usage, ["tool"], "elapsed_ms", {"p95": 0.95}).select("tool", (F.col("p95") <= 400).alias("ok"))
 
 
-@query("agg-26", with_derived(", c AS (SELECT * FROM usage WHERE candidates > 0) SELECT tool, count(*) AS runs, round(CAST(count(*) FILTER (WHERE candidates > 0) AS DOUBLE) / count(*), 4) AS hit_rate FROM usage GROUP BY tool", "usage"))
+def _spans(name: str) -> str:
+    return f"SELECT '{name}' AS span, tool, count(*) AS runs, round(count(*) FILTER (WHERE candidates > 0) / count(*)::DOUBLE, 4) AS hit_rate, " + ", ".join(f"max(CASE WHEN i = CAST(round_even({p}::DOUBLE * (n - 1), 0) AS BIGINT) + 1 THEN round(elapsed_ms, 1) END) AS {c}" for c, p in (("p50", 0.5), ("p95", 0.95))) + f" FROM (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY elapsed_ms) AS i, count(*) OVER (PARTITION BY tool) AS n FROM usage WHERE elapsed_ms IS NOT NULL {'AND ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY' if name == 'last7d' else ''}) GROUP BY tool"
+
+
+@query("agg-26", with_derived(f"{_spans('all')} UNION ALL {_spans('last7d')}", "usage"))
 def latency_report(t: Tables) -> DataFrame:
-    return t.usage.groupBy("tool").agg(F.count("*").alias("runs"), F.round(F.count_if(F.col("candidates") > 0) / F.count("*"), 4).alias("hit_rate"))
+    """Of all time and of the last seven days, by tool: runs, the share with results, and percentiles."""
+    latest = t.events.agg(F.max("ts").alias("m")).first()["m"]
+    u = t.usage.where("elapsed_ms IS NOT NULL")
+    out = None
+    for span, rows in {"all": u, "last7d": u.where(F.col("ts") >= F.lit(latest).cast("timestamp_ntz") - F.expr("INTERVAL 7 DAYS"))}.items():
+        runs = rows.groupBy("tool").agg(F.count("*").alias("runs"), F.round(F.count_if(F.col("candidates") > 0) / F.count("*"), 4).alias("hit_rate"))
+        one = runs.join(percentile(rows, ["tool"], "elapsed_ms", {"p50": 0.5, "p95": 0.95}), "tool").select(F.lit(span).alias("span"), "tool", "runs", "hit_rate", "p50", "p95")
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query("agg-28", with_derived("SELECT project_id, tool, count(*) FILTER (WHERE client = 'cli') AS cli, count(*) FILTER (WHERE client = 'web') AS web, count(*) FILTER (WHERE client = 'ide') AS ide FROM usage GROUP BY ROLLUP (project_id, tool)", "usage"))
@@ -107,11 +130,10 @@ def seven_days(t: Tables) -> DataFrame:
 
 @query("agg-31", with_derived("SELECT client, round(CAST(count(*) FILTER (WHERE ok) AS DOUBLE) / count(*), 4) AS hit_rate, max(CASE WHEN i = CAST(floor(n / 2) AS BIGINT) + 1 THEN elapsed_ms END) AS upper_median FROM (SELECT *, row_number() OVER (PARTITION BY client ORDER BY elapsed_ms) AS i, count(*) OVER (PARTITION BY client) AS n FROM usage WHERE elapsed_ms IS NOT NULL) GROUP BY client", "usage"))
 def search_health(t: Tables) -> DataFrame:
+    """The share of hits by client, and the upper median."""
     known = t.usage.where("elapsed_ms IS NOT NULL")
-    counts = known.groupBy("client", "elapsed_ms").agg(F.count("*").alias("c"), F.count_if("ok").alias("h"))
-    total = known.groupBy("client").agg(F.count("*").alias("n"))
-    run = counts.join(total, "client").withColumn("upto", F.sum("c").over(Window.partitionBy("client").orderBy("elapsed_ms")))
-    return run.groupBy("client").agg(F.round(F.sum("h") / F.first("n"), 4).alias("hit_rate"), F.min(F.when(F.col("upto") >= F.floor(F.col("n") / 2) + 1, F.col("elapsed_ms"))).alias("upper_median"))
+    rate = known.groupBy("client").agg(F.round(F.count_if("ok") / F.count("*"), 4).alias("hit_rate"))
+    return rate.join(percentile(known, ["client"], "elapsed_ms", {"upper_median": lambda n: F.floor(n / 2) + 1}, places=None), "client").select("client", "hit_rate", "upper_median")
 
 
 @query("agg-52", with_derived("SELECT tool, 'high latency' AS message FROM (" + _nearest("tool") + ") WHERE p95 > 100", "usage"))
@@ -142,16 +164,6 @@ def json_lines(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.try_parse_json("props").alias("v")).where("v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'").select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"))
 
 
-@query("src-18", "SELECT l_orderkey AS block, count(*) AS lines FROM lineitem GROUP BY l_orderkey")
-def log_blocks(t: Tables) -> DataFrame:
-    """Lines belong to the header before them: a running count of headers, within the lines of one file."""
-    lines = t.lineitem.select((F.col("l_orderkey") % 50).alias("file"), "l_orderkey", "l_linenumber", F.monotonically_increasing_id().alias("at"))
-    w = Window.partitionBy("file").orderBy("l_orderkey", "l_linenumber", "at")
-    header = (F.col("l_orderkey") != F.coalesce(F.lag("l_orderkey").over(w), F.lit(-1))).cast("int")
-    marked = lines.withColumn("h", header).withColumn("id", F.sum("h").over(w))
-    return marked.groupBy("file", "id").agg(F.min("l_orderkey").alias("block"), F.count("*").alias("lines")).select("block", "lines")
-
-
 @query("src-21", with_derived("SELECT event_id FROM (SELECT event_id, client FROM usage ORDER BY event_id DESC LIMIT 50000) WHERE client = 'web' ORDER BY event_id DESC LIMIT 20 OFFSET 40", "usage"))
 def audit_page(t: Tables) -> DataFrame:
     latest = t.usage.orderBy(F.desc("event_id")).limit(50000).where("client = 'web'")

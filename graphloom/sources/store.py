@@ -1,34 +1,46 @@
-"""A store of graph rows: Parquet partitioned by plugin, replaced plugin by plugin, published by a pointer."""
+"""A store of graph rows: Parquet partitioned by project and plugin, replaced plugin by plugin; versions beside one another, published by a pointer; a manifest of builds."""
 
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.shared import shared_dir
+
+PART = ["project_id", "plugin"]
+
 
 class GraphStore:
-    """Tables below a folder. A replacement writes the partitions of the plugins in the rows and leaves others alone."""
+    """Tables below a folder. A replacement writes the partitions of the projects and plugins in the rows and leaves others alone."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
     @classmethod
     def temporary(cls, spark: SparkSession) -> GraphStore:
-        base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-")
-        return cls(spark, f"{base}/store-{uuid.uuid4().hex}")
+        return cls(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
 
-    def replace(self, table: str, rows: DataFrame, key: list[str], order: str = "ord") -> None:
-        """All rows of the plugins that rows has; of equal keys the last stays."""
-        last = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("plugin", *key).orderBy(F.desc(order)))).where("_rn = 1").drop("_rn")
-        last.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("plugin").parquet(f"{self.folder}/{table}")
+    def replace(self, table: str, rows: DataFrame, key: list[str], order: str = "ord", part: list[str] | None = None) -> None:
+        """All rows of the partitions that rows has; of equal keys the last stays."""
+        part = part or ["plugin"]
+        last = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*part, *key).orderBy(F.desc(order)))).where("_rn = 1").drop("_rn")
+        last.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*part).parquet(f"{self.folder}/{table}")
+
+    def append(self, table: str, rows: DataFrame, part: list[str] | None = None) -> None:
+        (rows.write.mode("append").partitionBy(*part) if part else rows.write.mode("append")).json(f"{self.folder}/{table}")
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{table}")
 
+    def clear(self, table: str, parts: list[dict[str, str]]) -> None:
+        """Removes whole partitions."""
+        for part in parts:
+            path = self.path(f"{table}/" + "/".join(f"{k}={v}" for k, v in part.items()))
+            self.fs().delete(path, True)
+
     def fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -42,20 +54,28 @@ class GraphStore:
         rows.write.parquet(f"{self.folder}/builds/{version}")
         return version
 
+    def _pointers(self, table: str) -> list[tuple[int, str]]:
+        """Numbers and names of the pointers that there are, ascending; a pointer is written under a name of its own and renamed when it is whole."""
+        folder = self.path("pointers")
+        names = [s.getPath().getName() for s in self.fs().listStatus(folder)] if self.fs().exists(folder) else []
+        return sorted((int(n.split(".")[1]), n) for n in names if n.startswith(f"{table}.") and n.count(".") == 1)
+
     def publish(self, table: str, version: str) -> None:
-        """Readers see the version from now on: the pointer is written beside the old one and renamed over it."""
-        fs, new, pointer = self.fs(), self.path(f"{table}.pointer.{uuid.uuid4().hex}"), self.path(f"{table}.pointer")
+        """Readers see the version from now on: they take the pointer with the greatest number, and one is there at any time."""
+        fs, found = self.fs(), self._pointers(table)
+        number = found[-1][0] + 1 if found else 0
+        new = self.path(f"pointers/{table}.new.{uuid.uuid4().hex}")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps({"current": version}).encode()))
         out.close()
-        fs.delete(pointer, False)
-        fs.rename(new, pointer)
+        if not fs.rename(new, self.path(f"pointers/{table}.{number}")):
+            raise RuntimeError(f"another version of {table} was published meanwhile")
+        for _, name in found[:-1]:
+            fs.delete(self.path(f"pointers/{name}"), False)
 
     def current(self, table: str) -> str | None:
-        fs, pointer = self.fs(), self.path(f"{table}.pointer")
-        if not fs.exists(pointer):
-            return None
-        return json.loads(self.spark.read.text(f"{self.folder}/{table}.pointer").first()[0])["current"]
+        found = self._pointers(table)
+        return json.loads(self.spark.read.text(f"{self.folder}/pointers/{found[-1][1]}").first()[0])["current"] if found else None
 
     def published(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/builds/{self.current(table)}")
@@ -68,3 +88,13 @@ class GraphStore:
         for path in gone:
             fs.delete(path, True)
         return [p.getName() for p in gone]
+
+
+def publish_builds(old: DataFrame, new: DataFrame, values: list[str]) -> tuple[DataFrame, DataFrame]:
+    """old, new: project_id, kind, attempt, values. The manifest after the publication of new builds, one row a project and kind, and the outcome of each: IDEMPOTENT if the same attempt
+    has the same values, CONFLICT (nothing changes) if it has others, else PUBLISHED."""
+    key = ["project_id", "kind"]
+    had = old.select(*key, F.col("attempt").alias("_attempt"), F.struct(*values).alias("_old"))
+    met = new.join(had, key, "left").withColumn("outcome", F.when(F.col("_attempt").eqNullSafe(F.col("attempt")), F.when(F.struct(*values) == F.col("_old"), "IDEMPOTENT").otherwise("CONFLICT")).otherwise("PUBLISHED"))
+    won = met.where("outcome <> 'CONFLICT'").select(*key, "attempt", *values)
+    return old.join(won.select(*key), key, "left_anti").select(*key, "attempt", *values).union(won), met.select(*key, "outcome")

@@ -69,7 +69,32 @@ USAGE = """SELECT event_id, ts, 'p' || CAST(user_id % 20 AS STRING) AS project_i
  'o' || CAST(user_id % 3 AS STRING) AS org_id, 'u' || CAST(user_id AS STRING) AS user_id, event_id % 400 AS input_tokens, event_id % 90 AS output_tokens, event_id % 250 AS cache_hit_tokens, event_id % 150 AS cache_miss_tokens,
  user_id % 6 AS candidates FROM events"""
 
-DERIVED = {"nodes": NODES, "edges": EDGES, "memories": MEMORIES, "usage": USAGE}
+#: Symbols of three repositories: the parts. Names are few, files and kinds many.
+SYMBOLS = """SELECT 'r' || CAST(p_partkey % 3 AS STRING) AS repo, 'n' || CAST(p_partkey AS STRING) AS id, CASE p_partkey % 5 WHEN 0 THEN 'class' WHEN 1 THEN 'function' WHEN 2 THEN 'method' WHEN 3 THEN 'import' ELSE 'variable' END AS kind,
+ CASE WHEN p_partkey % 9 = 0 THEN 'test_' ELSE '' END || replace(p_name, ' ', '_') AS name, p_type || '.' || replace(p_name, ' ', '_') AS qualified_name,
+ CASE WHEN p_partkey % 7 = 0 THEN 'src/tests/m' ELSE 'src/m' END || CAST(p_size AS STRING) || CASE WHEN p_partkey % 11 = 0 THEN '_test.py' WHEN p_partkey % 11 = 1 THEN '.spec.ts' ELSE '.py' END AS file_path,
+ CASE WHEN p_partkey % 13 > 0 THEN CASE p_partkey % 2 WHEN 0 THEN 'python' ELSE 'typescript' END END AS language, CAST(p_partkey % 300 + 1 AS INT) AS start_line, CAST(p_partkey % 300 + 1 + p_size AS INT) AS end_line,
+ p_type || ' ' || p_brand AS docstring, 'def ' || replace(p_name, ' ', '_') || '(x)' AS signature, p_partkey % 4 = 0 AS is_exported, p_partkey AS ord FROM part"""
+
+#: Calls and imports between symbols of one repository: the lines of orders.
+SYMBOL_EDGES = """SELECT l_orderkey * 10 + l_linenumber AS id, 'r' || CAST(l_partkey % 3 AS STRING) AS repo, 'n' || CAST(l_partkey AS STRING) AS source, 'n' || CAST(l_suppkey - l_suppkey % 3 + l_partkey % 3 AS STRING) AS target,
+ CASE l_linenumber % 3 WHEN 0 THEN 'imports' ELSE 'calls' END AS kind, CAST(l_linenumber AS INT) AS line FROM lineitem"""
+
+SYMBOL_FILES = f"SELECT repo, file_path AS path, min(language) AS language, count(*) AS node_count FROM ({SYMBOLS}) GROUP BY repo, file_path"
+
+#: A queue of jobs: the orders. Some are pending, some claimed (with leases that end before and after the time 1100), some both; some claims have no owner, some rows are set apart.
+QUEUE = """SELECT o_orderkey AS id, 'p' || CAST(o_custkey % 50 AS STRING) AS project_id, CASE o_orderkey % 3 WHEN 0 THEN 'codegraph' WHEN 1 THEN 'ingest' ELSE 'chroma' END AS kind,
+ CASE WHEN o_orderkey % 3 < 2 THEN CAST(1000 + o_orderkey % 500 AS DOUBLE) END AS pending_at, CASE WHEN o_orderkey % 3 < 2 THEN 'm' || CAST(o_orderkey AS STRING) END AS pending_token,
+ CASE WHEN o_orderkey % 4 = 1 THEN 't' || CAST(o_orderkey AS STRING) END AS token, CASE WHEN o_orderkey % 4 = 1 AND o_orderkey % 5 > 0 THEN 'w' || CAST(o_orderkey % 2 AS STRING) END AS owner,
+ CASE WHEN o_orderkey % 4 = 1 THEN CAST(900 + o_orderkey % 150 AS DOUBLE) END AS claimed_at, CASE WHEN o_orderkey % 4 = 1 THEN CAST(1000 + o_orderkey % 170 AS DOUBLE) END AS lease_until,
+ o_orderkey % 13 = 0 AS quarantined, CASE WHEN o_orderkey % 13 = 0 THEN 'q' || CAST(o_orderkey % 2 AS STRING) END AS quarantine_id, CAST('ok' AS STRING) AS result FROM orders"""
+
+DERIVED = {
+    "queue": QUEUE,
+    "nodes": NODES, "edges": EDGES, "memories": MEMORIES, "usage": USAGE, "symbols": SYMBOLS, "symbol_edges": SYMBOL_EDGES, "symbol_files": SYMBOL_FILES,
+    # The graph of four projects.
+    "store_nodes": f"SELECT 'p' || CAST(ord % 4 AS STRING) AS project_id, * FROM ({NODES})", "store_edges": f"SELECT 'p' || CAST(ord % 4 AS STRING) AS project_id, * FROM ({EDGES})",
+}
 
 
 def with_derived(body: str, *names: str) -> str:

@@ -27,7 +27,7 @@ def step(state: dict, command: str, at: float, token: str | None, lease: float =
     elif command == "ack" and mine:
         s |= {"claimed_at": None, "token": None, "status": "done"}
     elif command == "retry" and mine:
-        s |= {"claimed_at": None, "token": None, "status": "retry", "pending_since": at if s["pending_since"] is None else s["pending_since"]}
+        s |= {"claimed_at": None, "token": None, "status": "retry", "pending_since": max(at, (s["pending_since"] or at))}
     elif command == "reject" and mine:
         s |= {"claimed_at": None, "token": None, "status": "failed"}
     elif command == "quarantine":

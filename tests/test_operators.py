@@ -17,7 +17,7 @@ from graphloom.operators.memory import context_plan, keyword_order, resolve_conf
 from graphloom.operators.ranking import judged
 from graphloom.operators.retrieval import rrf
 from graphloom.operators.telemetry import percentile
-from graphloom.operators.traverse import best_paths, reach
+from graphloom.operators.traverse import best_paths, distances, path_steps, reach
 from graphloom.sources.store import GraphStore
 from graphloom.streaming.jobs import EMPTY, fold, step
 from graphloom.streaming.limiter import accepted
@@ -47,7 +47,7 @@ def test_first_discovery_wins_over_later_edges(spark):
 def test_best_path_prefers_quality_then_shortness(spark):
     e = edges(spark, ("x", "t", "calls", 0.5, "ast"), ("x", "y", "calls", 1.0, "ast"), ("y", "t", "calls", 1.0, "ast"))
     nodes = spark.createDataFrame([(x,) for x in "xyt"], "id string")
-    found = {r.id: (round(r.score, 4), r.hops) for r in best_paths(nodes, e, spark.createDataFrame([("t",)], "id string")).collect()}
+    found = {r.id: (round(r.score, 4), r.hops) for r in best_paths(path_steps(nodes, e), spark.createDataFrame([("t",)], "id string")).collect()}
     assert found == {"y": (0.9, ["y"]), "x": (0.81, ["y", "x"])}
 
 
@@ -69,6 +69,63 @@ def test_two_triangles_are_two_communities(spark):
     assert {r.id: r.community for r in found.collect()} == {**dict.fromkeys("abc", "a"), **dict.fromkeys("def", "d")}
 
 
+def test_isolated_nodes_are_communities_and_ties_go_to_the_smaller_name(spark):
+    edges_ = spark.createDataFrame([("p", "m", "z"), ("p", "m", "a"), ("p", "q", "q")], "project_id string, source string, target string")
+    nodes = spark.createDataFrame([("p", x) for x in "amzqi"], "project_id string, id string")
+    found = {r.id: r.community for r in louvain(edges_, nodes=nodes).collect()}
+    assert found["i"] == "i" and found["q"] == "q" and found["a"] == found["m"] == "a"
+
+
+def test_wide_communities_of_cliques(spark, monkeypatch):
+    from graphloom.operators import community
+
+    monkeypatch.setattr(community, "MOST_NODES", 3)
+    pairs = [(f"{g}{i}", f"{g}{j}") for g in "abc" for i in range(6) for j in range(i)] + [("a0", "b0"), ("b1", "c1")]
+    found = louvain(spark.createDataFrame([("p", *x) for x in pairs], "project_id string, source string, target string"))
+    assert {r.id: r.community for r in found.collect()} == {f"{g}{i}": f"{g}0" for g in "abc" for i in range(6)}
+
+
+def test_walks_stop_once_enough_is_visited(spark):
+    walk = spark.createDataFrame([(0, i) for i in range(1, 6)] + [(i, 10 + i) for i in range(1, 6)] + [(11, 100)], "here long, there long")
+    start = spark.createDataFrame([(0,)], "id long")
+    assert sorted(r.id for r in distances(walk, start, 10, 5).collect()) == [0, 1, 2, 3, 4, 5]
+    assert {r.id: r.depth for r in distances(walk, start, 2).collect()} == {0: 0, **dict.fromkeys(range(1, 6), 1), **dict.fromkeys(range(11, 16), 2)}
+
+
+@pytest.mark.parametrize("block", [1000, 3])
+def test_nearest_vectors_in_blocks(spark, monkeypatch, block):
+    import numpy as np
+
+    from graphloom.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "FEW_QUERIES", block)
+    v = np.random.default_rng(2).normal(size=(60, 8))
+    v[7] = v[3]
+    v[11] = 0
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    found = retrieval.cosine(rows, rows.where("vec_id < 10").selectExpr("vec_id AS q", "embedding AS v"), 5).collect()
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    for q in range(10):
+        s = np.round(unit @ unit[q], 9)
+        assert [r.doc for r in sorted((r for r in found if r.q == q), key=lambda r: r.rank)] == sorted(range(60), key=lambda i: (-s[i], i))[:5]
+
+
+def test_windows_of_lines():
+    from graphloom.operators.analysis import windows_of
+
+    lines = ["a" * 9, "b" * 30, "c" * 4, "d" * 4, "e" * 4]
+    assert list(windows_of(lines, 20, 1)) == ["a" * 9, "b" * 20, "cccc\ndddd\neeee"]
+    assert list(windows_of(["x"] * 5, 4, 5)) == ["x\nx"] * 4
+
+
+def test_constants_need_all_their_parts():
+    from graphloom.operators.lineage import resolve_constants
+
+    deep = "const a0 = 'x';" + "".join(f"const a{i + 1} = a{i} + 'y';" for i in range(9))
+    found = dict(resolve_constants(deep + "const z = unknown + 'x'; const f = g();"))
+    assert found["a6"] == "xyyyyyy" and not {"z", "f", "a8"} & set(found)
+
+
 def test_components_of_a_long_chain(spark):
     found = components(spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(40)] + [("x", "y")], "u string, v string"))
     assert {r.id: r.root for r in found.collect()} == {**{f"{i:03}": "000" for i in range(41)}, "x": "x", "y": "x"}
@@ -158,5 +215,6 @@ def test_chunks_and_pages(spark):
 
 
 def test_ddl_scanner():
+    assert list(created_tables("CREATE TABLE t (id int, key varchar(32), index int, KEY i (id), INDEX (id))")) == [("t", "id", "int"), ("t", "key", "varchar(32)"), ("t", "index", "int")]
     assert split_columns("a int, b decimal(10,2), c text default 'x,y'") == ["a int", "b decimal(10,2)", "c text default 'x,y'"]
     assert list(created_tables("CREATE TABLE x.T (id BIGINT, PRIMARY KEY (id));")) == [("t", "id", "bigint")]
