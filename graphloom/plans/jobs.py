@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from graphloom.plans.registry import query
 from graphloom.sources.tables import Tables
-from graphloom.streaming.jobs import fold, fold_stream, windowed_usage
+from graphloom.streaming.jobs import fold_stream, windowed_usage
 
 
 def commands(t: Tables) -> DataFrame:
     c = F.create_map(*(x for k, v in {"signup": "enqueue", "view": "claim", "click": "enqueue", "purchase": "ack", "error": "retry"}.items() for x in (F.lit(k), F.lit(v))))
-    return t.events.select((F.col("user_id") % 40).cast("string").alias("key"), F.col("event_id").alias("seq"), c[F.col("event_type")].alias("command"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("at"), F.lit("w").alias("token"))
+    return t.events.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), c[F.col("event_type")].alias("command"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("at"), F.lit("w").alias("token"))
 
 
 @query("str-16", None)
