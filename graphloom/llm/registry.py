@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from graphloom.llm import archives, decontaminate, licenses, lm_score, mixture, quality, simhash, suffix_dedup, token_files, toxicity
+from graphloom.llm import archives, chats, decontaminate, licenses, lm_score, mixture, quality, resample, simhash, suffix_dedup, token_files, toxicity, whitening
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_licenses": licenses.op10_licenses,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_resample": resample.op12_resample,
+    "op13_chats": chats.op13_chats,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -24,4 +27,6 @@ ORACLES = {
     "op5_quality_rules": quality.ORACLE,
     "op6_mixture": mixture.ORACLE,
     "op7_arc_to_warc": archives.ORACLE,
+    "op12_resample": resample.ORACLE,
+    "op13_chats": chats.ORACLE,
 }
