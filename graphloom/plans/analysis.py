@@ -280,22 +280,35 @@ def analyzers_pass(t: Tables) -> DataFrame:
 
 @query("grf-14", None)
 def communities(t: Tables) -> DataFrame:
-    """Of the hard calls between customers' calls and endpoints, and the nodes without any."""
+    """Of all hard nodes and edges."""
     g = prepared(t)
-    nodes = g.nodes.where("kind IN ('frontend_api_call', 'backend_endpoint', 'db_table')").select(F.lit("shop").alias("project_id"), "id")
-    edges = g.edges.where("kind = 'calls_api'").select(F.lit("shop").alias("project_id"), "source", "target")
+    nodes, edges = g.nodes.select(F.lit("shop").alias("project_id"), "id"), g.edges.select(F.lit("shop").alias("project_id"), "source", "target")
     return louvain(edges, nodes=nodes)
 
 
-@query("grf-15", "SELECT 'improves' AS what, true AS yes")
+# One level by the rounds of `operators.community`: each step of the recursion is a round, and its last step has the communities.
+_CALLS = "'calls_api', 'calls', 'reads_table', 'writes_table', 'relates_to'"
+_LOCAL = f""", pr AS (SELECT least(source, target) AS a, greatest(source, target) AS b, CAST(count(*) AS DOUBLE) AS w FROM e WHERE kind IN ({_CALLS}) AND source <> target GROUP BY ALL),
+bo AS (SELECT a AS x, b AS y, w FROM pr UNION ALL SELECT b, a, w FROM pr), nd AS (SELECT x, CAST('0x' || substr(md5(x), 1, 15) AS BIGINT) AS p, sum(w) AS d, sum(sum(w)) OVER () AS everything FROM bo GROUP BY x),
+lv AS (WITH RECURSIVE st(k, x, c) AS (SELECT 0, x, x FROM nd UNION ALL
+ SELECT k, x, c FROM (
+  WITH f AS (SELECT st.k, nd.*, st.c AS home, CASE WHEN r = 0 THEN p ELSE ((p & ((1::BIGINT << (60 - r)) - 1)) << r) | (p >> (60 - r)) END AS h FROM (SELECT *, 11 * k % 60 AS r FROM st) st JOIN nd USING (x)),
+  t AS (SELECT home AS c, sum(d) AS t FROM f GROUP BY home),
+  w AS (SELECT x, c, sum(w) AS w FROM (SELECT bo.x, g.home AS c, w FROM bo JOIN f g ON g.x = bo.y UNION ALL SELECT x, home, 0 FROM f) GROUP BY ALL),
+  s AS (SELECT f.*, w.c, w.w, t.t, w.w - (t.t - CASE WHEN w.c = home THEN d ELSE 0 END) * d / everything AS g FROM w JOIN f USING (x) JOIN t ON t.c = w.c),
+  b AS (SELECT x, arg_min({{'c': c, 'w': w, 't': t, 'g': g}}, (-g, c)) AS b, max(CASE WHEN c = home THEN g END) AS g0, max(CASE WHEN c = home THEN w END) AS w0, max(CASE WHEN c = home THEN t END) AS t0, any_value(home) AS home, any_value(h) AS h, any_value(d) AS d, any_value(everything) AS everything FROM s GROUP BY x),
+  q AS (SELECT * FROM b WHERE b.g - g0 > 1e-9 AND b.c <> home),
+  m AS (SELECT * FROM q WHERE x NOT IN (SELECT q.x FROM q JOIN bo ON bo.x = q.x JOIN q z ON z.x = bo.y WHERE z.h > q.h OR z.h = q.h AND z.x > q.x)),
+  i AS (SELECT *, coalesce(sum(d) OVER (PARTITION BY b.c ORDER BY h DESC, x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS enters, coalesce(sum(d) OVER (PARTITION BY home ORDER BY h DESC, x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS leaves FROM m),
+  o AS (SELECT x, b.c AS c FROM i WHERE b.w - (b.t + enters) * d / everything - (w0 - (t0 - d - leaves) * d / everything) > 1e-9)
+  SELECT f.k + 1 AS k, f.x, coalesce(o.c, f.home) AS c FROM f LEFT JOIN o USING (x) WHERE f.k < 60 AND EXISTS (SELECT 1 FROM o))) SELECT x, c FROM st WHERE k = (SELECT max(k) FROM st))"""
+
+
+@query("grf-15", with_derived(f"{GRAPH}{_LOCAL} SELECT x AS id, min(x) OVER (PARTITION BY c) AS community FROM lv", "nodes", "edges"))
 def local_moves(t: Tables) -> DataFrame:
-    """One level's grouping has a greater modularity than nodes of their own."""
-    from graphloom.operators.community import louvain_wide, undirected
-
-    edges = prepared(t).edges.where("kind = 'calls_api'").select(F.lit("shop").alias("project_id"), "source", "target")
-    grouped = louvain_wide(undirected(edges, "project_id"), levels=1)
-    q = modularity(edges, grouped.select("id", "community")).crossJoin(modularity(edges, grouped.select("id", F.col("id").alias("community"))).withColumnRenamed("q", "alone"))
-    return q.select(F.lit("improves").alias("what"), (F.col("q") > F.col("alone")).alias("yes"))
+    """One level of moves: the community of each call, endpoint, function and table."""
+    edges = prepared(t).edges.where(f"kind IN ({_CALLS})").select(F.lit("shop").alias("project_id"), "source", "target")
+    return louvain(edges, levels=1).select("id", "community")
 
 
 @query("grf-16", with_derived(f"{GRAPH}, m AS (SELECT 'shop:frontend_api_call:c' || CAST(c_custkey AS STRING) AS id, 'c' || CAST(c_nationkey AS STRING) AS c FROM customer UNION ALL SELECT 'shop:backend_endpoint:p' || CAST(p_partkey AS STRING), 'p' || CAST(p_size % 5 AS STRING) FROM part) SELECT least(a.c, b.c) AS a, greatest(a.c, b.c) AS b, count(*) AS w FROM e JOIN m a ON a.id = e.source JOIN m b ON b.id = e.target WHERE e.kind = 'calls_api' GROUP BY ALL", "nodes", "edges"))

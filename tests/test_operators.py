@@ -76,13 +76,88 @@ def test_isolated_nodes_are_communities_and_ties_go_to_the_smaller_name(spark):
     assert found["i"] == "i" and found["q"] == "q" and found["a"] == found["m"] == "a"
 
 
-def test_wide_communities_of_cliques(spark, monkeypatch):
+def _grouped(links):
+    """The method of operators.community in plain Python, move by move: each accepted move must gain at its turn."""
+    import hashlib
+
+    near, loop = {}, {}
+    for x, y in links:
+        if x != y:
+            for u, v in ((x, y), (y, x)):
+                near.setdefault(u, {})[v] = near.get(u, {}).get(v, 0.0) + 1
+    place = {x: int(hashlib.md5(x.encode()).hexdigest()[:15], 16) for x in near}
+    member = {x: x for x in near}
+    while True:
+        d = {x: sum(near[x].values()) + loop.get(x, 0.0) for x in near}
+        m2, of = sum(d.values()), {x: x for x in near}
+        for k in range(60):
+            r = 11 * k % 60
+            order = {x: ((place[x] << r) | (place[x] >> (60 - r))) & ((1 << 60) - 1) for x in near}
+            total = {c: sum(d[x] for x in near if of[x] == c) for c in set(of.values())}
+            weight = {x: {of[x]: 0.0} for x in near}
+            for x, row in near.items():
+                for y, w in row.items():
+                    weight[x][of[y]] = weight[x].get(of[y], 0.0) + w
+            gain = lambda x, c, t: weight[x].get(c, 0.0) - (t[c] - (d[x] if of[x] == c else 0.0)) * d[x] / m2  # noqa: B023, E731
+            best = {x: min(weight[x], key=lambda c: (-gain(x, c, total), c)) for x in near}  # noqa: B023
+            asks = {x for x in near if best[x] != of[x] and gain(x, best[x], total) - gain(x, of[x], total) > 1e-9}
+            if not asks:
+                break
+            movers = sorted((x for x in asks if not any(y in asks and (order[y], y) > (order[x], x) for y in near[x])), key=lambda x: (order[x], x), reverse=True)
+            enters, leaves, told, now = {}, {}, [], dict(total)
+            for x in movers:
+                c, h = best[x], of[x]
+                if weight[x].get(c, 0.0) - (total[c] + enters.get(c, 0.0)) * d[x] / m2 - (weight[x][h] - (total[h] - d[x] - leaves.get(h, 0.0)) * d[x] / m2) > 1e-9:
+                    assert gain(x, c, now) > gain(x, h, now)
+                    now[h] -= d[x]
+                    now[c] += d[x]
+                    told.append((x, c))
+                enters[c], leaves[h] = enters.get(c, 0.0) + d[x], leaves.get(h, 0.0) + d[x]
+            assert told
+            of.update(told)
+        least = {}
+        for x in sorted(near):
+            least.setdefault(of[x], x)
+        of = {x: least[c] for x, c in of.items()}
+        if len(set(of.values())) == len(near):
+            return member
+        member = {x: of[c] for x, c in member.items()}
+        merged, inside = {c: {} for c in of.values()}, {}
+        for x, row in near.items():
+            inside[of[x]] = inside.get(of[x], 0.0) + loop.get(x, 0.0)
+            for y, w in row.items():
+                if of[x] == of[y]:
+                    inside[of[x]] += w
+                else:
+                    merged[of[x]][of[y]] = merged[of[x]].get(of[y], 0.0) + w
+        near, loop = merged, inside
+        if len(near) == 1:
+            return member
+
+
+def _random_links(n, m, seed):
+    import random
+
+    rng = random.Random(seed)
+    return [(f"n{rng.randrange(n)}", f"n{min(rng.randrange(n), rng.randrange(n), rng.randrange(n))}") for _ in range(m)]
+
+
+@pytest.mark.parametrize(("n", "m"), [(200, 300), (200, 1500), (60, 1700), (30, 20)])
+def test_communities_are_those_of_plain_python(spark, n, m):
+    links = {f"p{k}": _random_links(n, m, k) for k in range(3)}
+    rows = [(p, *x) for p, found in links.items() for x in found]
+    found = louvain(spark.createDataFrame(rows, "project_id string, source string, target string")).collect()
+    assert {(r.project_id, r.id, r.community) for r in found} == {(p, x, c) for p, some in links.items() for x, c in _grouped(some).items()}
+
+
+def test_communities_by_joins_are_the_same(spark, monkeypatch):
     from graphloom.operators import community
 
-    monkeypatch.setattr(community, "MOST_NODES", 3)
-    pairs = [(f"{g}{i}", f"{g}{j}") for g in "abc" for i in range(6) for j in range(i)] + [("a0", "b0"), ("b1", "c1")]
-    found = louvain(spark.createDataFrame([("p", *x) for x in pairs], "project_id string, source string, target string"))
-    assert {r.id: r.community for r in found.collect()} == {f"{g}{i}": f"{g}0" for g in "abc" for i in range(6)}
+    monkeypatch.setattr(community, "TASK_PAIRS", 12)  # the first level of two projects by joins, the next in tasks
+    links = {"a": _random_links(16, 26, 1), "b": [(f"{g}{i}", f"{g}{j}") for g in "abc" for i in range(4) for j in range(i)] + [("a0", "b0"), ("b1", "c1")], "c": [("x", "y")]}
+    rows = [(p, *x) for p, found in links.items() for x in found]
+    found = louvain(spark.createDataFrame(rows, "project_id string, source string, target string")).collect()
+    assert {(r.project_id, r.id, r.community) for r in found} == {(p, x, c) for p, some in links.items() for x, c in _grouped(some).items()}
 
 
 def test_walks_stop_once_enough_is_visited(spark):
