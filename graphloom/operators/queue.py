@@ -1,15 +1,18 @@
 """A queue of jobs as a table: what each command makes of its rows. A command takes the rows that it fits (a condition), and leaves others as they are; the table is read and written as versions of a store.
 
-queue: id, project_id, kind, pending_at, pending_token, token, owner, claimed_at, lease_until, quarantined, quarantine_id, result."""
+queue: id, project_id, kind; pending_at, pending_token, pending_meta of what is asked for; token, owner, claimed_at, lease_until, meta of what is under way; quarantined, quarantine_id; result, result_at, result_enqueued_at,
+result_meta of what ended last. Metas are JSON objects. Rows that are set apart change by `release` only."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.repos import numbered
+
 #: The least step between two times.
-STEP = 1e-3
-FREE = {"token": None, "owner": None, "claimed_at": None, "lease_until": None}
+STEP = 1e-6
+FREE = {"token": None, "owner": None, "claimed_at": None, "lease_until": None, "meta": None}
 
 
 def change(queue: DataFrame, condition: Column, **values) -> DataFrame:
@@ -38,7 +41,7 @@ def eligible(now: float) -> Column:
 def claim(queue: DataFrame, now: float, lease: float, owner: str, projects: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """The oldest eligible rows get a new token, an owner and a lease; what was pending is under way. One writer claims at a time."""
     wanted = eligible(now) & (F.col("project_id").isin(projects) if projects else F.lit(True))
-    new = {"token": F.concat(F.lit("n"), F.col("id").cast("string")), "owner": owner, "claimed_at": now, "lease_until": now + lease, "pending_at": None, "pending_token": None}
+    new = {"token": F.concat(F.lit("n"), F.col("id").cast("string")), "owner": owner, "claimed_at": now, "lease_until": now + lease, "pending_at": None, "pending_token": None, "meta": F.coalesce("pending_meta", "meta"), "pending_meta": None}
     if limit is None:
         return change(queue, wanted, **new)
     first = queue.where(wanted).orderBy(F.coalesce("pending_at", "claimed_at"), "id").limit(limit).select("id", F.lit(True).alias("_mine"))
@@ -50,23 +53,40 @@ def held(token: Column, owner: Column) -> Column:
     return (F.col("token") == token) & F.col("owner").eqNullSafe(owner)
 
 
+def _open(condition: Column) -> Column:
+    return condition & ~F.col("quarantined")
+
+
+def _asked_again(since: Column, token: Column) -> dict[str, Column]:
+    """A claim is pending again, unless something newer is."""
+    none = F.col("pending_at").isNull()
+    return {"pending_at": F.coalesce("pending_at", since), "pending_token": F.when(none, token).otherwise(F.col("pending_token")), "pending_meta": F.when(none, F.col("meta")).otherwise(F.col("pending_meta"))}
+
+
+def _failed(reason: str, now: float) -> dict[str, Column | str | float | None]:
+    """What ended a claim, with the reason in its meta."""
+    meta = F.from_json(F.coalesce("meta", F.lit("{}")), "map<string,string>")
+    merged = F.map_concat(F.map_filter(meta, lambda k, _: k != "failure_reason"), F.create_map(F.lit("failure_reason"), F.lit(reason)))
+    return {"result": "failed", "result_at": now, "result_enqueued_at": F.col("claimed_at"), "result_meta": F.to_json(merged)} | FREE
+
+
 def renew(queue: DataFrame, mine: Column, until: float) -> DataFrame:
-    return change(queue, mine & ~F.col("quarantined"), lease_until=until)
+    return change(queue, _open(mine), lease_until=until)
 
 
 def retry(queue: DataFrame, mine: Column, now: float) -> DataFrame:
-    """Given up claims are pending again behind all that is, in the order of their ids; what was pending of the same row becomes that."""
-    last = queue.agg(F.greatest(F.coalesce(F.max("pending_at"), F.lit(now)), F.lit(now)).alias("_last"))
-    turn = F.row_number().over(Window.partitionBy("project_id").orderBy("id"))
-    mine = F.coalesce(mine, F.lit(False))
-    ranked = queue.where(mine).select("id", turn.alias("_turn"))
-    met = queue.crossJoin(F.broadcast(last)).join(ranked, "id", "left")
-    return change(met, F.col("_turn").isNotNull(), pending_at=F.round(F.col("_last") + STEP * F.col("_turn"), 6), pending_token=F.col("token"), **FREE).select(queue.columns)
+    """Given up claims are pending again behind all that is (but for what is set apart), one after another in the order of their ids; what was pending of the same row becomes that.
+    A turn is counted in ranges of the ids, whatever the project."""
+    last = queue.where("NOT quarantined").agg(F.greatest(F.coalesce(F.max("pending_at"), F.lit(now)), F.lit(now)).alias("_last"))
+    ranked = numbered(queue.where(F.coalesce(_open(mine), F.lit(False))).select("id"), "id").select("id", (F.col("number") + 1).alias("_turn"))
+    met = queue.crossJoin(F.broadcast(last)).join(ranked, "id", "left")  # last: one row
+    new = _asked_again(F.lit(now), F.lit(None)) | {"pending_at": F.round(F.col("_last") + STEP * F.col("_turn"), 6), "pending_token": F.concat(F.lit("r"), F.col("id").cast("string"))}
+    return change(met, F.col("_turn").isNotNull(), **new, **FREE).select(queue.columns)
 
 
-def reject(queue: DataFrame, mine: Column, reason: str) -> DataFrame:
+def reject(queue: DataFrame, mine: Column, reason: str, now: float) -> DataFrame:
     """Failed, with the reason; what is pending since stays."""
-    return change(queue, mine, result=F.concat(F.lit("failed:"), F.lit(reason)), **FREE)
+    return change(queue, _open(mine), **_failed(reason, now))
 
 
 def quarantine(queue: DataFrame, condition: Column, identity: Column) -> DataFrame:
@@ -75,27 +95,35 @@ def quarantine(queue: DataFrame, condition: Column, identity: Column) -> DataFra
 
 
 def release(queue: DataFrame, identity: str) -> DataFrame:
-    return change(queue, F.col("quarantined") & (F.col("quarantine_id") == identity), quarantined=False, quarantine_id=None)
+    """What was set apart under an identity is pending again since it was claimed, and its claim is free."""
+    known = F.col("quarantined") & (F.col("quarantine_id") == identity)
+    return change(queue, known, **_asked_again(F.col("claimed_at"), F.concat(F.lit("r"), F.col("id").cast("string"))), **FREE, quarantined=False, quarantine_id=None)
 
 
-def publish_ack(queue: DataFrame, mine: Column) -> DataFrame:
+def publish_ack(queue: DataFrame, mine: Column, now: float) -> DataFrame:
     """Done; a newer pending entry stays."""
-    return change(queue, mine & ~F.col("quarantined"), result="done", **FREE)
+    return change(queue, _open(mine), **{"result": "done", "result_at": now, "result_enqueued_at": F.col("claimed_at"), "result_meta": F.col("meta")} | FREE)
+
+
+def discard(queue: DataFrame, at: float, now: float) -> DataFrame:
+    """What is pending no later than a time goes, and is told as the result; a claim runs on."""
+    told = {"result": "discarded", "result_at": now, "result_enqueued_at": F.col("pending_at"), "result_meta": F.col("pending_meta")}
+    return change(queue, _open(F.col("pending_at") <= at), pending_at=None, pending_token=None, pending_meta=None, **told)
 
 
-def discard(queue: DataFrame, at: float) -> DataFrame:
-    """What is pending no later than a time goes; a claim runs on."""
-    return change(queue, F.col("pending_at") <= at, pending_at=None, pending_token=None)
+def owned(queue: DataFrame, owner: str) -> DataFrame:
+    """All claims of an owner, whether their leases are over or not, but for those set apart."""
+    return queue.where(_open(F.col("token").isNotNull() & (F.col("owner") == owner)))
 
 
 def reclaim(queue: DataFrame, owner: str) -> DataFrame:
     """The claims of a dead owner are pending again since they were claimed, unless something newer is."""
-    return change(queue, F.col("owner") == owner, pending_at=F.coalesce("pending_at", "claimed_at"), pending_token=F.coalesce("pending_token", "token"), **FREE)
+    return change(queue, _open(F.col("token").isNotNull() & (F.col("owner") == owner)), **_asked_again(F.col("claimed_at"), F.concat(F.lit("r"), F.col("id").cast("string"))), **FREE)
 
 
 def reject_unowned(queue: DataFrame, now: float) -> DataFrame:
     """Claims of before there were owners fail when their lease is over."""
-    return change(queue, F.col("token").isNotNull() & F.col("owner").isNull() & ~live(now), result="failed:legacy", **FREE)
+    return change(queue, _open(F.col("token").isNotNull() & F.col("owner").isNull() & F.coalesce(F.col("lease_until") < now, F.lit(False))), **_failed("legacy", now))
 
 
 def migrate_pending(queue: DataFrame, expected: Column, token: Column) -> DataFrame:

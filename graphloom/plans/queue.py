@@ -18,6 +18,18 @@ def mine():
     return ops.held(F.when(F.col("id") % 3 > 0, F.concat(F.lit("t"), F.col("id").cast("string"))).otherwise("wrong"), F.lit("w1"))
 
 
+_ENDED = "result, result_at, result_enqueued_at, result_meta, token, owner, claimed_at, lease_until, meta, pending_at"
+
+
+def _updated(condition: str, values: str, columns: str) -> str:
+    """SQL: rows with a condition get values (column = expression; NULL for free claims), all rows have the columns."""
+    new = dict(x.split(" = ", 1) for x in values.split("; "))
+    return "SELECT id, " + ", ".join(f"CASE WHEN {condition} THEN {new[c]} ELSE {c} END AS {c}" if c in new else c for c in columns.split(", ")) + " FROM queue"
+
+
+_FREE = "token = NULL; owner = NULL; claimed_at = NULL; lease_until = NULL; meta = NULL"
+_AGAIN = "pending_at = coalesce(pending_at, claimed_at); pending_token = CASE WHEN pending_at IS NULL THEN 'r' || CAST(id AS STRING) ELSE pending_token END; pending_meta = CASE WHEN pending_at IS NULL THEN meta ELSE pending_meta END"
+_PENDING = "pending_at, pending_token, pending_meta, token, owner, claimed_at, lease_until, meta, quarantined, quarantine_id"
 _MINE = "coalesce(token IS NOT NULL AND id % 3 > 0 AND owner = 'w1', false)"
 
 
@@ -48,46 +60,40 @@ def renew(t: Tables) -> DataFrame:
     return ops.renew(t.queue, mine(), 2000.0).select("id", "lease_until")
 
 
-@query("str-05", with_derived(f", m AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY id) AS k FROM queue WHERE {_MINE}) SELECT q.id, CASE WHEN m.id IS NOT NULL THEN round(greatest((SELECT max(pending_at) FROM queue), 1100) + 0.001::DOUBLE * m.k, 6) ELSE q.pending_at END AS pending_at, CASE WHEN m.id IS NULL THEN q.token END AS token FROM queue q LEFT JOIN m ON m.id = q.id", "queue"))
+@query("str-05", with_derived(f""", k AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM queue WHERE {_MINE} AND NOT quarantined), z AS (SELECT greatest(max(pending_at), 1100) AS z FROM queue WHERE NOT quarantined)
+SELECT q.id, coalesce(round(z + 0.000001::DOUBLE * k.n, 6), q.pending_at) AS pending_at, CASE WHEN k.id IS NOT NULL THEN 'r' || CAST(k.id AS STRING) ELSE q.pending_token END AS pending_token, CASE WHEN k.id IS NOT NULL AND q.pending_at IS NULL THEN q.meta ELSE q.pending_meta END AS pending_meta, CASE WHEN k.id IS NULL THEN q.token END AS token, CASE WHEN k.id IS NULL THEN q.meta END AS meta FROM queue q CROSS JOIN z LEFT JOIN k ON k.id = q.id""", "queue"))
 def retry(t: Tables) -> DataFrame:
-    return ops.retry(t.queue, mine(), NOW).select("id", "pending_at", "token")
-
+    return ops.retry(t.queue, mine(), NOW).select("id", "pending_at", "pending_token", "pending_meta", "token", "meta")
 
-@query("str-06", with_derived(f"SELECT id, CASE WHEN {_MINE} THEN 'failed:broken' ELSE result END AS result, CASE WHEN {_MINE} THEN NULL ELSE token END AS token, pending_at FROM queue", "queue"))
+@query("str-06", with_derived(_updated(f"{_MINE} AND NOT quarantined", f"result = 'failed'; result_at = 1100; result_enqueued_at = claimed_at; result_meta = CAST(json_merge_patch(coalesce(meta, '{{}}')::JSON, '{{\"failure_reason\":\"broken\"}}'::JSON) AS VARCHAR); {_FREE}", _ENDED), "queue"))
 def reject(t: Tables) -> DataFrame:
-    return ops.reject(t.queue, mine(), "broken").select("id", "result", "token", "pending_at")
-
+    return ops.reject(t.queue, mine(), "broken", NOW).select("id", *_ENDED.split(", "))
 
 @query("str-07", with_derived("SELECT id, quarantined OR id % 7 = 0 AS quarantined, CASE WHEN quarantined THEN quarantine_id WHEN id % 7 = 0 THEN 'new' || CAST(id AS STRING) END AS quarantine_id FROM queue", "queue"))
 def quarantine(t: Tables) -> DataFrame:
     return ops.quarantine(t.queue, F.col("id") % 7 == 0, F.concat(F.lit("new"), F.col("id").cast("string"))).select("id", "quarantined", "quarantine_id")
 
 
-@query("str-08", with_derived("SELECT id, quarantined AND quarantine_id <> 'q1' AS quarantined FROM queue", "queue"))
+@query("str-08", with_derived(_updated("quarantined AND quarantine_id = 'q1'", f"{_AGAIN}; {_FREE}; quarantined = false; quarantine_id = NULL", _PENDING), "queue"))
 def release(t: Tables) -> DataFrame:
-    return ops.release(t.queue, "q1").select("id", "quarantined")
+    return ops.release(t.queue, "q1").select("id", *_PENDING.split(", "))
 
-
-@query("str-10", with_derived(f"SELECT id, CASE WHEN {_MINE} AND NOT quarantined THEN 'done' ELSE result END AS result, CASE WHEN {_MINE} AND NOT quarantined THEN NULL ELSE token END AS token, pending_at FROM queue", "queue"))
+@query("str-10", with_derived(_updated(f"{_MINE} AND NOT quarantined", f"result = 'done'; result_at = 1100; result_enqueued_at = claimed_at; result_meta = meta; {_FREE}", _ENDED), "queue"))
 def publish_ack(t: Tables) -> DataFrame:
-    return ops.publish_ack(t.queue, mine()).select("id", "result", "token", "pending_at")
-
+    return ops.publish_ack(t.queue, mine(), NOW).select("id", *_ENDED.split(", "))
 
-@query("str-11", with_derived("SELECT id, CASE WHEN pending_at > 1200 THEN pending_at END AS pending_at, token FROM queue", "queue"))
+@query("str-11", with_derived(_updated("coalesce(pending_at <= 1200, false) AND NOT quarantined", "pending_at = NULL; result = 'discarded'; result_at = 1100; result_enqueued_at = pending_at; result_meta = pending_meta", _ENDED), "queue"))
 def discard(t: Tables) -> DataFrame:
-    return ops.discard(t.queue, 1200.0).select("id", "pending_at", "token")
-
+    return ops.discard(t.queue, 1200.0, NOW).select("id", *_ENDED.split(", "))
 
-@query("str-12", with_derived("SELECT id, CASE WHEN owner = 'w0' THEN coalesce(pending_at, claimed_at) ELSE pending_at END AS pending_at, CASE WHEN coalesce(owner = 'w0', false) THEN NULL ELSE token END AS token FROM queue", "queue"))
+@query("str-12", with_derived(_updated("coalesce(owner = 'w0', false) AND token IS NOT NULL AND NOT quarantined", f"{_AGAIN}; {_FREE}", _PENDING), "queue"))
 def reclaim(t: Tables) -> DataFrame:
-    return ops.reclaim(t.queue, "w0").select("id", "pending_at", "token")
+    return ops.reclaim(t.queue, "w0").select("id", *_PENDING.split(", "))
 
-
-@query("str-13", with_derived(f"SELECT id, token FROM queue WHERE owner = 'w1' AND {_LIVE} AND NOT quarantined", "queue"))
+@query("str-13", with_derived("SELECT id, token, claimed_at, lease_until, meta FROM queue WHERE owner = 'w1' AND token IS NOT NULL AND NOT quarantined", "queue"))
 def recover(t: Tables) -> DataFrame:
-    """The live claims of an owner that has come back."""
-    return t.queue.where((F.col("owner") == "w1") & ops.live(NOW) & ~F.col("quarantined")).select("id", "token")
-
+    """The claims of an owner that has come back."""
+    return ops.owned(t.queue, "w1").select("id", "token", "claimed_at", "lease_until", "meta")
 
 @query("str-14", with_derived(f"SELECT project_id, bool_or(pending_at IS NOT NULL) AS pending, bool_or({_LIVE}) AS active, bool_or(quarantined) AS quarantined FROM queue WHERE kind = 'codegraph' GROUP BY project_id", "queue"))
 def dependency_state(t: Tables) -> DataFrame:
@@ -105,10 +111,9 @@ def dependency_gate(t: Tables) -> DataFrame:
     return ops.gate(claims, t.queue.where("kind = 'codegraph' AND id % 11 = 0"), manifest)
 
 
-@query("str-25", with_derived(f"SELECT id, CASE WHEN token IS NOT NULL AND owner IS NULL AND NOT {_LIVE} THEN 'failed:legacy' ELSE result END AS result FROM queue", "queue"))
+@query("str-25", with_derived(_updated("token IS NOT NULL AND owner IS NULL AND coalesce(lease_until < 1100, false) AND NOT quarantined", f"result = 'failed'; result_at = 1100; result_enqueued_at = claimed_at; result_meta = CAST(json_merge_patch(coalesce(meta, '{{}}')::JSON, '{{\"failure_reason\":\"legacy\"}}'::JSON) AS VARCHAR); {_FREE}", _ENDED), "queue"))
 def legacy_reject(t: Tables) -> DataFrame:
-    return ops.reject_unowned(t.queue, NOW).select("id", "result")
-
+    return ops.reject_unowned(t.queue, NOW).select("id", *_ENDED.split(", "))
 
 @query("str-26", with_derived("SELECT id, CASE WHEN pending_token = 'm' || CAST(id - id % 2 AS STRING) THEN 'new' ELSE pending_token END AS pending_token FROM queue", "queue"))
 def pending_migration(t: Tables) -> DataFrame:

@@ -87,7 +87,9 @@ QUEUE = """SELECT o_orderkey AS id, 'p' || CAST(o_custkey % 50 AS STRING) AS pro
  CASE WHEN o_orderkey % 3 < 2 THEN CAST(1000 + o_orderkey % 500 AS DOUBLE) END AS pending_at, CASE WHEN o_orderkey % 3 < 2 THEN 'm' || CAST(o_orderkey AS STRING) END AS pending_token,
  CASE WHEN o_orderkey % 4 = 1 THEN 't' || CAST(o_orderkey AS STRING) END AS token, CASE WHEN o_orderkey % 4 = 1 AND o_orderkey % 5 > 0 THEN 'w' || CAST(o_orderkey % 2 AS STRING) END AS owner,
  CASE WHEN o_orderkey % 4 = 1 THEN CAST(900 + o_orderkey % 150 AS DOUBLE) END AS claimed_at, CASE WHEN o_orderkey % 4 = 1 THEN CAST(1000 + o_orderkey % 170 AS DOUBLE) END AS lease_until,
- o_orderkey % 13 = 0 AS quarantined, CASE WHEN o_orderkey % 13 = 0 THEN 'q' || CAST(o_orderkey % 2 AS STRING) END AS quarantine_id, CAST('ok' AS STRING) AS result FROM orders"""
+ o_orderkey % 13 = 0 AS quarantined, CASE WHEN o_orderkey % 13 = 0 THEN 'q' || CAST(o_orderkey % 2 AS STRING) END AS quarantine_id, CAST('ok' AS STRING) AS result,
+ CASE WHEN o_orderkey % 4 = 1 AND o_orderkey % 9 > 0 THEN chr(123) || '"job":"a' || CAST(o_orderkey AS STRING) || '"' || chr(125) END AS meta, CASE WHEN o_orderkey % 3 < 2 THEN chr(123) || '"job":"b' || CAST(o_orderkey AS STRING) || '"' || chr(125) END AS pending_meta,
+ CAST(NULL AS DOUBLE) AS result_at, CAST(NULL AS DOUBLE) AS result_enqueued_at, CAST(NULL AS STRING) AS result_meta FROM orders"""
 
 DERIVED = {
     "queue": QUEUE,
