@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import classify, is_test
+from graphloom.operators.names import NameIndex, name_index, names_with
 from graphloom.operators.retrieval import cosine, name_relevance, round_robin, rrf, top
 from graphloom.operators.symbols import fts
 
@@ -17,8 +18,6 @@ from graphloom.operators.symbols import fts
 PER_LANE, LIMIT, OVERFETCH, MOST_CHUNKS = 30, 20, 3, 200
 LANES = ("graph", "codegraph", "vector")
 WEIGHTS = {"symbol": {"codegraph": 2.0}, "impact": {"graph": 2.0}}
-#: Queries that meet all names at once.
-QUERY_BLOCK = 1000
 
 
 def local_ref(repo: Column, ref: Column, main: str = "r0") -> Column:
@@ -31,22 +30,19 @@ def tests_last(lane: DataFrame, keys: list[str]) -> DataFrame:
     return lane.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(is_test(F.col("name"), F.col("file")).cast("int"), "rank")) - 1)
 
 
-def name_search(nodes: DataFrame, queries: DataFrame, limit: int = 50) -> DataFrame:
-    """q, ref, rank, ...: nodes whose name holds a term of the text, by relevance, kind, name and id. The stated queries meet each distinct name, block by block."""
+def name_search(nodes: DataFrame, queries: DataFrame, limit: int = 50, index: NameIndex | None = None) -> DataFrame:
+    """q, ref, rank, ...: nodes whose name holds a term of the text, by relevance, kind, name and id. Names are found by an index of their grams (made here if none is given)."""
     terms = F.filter(F.split(F.lower(F.trim("text")), r"\s+"), lambda x: x != "")
     asked = queries.select("q", terms.alias("terms")).where(F.size("terms") > 0)
-    names = nodes.select(F.lower("name").alias("low")).where("low IS NOT NULL").distinct()
-    blocks, out = max(1, -(-asked.count() // QUERY_BLOCK)), None
-    for block in range(blocks):
-        few = F.broadcast(asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block))
-        met = names.join(few, F.exists("terms", lambda x: F.contains(F.col("low"), x))).select("q", "low", name_relevance(F.col("low"), F.col("terms"), F.array_join("terms", " ")).alias("r"))
-        out = met if out is None else out.union(met)
-    found = out.join(nodes.select("id", "name", F.lower("name").alias("low"), "kind", "file"), "low")
+    each = asked.select("q", F.explode(F.array_distinct("terms")).alias("term"))
+    held = names_with(index or name_index(nodes), each)
+    met = held.join(each, "term").select("q", "low").distinct().join(asked, "q").select("q", "low", name_relevance(F.col("low"), F.col("terms"), F.array_join("terms", " ")).alias("r"))
+    found = met.join(nodes.select("id", "name", F.lower("name").alias("low"), "kind", "file"), "low")
     return top(found, ["q"], limit, "r", "kind", "name", "id").select("q", F.col("id").alias("ref"), "rank", "name", "kind", "file")
 
 
-def graph_lane(nodes: DataFrame, queries: DataFrame, limit: int = PER_LANE) -> DataFrame:
-    return tests_last(name_search(nodes, queries, limit), ["q"])
+def graph_lane(nodes: DataFrame, queries: DataFrame, limit: int = PER_LANE, index: NameIndex | None = None) -> DataFrame:
+    return tests_last(name_search(nodes, queries, limit, index), ["q"])
 
 
 def symbol_lane(symbols: DataFrame, queries: DataFrame, limit: int = PER_LANE) -> DataFrame:

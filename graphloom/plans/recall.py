@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import TYPES, classify
 from graphloom.operators import recall as ops
-
+from graphloom.operators.names import NameIndex, name_index
 from graphloom.plans.graph import GRAPH
 from graphloom.plans.registry import query
 from graphloom.plans.symbols import fts_sql
@@ -24,6 +24,17 @@ def asked(t: Tables) -> DataFrame:
     return t.part.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("q"), F.concat("p_name", tail).alias("text"))
 
 
+_NAMES: dict[tuple[str, str], NameIndex] = {}
+
+
+def names(t: Tables) -> NameIndex:
+    """The index of the nodes' names, made once a session and folder."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _NAMES:
+        _NAMES[key] = name_index(prepared(t).nodes)
+    return _NAMES[key]
+
+
 def embedded(t: Tables) -> DataFrame:
     """The vectors of the asked texts: those that were made before, as no model is at hand."""
     return asked(t).select("q").join(t.embeddings.select(F.col("vec_id").alias("q"), F.col("embedding").alias("v")), "q").select("q", "v")
@@ -70,7 +81,7 @@ def query_vectors(t: Tables) -> DataFrame:
 
 @query("ret-11", with_derived(f"{_ASK}{GRAPH}{_GRAPH} SELECT * FROM g", "nodes", "edges"))
 def graph_lane(t: Tables) -> DataFrame:
-    return ops.graph_lane(prepared(t).nodes, asked(t))
+    return ops.graph_lane(prepared(t).nodes, asked(t), index=names(t))
 
 
 @query("ret-12", with_derived(f"{fts_sql('or', 30, 'true', ASKED)}{_SYMBOL} SELECT * FROM c", "symbols"))
@@ -85,7 +96,7 @@ def vector_lane(t: Tables) -> DataFrame:
 
 def fused(t: Tables) -> DataFrame:
     q = asked(t)
-    return ops.fuse({"graph": ops.graph_lane(prepared(t).nodes, q), "codegraph": ops.symbol_lane(t.symbols, q), "vector": ops.vector_lane(t.symbols, chunks(t), embedded(t))}, q)
+    return ops.fuse({"graph": ops.graph_lane(prepared(t).nodes, q, index=names(t)), "codegraph": ops.symbol_lane(t.symbols, q), "vector": ops.vector_lane(t.symbols, chunks(t), embedded(t))}, q)
 
 
 @query("ret-14", with_derived(_FUSED + " SELECT q, ref, rank, score, name, kind, file FROM fd", "symbols", "nodes", "edges"))
@@ -205,7 +216,7 @@ SELECT ask.q, round(coalesce(a.rr, 0) - coalesce(b.rr, 0), 6) AS delta FROM ask
 def recall_ab(t: Tables) -> DataFrame:
     """The reciprocal rank of the first good ref, by weights of the query's type less by equal weights, query by query."""
     q = asked(t)
-    lanes = {"graph": ops.graph_lane(prepared(t).nodes, q), "codegraph": ops.symbol_lane(t.symbols, q), "vector": ops.vector_lane(t.symbols, chunks(t), embedded(t))}
+    lanes = {"graph": ops.graph_lane(prepared(t).nodes, q, index=names(t)), "codegraph": ops.symbol_lane(t.symbols, q), "vector": ops.vector_lane(t.symbols, chunks(t), embedded(t))}
     plain = q.select("q", F.lit("equal").alias("text"))
     name = t.part.select(F.col("p_partkey").alias("q"), "p_name").join(q.select("q"), "q")
     symbols = name.join(t.symbols.select(F.col("name").alias("s"), ops.local_ref(F.col("repo"), F.col("id")).alias("ref")), F.replace("p_name", F.lit(" "), F.lit("_")) == F.col("s")).select("q", "ref")

@@ -148,8 +148,12 @@ def relevance(t: Tables) -> DataFrame:
 
 @query("top-01", with_derived("SELECT id, name FROM (SELECT id, name, kind, ord, CASE WHEN lower(name) = 'as' THEN 2 WHEN starts_with(lower(name), 'as') THEN 1 ELSE 0 END AS w FROM nodes WHERE contains(lower(name), 'as')) ORDER BY w DESC, length(name), kind, name, id LIMIT 50", "nodes"))
 def name_search(t: Tables) -> DataFrame:
-    r = name_relevance(F.lower("name"), F.array(F.lit("as")), F.lit("as"))
-    return t.nodes.withColumn("r", r).where("r IS NOT NULL").orderBy("r", "kind", "name", "id").limit(50).select("id", "name")
+    """Through the index of grams, over all nodes, those of one id included."""
+    from graphloom.operators.names import name_index, names_with
+
+    term = t.spark.range(1).select(F.lit("as").alias("term"))
+    held = names_with(name_index(t.nodes), term).select("low", name_relevance(F.col("low"), F.array("term"), F.col("term")).alias("r"))
+    return held.join(t.nodes.withColumn("low", F.lower("name")), "low").orderBy("r", "kind", "name", "id").limit(50).select("id", "name")
 
 
 @query("top-06", with_derived("SELECT repo, file_path, id, row_number() OVER (PARTITION BY repo, file_path ORDER BY CASE WHEN starts_with(lower(name), 'test_') OR contains(file_path, '/tests/') OR file_path LIKE '%\\_test.py' ESCAPE '\\' OR file_path LIKE '%.spec.ts' THEN 1 ELSE 0 END, ord) AS place FROM symbols", "symbols"))

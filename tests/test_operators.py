@@ -293,3 +293,18 @@ def test_ddl_scanner():
     assert list(created_tables("CREATE TABLE t (id int, key varchar(32), index int, KEY i (id), INDEX (id))")) == [("t", "id", "int"), ("t", "key", "varchar(32)"), ("t", "index", "int")]
     assert split_columns("a int, b decimal(10,2), c text default 'x,y'") == ["a int", "b decimal(10,2)", "c text default 'x,y'"]
     assert list(created_tables("CREATE TABLE x.T (id BIGINT, PRIMARY KEY (id));")) == [("t", "id", "bigint")]
+
+
+@pytest.mark.parametrize("few", [0, 500])
+def test_names_that_hold_a_term(spark, monkeypatch, few):
+    import random
+
+    from graphloom.operators import names
+
+    monkeypatch.setattr(names, "FEW_GRAMS", few)
+    rng = random.Random(5)
+    made = ["".join(rng.choice("abA_é𝒳") for _ in range(rng.randrange(12))) for _ in range(300)] + ["aaaaaa", "aXa", "", None, "get_user", "get_user"]
+    terms = ["a", "ab", "aa", "aaa", "aaaa", "aba", "é𝒳", "b_é𝒳", "get_user", "er", "zz", "zzz", "aaz", "", *{x.lower()[2:7] for x in made[:60]}]
+    index = names.name_index(spark.createDataFrame([(x,) for x in made], "name string").repartition(3))
+    found = {(r.term, r.low) for r in names.names_with(index, spark.createDataFrame([(x,) for x in terms], "term string")).collect()}
+    assert found == {(t, x.lower()) for t in terms if t for x in made if x and t in x.lower()}
