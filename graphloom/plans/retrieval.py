@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import chunks, html_to_text, is_test, paragraphs, sections, slices
-from graphloom.operators.retrieval import TextIndex, bm25, cosine, name_relevance, round_robin, rrf, text_index, tokens, top
+from graphloom.operators.retrieval import TextIndex, bm25, bm25_top, cosine, name_relevance, round_robin, rrf, text_index, tokens, top
 from graphloom.plans.registry import query
 from graphloom.sources.tables import Tables, with_derived
 
@@ -33,7 +33,7 @@ def asked(t: Tables) -> DataFrame:
 
 
 def text_hits(t: Tables, k: int = 30) -> DataFrame:
-    scored = bm25(index(t), asked(t)).withColumn("score", F.round("score", 6))
+    scored = bm25_top(index(t), asked(t), k)[0].withColumn("score", F.round("score", 6))
     return top(scored, ["q"], k, F.desc("score"), "doc")
 
 
@@ -64,7 +64,7 @@ _TOPV = f"{_COS}, vec AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s
 
 
 @query("top-04", f"WITH {_TOPN} SELECT q, doc, rank FROM bm WHERE rank < 30")
-def bm25_top(t: Tables) -> DataFrame:
+def first_hits(t: Tables) -> DataFrame:
     return text_hits(t).select("q", "doc", "rank")
 
 

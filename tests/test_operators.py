@@ -308,3 +308,23 @@ def test_names_that_hold_a_term(spark, monkeypatch, few):
     index = names.name_index(spark.createDataFrame([(x,) for x in made], "name string").repartition(3))
     found = {(r.term, r.low) for r in names.names_with(index, spark.createDataFrame([(x,) for x in terms], "term string")).collect()}
     assert found == {(t, x.lower()) for t in terms if t for x in made if x and t in x.lower()}
+
+
+def test_block_bounds_lose_no_document_of_the_first_ones(spark, monkeypatch):
+    import random
+
+    from graphloom.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "BLOCK_DOCS", 20)
+    monkeypatch.setattr(retrieval, "FIRST_BLOCKS", 1)
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.choice(["the"] * 9 + [f"w{j}" for j in range(30)]) for _ in range(rng.randrange(30))) + (" rare" * 3 if i % 97 == 0 else "")) for i in range(600)] + [(600, None), (601, "")]
+    index = retrieval.text_index(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert index.n == 602 and index.blocks.where("term = 'the'").count() > 20 and index.blocks.agg({"n": "max"}).first()[0] < 60
+    queries = spark.createDataFrame([(1, "rare"), (1, "the"), (2, "w3"), (2, "w4"), (3, "none"), (4, "the")], "q long, term string")
+    whole = retrieval.bm25(index, queries).withColumn("score", retrieval.F.round("score", 6))
+    some, report = retrieval.bm25_top(index, queries, 5)
+    first = lambda df: sorted(map(tuple, retrieval.top(df, ["q"], 5, retrieval.F.desc("score"), "doc").collect()))
+    assert first(some.withColumn("score", retrieval.F.round("score", 6))) == first(whole)
+    told = {r.q: (r.blocks, r.read) for r in report.collect()}
+    assert told[1][1] < told[1][0] / 2 and set(told) == {1, 2, 4}
