@@ -53,12 +53,11 @@ def steps(edges: DataFrame, reverse: bool) -> DataFrame:
     return edges.select(F.col(here).alias("here"), F.col(there).alias("there"), "kind", "confidence", "src", "ord")
 
 
-def reach(edges: DataFrame, starts: DataFrame, reverse: bool = True, max_depth: int = 10) -> DataFrame:
-    """starts: id. Returns id, depth, and via_edge, confidence, src of the first discovery; starts have depth 0.
+def reach(walk: DataFrame, starts: DataFrame, max_depth: int = 10) -> DataFrame:
+    """walk: what steps() gives, best written in buckets of `here`; starts: id. Returns id, depth, and via_edge, confidence, src of the first discovery; starts have depth 0.
 
     Of several discoveries in one hop the first counts: turn holds the ordinals of the edges on the way, so it compares finders in the
     order in which they were found themselves, then their edges."""
-    walk = steps(edges, reverse)
     frontier = cut(starts.select("id", F.lit(0).alias("depth"), F.array(F.lit(0).cast("long")).alias("turn"), F.lit(None).cast("string").alias("via_edge"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("src")).distinct())
     n, seen = frontier.count(), [frontier]
     for depth in range(1, max_depth + 1):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.kinds import LAYERS, SOFT_EDGES, SOFT_NODES, community_factor, edge_quality, is_certain, is_soft_edge, is_soft_node, layer_of
 from graphloom.operators.cleanse import dedup_edges, dedup_nodes
-from graphloom.operators.traverse import best_paths, path_steps, reach
+from graphloom.operators.shared import bucketed
+from graphloom.operators.traverse import best_paths, path_steps, reach, steps
 from graphloom.plans.registry import query
 from graphloom.sources.prepared import prepared
 from graphloom.sources.tables import Tables, with_derived
@@ -195,9 +198,20 @@ def communities_of(t: Tables) -> DataFrame:
     return t.customer.select(name("frontend_api_call:c", "c_custkey"), F.col("c_nationkey").cast("string").alias("community")).union(t.part.select(name("backend_endpoint:p", "p_partkey"), F.col("p_size").cast("string")))
 
 
+_WALKS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _walk(t: Tables, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Steps of a walk, written once a session and folder in buckets of where they start: each hop reads them as they are."""
+    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    if key not in _WALKS:
+        _WALKS[key] = bucketed(make(), f"graphloom_{name}", "here")
+    return _WALKS[key]
+
+
 def _scored(t: Tables) -> DataFrame:
     g = prepared(t)
-    return best_paths(path_steps(g.nodes, g.edges, True, communities_of(t)), one(t, "shop:db_table:n3")).where("id <> 'shop:db_table:n3'")
+    return best_paths(_walk(t, "paths", lambda: path_steps(g.nodes, g.edges, True, communities_of(t))), one(t, "shop:db_table:n3")).where("id <> 'shop:db_table:n3'")
 
 
 @query("grf-05", with_derived(_PATHS + " SELECT id, round(s, 9) AS score FROM b", "nodes", "edges"))
@@ -223,7 +237,7 @@ def discovered(start: str, depth: int = 10) -> str:
 def impact_grouping(t: Tables) -> DataFrame:
     """By layer: how many are reached, and of how many the edge of the first discovery is certain."""
     nodes, edges = graph(t)
-    found = reach(edges, one(t, "shop:db_table:n3")).where("depth > 0").join(nodes.select("id", layer_of(F.col("kind")).alias("layer")), "id")
+    found = reach(_walk(t, "reverse", lambda: steps(edges, True)), one(t, "shop:db_table:n3")).where("depth > 0").join(nodes.select("id", layer_of(F.col("kind")).alias("layer")), "id")
     sure = F.count_if(is_certain(F.col("confidence")))
     return found.groupBy("layer").agg(F.count("*").alias("n"), F.min("depth").alias("nearest"), sure.alias("certain"), (F.count("*") - sure).alias("candidates"))
 

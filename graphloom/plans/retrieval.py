@@ -82,6 +82,15 @@ def vector_nodes(t: Tables) -> DataFrame:
     return code_vectors(t.embeddings.withColumn("chunk_id", chunk), asks, 30)
 
 
+@query("ret-08-index")
+def vector_index_hits(t: Tables) -> DataFrame:
+    """The first 30 by the index of vectors, for the vectors whose number is divisible by 100; ret-08 and ret-09 scan all."""
+    from graphloom.operators.vectors import nearest, vector_index
+
+    asks = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+    return nearest(vector_index(t.embeddings), asks, 30)
+
+
 @query("ret-09", f"WITH {_TOPV} SELECT q, {_NODE} AS node, min(rank) AS best FROM vec WHERE rank < 90 GROUP BY 1, 2")
 def chunk_fold(t: Tables) -> DataFrame:
     found = vector_hits(t, 90)

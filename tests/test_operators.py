@@ -17,7 +17,7 @@ from graphloom.operators.memory import context_plan, keyword_order, resolve_conf
 from graphloom.operators.ranking import judged
 from graphloom.operators.retrieval import rrf
 from graphloom.operators.telemetry import percentile
-from graphloom.operators.traverse import best_paths, distances, path_steps, reach
+from graphloom.operators.traverse import best_paths, distances, path_steps, reach, steps
 from graphloom.sources.store import GraphStore
 from graphloom.streaming.jobs import EMPTY, fold, step
 from graphloom.streaming.limiter import accepted
@@ -35,12 +35,12 @@ def chain(spark):
 
 def test_impact_chain_reaches_all_from_the_table(spark):
     start = spark.createDataFrame([("table",)], "id string")
-    found = {r.id: (r.depth, r.via_edge) for r in reach(chain(spark), start).collect()}
+    found = {r.id: (r.depth, r.via_edge) for r in reach(steps(chain(spark), True), start).collect()}
     assert found == {"table": (0, None), "fn": (1, "writes_table"), "end": (2, "calls"), "api": (3, "calls_api")}
 
 
 def test_first_discovery_wins_over_later_edges(spark):
-    found = reach(edges(spark, ("a", "b", "calls", 0.5, None), ("a", "b", "imports", 1.0, "ast")), spark.createDataFrame([("a",)], "id string"), reverse=False)
+    found = reach(steps(edges(spark, ("a", "b", "calls", 0.5, None), ("a", "b", "imports", 1.0, "ast")), False), spark.createDataFrame([("a",)], "id string"))
     assert found.where("id = 'b'").first().via_edge == "calls"
 
 
@@ -328,3 +328,24 @@ def test_block_bounds_lose_no_document_of_the_first_ones(spark, monkeypatch):
     assert first(some.withColumn("score", retrieval.F.round("score", 6))) == first(whole)
     told = {r.q: (r.blocks, r.read) for r in report.collect()}
     assert told[1][1] < told[1][0] / 2 and set(told) == {1, 2, 4}
+
+
+@pytest.mark.parametrize("kind", ["clustered", "flat"])
+def test_vector_index_finds_nine_of_ten_neighbours(spark, kind):
+    import numpy as np
+
+    from graphloom.operators.retrieval import cosine
+    from graphloom.operators.vectors import nearest, vector_index
+
+    rng = np.random.default_rng(8)
+    e = rng.standard_normal((3000, 30)) + (6 * rng.standard_normal((40, 30))[rng.integers(0, 40, 3000)] if kind == "clustered" else 0)
+    rows = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(e)], "vec_id long, embedding array<double>")
+    index = vector_index(rows)
+    asks = rows.where("vec_id % 100 = 0").selectExpr("vec_id AS q", "embedding AS v")
+    found = {(r.q, r.doc) for r in nearest(index, asks, 30).collect()}
+    true = {(r.q, r.doc) for r in cosine(rows, asks, 30).collect()}
+    assert index.lists.count() == 3000 and len(found) == len(true) == 900
+    assert len(found & true) >= 0.9 * len(true)
+    if kind == "clustered":
+        assert index.probes < len(index.centres) / 2
+    assert nearest(vector_index(rows.limit(0)), asks, 3).count() == 0
