@@ -49,6 +49,40 @@ def tokenizer(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(w).alias("n"), F.concat_ws(" ", F.slice(w, 1, 5)).alias("head"))
 
 
+#: Characters in the place of letters, so that names of parts become Chinese text without blanks.
+_LETTERS, _SIGNS = "abcdefghijklmnopqrstuvwxyz", "的一是在不了有和人这中大为上个国我以要他时来用们生到"
+_PARTS = f"SELECT p_partkey, translate(lower(p_name), '{_LETTERS}', '{_SIGNS}') AS spaced FROM part"
+
+
+def unspaced(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Names of parts as runs of Chinese characters (p_partkey, run), and the dictionary of their words (word, freq)."""
+    spaced = t.part.select("p_partkey", F.translate(F.lower("p_name"), _LETTERS, _SIGNS).alias("spaced"))
+    words = spaced.select(F.explode(F.split("spaced", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+    return spaced.select("p_partkey", F.replace("spaced", F.lit(" "), F.lit("")).alias("run")), words
+
+
+@query("scl-01-cjk", f"SELECT p_partkey, replace(spaced, ' ', '|') AS words FROM ({_PARTS})")
+def cjk_words(t: Tables) -> DataFrame:
+    """The words of names without blanks are found again."""
+    from graphloom.operators.segment import segment
+
+    runs, words = unspaced(t)
+    told = segment(runs.select("run"), words)
+    return runs.join(told, "run").select("p_partkey", F.array_join("words", "|").alias("words"))
+
+
+@query("ret-02-cjk", f"""WITH sp AS ({_PARTS}), w0 AS (SELECT p_partkey AS doc, unnest(string_split(spaced, ' ')) AS term FROM sp),
+w AS (SELECT * FROM w0 UNION ALL SELECT doc, substr(term, CAST(i AS BIGINT), k) FROM (SELECT doc, term, k, unnest(range(1, CAST(length(term) - k + 2 AS BIGINT))) AS i FROM w0, (VALUES (2), (3)) v(k) WHERE length(term) > k) WHERE substr(term, CAST(i AS BIGINT), k) IN (SELECT term FROM w0)), p AS (SELECT doc, term, count(*) AS tf FROM w GROUP BY ALL), l AS (SELECT doc, sum(tf) AS dl FROM p GROUP BY doc), st AS (SELECT count(*) AS n, sum(dl) / count(*)::DOUBLE AS mean FROM l), df AS (SELECT term, count(*) AS df FROM p GROUP BY term), q AS (SELECT doc AS q, term FROM p WHERE doc % 100 = 0)
+SELECT q, doc, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 6) AS score FROM q JOIN p USING (term) JOIN l USING (doc) JOIN df USING (term), st GROUP BY q, doc""")
+def cjk_search(t: Tables) -> DataFrame:
+    """BM25 over Chinese text: the names divisible by 100 against all."""
+    from graphloom.operators.segment import cjk_tokens
+
+    runs, words = unspaced(t)
+    asks = cjk_tokens(runs.where("p_partkey % 100 = 0"), words, "p_partkey", "run").select(F.col("doc").alias("q"), "term").distinct()
+    return bm25(text_index(runs, "p_partkey", "run", words), asks).select("q", "doc", F.round("score", 6).alias("score"))
+
+
 @query("ret-01", f"WITH {_POST} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM p GROUP BY term")
 def bm25_build(t: Tables) -> DataFrame:
     return index(t).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))

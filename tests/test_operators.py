@@ -349,3 +349,43 @@ def test_vector_index_finds_nine_of_ten_neighbours(spark, kind):
     if kind == "clustered":
         assert index.probes < len(index.centres) / 2
     assert nearest(vector_index(rows.limit(0)), asks, 3).count() == 0
+
+
+def test_words_of_runs_are_those_of_the_best_of_all_paths(spark):
+    import math
+    import random
+    from itertools import product
+
+    from graphloom.operators.segment import segment, split_unknown
+
+    rng, signs = random.Random(4), "一丁七万丈三"
+    freq = {"".join(rng.choice(signs[:5]) for _ in range(rng.choice([1, 2, 2, 3, 4]))): rng.randrange(1, 90) for _ in range(60)}
+    freq.pop("一", None)
+    runs = {"".join(rng.choice(signs[:5]) for _ in range(rng.randrange(1, 10))) for _ in range(80)}
+    total = sum(freq.values())
+
+    def path(run):
+        best = None
+        for marks in product([0, 1], repeat=len(run) - 1):
+            cuts = [0, *(i + 1 for i, m in enumerate(marks) if m), len(run)]
+            words = [run[a:b] for a, b in zip(cuts, cuts[1:])]
+            if all(w in freq or len(w) == 1 for w in words):
+                s = 0.0
+                for w in reversed(words):
+                    s = math.log(freq.get(w, 1)) - math.log(total) + s if w in freq else -math.log(total) + s
+                best = max(best or (s, [], []), (s, [len(w) for w in words], words))
+        return best[2]
+
+    found = {r.run: r for r in segment(spark.createDataFrame([(r,) for r in [*runs, ""]], "run string"), spark.createDataFrame([*freq.items(), ("", 5), ("无", 0)], "word string, freq long")).collect()}
+    assert set(found) == runs
+    for run in runs:
+        want = path(run)
+        if all(w in freq for w in want):
+            assert found[run].words == want
+            assert found[run].found == [x for w in want for x in [w[i : i + k] for k in (2, 3) if len(w) > k for i in range(len(w) - k + 1) if w[i : i + k] in freq] + [w]]
+        assert "".join(found[run].words) == run
+    # A character that begins words, one that ends them, and one that stands alone.
+    chars, moves = {("甲", "B"): 50, ("乙", "E"): 50, ("丙", "S"): 50}, {("B", "E"): 50, ("E", "B"): 20, ("E", "S"): 20, ("S", "B"): 20}
+    assert split_unknown("甲乙丙甲乙", chars, moves) == ["甲乙", "丙", "甲乙"] and split_unknown("甲乙", {}, {}) == ["甲", "乙"]
+    none = segment(spark.createDataFrame([("丈三",)], "run string"), spark.createDataFrame([], "word string, freq long")).collect()
+    assert [r.words for r in none] == [["丈", "三"]]
