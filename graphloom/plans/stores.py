@@ -12,8 +12,11 @@ from graphloom.operators.shared import cut, written
 from graphloom.plans.memory import TERMS, scopes
 from graphloom.plans.registry import query
 from graphloom.plans.retrieval import _NOTES, notes
+from graphloom.sources.log import CommitLog
 from graphloom.sources.store import PART, GraphStore, publish_builds
 from graphloom.sources.tables import Tables, with_derived
+from graphloom.streaming.pushes import COMMITS, lines, pushes
+from graphloom.streaming.sinks import TwoSinks, settled
 
 
 @query("src-01", with_derived("SELECT 'node' AS what, id, NULL AS target, row_number() OVER (ORDER BY id, ord) AS place FROM store_nodes WHERE project_id = 'p1' AND plugin = 'sql' UNION ALL SELECT 'edge', source, target, row_number() OVER (ORDER BY source, target, kind, ord) FROM store_edges WHERE project_id = 'p1' AND plugin = 'sql'", "store_nodes", "store_edges"))
@@ -169,12 +172,14 @@ def reindex_metrics(t: Tables) -> DataFrame:
 
 @query("src-19", "SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, count(*) AS n FROM events WHERE event_id % 10 = 0 GROUP BY 1")
 def trace_sink(t: Tables) -> DataFrame:
-    """Traces appended to a folder of each day, in two writes."""
+    """Traces that arrive as a stream, in two runs from one checkpoint, lie by batch in one sink and their days in another."""
     store = GraphStore.temporary(t.spark)
     rows = t.events.where("event_id % 10 = 0").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
-    store.append("traces", rows.where("event_id % 20 = 0"), ["day"])
-    store.append("traces", rows.where("event_id % 20 > 0"), ["day"])
-    return t.spark.read.schema("event_id long, day string").json(f"{store.folder}/traces").groupBy("day").agg(F.count("*").alias("n"))
+    for part in ("event_id % 20 = 0", "event_id % 20 > 0"):
+        store.append("arrived", rows.where(part))
+        sinks = TwoSinks(t.spark, f"{store.folder}/traces", lambda entries: entries.select("event_id", "day"))
+        sinks.drain(t.spark.readStream.schema("event_id long, day string").json(f"{store.folder}/arrived"))
+    return sinks.read("made", "event_id long, day string").groupBy("day").agg(F.count("*").alias("n"))
 
 
 @query("src-20", with_derived("SELECT client, ok, count(*) AS n FROM usage WHERE NOT (client = 'ide' AND ok) GROUP BY ALL", "usage"))
@@ -284,6 +289,18 @@ def manifest_write(t: Tables) -> DataFrame:
     return store.read("manifest").select("project_id", F.col("plugin").alias("kind"), "attempt", "status")
 
 
+@query("src-30-log", f"WITH {_LASTB} SELECT project_id, kind, attempt, status FROM lb")
+def logged_builds(t: Tables) -> DataFrame:
+    """The last builds by a log: of three writers that began together, one has other values for rows that are published by now, and changes nothing."""
+    store = GraphStore.temporary(t.spark)
+    last = t.spark.sql("SELECT 'p' || CAST(o_custkey % 300 AS STRING) AS project_id, element_at(array('codegraph', 'ingest', 'chroma'), CAST(o_orderkey % 3 AS INT) + 1) AS kind, max(o_orderkey) AS attempt, max_by(o_orderstatus, o_orderkey) AS status FROM {orders} GROUP BY 1, 2", orders=t.orders)
+    log = CommitLog(t.spark, f"{store.folder}/builds", "project_id string, kind string, attempt long, status string", ["project_id", "kind"])
+    base, even = log.version(), last.where("attempt % 2 = 0")
+    for rows in (even, even.withColumn("status", F.lit("X")), last.where("attempt % 2 = 1")):
+        log.publish(rows, base)
+    return log.read()
+
+
 @query("src-31", f"WITH {_LASTB}, {_NEWB} SELECT nb.project_id, nb.kind, CASE WHEN lb.attempt % 4 > 0 AND lb.attempt = nb.attempt THEN CASE WHEN lb.status = nb.status THEN 'IDEMPOTENT' ELSE 'CONFLICT' END ELSE 'PUBLISHED' END AS outcome FROM nb JOIN lb USING (project_id, kind)")
 def guarded_publish(t: Tables) -> DataFrame:
     return publish_builds(*_builds(t), ["status", "rows"])[1]
@@ -319,16 +336,21 @@ def project_registry(t: Tables) -> DataFrame:
 
 @query("src-35", "SELECT o_orderkey, 'repo' || CAST(o_custkey % 50 AS STRING) AS repo, count(DISTINCT l_partkey) AS files FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 2 = 0 GROUP BY ALL UNION ALL SELECT o_orderkey, 'repo' || CAST(o_custkey % 50 AS STRING), 0 FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def push_events(t: Tables) -> DataFrame:
-    """Payloads of pushes to one neutral form, with the files of all commits; other events are left out."""
+    """Payloads of pushes, read as a stream in two runs from one checkpoint, in one neutral form with the files of all commits; other events are left out, and what cannot be read is kept apart."""
     commit = F.struct(*(F.collect_list(F.when(F.col("l_linenumber") % 3 == i, F.col("l_partkey").cast("string"))).alias(c) for i, c in enumerate(("added", "modified", "removed"))))
     commits = t.lineitem.groupBy("l_orderkey", F.floor(F.col("l_linenumber") / 2).alias("c")).agg(commit.alias("commit")).groupBy("l_orderkey").agg(F.collect_list("commit").alias("commits"))
     repo = F.concat(F.lit("repo"), (F.col("o_custkey") % 50).cast("string"))
-    payload = F.to_json(F.struct(F.struct(repo.alias("name")).alias("repository"), F.coalesce("commits", F.array().cast("array<struct<added:array<string>,modified:array<string>,removed:array<string>>>")).alias("commits")))
-    sent = t.orders.join(commits, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "push").otherwise("ping").alias("event"), payload.alias("body"))
-    shape = "struct<repository: struct<name: string>, commits: array<struct<added: array<string>, modified: array<string>, removed: array<string>>>>"
-    read = sent.where("event = 'push'").select("o_orderkey", F.from_json("body", shape).alias("b"))
-    files = F.array_distinct(F.flatten(F.transform("b.commits", lambda c: F.concat(c["added"], c["modified"], c["removed"]))))
-    return read.select("o_orderkey", F.col("b.repository.name").alias("repo"), F.size(files).cast("long").alias("files"))
+    payload = F.to_json(F.struct(F.struct(repo.alias("name")).alias("repository"), F.coalesce("commits", F.array().cast(COMMITS)).alias("commits")))
+    even = F.col("o_orderkey") % 2 == 0
+    sent = t.orders.join(commits, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", F.struct(F.col("o_orderkey").cast("string").alias("id"), F.when(even, "push").otherwise("ping").alias("event"), payload.alias("body")).alias("p"))
+    line = F.when(F.col("o_orderkey") % 30 == 1, F.substring(F.to_json("p"), 1, 40)).otherwise(F.to_json("p"))
+    store = GraphStore.temporary(t.spark)
+    for part in ("o_orderkey % 3 = 0", "o_orderkey % 3 > 0"):
+        sent.where(part).select(line.alias("value")).write.mode("append").text(f"{store.folder}/arrived")
+        stream = pushes(lines(t.spark, f"{store.folder}/arrived")).writeStream.option("checkpointLocation", f"{store.folder}/checkpoint").option("path", f"{store.folder}/pushes")
+        stream.format("parquet").trigger(availableNow=True).start().awaitTermination()
+    read = store.read("pushes").where("broken IS NULL")
+    return read.select(F.col("id").cast("long").alias("o_orderkey"), "repo", F.size("files").cast("long").alias("files"))
 
 
 @query("src-38", "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_custkey % 20 = 3")
@@ -339,13 +361,15 @@ def job_list(t: Tables) -> DataFrame:
 
 @query("src-39", with_derived("SELECT id, id % 7 > 0 AS vector, status FROM memories WHERE id % 10 < 8", "memories"))
 def dual_write(t: Tables) -> DataFrame:
-    """Entries and their vectors; a vector that cannot be written does not keep the entry from being so, and what is read of vectors is what the entries still hold."""
+    """Entries and their vectors from one stream. The first run cannot make vectors, which does not keep the entries from being written; the next one makes up for it. Some entries have no vector at all."""
     store = GraphStore.temporary(t.spark)
     m = t.memories.where("id % 10 < 8").select("id", "status")
-    m.write.parquet(f"{store.folder}/entries")
-    m.where("id % 7 > 0").select("id").union(t.memories.where("id % 10 = 9").select("id")).write.parquet(f"{store.folder}/vectors")
-    vectors = store.read("vectors").withColumn("vector", F.lit(True))
-    return store.read("entries").join(vectors, "id", "left").select("id", F.coalesce("vector", F.lit(False)).alias("vector"), "status")
+    for part, works in (("id % 2 = 0", False), ("id % 2 = 1", True)):
+        m.where(part).write.mode("append").parquet(f"{store.folder}/arrived")
+        vectors = lambda rows, works=works: rows.where("id % 7 > 0").select("id", (F.col("id") if works else F.raise_error(F.lit("no model"))).cast("double").alias("v"))
+        sinks = TwoSinks(t.spark, f"{store.folder}/sinks", vectors)
+        sinks.drain(t.spark.readStream.schema(m.schema).parquet(f"{store.folder}/arrived"))
+    return settled(sinks, "id long, status string", "id long, v double", "id").select("id", F.col("made").alias("vector"), "status")
 
 
 # Memories by several scorers.

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def accepted(events: DataFrame, most: int, window: int) -> DataFrame:
@@ -30,3 +31,31 @@ def accepted(events: DataFrame, most: int, window: int) -> DataFrame:
             yield pdf.assign(allowed=out)
 
     return events.repartition("key").sortWithinPartitions("key", "at", "event_id").mapInPandas(run, "key string, at long, event_id long, allowed boolean")
+
+
+def accepted_stream(events: DataFrame, most: int, window: int, late: str = "1 hour") -> DataFrame:
+    """The same of a stream (key, at in microseconds, event_id, ts, the event time): a key's state is the times that were allowed and are still within the window.
+
+    Events of a micro-batch are taken in order; a later micro-batch finds what was allowed before, also after a restart. The state of a key goes when the watermark is a window past its last event; events older than the watermark are left out by Spark."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = deque(state.get[0] if state.exists else [])
+        pdf = pd.concat(list(frames)).sort_values(["at", "event_id"])
+        out = []
+        for at in pdf["at"]:
+            while held and held[0] <= at - window:
+                held.popleft()
+            out.append(len(held) < most)
+            if out[-1]:
+                held.append(at)
+        state.update((list(held),))
+        over = (int(pdf["at"].max()) + window) // 1000 + 1
+        if over > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(over)
+        yield pdf[["key", "at", "event_id"]].assign(allowed=out)
+
+    keyed = events.withWatermark("ts", late).groupBy("key")
+    return keyed.applyInPandasWithState(run, "key string, at long, event_id long, allowed boolean", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
