@@ -61,16 +61,19 @@ def mean_ndcg(t: Tables) -> DataFrame:
     return judgements(t).agg(F.round(F.avg("ndcg"), 6).alias("ndcg"))
 
 
-@query("agg-45", "SELECT CASE WHEN count(*) > 0 THEN round(CAST(count(*) FILTER (WHERE quality = 1) AS DOUBLE) / count(*), 6) ELSE 0 END AS accuracy FROM labels")
+@query("agg-45", "SELECT CASE WHEN count(*) > 0 THEN round(CAST(count(*) FILTER (WHERE quality = CASE WHEN coalesce(len(regexp_extract_all(text, '\\S+')), 0) >= 20 THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) ELSE 0 END AS accuracy FROM labels JOIN documents USING (doc_id)")
 def accuracy(t: Tables) -> DataFrame:
-    return t.labels.agg(F.round(F.coalesce(F.try_divide(F.count_if(F.col("quality") == 1), F.count("*")), F.lit(0.0)), 6).alias("accuracy"))
+    """Answers of a rule (texts of twenty words and more are good) against what was expected."""
+    answers = t.documents.select("doc_id", (F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)) >= 20).cast("int").alias("answer"))
+    met = t.labels.join(answers, "doc_id")
+    return met.agg(F.round(F.coalesce(F.try_divide(F.count_if(F.col("quality") == F.col("answer")), F.count("*")), F.lit(0.0)), 6).alias("accuracy"))
 
 
 _DRAWS = ", ".join(f"{c!r}" for c in CUTS)
 
 
-@query("agg-46", f"""WITH d AS (SELECT r, quality, CAST('0x' || substr(md5(CAST(doc_id AS STRING) || ':' || CAST(r AS STRING) || ':12345'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM labels, unnest(range(1, 201)) AS x(r)),
-m AS (SELECT r, sum(quality * k) / sum(k)::DOUBLE AS m FROM (SELECT r, quality, len(list_filter([{_DRAWS}], lambda c: u > c)) AS k FROM d) GROUP BY r HAVING sum(k) > 0) SELECT round(max(CASE WHEN i = 6 THEN m END), 6) AS low, round(max(CASE WHEN i = 196 THEN m END), 6) AS high FROM (SELECT m, row_number() OVER (ORDER BY m) AS i FROM m)""")
+@query("agg-46", f"""WITH d AS (SELECT r, quality, CAST('0x' || substr(md5(CAST(doc_id AS STRING) || ':' || CAST(r AS STRING) || ':12345'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM labels, unnest(range(1, 2001)) AS x(r)),
+m AS (SELECT r, sum(quality * k) / sum(k)::DOUBLE AS m FROM (SELECT r, quality, len(list_filter([{_DRAWS}], lambda c: u > c)) AS k FROM d) GROUP BY r HAVING sum(k) > 0) SELECT round(max(CASE WHEN i = 51 THEN m END), 6) AS low, round(max(CASE WHEN i = 1951 THEN m END), 6) AS high FROM (SELECT m, row_number() OVER (ORDER BY m) AS i FROM m)""")
 def interval(t: Tables) -> DataFrame:
-    found = bootstrap(t.labels.where("quality IS NOT NULL"), "quality", ["doc_id"], rounds=200)
+    found = bootstrap(t.labels.where("quality IS NOT NULL"), "quality", ["doc_id"])
     return found.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))

@@ -201,15 +201,15 @@ def tag_resolve(t: Tables) -> DataFrame:
     return rows.join(known, "tag", "left").select("p_partkey", "repo", F.when(F.col("repo").isNotNull(), F.substring(F.col("value"), F.length("tag") + 3, F.length("value"))).otherwise(F.col("value")).alias("local"))
 
 
-@query("scl-15", """WITH RECURSIVE b AS (SELECT s_suppkey AS k, CASE s_suppkey % 5 WHEN 0 THEN 'web' WHEN 1 THEN 'api' WHEN 2 THEN 'web-2' WHEN 3 THEN 'web' ELSE 'job' || CAST(s_suppkey AS STRING) END AS base FROM supplier WHERE s_suppkey < 40),
-r AS (SELECT -1 AS k, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS tag UNION ALL SELECT b.k, CASE WHEN b.k = 0 THEN r.used ELSE r.used || [t] END, CASE WHEN b.k = 0 THEN '' ELSE t END FROM (SELECT r.k + 1 AS nk, used, b2.base, CASE WHEN list_contains(used, b2.base) THEN b2.base || '-' || CAST((SELECT min(i) FROM range(2, 100) x(i) WHERE NOT list_contains(used, b2.base || '-' || CAST(i AS STRING))) AS STRING) ELSE b2.base END AS t FROM r JOIN b b2 ON b2.k = r.k + 1) r JOIN b ON b.k = r.nk)
-SELECT k AS s_suppkey, tag FROM r WHERE k >= 0""")
+@query("scl-15", """WITH RECURSIVE b AS (SELECT s_suppkey // 40 AS p, s_suppkey % 40 AS k, s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'web' WHEN 1 THEN 'api' WHEN 2 THEN 'web-2' WHEN 3 THEN 'web' ELSE 'job' || CAST(s_suppkey AS STRING) END AS base FROM supplier),
+r AS (SELECT DISTINCT p, CAST(-1 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS tag FROM b UNION ALL SELECT r.p, r.nk, CASE WHEN r.nk = 0 THEN r.used ELSE r.used || [t] END, CASE WHEN r.nk = 0 THEN '' ELSE t END FROM (SELECT r.p, r.k + 1 AS nk, used, CASE WHEN list_contains(used, b2.base) THEN b2.base || '-' || CAST((SELECT min(i) FROM range(2, 100) x(i) WHERE NOT list_contains(used, b2.base || '-' || CAST(i AS STRING))) AS STRING) ELSE b2.base END AS t FROM r JOIN b b2 ON b2.k = r.k + 1 AND b2.p = r.p) r)
+SELECT s_suppkey, tag FROM r JOIN b USING (p, k)""")
 def stable_tags(t: Tables) -> DataFrame:
-    """The main repository has no tag; the others that of their folder, with the least number from 2 that is free where it is taken. The repositories of a project are few and go through one task."""
+    """The main repository of a project has no tag; the others that of their folder, with the least number from 2 that is free where it is taken. The repositories of a project are few and go through one task; projects are spread."""
     from graphloom.operators.repos import stable_tags as tags
 
     base = F.when(F.col("s_suppkey") % 5 == 0, "web").when(F.col("s_suppkey") % 5 == 1, "api").when(F.col("s_suppkey") % 5 == 2, "web-2").when(F.col("s_suppkey") % 5 == 3, "web").otherwise(F.concat(F.lit("job"), F.col("s_suppkey").cast("string")))
-    repos = t.supplier.where("s_suppkey < 40").select(F.lit("p").alias("project"), F.col("s_suppkey").alias("ord"), F.concat(F.lit("/repos/"), base).alias("path"))
+    repos = t.supplier.select(F.floor(F.col("s_suppkey") / 40).cast("string").alias("project"), F.col("s_suppkey").alias("ord"), F.concat(F.lit("/repos/"), base).alias("path"))
     return tags(repos).select(F.col("ord").alias("s_suppkey"), "tag")
 
 

@@ -43,12 +43,15 @@ def replace_by_plugin(t: Tables) -> DataFrame:
     return store.read("nodes").select("project_id", "plugin", "id", "kind")
 
 
-@query("src-06", with_derived("SELECT what, plugin, n, CASE WHEN what = 'nodes' THEN n END AS ingested FROM (SELECT 'nodes' AS what, plugin, count(*) AS n FROM store_nodes WHERE project_id = 'p1' GROUP BY plugin UNION ALL SELECT 'edges', plugin, count(*) FROM store_edges WHERE project_id = 'p1' GROUP BY plugin)", "store_nodes", "store_edges"))
+@query("src-06", with_derived("SELECT what, plugin, CASE WHEN what = 'nodes' AND plugin = 'vue' THEN NULL ELSE n END AS n, n AS ingested FROM (SELECT 'nodes' AS what, plugin, count(DISTINCT id) AS n FROM store_nodes WHERE project_id = 'p1' GROUP BY plugin UNION ALL SELECT 'edges', plugin, count(*) FROM (SELECT DISTINCT plugin, source, target, kind, ord FROM store_edges WHERE project_id = 'p1') GROUP BY plugin)", "store_nodes", "store_edges"))
 def store_stats(t: Tables) -> DataFrame:
-    """Rows of a project's tables by plugin, with what was noted when they were ingested."""
-    count = lambda df, what: df.where("project_id = 'p1'").groupBy(F.lit(what).alias("what"), "plugin").agg(F.count("*").alias("n"))
-    meta = t.store_nodes.groupBy("project_id", "plugin").agg(F.count("*").alias("ingested")).where("project_id = 'p1'").select(F.lit("nodes").alias("what"), "plugin", "ingested")
-    return count(t.store_nodes, "nodes").union(count(t.store_edges, "edges")).join(meta, ["what", "plugin"], "left")
+    """Rows of a project's tables by plugin, and what was recorded when they were ingested; one plugin's nodes are gone since."""
+    store = GraphStore.temporary(t.spark)
+    store.ingest("nodes", t.store_nodes.where("project_id = 'p1'"), ["id"])
+    store.ingest("edges", t.store_edges.where("project_id = 'p1'"), ["source", "target", "kind", "ord"])
+    store.clear("nodes", [{"project_id": "p1", "plugin": "vue"}])
+    now = [store.read(table).groupBy(F.lit(table).alias("what"), F.col("plugin").cast("string").alias("plugin")).agg(F.count("*").alias("n")) for table in ("nodes", "edges")]
+    return store.ingested().where("project_id = 'p1'").select("what", "plugin", "ingested").join(now[0].union(now[1]), ["what", "plugin"], "left").select("what", "plugin", "n", "ingested")
 
 
 @query("src-07", with_derived("SELECT project_id, row_number() OVER (ORDER BY project_id) AS place FROM (SELECT DISTINCT project_id FROM store_nodes)", "store_nodes"))

@@ -29,6 +29,18 @@ class GraphStore:
         last = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*part, *key).orderBy(F.desc(order)))).where("_rn = 1").drop("_rn")
         last.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*part).parquet(f"{self.folder}/{table}")
 
+    def ingest(self, table: str, rows: DataFrame, key: list[str], order: str = "ord") -> None:
+        """replace(), and a record of how many rows each partition then has."""
+        self.replace(table, rows, key, order, PART)
+        parts = rows.select(*PART).distinct()
+        told = self.read(table).join(parts, PART, "left_semi").groupBy(*PART).agg(F.count("*").alias("ingested")).select(F.lit(table).alias("what"), *PART, "ingested", F.current_timestamp().alias("at"))
+        told.write.mode("append").parquet(f"{self.folder}/ingested")
+
+    def ingested(self) -> DataFrame:
+        """what, project_id, plugin, ingested: the last record of each partition."""
+        last = self.read("ingested").groupBy("what", *PART).agg(F.max_by("ingested", "at").alias("ingested"))
+        return last
+
     def append(self, table: str, rows: DataFrame, part: list[str] | None = None) -> None:
         (rows.write.mode("append").partitionBy(*part) if part else rows.write.mode("append")).json(f"{self.folder}/{table}")
 
