@@ -202,6 +202,7 @@ def edited(text, n, rng):
 @pytest.mark.parametrize("bucket", [1000, 8, 2])
 def test_near_copies_are_brute_force(spark, monkeypatch, bucket):
     monkeypatch.setattr(near_copies, "BUCKET", bucket)
+    monkeypatch.setattr(near_copies, "SMALL_SETS", 0 if bucket == 8 else 1 << 25)
     rng, texts = random.Random(9), {k: t for k, t in TEXTS.items() if k not in (9, 10)}
     for i in range(12):
         base = prose(150 + 10 * i, 700 + i)
