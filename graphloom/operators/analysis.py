@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.kinds import LAYERS, ROLE_RANKS, is_soft_edge, is_soft_node, lookup
+from graphloom.operators.reach import Reached, shared_links, table_counts, without
 from graphloom.operators.shared import cut
 
 # What makes a label giant, a coverage low, and a table a hub; caps of requests.
@@ -69,9 +70,9 @@ def axis_flags(labels: DataFrame, axis: DataFrame, giant: float = GIANT, low: fl
     return big.union(weak).union(lone)
 
 
-def hub_tables(pairs: DataFrame) -> DataFrame:
-    """pairs: endpoint, table. table, n: tables that as many endpoints reach as at the 95th place of a hundred tables, and three at least."""
-    fan = cut(pairs.groupBy("table").agg(F.countDistinct("endpoint").alias("n")))
+def hub_tables(fan: DataFrame) -> DataFrame:
+    """fan: table, n (how many endpoints reach it). Those of tables that as many endpoints reach as at the 95th place of a hundred tables, and three at least."""
+    fan = cut(fan)
     counts = fan.groupBy("n").agg(F.count("*").alias("c"))
     # One row for each different count.
     run = counts.withColumn("upto", F.sum("c").over(Window.orderBy("n"))).crossJoin(F.broadcast(fan.agg(F.count("*").alias("all"))))
@@ -93,22 +94,23 @@ def reach_pairs(walk: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame
     return seen
 
 
-def endpoint_clusters(endpoints: DataFrame, pairs: DataFrame, hubs: DataFrame) -> DataFrame:
-    """endpoints: id, file; pairs: endpoint, table. id, root: endpoints of one file belong together; those without one, if they share a table that is no hub. The root is the smallest id."""
+def endpoint_clusters(endpoints: DataFrame, reached: Reached, hubs: DataFrame) -> DataFrame:
+    """endpoints: id, file; reached: their tables; hubs: table. id, root: endpoints of one file belong together; those without one, if they share a table that is no hub. The root is the smallest id."""
     from graphloom.operators.community import components
 
-    loose = endpoints.where(F.coalesce("file", F.lit("")) == "")
-    shared = pairs.join(loose.select(F.col("id").alias("endpoint")), "endpoint").join(hubs.select("table"), "table", "left_anti")
-    links = endpoints.where(F.coalesce("file", F.lit("")) != "").select("id", F.concat(F.lit("￿"), "file").alias("by")).union(shared.select("endpoint", F.concat(F.lit("￿￿"), "table")))
+    filed, mark = F.coalesce("file", F.lit("")) != "", lambda c: F.concat(F.lit("￿￿"), F.col(c).cast("string"))
+    loose = without(reached, hubs).join(endpoints.where(~filed).select("id").distinct(), "id", "left_semi")
+    shared = cut(shared_links(loose, reached.width))
     # What links stands behind all ids in the order, so it is never a root.
-    met = components(links.select(F.col("id").alias("u"), F.col("by").alias("v")))
+    links = endpoints.where(filed).select(F.col("id").alias("u"), F.concat(F.lit("￿"), "file").alias("v")).union(shared.select(F.coalesce("id", mark("v")), mark("u")))
+    met = components(links)
     return endpoints.select("id").distinct().join(met.where(~F.startswith("id", F.lit("￿"))), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
-def cluster_requests(clusters: DataFrame, pairs: DataFrame, hubs: DataFrame, most: int = MEMBERS) -> DataFrame:
+def cluster_requests(clusters: DataFrame, reached: Reached, hubs: DataFrame, most: int = MEMBERS) -> DataFrame:
     """root, ref, kind, id: the members of each cluster's request: endpoints first (e1, e2, ...), then tables by how many of its endpoints reach them (t1, ...), at most so many."""
     ends = clusters.withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy("id"))).where(F.col("n") <= most)
-    tables = pairs.join(hubs.select("table"), "table", "left_anti").join(clusters.select(F.col("id").alias("endpoint"), "root"), "endpoint").groupBy("root", "table").agg(F.countDistinct("endpoint").alias("d"))
+    tables = table_counts(reached, without(reached, hubs).join(clusters, "id"), "root").withColumnRenamed("n", "d")
     room = ends.groupBy("root").agg((F.lit(most) - F.count("*")).alias("room"))
     few = tables.withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("d"), "table"))).join(room, "root").where("n <= room")
     ref = lambda letter: F.concat(F.lit(letter), F.col("n").cast("string")).alias("ref")

@@ -9,6 +9,7 @@ from graphloom.functions.kinds import LAYERS
 from graphloom.operators import analysis as ops
 from graphloom.operators.audit import link_status
 from graphloom.operators.community import louvain, modularity
+from graphloom.operators.reach import Reached, reached_tables, table_counts
 from graphloom.plans.graph import GRAPH
 from graphloom.plans.registry import query
 from graphloom.sources.prepared import prepared
@@ -191,17 +192,15 @@ def soft_quality(t: Tables) -> DataFrame:
 _PAIRS = f"{GRAPH}, w AS (WITH RECURSIVE r(s, id, depth) AS (SELECT id, id, 0 FROM n WHERE kind = 'backend_endpoint' UNION SELECT r.s, e.target, r.depth + 1 FROM r JOIN (SELECT DISTINCT source, target FROM e) e ON e.source = r.id WHERE r.depth < 6) SELECT DISTINCT s AS endpoint, id AS tbl FROM r WHERE id IN (SELECT id FROM n WHERE kind = 'db_table')), fan AS (SELECT tbl, count(*) AS n FROM w GROUP BY tbl), hub AS (SELECT tbl, n FROM fan WHERE n >= greatest(3, (SELECT list_sort(list(n))[1 + least(count(*) - 1, CAST(floor(count(*) * 0.95) AS BIGINT))] FROM fan)))"
 
 
-def _pairs(t: Tables) -> DataFrame:
+def _reached(t: Tables) -> Reached:
     g = prepared(t)
-    ends = g.nodes.where("kind = 'backend_endpoint'").select(g.key().alias("id"))
-    found = ops.reach_pairs(g.forward, ends, 6).where("depth > 0")
-    tables = g.nodes.where("kind = 'db_table'").select(g.key().alias("id"), F.col("id").alias("table"))
-    return found.join(F.broadcast(tables), "id").join(g.names.select(F.col("key").alias("start"), F.col("id").alias("endpoint")), "start").select("endpoint", "table")
+    named = lambda kind, name: g.nodes.where(F.col("kind") == kind).select(g.key().alias("key"), F.col("id").alias(name))
+    return reached_tables(g.reverse, named("backend_endpoint", "id"), named("db_table", "table"), 6)
 
 
 @query("agg-14", with_derived(_PAIRS + " SELECT tbl AS \"table\", n FROM hub", "nodes", "edges"))
 def hub_tables(t: Tables) -> DataFrame:
-    return ops.hub_tables(_pairs(t))
+    return ops.hub_tables(table_counts(_reached(t)))
 
 
 @query("agg-15", with_derived(""", f AS (SELECT file, bool_or(kind = 'backend_endpoint') AS endpoint, count(*) FILTER (WHERE kind = 'backend_function') AS functions, bool_and(kind IN (""" + _FRONT + """)) AS frontend, bool_or(coalesce(is_page, false)) AS page FROM nodes WHERE file IS NOT NULL GROUP BY file), fa AS (SELECT id, arg_max(file, ord) AS file FROM nodes WHERE file IS NOT NULL GROUP BY id),
@@ -215,12 +214,12 @@ def file_facts(t: Tables) -> DataFrame:
 _CL = _PAIRS + ", en AS (SELECT id, CASE WHEN ord % 3 > 0 THEN file END AS file FROM n WHERE kind = 'backend_endpoint'), hw AS (SELECT tbl FROM fan WHERE tbl LIKE '%:r%' UNION SELECT tbl FROM hub)"
 
 
-def _clusters(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    pairs = _pairs(t)
+def _clusters(t: Tables) -> tuple[DataFrame, Reached, DataFrame]:
+    reached = _reached(t)
     ends = prepared(t).nodes.where("kind = 'backend_endpoint'").select("id", F.when(F.col("ord") % 3 > 0, F.col("file")).alias("file"))
     # The five tables that all reach count as hubs too, so that some clusters are apart.
-    hubs = ops.hub_tables(pairs).select("table").union(pairs.where("table LIKE '%:r%'").select("table")).distinct()
-    return ops.endpoint_clusters(ends, pairs, hubs), pairs, hubs
+    hubs = ops.hub_tables(table_counts(reached)).select("table").union(reached.tables.where("table LIKE '%:r%'").select("table")).distinct()
+    return ops.endpoint_clusters(ends, reached, hubs), reached, hubs
 
 
 _ROOTS = ", lk AS (SELECT e.id, 'f' || e.file AS g FROM en e WHERE file IS NOT NULL UNION SELECT e.id, 't' || w.tbl FROM en e JOIN w ON w.endpoint = e.id WHERE file IS NULL AND w.tbl NOT IN (SELECT tbl FROM hw)), rt AS (WITH RECURSIVE c(id, root) USING KEY (id) AS (SELECT id, id FROM en UNION SELECT x.id, x.root FROM (SELECT a.id, min(c.root) AS root FROM c JOIN lk b ON b.id = c.id JOIN lk a ON a.g = b.g GROUP BY a.id) x JOIN recurring.c y ON y.id = x.id WHERE x.root < y.root) SELECT id, root FROM c)"
@@ -234,8 +233,7 @@ def clusters(t: Tables) -> DataFrame:
 @query("win-05", with_derived(_CL + _ROOTS + """, es AS (SELECT root, 'e' || CAST(k AS STRING) AS ref, 'endpoint' AS kind, id FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY id) AS k FROM rt) WHERE k <= 40), rm AS (SELECT root, 40 - count(*) AS room FROM es GROUP BY root),
 ts AS (SELECT root, 't' || CAST(k AS STRING) AS ref, 'table' AS kind, tbl AS id FROM (SELECT root, tbl, row_number() OVER (PARTITION BY root ORDER BY count(DISTINCT endpoint) DESC, tbl) AS k FROM w JOIN rt ON rt.id = w.endpoint WHERE tbl NOT IN (SELECT tbl FROM hw) GROUP BY root, tbl) JOIN rm USING (root) WHERE k <= room) SELECT * FROM es UNION ALL SELECT * FROM ts""", "nodes", "edges"))
 def cluster_requests(t: Tables) -> DataFrame:
-    found, pairs, hubs = _clusters(t)
-    return ops.cluster_requests(found, pairs, hubs)
+    return ops.cluster_requests(*_clusters(t))
 
 
 @query("lin-39", with_derived(_CL + _ROOTS + ", lb AS (SELECT root, CASE WHEN abs(hash_) % 4 = 0 THEN NULL ELSE 'd' || CAST(hash_ % 5 AS STRING) END AS domain FROM (SELECT DISTINCT root, length(root) AS hash_ FROM rt)) SELECT id AS source, 'shop:business_domain:' || domain AS target FROM rt JOIN lb USING (root) WHERE domain IS NOT NULL", "nodes", "edges"))
