@@ -1,7 +1,7 @@
 """The tables that many starts reach, as bitmaps: no row for a start and a table is written or moved.
 
 Tables are numbered, those with most steps into them first, and cut into chunks of ``WIDTH`` numbers. A node's set is a row a chunk, with bits up to the
-last table in it, so sets of common tables are short. Sets are carried against the steps, a round a hop; what a node's followers send is merged by OR before it
+last table in it, so sets of common tables are short. A walk from all starts at once finds the steps that lie within their reach; sets are carried against these, a round a hop; what a node's followers send is merged by OR before it
 is moved and after, and only sets that the last round has changed are sent on. What asks for single tables (how many starts reach each, which tables
 a cluster shares) counts bits batch by batch and moves the counts.
 
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.repos import numbered
 from graphloom.operators.shared import cut
+from graphloom.operators.traverse import distances
 
 #: Tables of a chunk: as many bits as Spark's bitmap functions hold.
 WIDTH = 32_768
@@ -46,16 +47,19 @@ def _trim(sets: DataFrame) -> DataFrame:
     return sets.withColumn("bits", F.substring("bits", F.lit(1), F.col("top")))
 
 
-def reached_tables(reverse: DataFrame, starts: DataFrame, tables: DataFrame, max_depth: int, width: int = WIDTH) -> Reached:
-    """reverse: here, there (steps walked backwards, by key); starts: key, id; tables: key, table. What each start reaches in at most so many steps."""
+def reached_tables(forward: DataFrame, starts: DataFrame, tables: DataFrame, max_depth: int, width: int = WIDTH) -> Reached:
+    """forward: here, there (steps by key); starts: key, id; tables: key, table. What each start reaches in at most so many steps."""
     tables = tables.distinct()
-    into = reverse.groupBy(F.col("here").alias("key")).agg(F.count("*").alias("n"))
+    near = distances(forward, starts.select(F.col("key").alias("id")).distinct(), max_depth - 1)
+    steps = cut(near.select(F.col("id").alias("here"), "depth").join(forward, "here").select(F.col("here").alias("before"), F.col("there").alias("key"), "depth").distinct())
+    into = steps.groupBy("key").agg(F.count("*").alias("n"))
     order = tables.join(into, "key", "left").withColumn("o", F.struct((-F.coalesce("n", F.lit(0))).alias("n"), "table")).drop("n")
     places = cut(numbered(order, "o").select("key", "table", "number"))
     state = cut(_trim(_chunked(places, width, "key")))
     changed = state
-    for _ in range(max_depth):
-        sent = changed.join(reverse.withColumnRenamed("here", "key"), "key").select(F.col("there").alias("key"), "chunk", "bits", "top", F.lit(None).cast("binary").alias("old"))
+    for k in range(1, max_depth + 1):
+        # k steps before a table, so a start that is further off than what is left of the hops has no use for the set.
+        sent = changed.join(steps.where(F.col("depth") <= max_depth - k), "key").select(F.col("before").alias("key"), "chunk", "bits", "top", F.lit(None).cast("binary").alias("old"))
         both = state.select("key", "chunk", "bits", "top", F.col("bits").alias("old")).union(sent)
         met = both.groupBy("key", "chunk").agg(F.bitmap_or_agg("bits").alias("bits"), F.max("top").alias("top"), F.first("old", ignorenulls=True).alias("old"))
         met = cut(_trim(met))

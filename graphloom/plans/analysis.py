@@ -195,7 +195,7 @@ _PAIRS = f"{GRAPH}, w AS (WITH RECURSIVE r(s, id, depth) AS (SELECT id, id, 0 FR
 def _reached(t: Tables) -> Reached:
     g = prepared(t)
     named = lambda kind, name: g.nodes.where(F.col("kind") == kind).select(g.key().alias("key"), F.col("id").alias(name))
-    return reached_tables(g.reverse, named("backend_endpoint", "id"), named("db_table", "table"), 6)
+    return reached_tables(g.forward, named("backend_endpoint", "id"), named("db_table", "table"), 6)
 
 
 @query("agg-14", with_derived(_PAIRS + " SELECT tbl AS \"table\", n FROM hub", "nodes", "edges"))

@@ -31,10 +31,10 @@ def reach_of(steps, starts, tables):
 
 
 def made(spark, steps, starts, tables, width):
-    reverse = spark.createDataFrame([(b, a) for a, b in steps] or [], "here long, there long")
+    forward = spark.createDataFrame(list(steps), "here long, there long")
     ends = spark.createDataFrame([(s, f"e{s:03}") for s in starts] * 2, "key long, id string")
     held = spark.createDataFrame([(x, f"t{x:03}") for x in tables], "key long, table string")
-    return reached_tables(reverse, ends, held, HOPS, width)
+    return reached_tables(forward, ends, held, HOPS, width)
 
 
 def members(reached, sets):
