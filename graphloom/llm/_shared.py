@@ -27,6 +27,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: So many rows of a few numbers are little work for a task.
+TASK_ROWS = 100_000
+
+
+def narrowed(df: DataFrame, rows: int, each: int | None = None) -> DataFrame:
+    """df in as few tasks as so many rows need, at most those it has. The session's partitions are for texts; links are few and would leave a file a task and step."""
+    return df.coalesce(max(1, -(-rows // (each or TASK_ROWS))))
+
+
+def cut_narrow(df: DataFrame, each: int | None = None) -> DataFrame:
+    """As cut(), read in as few tasks as its rows need."""
+    df = cut(df)
+    return narrowed(df, df.count(), each)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

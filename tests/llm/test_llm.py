@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import archives, decontaminate, licenses, lm_score, mixture, near_copies, quality, registry, simhash, suffix_dedup, token_files, toxicity
+from graphloom.llm import _shared, archives, decontaminate, licenses, lm_score, mixture, near_copies, quality, registry, simhash, suffix_dedup, token_files, toxicity
 from graphloom.llm._text import U64, hash_ranges
 
 FOLDER = Path("/root/testdata/sf0.001")
@@ -203,6 +203,8 @@ def edited(text, n, rng):
 def test_near_copies_are_brute_force(spark, monkeypatch, bucket):
     monkeypatch.setattr(near_copies, "BUCKET", bucket)
     monkeypatch.setattr(near_copies, "SMALL_SETS", 0 if bucket == 8 else 1 << 25)
+    monkeypatch.setattr(_shared, "TASK_ROWS", 3 if bucket == 8 else 100_000)  # rounds of components with shuffles and without
+    monkeypatch.setattr(near_copies, "TASK_PAIRS", 7 if bucket == 8 else 5000)
     rng, texts = random.Random(9), {k: t for k, t in TEXTS.items() if k not in (9, 10)}
     for i in range(12):
         base = prose(150 + 10 * i, 700 + i)
