@@ -34,6 +34,8 @@ SHINGLE = 3
 SEED = 42
 DISTANCE = 2
 BUCKET = 32
+#: So many rows that go, of some 60 bytes each, are sent to all tasks, so that the texts need not be shuffled.
+FEW_GONE = 500_000
 #: Low bit and width of the blocks of a fingerprint.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 # XXH64's published primes.
@@ -185,7 +187,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "d")
     first = cut(found.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1"))
     met = split_join(found, first, ["root"], "n")
-    gone = met.where(~order.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_gone"), F.col("d").alias("_of")).distinct()
+    gone = cut(met.where(~order.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_gone"), F.col("d").alias("_of")).distinct())
+    if gone.count() <= FEW_GONE:
+        gone = F.broadcast(gone)
     d = fresh("d", docs.columns)
     kept = docs.withColumn(d, content_digest(docs[text]))
     kept = kept.join(gone, kept[doc_id].cast("long").eqNullSafe(gone["_gone"]) & (kept[d] == gone["_of"]), "left_anti")

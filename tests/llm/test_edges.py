@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import archives, decontaminate, licenses, lm_score, mixture, quality, simhash, suffix_dedup, token_files, toxicity
+from graphloom.llm import archives, decontaminate, licenses, lm_score, mixture, near_copies, quality, simhash, suffix_dedup, token_files, toxicity
 from graphloom.llm import _text as texts_of
 from tests.llm.test_llm import ALNUM, DOC, LEXICON, SPACE, by_id, fingerprint, hits, low, prose, without_repeats
 
@@ -46,6 +46,22 @@ def test_classes_are_those_of_bytes():
     assert len(set(zip(words, found, strict=True))) == len(set(words)) == len(set(found))
 
 
+def test_words_that_collide_are_not_near_copies(spark):
+    one, two = thue_morse(1024, "X", "j"), thue_morse(1024, "j", "X")
+    around = prose(4, 5)
+    rows = [(1, one), (2, two), (3, f"{around} {one}"), (4, f"{around} {two}"), (5, one.lower()), (6, two)]
+    found = by_id(near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [found[k].component_id for k in range(1, 7)] == [1, 2, 3, 4, 1, 2]
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_one_of_each_group_stays_however_many_go(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW_GONE", few)
+    rows = [(5, "a b c d"), (2, "a b c d"), (2, "e f g h"), (2, "a b c d"), (None, "a b c d"), (None, None), (7, ""), (None, "p q r s")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), groups=near_copies.near_copies).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(2, "a b c d"), (2, "e f g h"), (7, ""), (None, "p q r s")])
+
+
 @pytest.mark.parametrize("pair", ["Xj", "kw"])
 @pytest.mark.parametrize("few", [512, 0])
 def test_strings_that_collide_stay(spark, pair, few):
