@@ -26,6 +26,9 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
+from typing import TYPE_CHECKING
 
 import numpy as np
 import public_tokenizers
@@ -38,6 +41,9 @@ from pyspark.sql import functions as F
 from graphloom.llm._shared import cut, new_folder, partitions
 from graphloom.llm._text import as_bytes
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 END_ID = 1
 SHARD_IDS = 1 << 22
 SAMPLE = 64
@@ -47,6 +53,8 @@ ROWS = 4096
 FEW_SHARDS = 100_000
 #: White-space-separated pieces whose ids a worker remembers, before those not seen since the last as many go.
 CACHE_PIECES = 300_000
+#: Words that go through the library in one string.
+JOINED = 64
 MAGIC = b"GLTK1\0\0\0"
 TOKENIZER = "word_bpe_49k.json"
 
@@ -136,55 +144,95 @@ class Shard:
 
 
 LOWER_ASCII = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-#: A full stop or comma right after an ASCII letter and before white space is a token of its own.
-STOP = re.compile(rb"(?<=[a-z])[.,](?=\s|\Z)")
+#: Of pieces of printable ASCII without an apostrophe, these are what the tokenizer parts them into.
+PRINTABLE = re.compile(rb"[!-&(-~]+")
+RUNS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+#: A full stop or comma that ends any other piece and follows an ASCII letter is a token of its own.
+STOP = re.compile(rb".*[a-z][.,]", re.DOTALL)
+
+
+@cache
+def plan_of(path: str) -> tuple[bool, np.ndarray]:
+    """Whether texts may be encoded by pieces, and which ids end a word."""
+    plan = json.loads(Path(path).read_bytes())
+    suffix, vocab = plan["model"].get("end_of_word_suffix"), plan["model"]["vocab"]
+    steps = [x for k, many in (("pre_tokenizer", "pretokenizers"), ("normalizer", "normalizers")) for x in (plan[k] or {}).get(many, [])]
+    by_piece = bool(suffix) and {"type": "Lowercase"} in steps and any(x["type"] == "Split" and x.get("invert") and x["behavior"] == "Removed" for x in steps)
+    ends = np.zeros(max([0, *vocab.values()]) + 1 if by_piece else 0, bool)
+    if by_piece:
+        ends[[i for word, i in vocab.items() if word.endswith(suffix)]] = True
+    return by_piece, ends
+
+
+@cache
+def libraries(path: str) -> tuple[Tokenizer, Tokenizer]:
+    """The tokenizer, read once a worker, and its model with white space as the only rule."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    whole = Tokenizer.from_file(path)
+    words = Tokenizer(whole.model)
+    words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    return whole, words
 
 
 class Encoder:
     """Ids of whole texts, as uint32.
 
     A tokenizer that drops white space never joins what white space parts, and this one lower-cases: a text's ids are those of its
-    lower-cased pieces between ASCII white space, and a piece goes through the library once as long as it is remembered. Many
+    lower-cased pieces between ASCII white space, and a piece goes through the library once as long as it is remembered. A piece that ends
+    in a full stop or comma after a letter has the ids of what is before, then those of the stop, one of printable ASCII those of its letters, digits and signs. Many
     pieces that are plain words (Latin letters only, so that each is one word to the tokenizer) go through it in one string, and the ids that end
-    a word tell them apart. Texts that may hold special tokens, and all texts for tokenizers of another kind, go through it whole."""
+    a word tell them apart; those of a-z only, which normalizing does not change, go through the same model with white space as the only rule. Texts that may hold special tokens, and all texts for tokenizers of another kind, go through it whole."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
-        plan = json.loads(self.tokenizer.to_str())
-        suffix = plan["model"].get("end_of_word_suffix")
-        steps = [x for k, many in (("pre_tokenizer", "pretokenizers"), ("normalizer", "normalizers")) for x in (plan[k] or {}).get(many, [])]
-        self.by_piece = bool(suffix) and {"type": "Lowercase"} in steps and any(x["type"] == "Split" and x.get("invert") and x["behavior"] == "Removed" for x in steps)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        if self.by_piece:
-            self.ends[[i for word, i in plan["model"]["vocab"].items() if word.endswith(suffix)]] = True
+        self.tokenizer, self.words = libraries(path)
+        self.by_piece, self.ends = plan_of(path)
+        self.young, self.old = {}, {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        texts = [p.decode("utf-8", "replace") for p in pieces]
+    def _joined(self, pieces: list[bytes], texts: list[str], tokenizer: Tokenizer) -> None:
+        """Learns pieces, of one word each, as strings of many."""
+        strings = [" ".join(texts[k : k + JOINED]) for k in range(0, len(texts), JOINED)]
+        for e, at in zip(tokenizer.encode_batch_fast(strings, add_special_tokens=False), range(0, len(texts), JOINED), strict=True):
+            ids = np.array(e.ids, "<u4")
+            data, stops = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            self.young.update(zip(pieces[at : at + JOINED], [data[x:y] for x, y in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+
+    def _learn(self, new: set[bytes]) -> None:
+        words = [p for p in new if p.isalpha()]  # of bytes, a-z only
+        new.difference_update(words)
+        parted = {p: x for p in new if PRINTABLE.fullmatch(p) and len(x := RUNS.findall(p)) > 1}
+        new.difference_update(parted)
+        parted.update((p, (p[:-1], p[-1:])) for p in [p for p in new if STOP.fullmatch(p)])
+        more = set().union(*parted.values()).difference(self.young, words)
+        words += [p for p in more if p.isalpha()]
+        new.update(more)
+        new.difference_update(parted, words)
+        self._joined(words, b" ".join(words).decode().split(), self.words)
+        others = list(new)
+        texts = [p.decode("utf-8", "replace") for p in others]
         plain = [x.isalpha() and max(x) < "\u0250" and "\u0130" not in x for x in texts]
         rest = [i for i, x in enumerate(plain) if not x]
-        self.young.update(zip((pieces[i] for i in rest), self._whole([texts[i] for i in rest]), strict=True))
-        words = [i for i, x in enumerate(plain) if x]
-        for data, at in zip(self._whole([" ".join(texts[i] for i in words[k : k + 64]) for k in range(0, len(words), 64)]), range(0, len(words), 64), strict=True):
-            stops = (4 * (np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 1)).tolist()
-            self.young.update(zip((pieces[i] for i in words[at : at + 64]), (data[x:y] for x, y in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
+        self.young.update(zip((others[i] for i in rest), self._whole([texts[i] for i in rest]), strict=True))
+        latin = [i for i, x in enumerate(plain) if x]
+        self._joined([others[i] for i in latin], [texts[i] for i in latin], self.tokenizer)
+        get = self.young.__getitem__
+        self.young.update((p, b"".join(map(get, x))) for p, x in parted.items())
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         end = np.array([END_ID], "<u4").tobytes()
         plain = [self.by_piece and b"<|" not in t for t in texts]
         whole = iter(self._whole([t.decode("utf-8", "replace") for t, p in zip(texts, plain, strict=True) if not p]))
-        pieces = [STOP.sub(rb" \g<0>", t.translate(LOWER_ASCII)).split() if p else None for t, p in zip(texts, plain, strict=True)]
+        pieces = [t.translate(LOWER_ASCII).split() if p else None for t, p in zip(texts, plain, strict=True)]
         if len(self.young) > CACHE_PIECES:
             self.old, self.young = self.young, {}
-        new = {p for x in pieces if x for p in x}.difference(self.young)
-        again = new.intersection(self.old)
+        new = set().union(*(x for x in pieces if x)).difference(self.young)
+        again = [p for p in new if p in self.old]
         self.young.update((p, self.old[p]) for p in again)
-        self._learn(list(new - again))
+        self._learn(new.difference(again))
         get = self.young.__getitem__
         return [np.frombuffer((next(whole) if x is None else b"".join(map(get, x))) + end, "<u4") for x in pieces]
 

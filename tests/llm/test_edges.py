@@ -316,6 +316,18 @@ def plain_mix(rows):
     return taken
 
 
+def test_a_worker_reads_the_tokenizer_once_and_learns_runs_of_signs_once():
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(5)
+    one, two = token_files.Encoder(path), token_files.Encoder(path)
+    assert one.tokenizer is two.tokenizer
+    whole, signs = Tokenizer.from_file(path), "ab z.,'-<|>$#*%&019\x1c\x7f\x00éßİſ日\u0301\u3000 tsredvml\n"
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 40))) for _ in range(2000)] + ["words, it's. a.b 12ab== überall. 日a."]
+    assert [x.tolist() for x in one.encode([t.encode() for t in texts])] == [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert one.young[b"12ab=="] == b"".join(one.young[p] for p in (b"1", b"2", b"ab", b"=="))
+
+
 def test_pipeline_is_plain_python(spark, tmp_path):
     from tokenizers import Tokenizer
 
