@@ -28,4 +28,4 @@ def components(links: DataFrame) -> DataFrame:
         last, state = state, edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             break
-    return edges.select(u.alias("node"), v.alias("root")).union(edges.select(v, v)).distinct()
+    return narrowed(edges.select(u.alias("node"), v.alias("root")).union(edges.select(v, v)), 2 * state[0]).distinct()

@@ -1,7 +1,9 @@
-"""Near copies by MinHash bands, verified by the Jaccard similarity of their shingle sets.
+"""Near copies by SimHash in pigeonhole blocks and by MinHash bands, verified by the Jaccard similarity of their shingle sets.
 
 A text is the set of the 64-bit hashes of its ``SHINGLE``-word shingles (lower-cased words, each by its XXH64, which long patterned words do not make collide; a shorter text is one shingle of all its words).
-Equal sets are one class before anything is joined. Of each class ``BANDS`` keys of ``ROWS`` minima are taken: two classes of similarity s
+Equal sets are one class before anything is joined. Each class has a SimHash fingerprint, and those within two bits of one another are
+candidates by the blocks of ``simhash.links``. At a similarity of 0.8 some ten of 64 bits differ, which no choice of blocks finds, so bands
+find the rest: of each class ``BANDS`` keys of ``ROWS`` minima are taken: two classes of similarity s
 miss each other in all of them with probability (1 - s**ROWS)**BANDS, which is 1.3e-7 at 0.8 and less above. Classes that meet are linked where
 the similarity of their sets, counted exactly, is at least ``SIMILAR``; groups are the components of these links.
 
@@ -24,11 +26,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm import simhash
 from graphloom.llm._shared import cut, cut_narrow, split_join
 from graphloom.llm._text import LOWER, NON_SPACE, U64, Block, blocks, mix
 from graphloom.llm.components import components
 from graphloom.llm.licenses import grams
-from graphloom.llm.simhash import grouped, rows_of, xxh64_ranges
+from graphloom.llm.simhash import grouped, majority, rows_of, xxh64_ranges
 
 SHINGLE = 5
 #: Parts of a hundred, so that the test is on whole numbers.
@@ -40,6 +43,8 @@ ROUNDS = 3
 SMALL_SETS = 32 << 20
 #: Pairs that one task verifies.
 TASK_PAIRS = 5000
+#: Rows of a few numbers of crowds, which are joined over and over, that one task takes: fewer are not dealt anew at each step.
+CROWD_ROWS = 1_000_000
 SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)) | U64(1)
 
 
@@ -81,15 +86,15 @@ def bands_of(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def prints_and_bands(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
-    """doc_id, fp (the digest of the shingle set), its size, bands, and d, if wanted."""
+    """doc_id, fp (the digest of the shingle set), its size, SimHash fingerprint and bands, and d, if wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             values, first = sets_of(block)
             bands = pa.ListArray.from_arrays(np.arange(len(block) + 1, dtype=np.int32) * BANDS, pa.array(bands_of(values, first).ravel()))
-            yield pa.RecordBatch.from_arrays([block.rows.column(0), pa.array(digests(values, first)), pa.array(np.diff(first).astype(np.int64)), bands, *block.rows.columns[2:]], ["doc_id", "fp", "size", "bands", "d"][: 2 + block.rows.num_columns])
+            yield pa.RecordBatch.from_arrays([block.rows.column(0), pa.array(digests(values, first)), pa.array(np.diff(first).astype(np.int64)), pa.array(majority(values, first).view(np.int64)), bands, *block.rows.columns[2:]], ["doc_id", "fp", "size", "sim", "bands", "d"][: 3 + block.rows.num_columns])
 
-    return rows_of(docs, doc_id, text, digest).mapInArrow(run, "doc_id long, fp long, size long, bands array<long>" + ", d binary" * digest)
+    return rows_of(docs, doc_id, text, digest).mapInArrow(run, "doc_id long, fp long, size long, sim long, bands array<long>" + ", d binary" * digest)
 
 
 def shingle_sets(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -160,6 +165,10 @@ def prefixes(sets: DataFrame) -> DataFrame:
     return cut(split_join(first, cut(first.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")), ["token"], "m"))
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    return cut_narrow(rows, CROWD_ROWS)
+
+
 def _rooted(rows: DataFrame, good: DataFrame) -> DataFrame:
     """rows (fp, ...) with the component that each class has so far."""
     return rows.join(components(good).select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -173,17 +182,18 @@ def crowd_links(sets: DataFrame, good: DataFrame) -> DataFrame:
         sets = F.broadcast(sets)
     tried = cut_narrow(_alike(_pairs(members.where(F.col("m") <= BUCKET), ["token"])), TASK_PAIRS)
     good = good.union(verified(tried, sets))
-    big = cut(members.where(F.col("m") > BUCKET))
+    big = _few(members.where(F.col("m") > BUCKET))
     if not big.limit(1).count():
         return good
     order = F.row_number().over(Window.partitionBy("fp").orderBy(F.desc("m"), "token"))
-    ranked = cut(big.withColumn("nth", order))
+    ranked = _few(big.withColumn("nth", order))
+    known = _few(tried)
     for k in range(ROUNDS):
-        placed = cut(_rooted(ranked, good))
+        placed = _few(_rooted(ranked, good))
         picked = placed.groupBy("token", "m").agg(F.min(F.struct(F.xxhash64("fp", F.lit(k)), F.col("fp").alias("v"), F.col("size").alias("nv"), F.col("root").alias("to"))).alias("p")).select("token", "m", "p.v", "p.nv", "p.to")
         one = split_join(placed.where(F.col("nth") == k + 1).drop("m"), cut(picked), ["token"], "m").where("root <> to")
-        new = cut_narrow(_alike(one.select(F.least("fp", "v").alias("u"), F.greatest("fp", "v").alias("v"), F.col("size").alias("nu"), "nv")).join(tried, ["u", "v"], "left_anti"), TASK_PAIRS)
-        tried, good = tried.union(new), good.union(verified(new, sets))
+        new = cut_narrow(_alike(one.select(F.least("fp", "v").alias("u"), F.greatest("fp", "v").alias("v"), F.col("size").alias("nu"), "nv")).join(known, ["u", "v"], "left_anti"), TASK_PAIRS)
+        known, good = _few(known.union(new)), good.union(verified(new, sets))
     # All rare shingles of a class in their order: a pair is made where it meets first, and nowhere else.
     rarest = members.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("p")).select("fp", F.transform("p", lambda x: x["token"]).alias("p"))
     placed = cut(_rooted(ranked, good).join(rarest, "fp"))
@@ -192,16 +202,28 @@ def crowd_links(sets: DataFrame, good: DataFrame) -> DataFrame:
     rest = away.join(placed.select("token", F.col("fp").alias("v"), F.col("size").alias("nv"), F.col("rank").alias("rv"), F.col("p").alias("pv"), "root"), "token")
     rest = rest.where((F.col("root") != F.col("from")) & _able() & (F.get(F.array_intersect("pu", "pv"), F.lit(0)) == F.col("token")))
     rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "nu", "nv", "ru", "rv")  # the conditions on both sides are the same either way round
-    return good.union(verified(cut_narrow(_alike(rest).join(tried, ["u", "v"], "left_anti"), TASK_PAIRS), sets))
+    return good.union(verified(cut_narrow(_alike(rest).join(known, ["u", "v"], "left_anti"), TASK_PAIRS), sets))
+
+
+def simhash_pairs(classes: DataFrame) -> DataFrame:
+    """u, v, nu, nv: of classes (fp, size, sim) whose fingerprints are linked, or the same, pairs that join them all."""
+    full = classes.where("size > 0").select("fp", "size", "sim")
+    heads = cut(full.groupBy("sim").agg(F.min(F.struct("fp", "size")).alias("h"), F.count("*").alias("n")))
+    head = lambda x: heads.select(F.col("sim").alias(x), F.struct("h.*").alias(f"h{x}"))
+    linked = simhash.links(heads.select(F.col("sim").alias("fp"))).join(head("u"), "u").join(head("v"), "v").select("hu", "hv")
+    same = split_join(full, heads.where("n > 1"), ["sim"], "n").select(F.struct("fp", "size").alias("hu"), F.struct("h.*").alias("hv"))
+    both = linked.union(same).where("hu.fp <> hv.fp").select(F.least("hu", "hv").alias("a"), F.greatest("hu", "hv").alias("b"))
+    return both.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"), F.col("a.size").alias("nu"), F.col("b.size").alias("nv"))
 
 
 def links(classes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """u, v: links of classes (fp, size, bands) whose components are those of all similar pairs that share a band."""
+    """u, v: links of classes (fp, size, sim, bands) whose components are those of all similar pairs that are near by fingerprint or share a band."""
     keyed = classes.select("fp", "size", F.posexplode("bands").alias("k", "bits"))
     shared = cut(keyed.groupBy("k", "bits").agg(F.count("*").alias("n")).where("n > 1"))
     members = cut(split_join(keyed, shared, ["k", "bits"], "n"))
     crowd = cut(members.where(F.col("n") > BUCKET).select("fp").distinct())
-    pairs = cut_narrow(_alike(_pairs(members.where(F.col("n") <= BUCKET), ["k", "bits"])), TASK_PAIRS)
+    banded = _pairs(members.where(F.col("n") <= BUCKET), ["k", "bits"]).select("u", "v", "nu", "nv")
+    pairs = cut_narrow(_alike(banded.union(simhash_pairs(classes))), TASK_PAIRS)
     met = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).union(crowd).distinct()
     sets = cut(shingle_sets(docs, text).join(met, "fp", "left_semi").groupBy("fp").agg(F.first("held").alias("held")))
     good = verified(pairs, sets)
@@ -211,5 +233,5 @@ def links(classes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """doc_id, fp, component_id: of each row, with the smallest id that links reach from it."""
     found = cut(prints_and_bands(docs, doc_id, text, digest))
-    classes = cut(found.groupBy("fp").agg(F.first("size").alias("size"), F.first("bands").alias("bands")))
-    return grouped(found.drop("size", "bands"), lambda _: links(classes, docs, text))
+    classes = cut(found.groupBy("fp").agg(F.first("size").alias("size"), F.first("sim").alias("sim"), F.first("bands").alias("bands")))
+    return grouped(found.drop("size", "sim", "bands"), lambda _: links(classes, docs, text))

@@ -228,6 +228,19 @@ def test_near_copies_are_brute_force(spark, monkeypatch, bucket):
     assert sorted(r.doc_id for r in kept) == sorted(set(root.values()))
 
 
+def test_near_copies_go_through_simhash_and_bands(spark, monkeypatch):
+    """Each way alone finds what it can find: fingerprints within two bits, equal ones of different sets included; bands the rest."""
+    rng, base = random.Random(4), prose(3000, 31)
+    rows = [(1, base), (2, edited(base, 1, rng)), (3, edited(base, 1, rng)), (4, prose(200, 32)), (5, edited(prose(200, 32), 3, rng)), (6, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {r.doc_id: r.sim % 2**64 for r in near_copies.prints_and_bands(docs).collect()}
+    assert max((prints[1] ^ prints[k]).bit_count() for k in (2, 3)) <= 2 < (prints[4] ^ prints[5]).bit_count()  # so the input is what it should be
+    kept = lambda: sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert kept() == [1, 4, 6]
+    monkeypatch.setattr(near_copies, "_pairs", lambda members, keys: members.limit(0).select(*(F.lit(0).cast("long").alias(x) for x in ("u", "v", "nu", "nv"))))
+    assert kept() == [1, 4, 5, 6]
+
+
 def hits(text, items, window):
     w, hit, found = ALNUM.findall(low(text)), set(), set()
     for name, item in items:
