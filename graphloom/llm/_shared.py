@@ -28,7 +28,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 #: So many rows of a few numbers are little work for a task.
-TASK_ROWS = 100_000
+TASK_ROWS = 250_000
 
 
 def narrowed(df: DataFrame, rows: int, each: int | None = None) -> DataFrame:

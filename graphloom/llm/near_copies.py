@@ -9,8 +9,10 @@ the similarity of their sets, counted exactly, is at least ``SIMILAR``; groups a
 
 In a key of at most ``BUCKET`` classes all pairs are verified. Classes of larger keys (copies of one text, or texts with one common passage) meet by an exact prefix filter among themselves instead:
 their shingles are ordered by rarity, and two sets that are similar have one of their first n - ceil(0.8 n) + 1 in common, so a passage that many have brings nobody together, and what is left of both from there on must suffice, so many rare shingles keep texts apart. Of a shingle with many
-classes still, first each class is verified against one picked class, ``ROUNDS`` times; then whatever is not yet in the component of most of them is verified against all
-from which it is still apart. So each pair that meets is verified or in one component already, and a large group of near copies costs a few pairs for each of them.
+classes still, first each class is verified against the most central classes that have it, those whose shingles are the commonest: near copies of one text are near copies of its middle, so this
+brings most of a group into one component. Then whatever is not in the component of most of them meets the others where both have a rare shingle first, and the pair is made only if
+their marks can be those of similar sets: the parities of how many shingles fall into each of 64 * ``MARKS`` parts. Shingles that both have cancel, so no two similar sets differ in more marks than shingles, and of short sets hardly any others in so few. From some 1,100 shingles on the marks tell no sets apart, and such pairs are all verified.
+A large group of shorter near copies so makes a few pairs for each of them, whether they are similar enough to be linked or just not; their marks are still compared pair by pair inside the join.
 
 Null and empty texts have the empty set and are one class. Rows without an id keep null ids and belong to the class of their text; repeated rows
 and ids belong to one class. Empty tables give empty results. A very long text is held by one task in a few times its size. Other columns are not read.
@@ -19,6 +21,7 @@ and ids belong to one class. Empty tables give empty results. A very long text i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import simhash
-from graphloom.llm._shared import cut, cut_narrow, split_join
+from graphloom.llm._shared import cut, cut_narrow, narrowed, split_join
 from graphloom.llm._text import LOWER, NON_SPACE, U64, Block, blocks, mix
 from graphloom.llm.components import components
 from graphloom.llm.licenses import grams
@@ -38,13 +41,17 @@ SHINGLE = 5
 SIMILAR = 80
 BANDS, ROWS = 40, 5
 BUCKET = 8
-#: How often classes that share a shingle with many are verified against a picked one.
-ROUNDS = 3
+#: Of so many of its rarest, and of its commonest, shingles that many have a class is verified against the picked ones.
+ENDS = 2
+#: 64-bit words of marks, by which pairs that differ in too many shingles are told apart where they meet.
+MARKS = 8
 SMALL_SETS = 32 << 20
 #: Pairs that one task verifies.
 TASK_PAIRS = 5000
 #: Rows of a few numbers of crowds, which are joined over and over, that one task takes: fewer are not dealt anew at each step.
 CROWD_ROWS = 1_000_000
+#: Rows with bands, with fingerprints whose ten keys are made, and of crowds with marks and shingles, that one task takes, and bytes of sets.
+BAND_ROWS, HEAD_ROWS, PLACED_ROWS, TASK_BYTES = 5000, 50_000, 20_000, 8 << 20
 SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)) | U64(1)
 
 
@@ -147,8 +154,12 @@ def _pairs(members: DataFrame, keys: list[str]) -> DataFrame:
     return side("u").join(side("v"), keys)
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    return cut_narrow(rows, CROWD_ROWS)
+
+
 def prefixes(sets: DataFrame) -> DataFrame:
-    """sets: fp, held. fp, size, token, rank, m: the rarest shingles of each set, as many as a similar one must share one of, and how many sets have them among theirs."""
+    """sets: fp, held. fp, size, mass, token, rank, m: the rarest shingles of each set, as many as a similar one must share one of, how many sets have them among theirs, and the sum of how many sets have each shingle of this one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,15 +169,11 @@ def prefixes(sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("fp").to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(token)], ["fp", "size", "token"])
 
     rows = cut(sets.mapInArrow(run, "fp long, size long, token long"))
-    often = cut(rows.groupBy("token").agg(F.count("*").alias("df")))
+    often = _few(rows.groupBy("token").agg(F.count("*").alias("df")))
     rank = F.row_number().over(Window.partitionBy("fp").orderBy("df", "token"))
-    first = split_join(rows, often, ["token"], "df").withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * SIMILAR / 100) + 1)
-    first = cut(first.where("df > 1").select("fp", "size", "token", "rank"))
-    return cut(split_join(first, cut(first.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")), ["token"], "m"))
-
-
-def _few(rows: DataFrame) -> DataFrame:
-    return cut_narrow(rows, CROWD_ROWS)
+    first = split_join(rows, often, ["token"], "df").withColumn("rank", rank).withColumn("mass", F.sum("df").over(Window.partitionBy("fp"))).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * SIMILAR / 100) + 1)
+    first = _few(first.where("df > 1").select("fp", "size", "mass", "token", "rank"))
+    return _few(split_join(first, _few(first.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")), ["token"], "m"))
 
 
 def _rooted(rows: DataFrame, good: DataFrame) -> DataFrame:
@@ -174,41 +181,62 @@ def _rooted(rows: DataFrame, good: DataFrame) -> DataFrame:
     return rows.join(components(good).select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
+def marks(sets: DataFrame) -> DataFrame:
+    """sets: fp, held. fp, marks: for each of 64 * MARKS parts of the shingles whether a set has an odd number of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd = [np.bincount((np.frombuffer(x.as_py(), U64) % U64(64 * MARKS)).astype(np.int64), minlength=64 * MARKS).astype(np.uint8) & 1 for x in batch.column("held")]
+            bits = np.packbits(np.concatenate([np.zeros(0, np.uint8), *odd])).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.ListArray.from_arrays(np.arange(len(odd) + 1, dtype=np.int32) * MARKS, pa.array(bits))], ["fp", "marks"])
+
+    return sets.select("fp", "held").mapInArrow(run, "fp long, marks array<long>")
+
+
+def _marked() -> Column:
+    """Whether sets (nu, nv shingles, marks mu and mv) can be similar by their marks: each mark that differs is a shingle, at least, that one has and the other has not."""
+    differ = reduce(Column.__add__, (F.bit_count(F.col("mu")[i].bitwiseXOR(F.col("mv")[i])) for i in range(MARKS)))
+    return (100 + SIMILAR) * differ <= (100 - SIMILAR) * (F.col("nu") + F.col("nv"))
+
+
+def picked_pairs(big: DataFrame) -> DataFrame:
+    """u, v, nu, nv: each class next to the most central ones, by how common their shingles are on average and in all, of a few shingles that many have: its ENDS rarest and its ENDS commonest of these."""
+    own = Window.partitionBy("fp")
+    ends = big.withColumn("nth", F.row_number().over(own.orderBy("rank"))).withColumn("of", F.count("*").over(own)).where((F.col("nth") <= ENDS) | (F.col("nth") > F.col("of") - ENDS))
+    centre = lambda by: F.max(F.struct(by.alias("by"), F.col("fp").alias("v"), F.col("size").alias("nv")))
+    picked = big.groupBy("token").agg(F.array(centre(F.col("mass") / F.col("size")), centre(F.col("mass").cast("double"))).alias("p"), F.count("*").alias("m"))
+    met = split_join(ends.select("token", "fp", "size"), _few(picked), ["token"], "m").select("fp", "size", F.explode("p").alias("p")).where("fp <> p.v")
+    return met.select(F.least("fp", "p.v").alias("u"), F.greatest("fp", "p.v").alias("v"), F.col("size").alias("nu"), F.col("p.nv").alias("nv"))
+
+
 def crowd_links(sets: DataFrame, good: DataFrame) -> DataFrame:
     """Links between the classes of the sets (fp, held), next to those that are known. Sets of at most SMALL_SETS bytes go to all tasks, so that pairs need not be dealt with the sets of both."""
     sets = cut(sets)
+    held = sets.agg(F.sum(F.octet_length("held"))).first()[0] or 0
+    sets = narrowed(sets, held, TASK_BYTES)
     members = prefixes(sets)
-    if (sets.agg(F.sum(F.octet_length("held"))).first()[0] or 0) <= SMALL_SETS:
+    if held <= SMALL_SETS:
         sets = F.broadcast(sets)
-    tried = cut_narrow(_alike(_pairs(members.where(F.col("m") <= BUCKET), ["token"])), TASK_PAIRS)
-    good = good.union(verified(tried, sets))
-    big = _few(members.where(F.col("m") > BUCKET))
+    pairs = _pairs(members.where(F.col("m") <= BUCKET).drop("mass"), ["token"]).where(_able()).select("u", "v", "nu", "nv")
+    big = members.where(F.col("m") > BUCKET)
     if not big.limit(1).count():
-        return good
-    order = F.row_number().over(Window.partitionBy("fp").orderBy(F.desc("m"), "token"))
-    ranked = _few(big.withColumn("nth", order))
-    known = _few(tried)
-    for k in range(ROUNDS):
-        placed = _few(_rooted(ranked, good))
-        picked = placed.groupBy("token", "m").agg(F.min(F.struct(F.xxhash64("fp", F.lit(k)), F.col("fp").alias("v"), F.col("size").alias("nv"), F.col("root").alias("to"))).alias("p")).select("token", "m", "p.v", "p.nv", "p.to")
-        one = split_join(placed.where(F.col("nth") == k + 1).drop("m"), cut(picked), ["token"], "m").where("root <> to")
-        new = cut_narrow(_alike(one.select(F.least("fp", "v").alias("u"), F.greatest("fp", "v").alias("v"), F.col("size").alias("nu"), "nv")).join(known, ["u", "v"], "left_anti"), TASK_PAIRS)
-        known, good = _few(known.union(new)), good.union(verified(new, sets))
+        return good.union(verified(cut_narrow(_alike(pairs), TASK_PAIRS), sets))
+    good = good.union(verified(cut_narrow(_alike(pairs.union(picked_pairs(big))), TASK_PAIRS), sets))
     # All rare shingles of a class in their order: a pair is made where it meets first, and nowhere else.
     rarest = members.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("p")).select("fp", F.transform("p", lambda x: x["token"]).alias("p"))
-    placed = cut(_rooted(ranked, good).join(rarest, "fp"))
+    placed = cut_narrow(_rooted(big.drop("mass"), good).join(rarest.join(marks(sets), "fp"), "fp"), PLACED_ROWS)
     most = placed.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("root", "c").alias("home"), F.sum("c").alias("m"))
-    away = split_join(placed.drop("m"), cut(most), ["token"], "m").where("root <> home").select("token", F.col("fp").alias("u"), F.col("size").alias("nu"), F.col("rank").alias("ru"), F.col("p").alias("pu"), F.col("root").alias("from"))
-    rest = away.join(placed.select("token", F.col("fp").alias("v"), F.col("size").alias("nv"), F.col("rank").alias("rv"), F.col("p").alias("pv"), "root"), "token")
-    rest = rest.where((F.col("root") != F.col("from")) & _able() & (F.get(F.array_intersect("pu", "pv"), F.lit(0)) == F.col("token")))
-    rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "nu", "nv", "ru", "rv")  # the conditions on both sides are the same either way round
-    return good.union(verified(cut_narrow(_alike(rest).join(known, ["u", "v"], "left_anti"), TASK_PAIRS), sets))
+    away = split_join(placed.drop("m"), _few(most), ["token"], "m").where("root <> home").select("token", F.col("fp").alias("u"), F.col("size").alias("nu"), F.col("rank").alias("ru"), F.col("p").alias("pu"), F.col("marks").alias("mu"), F.col("root").alias("from"))
+    rest = away.join(placed.select("token", F.col("fp").alias("v"), F.col("size").alias("nv"), F.col("rank").alias("rv"), F.col("p").alias("pv"), F.col("marks").alias("mv"), "root"), "token")
+    rest = rest.where((F.col("root") != F.col("from")) & _able() & _marked() & (F.get(F.array_intersect("pu", "pv"), F.lit(0)) == F.col("token")))
+    rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "nu", "nv")  # the conditions on both sides are the same either way round
+    return good.union(verified(cut_narrow(_alike(rest), TASK_PAIRS), sets))
 
 
 def simhash_pairs(classes: DataFrame) -> DataFrame:
     """u, v, nu, nv: of classes (fp, size, sim) whose fingerprints are linked, or the same, pairs that join them all."""
     full = classes.where("size > 0").select("fp", "size", "sim")
-    heads = cut(full.groupBy("sim").agg(F.min(F.struct("fp", "size")).alias("h"), F.count("*").alias("n")))
+    heads = cut_narrow(full.groupBy("sim").agg(F.min(F.struct("fp", "size")).alias("h"), F.count("*").alias("n")), HEAD_ROWS)
     head = lambda x: heads.select(F.col("sim").alias(x), F.struct("h.*").alias(f"h{x}"))
     linked = simhash.links(heads.select(F.col("sim").alias("fp"))).join(head("u"), "u").join(head("v"), "v").select("hu", "hv")
     same = split_join(full, heads.where("n > 1"), ["sim"], "n").select(F.struct("fp", "size").alias("hu"), F.struct("h.*").alias("hv"))
@@ -219,9 +247,9 @@ def simhash_pairs(classes: DataFrame) -> DataFrame:
 def links(classes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """u, v: links of classes (fp, size, sim, bands) whose components are those of all similar pairs that are near by fingerprint or share a band."""
     keyed = classes.select("fp", "size", F.posexplode("bands").alias("k", "bits"))
-    shared = cut(keyed.groupBy("k", "bits").agg(F.count("*").alias("n")).where("n > 1"))
-    members = cut(split_join(keyed, shared, ["k", "bits"], "n"))
-    crowd = cut(members.where(F.col("n") > BUCKET).select("fp").distinct())
+    shared = _few(keyed.groupBy("k", "bits").agg(F.count("*").alias("n")).where("n > 1"))
+    members = _few(split_join(keyed, shared, ["k", "bits"], "n"))
+    crowd = _few(members.where(F.col("n") > BUCKET).select("fp").distinct())
     banded = _pairs(members.where(F.col("n") <= BUCKET), ["k", "bits"]).select("u", "v", "nu", "nv")
     pairs = cut_narrow(_alike(banded.union(simhash_pairs(classes))), TASK_PAIRS)
     met = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).union(crowd).distinct()
@@ -233,5 +261,5 @@ def links(classes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """doc_id, fp, component_id: of each row, with the smallest id that links reach from it."""
     found = cut(prints_and_bands(docs, doc_id, text, digest))
-    classes = cut(found.groupBy("fp").agg(F.first("size").alias("size"), F.first("sim").alias("sim"), F.first("bands").alias("bands")))
+    classes = cut_narrow(found.groupBy("fp").agg(F.first("size").alias("size"), F.first("sim").alias("sim"), F.first("bands").alias("bands")), BAND_ROWS)
     return grouped(found.drop("size", "sim", "bands"), lambda _: links(classes, docs, text))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm._shared import content_digest, cut, fresh, split_join
+from graphloom.llm._shared import content_digest, cut, cut_narrow, fresh, split_join
 from graphloom.llm._text import LOWER, NON_SPACE, U64, Block, blocks
 from graphloom.llm.components import components
 
@@ -151,9 +151,9 @@ def links(distinct: DataFrame) -> DataFrame:
         keys.append(F.struct(F.lit(k).alias("k"), fp.bitwiseAND(F.lit(mask - (mask >> 63 << 64))).alias("bits")))
     keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("b")).select("fp", "b.*")
     shared = keyed.groupBy("k", "bits").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
-    shared = cut(shared)
+    shared = cut_narrow(shared)
     two = shared.where("n = 2").select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-    members = cut(keyed.join(shared.where("n > 2").select("k", "bits", "n"), ["k", "bits"]))
+    members = cut_narrow(keyed.join(shared.where("n > 2").select("k", "bits", "n"), ["k", "bits"]))
     few = members.where(F.col("n") <= BUCKET)
     pairs = few.select("k", "bits", fp.alias("u")).join(few.select("k", "bits", fp.alias("v")), ["k", "bits"]).where("u < v").select("u", "v")
     pairs = two.union(pairs).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE)
@@ -166,11 +166,11 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def grouped(prints: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """doc_id, fp, component_id and root (of all rows of a group the same fp) of rows (doc_id, fp, others), where linked gives the links (u, v) of distinct fingerprints (fp)."""
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    classes = cut_narrow(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     roots = components(linked(classes.select("fp")))
     rooted = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = cut(rooted.select("fp", "n", "root").join(least, "root").select("fp", "n", "root", "component_id"))
+    named = cut_narrow(rooted.select("fp", "n", "root").join(least, "root").select("fp", "n", "root", "component_id"))
     return split_join(prints, named, ["fp"], "n").select("doc_id", "fp", "component_id", "root", *[c for c in prints.columns if c not in ("doc_id", "fp")])
 
 
@@ -183,11 +183,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """Of each group one row, with all columns: that with the smallest id (none is last), of those with one id that with the least digest of its text, of rows
     equal in both any one. The groups are those of near_duplicates, or of another function with its results."""
-    found = cut(groups(docs, doc_id, text, True))
+    found = cut_narrow(groups(docs, doc_id, text, True))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "d")
-    first = cut(found.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    first = cut_narrow(found.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1"))
     met = split_join(found, first, ["root"], "n")
-    gone = cut(met.where(~order.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_gone"), F.col("d").alias("_of")).distinct())
+    gone = cut_narrow(met.where(~order.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_gone"), F.col("d").alias("_of")).distinct())
     if gone.count() <= FEW_GONE:
         gone = F.broadcast(gone)
     d = fresh("d", docs.columns)

@@ -228,6 +228,21 @@ def test_near_copies_are_brute_force(spark, monkeypatch, bucket):
     assert sorted(r.doc_id for r in kept) == sorted(set(root.values()))
 
 
+def test_a_group_costs_a_few_pairs_a_class(spark, monkeypatch):
+    """Copies of one text that are just not similar to one another, and near copies of its middle: neither is compared pair by pair."""
+    rng, made, plain = random.Random(7), [], near_copies.verified
+    apart, middle = prose(150, 71), prose(150, 72)
+    rows = [(k, edited(apart, 3, rng)) for k in range(1, 101)] + [(101, middle)] + [(k, edited(middle, 1 + k % 2, rng)) for k in range(102, 161)]
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, sets: made.append(pairs.count()) or plain(pairs, sets))
+    found = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {k: shingles(t) for k, t in rows}
+    near = {k: [x for x in sets if 5 * len(sets[k] & sets[x]) >= 4 * len(sets[k] | sets[x])] for k in sets}
+    assert all(found[k] == found[x] for k in near for x in near[k])
+    assert [found[k] for k in near if near[k] == [k]] == [k for k in near if near[k] == [k]]
+    assert [found[k] for k in range(101, 161)] == [101] * 60
+    assert 60 <= sum(made) <= 8 * len(rows)
+
+
 def test_near_copies_go_through_simhash_and_bands(spark, monkeypatch):
     """Each way alone finds what it can find: fingerprints within two bits, equal ones of different sets included; bands the rest."""
     rng, base = random.Random(4), prose(3000, 31)
