@@ -12,7 +12,7 @@ their shingles are ordered by rarity, and two sets that are similar have one of
 classes still, first each class is verified against the most central classes that have it, those whose shingles are the commonest: near copies of one text are near copies of its middle, so this
 brings most of a group into one component. Then whatever is not in the component of most of them meets the others where both have a rare shingle first, and the pair is made only if
 their marks can be those of similar sets: the parities of how many shingles fall into each of 64 * ``MARKS`` parts. Shingles that both have cancel, so no two similar sets differ in more marks than shingles, and of short sets hardly any others in so few. From some 1,100 shingles on the marks tell no sets apart, and such pairs are all verified.
-A large group of shorter near copies so makes a few pairs for each of them, whether they are similar enough to be linked or just not; their marks are still compared pair by pair inside the join.
+A group of some thousand shorter near copies so makes a few pairs for each of them, whether they are similar enough to be linked or just not; in larger ones the pairs still grow with the square, as a small part of all, and marks are compared pair by pair inside the join.
 
 Null and empty texts have the empty set and are one class. Rows without an id keep null ids and belong to the class of their text; repeated rows
 and ids belong to one class. Empty tables give empty results. A very long text is held by one task in a few times its size. Other columns are not read.
