@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import classify, is_test
 from graphloom.operators.names import NameIndex, name_index, names_with
 from graphloom.operators.retrieval import cosine, name_relevance, round_robin, rrf, top
+from graphloom.operators.shared import by_text, cut, of_texts, small
 from graphloom.operators.symbols import fts
 
 # How many a lane brings, how many are returned, how many chunks are asked for a node; weights of lanes by type of query (1 where none is given).
@@ -32,13 +33,17 @@ def tests_last(lane: DataFrame, keys: list[str]) -> DataFrame:
 
 def name_search(nodes: DataFrame, queries: DataFrame, limit: int = 50, index: NameIndex | None = None) -> DataFrame:
     """q, ref, rank, ...: nodes whose name holds a term of the text, by relevance, kind, name and id. Names are found by an index of their grams (made here if none is given)."""
+    queries, back = by_text(queries)
     terms = F.filter(F.split(F.lower(F.trim("text")), r"\s+"), lambda x: x != "")
     asked = queries.select("q", terms.alias("terms")).where(F.size("terms") > 0)
     each = asked.select("q", F.explode(F.array_distinct("terms")).alias("term"))
-    held = names_with(index or name_index(nodes), each)
-    met = held.join(each, "term").select("q", "low").distinct().join(asked, "q").select("q", "low", name_relevance(F.col("low"), F.col("terms"), F.array_join("terms", " ")).alias("r"))
-    found = met.join(nodes.select("id", "name", F.lower("name").alias("low"), "kind", "file"), "low")
-    return top(found, ["q"], limit, "r", "kind", "name", "id").select("q", F.col("id").alias("ref"), "rank", "name", "kind", "file")
+    held = cut(names_with(index or name_index(nodes), each))
+    met = held.join(small(each), "term").select("q", "low").distinct().join(small(asked), "q").select("q", "low", name_relevance(F.col("low"), F.col("terms"), F.array_join("terms", " ")).alias("r"))
+    # Nodes of one (lower-cased) name follow one another in a list, by kind, name and id: the first of each are enough.
+    named = nodes.select("id", "name", F.lower("name").alias("low"), "kind", "file").join(small(held.select("low").distinct()), "low", "left_semi")
+    named = named.withColumn("nth", F.row_number().over(Window.partitionBy("low").orderBy("kind", "name", "id"))).where(F.col("nth") <= limit).drop("nth")
+    found = met.join(named, "low")
+    return of_texts(top(found, ["q"], limit, "r", "kind", "name", "id").select("q", F.col("id").alias("ref"), "rank", "name", "kind", "file"), back)
 
 
 def graph_lane(nodes: DataFrame, queries: DataFrame, limit: int = PER_LANE, index: NameIndex | None = None) -> DataFrame:
@@ -47,9 +52,11 @@ def graph_lane(nodes: DataFrame, queries: DataFrame, limit: int = PER_LANE, inde
 
 def symbol_lane(symbols: DataFrame, queries: DataFrame, limit: int = PER_LANE) -> DataFrame:
     """Any word of the text, in each repository, tests last; the repositories' results are interleaved."""
-    found = fts(symbols, queries, "or", limit).join(symbols.select("repo", "id", "name", "kind", F.col("file_path").alias("file")), ["repo", "id"])
-    lane = tests_last(found.select("q", "repo", local_ref(F.col("repo"), F.col("id")).alias("ref"), "rank", "name", "kind", "file"), ["q", "repo"])
-    return round_robin(lane, "repo", "rank", "ref", ["q"]).withColumnRenamed("place", "rank").join(lane.drop("rank", "repo"), ["q", "ref"]).select("q", "ref", "rank", "name", "kind", "file")
+    queries, back = by_text(queries)
+    found = symbols.select("repo", "id", "name", "kind", F.col("file_path").alias("file")).join(small(cut(fts(symbols, queries, "or", limit))), ["repo", "id"])
+    lane = cut(tests_last(found.select("q", "repo", local_ref(F.col("repo"), F.col("id")).alias("ref"), "rank", "name", "kind", "file"), ["q", "repo"]))
+    found = round_robin(lane, "repo", "rank", "ref", ["q"]).withColumnRenamed("place", "rank").join(lane.drop("rank", "repo"), ["q", "ref"])
+    return of_texts(found.select("q", "ref", "rank", "name", "kind", "file"), back)
 
 
 def fold_chunks(hits: DataFrame, k: int) -> DataFrame:
@@ -104,8 +111,9 @@ def rerank(hits: DataFrame, score: Column, head: int | None = None) -> DataFrame
 
 def rerank_texts(hits: DataFrame, symbols: DataFrame, text: Callable[[], Column]) -> DataFrame:
     """hits with the text that a scorer reads: that of the symbol, else the name."""
-    told = symbols.select(local_ref(F.col("repo"), F.col("id")).alias("ref"), text().alias("text"))
-    return hits.join(told, "ref", "left").withColumn("text", F.coalesce(F.nullif(F.trim("text"), F.lit("")), "name", "ref"))
+    hits = cut(hits)
+    told = symbols.select(local_ref(F.col("repo"), F.col("id")).alias("ref"), text().alias("text")).join(small(hits.select("ref").distinct()), "ref", "left_semi")
+    return hits.join(small(cut(told)), "ref", "left").withColumn("text", F.coalesce(F.nullif(F.trim("text"), F.lit("")), "name", "ref"))
 
 
 def overlap(text: Column, query: Column) -> Column:

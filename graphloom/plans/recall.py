@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.kinds import is_soft_node
 from graphloom.functions.text import TYPES, classify
 from graphloom.operators import recall as ops
-from graphloom.operators.names import NameIndex, name_index
+from graphloom.operators.cleanse import dedup_nodes
+from graphloom.operators.names import name_index
+from graphloom.operators.shared import cut, small
 from graphloom.plans.graph import GRAPH
 from graphloom.plans.registry import query
 from graphloom.plans.symbols import fts_sql
-from graphloom.sources.prepared import prepared
 from graphloom.sources.tables import Tables, with_derived
 
 ASKED = "SELECT p_partkey AS q, p_name || CASE (p_partkey // 100) % 3 WHEN 0 THEN '' WHEN 1 THEN ' definition' ELSE ' impact' END AS text FROM part WHERE p_partkey % 100 = 0"
@@ -24,15 +26,14 @@ def asked(t: Tables) -> DataFrame:
     return t.part.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("q"), F.concat("p_name", tail).alias("text"))
 
 
-_NAMES: dict[tuple[str, str], NameIndex] = {}
+def hard_nodes(t: Tables) -> DataFrame:
+    """Nodes as prepared() has them, with what a lane shows: not written, as a search needs few of them."""
+    return dedup_nodes(t.nodes.where(~is_soft_node(F.col("kind"))).select("id", "kind", "name", "file", "ord"))
 
 
-def names(t: Tables) -> NameIndex:
-    """The index of the nodes' names, made once a session and folder."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _NAMES:
-        _NAMES[key] = name_index(prepared(t).nodes)
-    return _NAMES[key]
+def graph(t: Tables, q: DataFrame) -> DataFrame:
+    """The graph's lane. Names are those of all hard nodes; what only a duplicate is named finds nothing in the nodes."""
+    return ops.graph_lane(hard_nodes(t), q, index=name_index(t.nodes.where(~is_soft_node(F.col("kind")))))
 
 
 def embedded(t: Tables) -> DataFrame:
@@ -81,7 +82,7 @@ def query_vectors(t: Tables) -> DataFrame:
 
 @query("ret-11", with_derived(f"{_ASK}{GRAPH}{_GRAPH} SELECT * FROM g", "nodes", "edges"))
 def graph_lane(t: Tables) -> DataFrame:
-    return ops.graph_lane(prepared(t).nodes, asked(t), index=names(t))
+    return graph(t, asked(t))
 
 
 @query("ret-12", with_derived(f"{fts_sql('or', 30, 'true', ASKED)}{_SYMBOL} SELECT * FROM c", "symbols"))
@@ -96,7 +97,7 @@ def vector_lane(t: Tables) -> DataFrame:
 
 def fused(t: Tables) -> DataFrame:
     q = asked(t)
-    return ops.fuse({"graph": ops.graph_lane(prepared(t).nodes, q, index=names(t)), "codegraph": ops.symbol_lane(t.symbols, q), "vector": ops.vector_lane(t.symbols, chunks(t), embedded(t))}, q)
+    return ops.fuse({"graph": graph(t, q), "codegraph": ops.symbol_lane(t.symbols, q), "vector": ops.vector_lane(t.symbols, chunks(t), embedded(t))}, q)
 
 
 @query("ret-14", with_derived(_FUSED + " SELECT q, ref, rank, score, name, kind, file FROM fd", "symbols", "nodes", "edges"))
@@ -216,12 +217,17 @@ SELECT ask.q, round(coalesce(a.rr, 0) - coalesce(b.rr, 0), 6) AS delta FROM ask
 def recall_ab(t: Tables) -> DataFrame:
     """The reciprocal rank of the first good ref, by weights of the query's type less by equal weights, query by query."""
     q = asked(t)
-    lanes = {"graph": ops.graph_lane(prepared(t).nodes, q, index=names(t)), "codegraph": ops.symbol_lane(t.symbols, q), "vector": ops.vector_lane(t.symbols, chunks(t), embedded(t))}
+    lanes = {"graph": graph(t, q), "codegraph": ops.symbol_lane(t.symbols, q), "vector": ops.vector_lane(t.symbols, chunks(t), embedded(t))}
     plain = q.select("q", F.lit("equal").alias("text"))
-    name = t.part.select(F.col("p_partkey").alias("q"), "p_name").join(q.select("q"), "q")
-    symbols = name.join(t.symbols.select(F.col("name").alias("s"), ops.local_ref(F.col("repo"), F.col("id")).alias("ref")), F.replace("p_name", F.lit(" "), F.lit("_")) == F.col("s")).select("q", "ref")
-    ends = name.join(prepared(t).nodes.where("kind = 'backend_endpoint'").select(F.col("name").alias("p_name"), F.col("id").alias("ref")), "p_name").select("q", "ref")
-    good = symbols.union(ends).distinct()
-    rr = lambda found, c: found.join(good, ["q", "ref"]).groupBy("q").agg(F.max(1 / (F.col("rank") + 1)).alias(c))
-    both = q.select("q").join(rr(ops.fuse(lanes, q), "a"), "q", "left").join(rr(ops.fuse(lanes, plain), "b"), "q", "left")
+    found = {c: cut(ops.fuse(lanes, by).select("q", "ref", "rank")) for c, by in (("a", q), ("b", plain))}
+    name = t.part.select(F.col("p_partkey").alias("q"), "p_name").join(small(q.select("q")), "q")
+    # What is good for a query is told from the names of the refs that are found, as many symbols have the name that is asked.
+    refs = cut(found["a"].select("ref").union(found["b"].select("ref")).distinct())
+    symbols = t.symbols.select(ops.local_ref(F.col("repo"), F.col("id")).alias("ref"), "name").join(small(refs), "ref", "left_semi").select("ref", "name", F.lit(True).alias("symbol"))
+    soft = is_soft_node(F.col("kind"))
+    ends = dedup_nodes(t.nodes.where(~soft).join(small(refs.withColumnRenamed("ref", "id")), "id", "left_semi")).where("kind = 'backend_endpoint'").select(F.col("id").alias("ref"), "name", F.lit(False).alias("symbol"))
+    named = small(cut(symbols.union(ends).distinct()))
+    fits = F.col("name") == F.when(F.col("symbol"), F.replace("p_name", F.lit(" "), F.lit("_"))).otherwise(F.col("p_name"))
+    rr = lambda c: found[c].join(named, "ref").join(name, "q").where(fits).groupBy("q").agg(F.max(1 / (F.col("rank") + 1)).alias(c))
+    both = q.select("q").join(rr("a"), "q", "left").join(rr("b"), "q", "left")
     return both.select("q", F.round(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)), 6).alias("delta"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import symbols as ops
+from graphloom.operators.shared import by_text, of_texts
 from graphloom.plans.registry import query
 from graphloom.sources.tables import Tables, with_derived
 
@@ -87,8 +88,9 @@ def full_text(t: Tables) -> DataFrame:
 def fan_out_search(t: Tables) -> DataFrame:
     """The results of the repositories one after another, not ranked anew; the first 50."""
     ref = F.when(F.col("repo") == "r0", F.col("id")).otherwise(F.concat_ws("::", "repo", "id"))
-    found = ops.fts(t.symbols, asked(t), "or", 30)
-    return found.select("q", ref.alias("ref"), F.row_number().over(Window.partitionBy("q").orderBy("repo", "rank")).alias("place")).where("place <= 50")
+    queries, back = by_text(asked(t))
+    found = ops.fts(t.symbols, queries, "or", 30)
+    return of_texts(found.select("q", ref.alias("ref"), F.row_number().over(Window.partitionBy("q").orderBy("repo", "rank")).alias("place")).where("place <= 50"), back)
 
 
 _KIND = "CASE WHEN kind IN ('class', 'function', 'method', 'interface') THEN 0 ELSE 5 END"
