@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.shared import cut, small
+
 
 def normal_url(url: Column) -> Column:
     """Without a method before it, query, fragment and slashes at the end."""
@@ -17,10 +19,10 @@ def _placeholder(segment: Column) -> Column:
 
 
 def match_templates(calls: DataFrame, ends: DataFrame) -> DataFrame:
-    """calls: url; ends: template. Pairs with as many segments, each equal or a placeholder on either side.
+    """calls: url; ends: template. Pairs with as many segments, each equal or a placeholder on either side; equal rows of a side count once.
 
     Both sides meet on the number of segments and the literal segments where neither has a placeholder: templates are
-    few shapes, so each shape is one equi join."""
+    few shapes, so each shape is one equi join. A pair is made once, as either side has each key once, so pairs are not shuffled."""
     seg = lambda c: F.split(F.regexp_replace(normal_url(c), "^/", ""), "/")
     calls = calls.withColumn("_c", seg(F.col("url")))
     ends = ends.withColumn("_e", seg(F.col("template")))
@@ -28,10 +30,12 @@ def match_templates(calls: DataFrame, ends: DataFrame) -> DataFrame:
     ours, theirs = calls.select(mask(F.col("_c")).alias("m")).distinct(), ends.select(mask(F.col("_e")).alias("k")).distinct()
     shapes = ours.join(theirs, F.size("m") == F.size("k"))
     shapes = shapes.select("m", "k", F.zip_with("m", "k", lambda a, b: F.when((a == "*") | (b == "*"), "*").otherwise("")).alias("open"))
-    key = lambda c: F.to_json(F.zip_with(c, F.col("open"), lambda s, o: F.when(o == "*", "*").otherwise(s)))
+    key = lambda c: F.to_json(F.struct("k", "open", F.zip_with(c, F.col("open"), lambda s, o: F.when(o == "*", "*").otherwise(s)).alias("s")))
+    shapes = small(cut(shapes))
     left = calls.withColumn("m", mask(F.col("_c"))).join(shapes, "m").withColumn("_k", key(F.col("_c")))
     right = ends.withColumn("k", mask(F.col("_e"))).join(shapes, "k").withColumn("_k", key(F.col("_e")))
-    return left.drop("m").join(right.drop("m"), ["k", "open", "_k"]).drop("k", "open", "_k", "_c", "_e").distinct()
+    left, right = (side.drop("m", "k", "open", c).distinct() for side, c in ((left, "_c"), (right, "_e")))
+    return left.join(right, "_k").drop("_k")
 
 
 def by_operation(calls: DataFrame, ends: DataFrame) -> DataFrame:

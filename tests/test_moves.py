@@ -76,3 +76,40 @@ def test_full_text_in_blocks_is_that_of_plain_python(spark, monkeypatch, mode, s
                     scored.append((-round(sum(map(weight, met)), 9), row[6], row[1]))
             want |= {(q, repo, name): (rank, -score) for rank, (score, _, name) in enumerate(sorted(scored)[:5])}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-9) for k in want)
+
+
+def test_templates_of_one_shape(spark):
+    from graphloom.operators.links import match_templates
+
+    calls, ends = spark.range(PARTS).selectExpr("id AS call", "'/p/1?x' AS url"), spark.range(ASKED).selectExpr("id AS endpoint", "CASE WHEN id % 2 = 0 THEN '/p/{id}' ELSE '/p/1' END AS template")
+    found, rows = moved(spark, lambda: match_templates(calls.union(calls), ends).groupBy("endpoint").count().collect())
+    assert sorted(tuple(r) for r in found) == [(i, PARTS) for i in range(ASKED)]
+    # Each side's own rows by the two shapes, twice, and the counts of tasks.
+    assert rows < 10 * PARTS < PARTS * ASKED / 5
+
+
+@pytest.mark.parametrize("cells, handed, few", [(2_000_000, 500_000, 100_000), (50, 7, 5)])
+def test_scores_of_documents(spark, monkeypatch, cells, handed, few):
+    import math
+
+    from graphloom.operators import retrieval
+
+    for name, value in (("CELLS", cells), ("HANDED", handed), ("FEW_ROWS", few), ("BLOCK_DOCS", 200)):
+        monkeypatch.setattr(retrieval, name, value)
+    texts = ["red bolt", "red ring ring", "old ring", "", "none"]
+    docs = spark.range(PARTS).selectExpr("concat('d', id) AS doc_id", f"element_at(array({', '.join(map(repr, texts))}), CAST(id % 5 + 1 AS INT)) AS text")
+    index = retrieval.text_index(docs)
+    asks = [(q, t) for q in range(ASKED) for t in (["red", "bolt", "bolt"] if q % 2 else ["ring", "absent"])]
+    found, rows = moved(spark, lambda: retrieval.bm25(index, spark.createDataFrame(asks, "q long, term string")).groupBy("q", "doc").agg({"score": "sum"}).collect() if few < 10 else retrieval.bm25(index, spark.createDataFrame(asks, "q long, term string")).collect())
+    part, mean = PARTS // 5, sum(len(t.split()) for t in texts) / 5
+    df = {t: part * sum(t in x.split() for x in texts) for t in ("red", "bolt", "ring")}
+    want = {}
+    for q in range(ASKED):
+        for i in range(PARTS):
+            w = texts[i % 5].split()
+            s = sum(math.log(1 + (PARTS - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for t in (("red", "bolt") if q % 2 else ("ring",)) if t in w)
+            if s:
+                want[q, f"d{i}"] = s
+    got = {(r[0], r[1]): r[2] for r in found}
+    assert len(found) == len(want) and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert few < 10 or rows < 2 * PARTS < len(want) / 5
