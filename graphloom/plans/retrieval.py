@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import chunks, html_to_text, is_test, paragraphs, sections, slices
 from graphloom.operators.retrieval import TextIndex, bm25, bm25_top, cosine, name_relevance, round_robin, rrf, text_index, tokens, top
+from graphloom.operators.shared import spread
 from graphloom.plans.registry import query
 from graphloom.sources.tables import Tables, with_derived
 
@@ -56,7 +57,7 @@ _PARTS = f"SELECT p_partkey, translate(lower(p_name), '{_LETTERS}', '{_SIGNS}')
 
 def unspaced(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Names of parts as runs of Chinese characters (p_partkey, run), and the dictionary of their words (word, freq)."""
-    spaced = t.part.select("p_partkey", F.translate(F.lower("p_name"), _LETTERS, _SIGNS).alias("spaced"))
+    spaced = spread(t.part.select("p_partkey", "p_name")).select("p_partkey", F.translate(F.lower("p_name"), _LETTERS, _SIGNS).alias("spaced"))
     words = spaced.select(F.explode(F.split("spaced", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
     return spaced.select("p_partkey", F.replace("spaced", F.lit(" "), F.lit("")).alias("run")), words
 
